@@ -36,3 +36,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.secret_scan import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
