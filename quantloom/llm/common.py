@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -41,18 +42,35 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan); a number, no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later step reads."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/stage-" in path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """Size of the input: Catalyst's estimate for a file scan, else the bytes of the text column, counted."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 60:
+        return estimate
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
 def shard_count(df: DataFrame, shard_bytes: int) -> int:
-    """Shards of about `shard_bytes` of estimated input each, so a shard's size does not grow with the data."""
-    return max(8, min(1_000_000, -(-input_bytes(df) // shard_bytes)))
+    """Shards of about `shard_bytes` of input each, so a shard's size does not grow with the data."""
+    return max(8, -(-input_bytes(df) // shard_bytes))
 
 
 def shard_of(doc_id: Column, shards: int) -> Column:

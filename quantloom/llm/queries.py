@@ -57,3 +57,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.quality_classifier import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
