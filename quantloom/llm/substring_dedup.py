@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import WORD, discard, shard_count, shard_of, staged
+from quantloom.llm.dealing import by_shard, dealt, facts, unpack
 
 WINDOW = 20
 ANCHOR = 8
@@ -130,75 +131,6 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("text", "shard").mapInArrow(build, "anchor long, shard int, times long")
 
 
-_DEALT = "shard int, kind int, x1 long, x2 long, y1 int, y2 int, y3 int, data binary"
-
-
-def _packs(docs: DataFrame) -> DataFrame:
-    """Rows of kind 1: the documents of a batch and shard, packed and compressed for the way to the shard."""
-
-    def build(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            shards = np.asarray(batch.column("shard"))
-            order = np.argsort(shards, kind="stable")
-            cuts = np.flatnonzero(np.diff(shards[order])) + 1
-            keys, blobs = [], []
-            for part in np.split(order, cuts) if len(order) else []:
-                sink = pa.BufferOutputStream()
-                own = pa.Table.from_batches([batch]).select(["doc_id", "text"]).take(pa.array(part))
-                with pa.ipc.new_stream(sink, own.schema) as out:
-                    out.write_table(own)
-                keys.append(int(shards[part[0]]))
-                blobs.append(pack.compress(sink.getvalue().to_pybytes()))
-            n = len(keys)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([1] * n, pa.int32()), none, none, *[pa.nulls(n, pa.int32())] * 3, pa.array(blobs, pa.binary())], names=[f.split()[0] for f in _DEALT.split(", ")])
-
-    return docs.select("doc_id", "text", "shard").mapInArrow(build, _DEALT)
-
-
-def _unpack(blob: bytes) -> Iterator[tuple[int | None, str | None]]:
-    import pyarrow as pa
-    import zstandard
-
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
-    return zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)
-
-
-def _by_shard(batches: Iterator) -> Iterator[tuple[int, dict[str, np.ndarray], list[bytes]]]:
-    """One (shard, columns of its rows of kind 0, its packs) after another; rows come sorted by shard, kind."""
-    shard, facts, packs = None, [], []
-    names = ("x1", "x2", "y1", "y2", "y3")
-
-    def done():
-        cols = {n: np.concatenate([f[n] for f in facts]) if facts else np.empty(0, np.int64 if n[0] == "x" else np.int32) for n in names}
-        return shard, cols, packs
-
-    for batch in batches:
-        shards, kinds = np.asarray(batch.column("shard")), np.asarray(batch.column("kind"))
-        if not len(shards):
-            continue
-        for part in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
-            if shards[part[0]] != shard:
-                if shard is not None:
-                    yield done()
-                shard, facts, packs = int(shards[part[0]]), [], []
-            told = part[kinds[part] == 0]
-            if len(told):
-                own = batch.slice(int(told[0]), len(told))
-                facts.append({n: np.asarray(own.column(n).fill_null(0)) for n in names})
-            packs += batch.slice(int(part[0]), len(part)).filter(batch.column("kind").slice(int(part[0]), len(part)).cast("bool")).column("data").to_pylist()
-    if shard is not None:
-        yield done()
-
-
-def _dealt(facts: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
-    return facts.union(_packs(docs)).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
-
-
 def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Index in `sorted_values` of each x, or -1."""
     if not len(sorted_values):
@@ -214,11 +146,11 @@ def _window_rows(docs: DataFrame, anchors: DataFrame, shards: int, window: int)
         import pyarrow as pa
 
         hashes = _Hashes()
-        for shard, facts, packs in _by_shard(batches):
-            recurring = np.sort(facts["x1"].view(np.uint64))
+        for shard, told, blobs in by_shard(batches):
+            recurring = np.sort(told["x1"].view(np.uint64))
             cols: list[list] = [[], [], [], []]
-            for blob in packs:
-                for doc_id, text in _unpack(blob):
+            for blob in blobs:
+                for doc_id, text in unpack(blob):
                     h = word_hashes(text, hashes)
                     starts = np.flatnonzero(_found(recurring, window_anchors(h, window)) >= 0)
                     if len(starts):
@@ -239,9 +171,7 @@ def _window_rows(docs: DataFrame, anchors: DataFrame, shards: int, window: int)
                     names=["shard", "w1", "w2", "doc_id", "start", "again"],
                 )
 
-    none = F.lit(None)
-    facts = anchors.select("shard", F.lit(0).alias("kind"), F.col("anchor").alias("x1"), none.cast("long").alias("x2"), *[none.cast("int").alias(y) for y in ("y1", "y2", "y3")], none.cast("binary").alias("data"))
-    return _dealt(facts, docs, shards).mapInArrow(build, "shard int, w1 long, w2 long, doc_id long, start int, again boolean")
+    return dealt(facts(anchors, x1="anchor"), docs, shards).mapInArrow(build, "shard int, w1 long, w2 long, doc_id long, start int, again boolean")
 
 
 def _compile(phrases: list[tuple[int, ...]]):
@@ -294,14 +224,14 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
         import pyarrow as pa
 
         hashes = _Hashes()
-        for _, facts, packs in _by_shard(batches):
-            order = np.lexsort((facts["y1"], facts["x1"]))
-            ids, starts, first_ids, first_starts, checks = (facts[n][order] for n in ("x1", "y1", "x2", "y2", "y3"))
+        for _, told, blobs in by_shard(batches):
+            order = np.lexsort((told["y1"], told["x1"]))
+            ids, starts, first_ids, first_starts, checks = (told[n][order] for n in ("x1", "y1", "x2", "y2", "y3"))
             keys: list[list] = [[], [], [], []]
             phrases: set[tuple[int, ...]] = set()
             if len(ids):
-                for blob in packs:  # the texts of the confirmed windows, from their place in this shard
-                    for doc_id, text in _unpack(blob):
+                for blob in blobs:  # the texts of the confirmed windows, from their place in this shard
+                    for doc_id, text in unpack(blob):
                         doc_id = _NULL_ID if doc_id is None else doc_id
                         a, b = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
                         if a == b:
@@ -325,9 +255,9 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
             w1, w2, f1, f2 = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(keys, (np.uint64, np.uint64, np.int64, np.int32), strict=True))
             order = np.argsort(w1, kind="stable")
             w1, w2, f1, f2 = w1[order], w2[order], f1[order], f2[order]
-            for blob in packs:
+            for blob in blobs:
                 out: list[list] = [[], [], [], []]
-                for doc_id, text in _unpack(blob):
+                for doc_id, text in unpack(blob):
                     words = _WORD.findall(text or "")
                     gone = np.empty(0, np.int64)
                     if machine is not None and len(words) >= window:
@@ -342,9 +272,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    none = F.lit(None)
-    facts = confirmed.select("shard", F.lit(0).alias("kind"), F.col("doc_id").alias("x1"), F.col("first_id").alias("x2"), F.col("start").alias("y1"), F.col("first_start").alias("y2"), F.col("check").alias("y3"), none.cast("binary").alias("data"))
-    return _dealt(facts, docs, shards).mapInArrow(build, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt(facts(confirmed, x1="doc_id", x2="first_id", y1="start", y2="first_start", y3="check"), docs, shards).mapInArrow(build, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
