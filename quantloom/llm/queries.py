@@ -64,3 +64,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.substring_dedup import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.hmm_lm import hmm_scores
+
+    return hmm_scores(table(spark, sf_dir, "documents"))
