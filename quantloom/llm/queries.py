@@ -71,3 +71,10 @@ def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.hmm_lm import hmm_scores
 
     return hmm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.sentencepiece_lattice import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"))
