@@ -33,8 +33,10 @@ from quantloom.llm.common import let
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 4 << 20
-BLOCK_WORDS = 60_000
+BLOCK_CHARS = 8 << 20
+BLOCK_WORDS = 150_000
+#: Words whose edges a task remembers, and words whose lattices are built at once.
+REMEMBERED, AT_ONCE = 300_000, 30_000
 LONG_WORD = 256
 _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -59,6 +61,7 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("pieces that span words are not supported")
         self.char = {p: i for p, i in normal.items() if len(p) == 1}
+        self.of_char = None
         self.longest = max(map(len, normal))
         # pairs of pieces that merge
         pairs = {(normal[p[:k]], normal[p[k:]]): i for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
@@ -98,16 +101,24 @@ class Pieces:
                 rows.sort()
                 self.by_length[k] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
 
-    def units(self, word: str) -> list[int]:
-        """Single-character pieces of a word, UTF-8 bytes for characters that are none."""
-        get, out = self.char.get, []
-        for c in word:
-            i = get(c)
-            if i is None:
-                out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(i)
-        return out
+    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Single-character pieces of the words, UTF-8 bytes for characters that are none; and the number
+        per word."""
+        if self.of_char is None:  # once per process: 4 MB
+            self.of_char = np.full(0x110000, -1, np.int32)
+            self.of_char[[ord(c) for c in self.char]] = list(self.char.values())
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = self.of_char[points].astype(np.int64)
+        unknown = np.flatnonzero(flat < 0)
+        if len(unknown):
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[unknown].tolist()]
+            times = np.ones(len(flat), np.int64)
+            times[unknown] = [len(x) for x in raw]
+            sizes = np.add.reduceat(np.concatenate([times, [0]]), np.cumsum(sizes) - sizes) * (sizes > 0)
+            flat = np.repeat(flat, times)
+            flat[flat < 0] = [self.bytes[b] for x in raw for b in x]
+        return flat, sizes
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether text a + b segments to exactly (a, b): both pieces' merges run side by side, best score
@@ -130,28 +141,27 @@ class Pieces:
 
 
 class _Follow:
-    """may_follow() of pairs, remembered for one task up to a bound."""
+    """may_follow() of pairs, remembered for one task in a table of fixed size (a newer pair replaces an older
+    one of the same slot)."""
+
+    SLOTS = 22
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.keys, self.values = pieces, np.empty(0, np.int64), np.empty(0, bool)
+        self.pieces, self.keys, self.values = pieces, np.full(1 << self.SLOTS, -1, np.int64), np.zeros(1 << self.SLOTS, bool)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
-        distinct, back = np.unique(key, return_inverse=True)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            have = self.keys[at] == distinct
-            values = self.values[at]
-        else:
-            have, values = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-        new = distinct[~have]
-        values[~have] = self.pieces.may_follow(new >> 20, new & 0xFFFFF)
-        if len(self.keys) > 4_000_000:
-            self.keys, self.values = np.empty(0, np.int64), np.empty(0, bool)
-        keys = np.concatenate([self.keys, new])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], np.concatenate([self.values, values[~have]])[order]
-        return values[back]
+        slot = (key.astype(np.uint64) * _FACTOR >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.values[slot]
+        missing = np.flatnonzero(self.keys[slot] != key)
+        if len(missing):
+            new, back = np.unique(key[missing], return_inverse=True)
+            values = self.pieces.may_follow(new >> 20, new & 0xFFFFF)
+            out[missing] = values[back]
+            at = (new.astype(np.uint64) * _FACTOR >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+            at, last = np.unique(at, return_index=True)
+            self.keys[at], self.values[at] = new[last], values[last]
+        return out
 
 
 def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,9 +171,7 @@ def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarr
     An edge packs its end within the subword (22 bits), the allowed lengths of its predecessor (17 bits; bit
     0: it begins the subword), its length (5 bits) and its piece (16 bits).
     """
-    units = [pieces.units(w) for w in words]
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    flat = np.fromiter((u for x in units for u in x), np.int64, int(sizes.sum()))
+    flat, sizes = pieces.units(words)
     begins = np.cumsum(sizes) - sizes
     n = len(flat)
     end_of = np.repeat(begins + sizes, sizes)
@@ -191,24 +199,45 @@ def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarr
     heads[begins] = True
     heads[:n] |= (np.repeat(sizes, sizes) > LONG_WORD) & (bridged[:n] == 0)
     heads = np.flatnonzero(heads[:n])
-    sub = np.searchsorted(heads, start, "right") - 1
-    # group by word: edges in order of their end; the pieces that may precede each
-    before = np.full((n + 1, pieces.longest + 1), -1, np.int64)
-    before[start + length, length] = piece
-    inner = start > heads[sub]
-    mask = np.where(inner, 0, 1).astype(np.int64)
-    e, k = np.nonzero((before[start] >= 0) & inner[:, None])
-    if len(e):
-        allowed = follow(before[start[e], k], piece[e])
-        np.bitwise_or.at(mask, e[allowed], 1 << k[allowed])
-    end = start + length - heads[sub]
+    # group by word: edges in order of their end; which of the edges that end at its start each may follow
     order = np.lexsort((length, start + length))
-    packed = (end << 41 | mask << 24 | length << 16 | piece)[order]
-    edge_offsets = np.searchsorted(sub[order], np.arange(len(heads) + 1))
+    start, piece, length = start[order], piece[order], length[order]
+    heads_of = heads[np.searchsorted(heads, start, "right") - 1]
+    inner = np.flatnonzero(start > heads_of)
+    ending = np.concatenate([[0], np.cumsum(np.bincount(start + length, minlength=n + 1))])  # edges by end
+    low, many = ending[start[inner]], ending[start[inner] + 1] - ending[start[inner]]
+    e = np.repeat(inner, many)
+    f = np.repeat(low, many) + np.arange(len(e)) - np.repeat(np.cumsum(many) - many, many)
+    mask = (start == heads_of).astype(np.int64)
+    if len(e):
+        allowed = follow(piece[f], piece[e])
+        bits = np.where(allowed, 1 << length[f], 0)
+        own = np.flatnonzero(many)
+        mask[inner[own]] |= np.bitwise_or.reduceat(bits, (np.cumsum(many) - many)[own])
+    packed = (start + length - heads_of) << 41 | mask << 24 | length << 16 | piece
+    edge_offsets = ending[np.concatenate([heads, [n]]) + 1]
     word_offsets = np.searchsorted(heads, np.concatenate([begins, [n]]))
     return packed, edge_offsets, word_offsets
 
 
+def word_edges(words: list[str], pieces: Pieces, follow: _Follow, memory: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lattice() of many words, a bounded number at once, with the task's memory of earlier words."""
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    new = [w for w in words if w not in memory]
+    for k in range(0, len(new), AT_ONCE):
+        part = new[k : k + AT_ONCE]
+        packed, edges, subs = lattice(part, pieces, follow)
+        raw, cuts, places = packed.tobytes(), (edges * 8).tolist(), subs.tolist()
+        for i, w in enumerate(part):
+            memory[w] = [raw[cuts[j] : cuts[j + 1]] for j in range(places[i], places[i + 1])]
+    found = [memory[w] for w in words]
+    flat = [x for own in found for x in own]
+    edge_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // 8)])
+    word_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    return np.frombuffer(b"".join(flat), np.int64), edge_offsets, word_offsets
+
+
 def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a few MB: the piece table is of fixed size
 
@@ -216,7 +245,7 @@ def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
         import pyarrow as pa
 
         pieces = shared.value
-        follow = _Follow(pieces)
+        follow, memory = _Follow(pieces), {}
         ids: list = []
         counts: list[int] = []
         places: list[int] = []
@@ -224,7 +253,7 @@ def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
         size = 0
 
         def done():
-            packed, edges, words = lattice(list(seen), pieces, follow)
+            packed, edges, words = word_edges(list(seen), pieces, follow, memory)
             at = np.array(places, np.int64)
             spans = np.diff(words)[at] if len(at) else at
             first = np.repeat(words[:-1][at] if len(at) else at, spans)
