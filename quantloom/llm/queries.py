@@ -78,3 +78,10 @@ def op8_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.sentencepiece_lattice import encode_and_decode
 
     return encode_and_decode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.ann_lsh import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
