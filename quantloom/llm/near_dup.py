@@ -10,10 +10,11 @@ whole texts; only confirmed pairs are links.
 
 Groups stay linear:
 1. documents with equal sets form a class, represented by its smallest doc_id; copies never meet in a join;
-2. each class is first compared with the smallest class of its keys only, the nearest by signature;
-   confirmed links are contracted to components;
+2. each class is first compared with one star of its keys (the class that meets most others), the nearest by
+   sketch; confirmed links are contracted to components, and classes whose keys still hold several
+   components meet further stars;
 3. keys whose classes all lie in one component are done. In the others, classes of different components meet
-   if sizes and a 256-bit sketch allow similarity 0.8, so no link between different texts is lost, while
+   if sizes and a 1024-bit sketch allow similarity 0.8, so no link between different texts is lost, while
    classes already linked are never paired with each other.
 
 Results for odd input: null texts and texts without words have an empty set and are linked with nothing; a
@@ -37,10 +38,11 @@ SHINGLE = 4
 PERCENT = 80
 CHUNKS, CHUNK_SLOTS, CHUNK_ERRORS = 6, 6, 2
 SLOTS = CHUNKS * CHUNK_SLOTS
-SKETCH_BITS = 256
-#: Sketch bits that may differ: at similarity 0.8 they differ with probability 0.1, so 25.6 are expected with
-#: deviation 4.8; 64 is eight deviations away.
-MAX_SKETCH = 64
+SKETCH_BITS = 1024
+#: Sketch bits that may differ go this many standard deviations beyond what similarity PERCENT / 100 expects.
+SKETCH_DEVIATIONS = 5.0
+#: Classes of a key that are compared in one group; keys with more are dealt into blocks of this size.
+KEY_BLOCK = 4096
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,7 +88,7 @@ def shingle_set(text: str | None, size: int) -> set:
 
 
 _SEEDS = _mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * _MIX)[:, None]
-_BIN_STARTS = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(64 - 8)
+_BIN_STARTS = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(64 - 10)
 
 
 def min_slots(shingles: np.ndarray) -> np.ndarray:
@@ -99,9 +101,8 @@ def min_slots(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """256 bits: the hash range is cut into 256 bins, each bin's bit is one of its smallest hash (0 if empty).
-
-    A bin differs only if its smallest shingle is not shared, and then in half of the cases."""
+    """1024 bits: the hash range is cut into as many bins, each bin's bit is one of its smallest hash (0 if
+    empty). A bin differs only if its smallest shingle is not shared, and then in half of the cases."""
     first = np.searchsorted(shingles, _BIN_STARTS)
     full = first < np.concatenate([first[1:], [len(shingles)]])
     bits = np.zeros(SKETCH_BITS, np.uint8)
@@ -157,11 +158,91 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return classes.select("id", "slots").mapInArrow(build, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
 
 
+def _most_different(total: np.ndarray | Column, exp, sqrt):
+    """Sketch bits that may differ between sets of together `total` shingles with similarity PERCENT / 100:
+    the union has total / (1 + s) shingles, which fill SKETCH_BITS (1 - exp(-union / SKETCH_BITS)) bins, and
+    each of these differs with probability (1 - s) / 2."""
+    s = PERCENT / 100
+    bins = SKETCH_BITS * (1 - exp(-total / ((1 + s) * SKETCH_BITS)))
+    p = (1 - s) / 2
+    return p * bins + SKETCH_DEVIATIONS * sqrt(p * (1 - p) * bins) + 2
+
+
+def _differ(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
 def _may_link(a: str, b: str) -> Column:
-    """Necessary for similarity PERCENT / 100: sizes within that ratio; and the sketches are near."""
-    differ = sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    """Necessary for similarity PERCENT / 100: sizes within that ratio, and sketches that are near."""
     low, high = F.least(f"{a}_n", f"{b}_n"), F.greatest(f"{a}_n", f"{b}_n")
-    return (low * 100 >= high * PERCENT) & (differ <= MAX_SKETCH)
+    return (low * 100 >= high * PERCENT) & (_differ(a, b) <= _most_different(F.col(f"{a}_n") + F.col(f"{b}_n"), F.exp, F.sqrt))
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of classes that share a key, lie in different components and may be linked.
+
+    `rows`: key, many (rows of the key), id, c (component), n, sketch. Sizes and sketches are compared in
+    arrays, a key at a time. The rows of a key beyond KEY_BLOCK are dealt into blocks, and each pair of blocks
+    is a task group of its own, so that no group grows with the data.
+    """
+    blocks = F.ceil(F.col("many") / KEY_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "c", "n", "sketch")
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def pairs(key: tuple, ids: np.ndarray, c: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray):
+            for at in range(0, len(ids), 1024):
+                left = slice(at, at + 1024)
+                ok = c[left, None] != c[None]
+                ok &= ids[left, None] < ids[None]
+                if key[1] != key[2]:
+                    ok &= own[left, None] != own[None]
+                low, high = np.minimum(n[left, None], n[None]), np.maximum(n[left, None], n[None])
+                ok &= low * 100 >= high * PERCENT
+                i, j = np.nonzero(ok)
+                near = np.bitwise_count(bits[i + at] ^ bits[j]).sum(1, dtype=np.int64) <= _most_different((n[i + at] + n[j]).astype(float), np.exp, np.sqrt)
+                if near.any():
+                    yield np.stack([ids[i[near] + at], ids[j[near]]], 1)
+
+        def flush(held: list) -> pa.RecordBatch:
+            x = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+        held: list = []
+        for key, cols in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "own")):
+            held += pairs(key, *cols)
+            if sum(map(len, held)) > 200_000:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
+
+    together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return together.mapInArrow(build, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator, by: tuple, names: tuple) -> Iterator:
+    """(key, columns) of each run of equal `by` values in sorted batches; the last column is the sketch."""
+    now, parts = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in by], 1)
+        cols = [np.asarray(batch.column(c)) for c in names]
+        cols.append(np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(-1, SKETCH_BITS // 64))
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            key = tuple(keys[a].tolist())
+            if key != now:
+                if parts:
+                    yield now, [np.concatenate(x) for x in zip(*parts, strict=True)]
+                now, parts = key, []
+            parts.append([c[a:b] for c in cols])
+    if parts:
+        yield now, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -191,6 +272,31 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int
     return both.select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long").distinct()
 
 
+def _stars(keys: DataFrame, classes: DataFrame, component: str | None = None) -> DataFrame:
+    """For each class the nearest star (a, b) of its keys that it may be linked with: at most one pair a class.
+
+    A key's star is its class of the highest `met`. component: stars of the same component are no candidates."""
+    top = keys.groupBy("key").agg(F.max_by(F.struct("id", *([component] if component else [])), F.struct("met", -F.col("id"))).alias("top"))
+    pairs = keys.join(top, "key").where(F.col("id") != F.col("top.id"))
+    if component:
+        pairs = pairs.where(F.col(component) != F.col(f"top.{component}"))
+    pairs = pairs.select(F.col("top.id").alias("a"), F.col("id").alias("b")).distinct()
+    side = lambda name: classes.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b"))
+    return near.groupBy("b").agg(F.min(F.struct(_differ("a", "b").alias("d"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+
+
+def _place(keys: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """keys with `c`, each class's component under the links so far."""
+    at = components(links, label).select(F.col("node").alias("id"), "component")
+    return keys.join(at, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Keys whose classes lie in different components, and how many classes they have."""
+    return placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 < c1").select("key", "many")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -198,28 +304,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     classes = rows.where("class_key is not null and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "slots", "sketch")).alias("x"))
     classes = staged(classes.select("class_key", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), "x.slots", "x.sketch"), "classes")
     keyed = _keyed(classes)
-    lows = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "low")
-    keys = staged(keyed.join(lows, "key"), "keys")
-
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch"))
-
-    stars = keys.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    near = stars.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b"))
-    differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    best = near.groupBy("b").agg(F.min(F.struct(differ.alias("d"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    first = staged(confirm(staged(best, "stars"), docs, size), "links1")
-
-    at = components(first, "near1")
-    placed = keys.select("key", "id").join(at.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    placed = staged(placed.join(mixed, "key").join(classes.select("id", "n", "sketch"), "id"), "mixed")
-    a = placed.select("key", *[F.col(x).alias(f"a_{x}") for x in ("id", "c", "n", "sketch")])
-    b = placed.select("key", *[F.col(x).alias(f"b_{x}") for x in ("id", "c", "n", "sketch")])
-    open_pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a_c") < F.col("b_c")) & _may_link("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    second = staged(confirm(staged(open_pairs, "pairs"), docs, size), "links2")
-
-    final = components(first.union(second), "near2")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    keys = staged(keyed.join(shared, "key"), "keys")
+    # the class that meets most others stands in the middle of its group: it is the star of its keys
+    central = keys.groupBy("id").agg(F.sum("many").alias("met"))
+    links = staged(confirm(staged(_stars(keys.join(central, "id"), classes), "stars1"), docs, size), "links1")
+    for again in (1, 2):  # classes that their star did not take meet another one of their keys
+        placed = _place(keys, links, f"near{again}")
+        mixed = _mixed(placed)
+        open_keys = placed.join(mixed.select("key"), "key").withColumn("met", F.xxhash64(F.lit(again), "id"))
+        stars = staged(_stars(open_keys, classes, "c"), f"stars{again}")
+        links = staged(links.union(confirm(stars, docs, size)), f"links{again}")
+    placed = _place(keys, links, "near3")
+    open_pairs = _open_pairs(placed.join(_mixed(placed), "key").join(classes.select("id", "n", "sketch"), "id"))
+    links = staged(links.union(confirm(staged(open_pairs, "pairs"), docs, size)), "links3")
+
+    final = components(links, "near4")
     named = classes.select("class_key", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("class_key").alias("of_class"), F.coalesce("component", "id").alias("component"))
     out = rows.join(named, F.col("class_key") == F.col("of_class"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
