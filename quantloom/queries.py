@@ -1,4 +1,410 @@
-"""Registered queries of the analytics engine and their SQL."""
+"""Registered queries of the analytics engine over bars derived from the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quantloom.functions import rng, tickers
+from quantloom.functions.constants import BENCHMARK, LARGE_MOVE, RISK_FREE, TAIL_ROWS
+from quantloom.operators import backtest, bootstrap, optimizer, returns, risk, strategies
+from quantloom.sources import panel, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# The portfolio, dates and registries of the queries.
+TICKERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+WEIGHTS = {"ECONOMY": 0.25, "LARGE": 0.2, "MEDIUM": 0.2, "PROMO": 0.15, "SMALL": 0.1, "STANDARD": 0.1}
+START, END = "1995-03-01", "2001-06-29"
+ANOMALIES = [("PROMO", "1995-01-04")]
+REVIEWED = [("ECONOMY", "1995-01-03")]
+CAPITAL = 1_000_000.0
+REQUESTED_YEARS = 7.0
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _dates(spark: SparkSession, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, "ticker string, date string").select("ticker", F.col("date").cast("date").alias("date"))
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    return _dates(spark, ANOMALIES).withColumn("adjustment", F.lit("exclude_return"))
+
+
+def r(c, places: int = 8) -> Column:
+    """Rounded, so that the order of a sum does not show; -0.0 becomes 0.0."""
+    return F.round(c if isinstance(c, Column) else F.col(c), places) + F.lit(0.0)
+
+
+def _bars(spark: SparkSession, sf_dir: str, benchmark: bool = False) -> DataFrame:
+    return panel.derived_bars(spark, sf_dir, benchmark=benchmark)
+
+
+def _values_of(weights: dict[str, float]) -> str:
+    return ", ".join(f"('{t}', {w})" for t, w in sorted(weights.items()))
+
+
+# SQL shared by the oracles.
+_BARS = """daily AS (SELECT p_type AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(round(l_quantity) AS BIGINT)) AS vol
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+every AS (SELECT ticker, date, cents, vol FROM daily UNION ALL SELECT '^INDEX', date, sum(cents), sum(vol) FROM daily GROUP BY date),
+allbars AS (SELECT ticker, date, CAST(sum(cents) OVER w AS DOUBLE) / 100.0 / CAST(sum(vol) OVER w AS DOUBLE) AS adj_close, CAST(vol AS BIGINT) AS volume
+  FROM every WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+bars AS (SELECT * FROM allbars WHERE ticker <> '^INDEX')"""
+_ANOM = "anom(ticker, date) AS (VALUES ('PROMO', DATE '1995-01-04'))"
+_RETS = f"""{_BARS}, {_ANOM},
+raw AS (SELECT ticker, date, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars),
+clean AS (SELECT raw.ticker, raw.date, CASE WHEN anom.date IS NOT NULL THEN 0.0 ELSE ret END AS ret FROM raw LEFT JOIN anom USING (ticker, date) WHERE ret IS NOT NULL)"""
+_MATRIX = f"""{_RETS},
+common AS (SELECT date FROM clean GROUP BY date HAVING count(DISTINCT ticker) = 6 ORDER BY date DESC LIMIT 504),
+matrix AS (SELECT * FROM clean WHERE date IN (SELECT date FROM common))"""
+_PRICES = f"""{_BARS}, {_ANOM},
+inside AS (SELECT * FROM bars WHERE date BETWEEN DATE '{START}' AND DATE '{END}'),
+steps AS (SELECT ticker, date, coalesce(CASE WHEN anom.date IS NOT NULL THEN 1.0 END, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date), 1.0) AS step, first_value(adj_close) OVER (PARTITION BY ticker ORDER BY date) AS anchor
+  FROM inside LEFT JOIN anom USING (ticker, date)),
+grown AS (SELECT ticker, date, anchor * exp(sum(ln(step)) OVER (PARTITION BY ticker ORDER BY date)) AS px FROM steps),
+prices AS (SELECT * FROM grown WHERE date IN (SELECT date FROM grown GROUP BY date HAVING count(*) = 6))"""
+
+
+@query(f"""WITH {_BARS}, b AS (SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM allbars GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY ticker) AS INT) AS id, ticker, 'Security ' || ticker AS name, CASE WHEN ticker = '^INDEX' THEN 'Index' ELSE ticker END AS sector, ticker = '^INDEX' AS is_benchmark, bars, first_date, last_date FROM b""")
+def security_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _bars(spark, sf_dir, benchmark=True)
+    joined = panel.securities(bars).join(returns.bounds(bars), "ticker", "left")
+    return joined.select("id", "ticker", "name", "sector", "is_benchmark", F.coalesce("bars", F.lit(0)).alias("bars"), "first_date", "last_date").orderBy("ticker")
+
+
+@query(f"""WITH {_BARS}, b AS (SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM allbars GROUP BY 1),
+s AS (SELECT ticker FROM b UNION ALL SELECT 'UNLISTED'),
+j AS (SELECT s.ticker, coalesce(bars, 0) AS bars, first_date, last_date, date_diff('day', first_date, last_date) AS d, date_diff('day', min(first_date) OVER (), max(last_date) OVER ()) AS w FROM s LEFT JOIN b ON s.ticker = b.ticker)
+SELECT ticker, bars, first_date, last_date, coalesce(round(100.0 * d / w, 1), 0.0) AS pct_of_span, coalesce(round(100.0 * d / (7.0 * 365.25), 1), 0.0) AS pct_of_requested, coalesce(round(100.0 * d / (7.0 * 365.25), 1), 0.0) < 95.0 AS short_history FROM j""")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _bars(spark, sf_dir, benchmark=True)
+    secs = panel.securities(bars).select("ticker").unionByName(spark.createDataFrame([("UNLISTED",)], "ticker string"))
+    return returns.coverage(bars, secs, REQUESTED_YEARS).withColumn("bars", F.col("bars").cast("long"))
+
+
+@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 6) AS adj_close, volume FROM bars WHERE ticker = 'PROMO' ORDER BY date DESC LIMIT {TAIL_ROWS}")
+def price_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.newest(_bars(spark, sf_dir), "PROMO", TAIL_ROWS).orderBy("date").select("ticker", "date", r("adj_close", 6).alias("adj_close"), "volume")
+
+
+@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 6) AS adj_close FROM bars WHERE ticker IN ('PROMO', 'SMALL') AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+def price_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.scan_prices(_bars(spark, sf_dir), ["PROMO", "SMALL"], "1996-01-01", "1996-12-31").select("ticker", "date", r("adj_close", 6).alias("adj_close"))
+
+
+@query(f"WITH {_RETS} SELECT ticker, date, round(ret, 8) + 0.0 AS ret FROM clean")
+def cleaned_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.cleaned_returns(_bars(spark, sf_dir), registry(spark)).select("ticker", "date", r("ret").alias("ret"))
+
+
+@query(f"""WITH {_RETS} SELECT ticker, date, round(ret, 8) + 0.0 AS ret, CASE WHEN (ticker, date) IN (SELECT ticker, date FROM anom) THEN 'handled' WHEN ticker = 'ECONOMY' AND date = DATE '1995-01-03' THEN 'genuine' ELSE 'unhandled' END AS status
+FROM raw WHERE abs(ret) > {LARGE_MOVE}""")
+def large_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.large_moves(_bars(spark, sf_dir), registry(spark), _dates(spark, REVIEWED), LARGE_MOVE).withColumn("ret", r("ret"))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.returns_matrix(_bars(spark, sf_dir), registry(spark), TICKERS)
+
+
+@query(f"WITH {_MATRIX} SELECT ticker, date, round(ret, 8) + 0.0 AS ret FROM matrix")
+def returns_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir).select("ticker", "date", r("ret").alias("ret"))
+
+
+@query(f"WITH {_MATRIX} SELECT min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS trading_days, CAST(504 AS INT) AS requested, count(DISTINCT date) < 504 AS shrunk FROM matrix")
+def returns_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("date").alias("trading_days"), F.lit(504).alias("requested"), (F.count_distinct("date") < 504).alias("shrunk"))
+
+
+@query(f"WITH {_MATRIX} SELECT ticker, round(avg(ret), 10) + 0.0 AS mean FROM matrix GROUP BY 1")
+def moments_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.moments(_matrix(spark, sf_dir))[0].select("ticker", r("mean", 10).alias("mean"))
+
+
+@query(f"WITH {_MATRIX} SELECT x.ticker AS a, y.ticker AS b, round(covar_samp(x.ret, y.ret), 10) + 0.0 AS cov FROM matrix x JOIN matrix y ON x.date = y.date GROUP BY 1, 2")
+def moments_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.moments(_matrix(spark, sf_dir))[1].select("a", "b", r("cov", 10).alias("cov"))
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.price_matrix(_bars(spark, sf_dir), registry(spark), TICKERS, START, END, check=False)
+
+
+@query(f"WITH {_PRICES} SELECT ticker, date, round(px, 4) AS px FROM prices")
+def price_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prices(spark, sf_dir).select("ticker", "date", r("px", 4).alias("px"))
+
+
+def _calendar_sql(unit: str) -> str:
+    return f"WITH {_PRICES} SELECT min(date) AS date FROM prices GROUP BY date_trunc('{unit}', date)"
+
+
+@query(_calendar_sql("month"))
+def rebalance_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.rebalance_calendar(_prices(spark, sf_dir).select("date"))
+
+
+@query(_calendar_sql("quarter"))
+def rebalance_quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.rebalance_calendar(_prices(spark, sf_dir).select("date"), "quarterly")
+
+
+_HOLD = f"""{_PRICES}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+p0 AS (SELECT ticker, arg_min(px, date) AS p0 FROM prices GROUP BY 1),
+vals AS (SELECT date, {CAPITAL} * (1 - 0.0015) * sum(w * px / p0) + {CAPITAL} - {CAPITAL} * (1 - 0.0015) * (1 + 0.0015) AS value FROM prices JOIN w USING (ticker) JOIN p0 USING (ticker) GROUP BY date)"""
+
+
+def _metrics_sql(before: str, scenario: str) -> str:
+    return f"""WITH {before},
+dd AS (SELECT date, value, value / max(value) OVER (ORDER BY date) - 1 AS drawdown, value / lag(value) OVER (ORDER BY date) - 1 AS d FROM vals),
+low AS (SELECT date AS trough_date, drawdown AS max_drawdown FROM dd ORDER BY drawdown, date LIMIT 1),
+peak AS (SELECT date AS peak_date FROM dd, low WHERE date <= trough_date ORDER BY value DESC, date LIMIT 1),
+a AS (SELECT min(date) AS start_date, max(date) AS end_date, arg_min(value, date) AS v0, arg_max(value, date) AS v1, avg(d) * 252 AS mean, stddev_samp(d) * sqrt(252) AS vol, sqrt(avg(power(least(d - {RISK_FREE} / 252, 0), 2))) * sqrt(252) AS down FROM dd)
+SELECT '{scenario}' AS scenario, start_date, end_date, round(v1, 2) AS final_value, round(v1 / v0 - 1, 6) AS total_return, round(power(v1 / v0, 1 / (date_diff('day', start_date, end_date) / 365.25)) - 1, 6) AS cagr, round(mean, 6) AS annualised_return, round(vol, 6) AS annualised_volatility,
+round((mean - {RISK_FREE}) / vol, 6) AS sharpe, round((mean - {RISK_FREE}) / down, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, peak_date, trough_date FROM a, low, peak"""
+
+
+def _hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.buy_and_hold(_prices(spark, sf_dir).withColumn("scenario", F.lit("hold")), WEIGHTS, CAPITAL)
+
+
+def _rounded_metrics(values: DataFrame) -> DataFrame:
+    m = backtest.metrics(values)
+    return m.select(*[c if t in ("string", "date") else r(c, 2 if c == "final_value" else 6).alias(c) for c, t in m.dtypes])
+
+
+@query(f"WITH {_HOLD} SELECT 'hold' AS scenario, date, round(value, 2) AS value FROM vals")
+def buy_hold_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hold(spark, sf_dir).withColumn("value", r("value", 2))
+
+
+@query(_metrics_sql(_HOLD, "hold"))
+def buy_hold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_metrics(_hold(spark, sf_dir))
+
+
+@query(f"WITH {_HOLD} SELECT 'hold' AS scenario, date, round(max(value) OVER (ORDER BY date), 2) AS high_water, round(value / max(value) OVER (ORDER BY date) - 1, 6) + 0.0 AS drawdown FROM vals")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.drawdowns(_hold(spark, sf_dir)).select("scenario", "date", r("high_water", 2).alias("high_water"), r("drawdown", 6).alias("drawdown"))
+
+
+# The rebalance fold as a recursion over rebalance days; lists are in the order of tickers.
+_FOLD = f"""{_PRICES}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+byday AS (SELECT date, list(px ORDER BY ticker) AS px FROM prices GROUP BY date),
+rebal AS (SELECT date, px, row_number() OVER (ORDER BY date) AS k FROM byday WHERE date IN (SELECT min(date) FROM prices GROUP BY date_trunc('month', date))),
+ws AS (SELECT list(w ORDER BY ticker) AS ws FROM w),
+f AS (
+ SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS date, CAST([0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS shares, CAST({CAPITAL} AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS turnover
+ UNION ALL
+ SELECT k, date, t2, pre - list_inner_product(t2, px) - 0.0015 * list_sum([abs(x[1] - x[2]) * x[3] for x in list_zip(t2, shares, px)]), 0.0015 * list_sum([abs(x[1] - x[2]) * x[3] for x in list_zip(t2, shares, px)]), list_sum([abs(x[1] - x[2]) * x[3] for x in list_zip(t2, shares, px)]) / pre
+ FROM (SELECT *, [(pre - 0.0015 * list_sum([abs(pre * z[1] / z[2] - z[3]) * z[2] for z in list_zip(ws, px, shares)])) * x[1] / x[2] for x in list_zip(ws, px)] AS t2
+  FROM (SELECT rebal.k, rebal.date, rebal.px, f.shares, ws, f.cash + list_inner_product(f.shares, rebal.px) AS pre FROM f JOIN rebal ON rebal.k = f.k + 1, ws))),
+periods AS (SELECT byday.date, byday.px, count(rebal.k) OVER (ORDER BY byday.date) AS k FROM byday LEFT JOIN rebal ON byday.date = rebal.date),
+vals AS (SELECT periods.date, f.cash + list_inner_product(f.shares, periods.px) AS value FROM periods JOIN f ON f.k = periods.k)"""
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    prices = _prices(spark, sf_dir).withColumn("scenario", F.lit("mix"))
+    plan = backtest.constant_weights(backtest.rebalance_calendar(prices.select("scenario", "date")), WEIGHTS)
+    return backtest.run(prices, plan, CAPITAL)
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT 'mix' AS scenario, date, round(value, 2) AS value FROM vals")
+def constant_mix_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].select("scenario", "date", r("value", 2).alias("value"))
+
+
+@query(_metrics_sql(_FOLD, "mix").replace("WITH ", "WITH RECURSIVE ", 1))
+def constant_mix_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_metrics(_mix(spark, sf_dir)[0])
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT 'mix' AS scenario, date, round(cash, 4) + 0.0 AS cash, round(cost, 4) AS cost, round(turnover, 8) AS turnover FROM f WHERE k > 0")
+def rebalance_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].select("scenario", "date", r("cash", 4).alias("cash"), r("cost", 4).alias("cost"), r("turnover").alias("turnover"))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT 'mix' AS scenario, count(*) AS n_rebalances, round(sum(cost), 2) AS total_cost, round(100 * sum(cost) / {CAPITAL}, 6) AS cost_pct, round(avg(turnover) FILTER (turnover > 0), 8) AS average_turnover FROM f WHERE k > 0")
+def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.turnover(_mix(spark, sf_dir)[1], CAPITAL).select("scenario", "n_rebalances", r("total_cost", 2).alias("total_cost"), r("cost_pct", 6).alias("cost_pct"), r("average_turnover").alias("average_turnover"))
+
+
+@query()
+def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False)
+    values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
+    return _rounded_metrics(values)
+
+
+@query()
+def value_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False)
+    values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
+    return values.groupBy("date").pivot("scenario", ["strategy", "hold", "benchmark"]).agg(F.first(r("value", 2)))
+
+
+# Monte Carlo with draws that SQL repeats: integer arithmetic instead of a hash.
+_DRAWN = f"""{_MATRIX}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+history AS (SELECT row_number() OVER (ORDER BY date) - 1 AS day_idx, sum(w * ret) AS r FROM matrix JOIN w USING (ticker) GROUP BY date),
+grid AS (SELECT s AS sim, d AS day, CAST(floor((((((42 * 1000003 + s * 7919 + d * 104729) % 2147483647) * 48271) % 2147483647) * 69621 % 2147483647) / 256) AS BIGINT) % (SELECT count(*) FROM history) AS day_idx FROM range(2000) t(s), range(1, 11) u(d)),
+paths AS (SELECT sim, product(1 + r) - 1 AS path_return FROM grid JOIN history USING (day_idx) GROUP BY sim)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matrix(spark, sf_dir)
+    n = m.select("date").distinct().count()
+    index = rng.portable_index(F.lit(42).cast("long"), F.col("sim"), F.col("day").cast("long"), n)
+    return risk.bootstrap_paths(m, WEIGHTS, 2000, 10, index=index, n_days=n)
+
+
+@query(f"""WITH {_DRAWN}, q AS (SELECT level, quantile_cont(path_return * {CAPITAL}, 1 - level) AS threshold FROM paths, (VALUES (0.95), (0.99)) l(level) GROUP BY level),
+s AS (SELECT avg(path_return * {CAPITAL}) AS a, min(path_return * {CAPITAL}) AS b, max(path_return * {CAPITAL}) AS c FROM paths)
+SELECT CAST(level AS DOUBLE) AS level, round(-any_value(threshold), 2) AS var, round(-avg(path_return * {CAPITAL}), 2) AS cvar, round(any_value(a), 2) AS mean_pnl, round(any_value(b), 2) AS min_pnl, round(any_value(c), 2) AS max_pnl
+FROM q JOIN paths ON path_return * {CAPITAL} <= threshold, s GROUP BY level""".replace("quantile_cont(path_return * 1000000.0, 1 - level)", "quantile_cont(path_return * 1000000.0, 0.05)").replace("q AS (SELECT level, quantile_cont(path_return * 1000000.0, 0.05) AS threshold FROM paths, (VALUES (0.95), (0.99)) l(level) GROUP BY level)", "q AS (SELECT 0.95 AS level, quantile_cont(path_return * 1000000.0, 0.05) AS threshold FROM paths UNION ALL SELECT 0.99, quantile_cont(path_return * 1000000.0, 0.01) FROM paths)"))
+def var_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = risk.summarise(_paths(spark, sf_dir), CAPITAL)
+    return s.select("level", *[r(c, 2).alias(c) for c in s.columns if c != "level"])
+
+
+@query(f"""WITH {_DRAWN}, e AS (SELECT min(path_return * {CAPITAL}) AS a, max(path_return * {CAPITAL}) AS b FROM paths),
+n AS (SELECT CAST(least(50, floor((path_return * {CAPITAL} - a) / (b - a) * 50) + 1) AS INT) AS bin, count(*) AS n FROM paths, e GROUP BY 1)
+SELECT 'bootstrap' AS method, CAST(k AS INT) AS bin, round(a + (b - a) / 50 * (k - 1), 4) AS lo, round(a + (b - a) / 50 * k, 4) AS hi, coalesce(n.n, 0) AS n FROM e, range(1, 51) t(k) LEFT JOIN n ON n.bin = k""")
+def pnl_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = risk.histogram(_paths(spark, sf_dir).withColumn("method", F.lit("bootstrap")), CAPITAL)
+    return h.select("method", "bin", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"), F.col("n").cast("long").alias("n"))
+
+
+@query()
+def var_parametric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.summarise(risk.parametric_paths(_matrix(spark, sf_dir), WEIGHTS, 10_000, 10), CAPITAL)
+
+
+@query()
+def var_both_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matrix(spark, sf_dir).cache()
+    both = {"parametric": risk.parametric_paths(m, WEIGHTS, 10_000, 10), "bootstrap": risk.bootstrap_paths(m, WEIGHTS, 10_000, 10)}
+    return both["parametric"].withColumn("method", F.lit("parametric")).unionByName(both["bootstrap"].withColumn("method", F.lit("bootstrap"))).transform(lambda p: risk.histogram(p, CAPITAL))
+
+
+@query(f"WITH {_MATRIX}, m AS (SELECT ticker, avg(ret) AS mean FROM matrix GROUP BY 1), k AS (SELECT mean, row_number() OVER (ORDER BY mean DESC, ticker) AS rank FROM m) SELECT round(sum(greatest(0.0, least(0.35, 1 - (rank - 1) * 0.35)) * mean * 252), 8) + 0.0 AS max_return FROM k")
+def max_achievable_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.max_achievable_return(returns.moments(_matrix(spark, sf_dir))[0]).select(r("max_return").alias("max_return"))
+
+
+@query()
+def min_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.optimise(_matrix(spark, sf_dir), "min_variance").select("status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+
+
+@query()
+def max_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.optimise(_matrix(spark, sf_dir), "max_sharpe").select("status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+
+
+@query()
+def efficient_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.efficient_frontier(_matrix(spark, sf_dir)).select("target", "status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+
+
+@query()
+def walk_forward_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir)
+    return strategies.walk_forward_weights(prices, backtest.rebalance_calendar(prices.select("date"), "quarterly"), lookback=252, min_days=60)
+
+
+_WINDOWS = f"""{_PRICES}, days AS (SELECT DISTINCT date FROM prices), firsts AS (SELECT min(date) AS start_date FROM days GROUP BY date_trunc('month', date)),
+windows AS (SELECT CAST(row_number() OVER (ORDER BY start_date) - 1 AS INT) AS window_id, start_date, CAST(start_date + INTERVAL 24 MONTH AS DATE) AS end_date FROM firsts WHERE start_date + INTERVAL 24 MONTH <= (SELECT max(date) FROM days))"""
+
+
+@query(f"WITH {_WINDOWS} SELECT * FROM windows")
+def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.rolling_windows(_prices(spark, sf_dir).select("date"), 2.0)
+
+
+_WINDOW_HOLD = f"""{_WINDOWS}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+wp AS (SELECT window_id, date, ticker, px, first_value(px) OVER (PARTITION BY window_id, ticker ORDER BY date) AS p0 FROM prices JOIN windows ON date BETWEEN start_date AND end_date),
+vals AS (SELECT window_id, date, {CAPITAL} * (1 - 0.0015) * sum(w * px / p0) + {CAPITAL} - {CAPITAL} * (1 - 0.0015) * (1 + 0.0015) AS value FROM wp JOIN w USING (ticker) GROUP BY 1, 2),
+dd AS (SELECT window_id, date, value, value / max(value) OVER (PARTITION BY window_id ORDER BY date) - 1 AS dd, value / lag(value) OVER (PARTITION BY window_id ORDER BY date) - 1 AS d FROM vals),
+res AS (SELECT window_id, power(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS cagr, (avg(d) * 252 - {RISK_FREE}) / (stddev_samp(d) * sqrt(252)) AS sharpe, min(dd) AS max_drawdown, stddev_samp(d) * sqrt(252) AS annualised_volatility FROM dd GROUP BY 1)"""
+
+
+def _window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir)
+    cut = bootstrap.window_prices(prices, bootstrap.rolling_windows(prices.select("date"), 2.0))
+    return bootstrap.run_windows(cut, "window_id", WEIGHTS, None, CAPITAL)
+
+
+@query(f"WITH {_WINDOW_HOLD} SELECT window_id, 'hold' AS series, round(cagr, 6) AS cagr, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) + 0.0 AS max_drawdown, round(annualised_volatility, 6) AS annualised_volatility FROM res")
+def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window_results(spark, sf_dir).where("series = 'hold'").select("window_id", "series", *[r(m, 6).alias(m) for m in bootstrap.METRICS])
+
+
+@query(f"""WITH {_WINDOW_HOLD}, s AS (UNPIVOT res ON cagr, sharpe, max_drawdown, annualised_volatility INTO NAME metric VALUE x)
+SELECT 'hold' AS series, metric, count(x) AS n, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.95), 6) AS p95, round(min(x), 6) + 0.0 AS lowest, round(max(x), 6) + 0.0 AS highest FROM s GROUP BY metric""")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bootstrap.summaries(_window_results(spark, sf_dir).where("series = 'hold'"))
+    return s.select("series", "metric", "n", *[r(c, 6).alias(c) for c in s.columns[3:]])
+
+
+@query()
+def win_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.win_rates(_window_results(spark, sf_dir), "window_id")
+
+
+@query()
+def block_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.stationary_indices(504, 504, spark.range(20).select(F.col("id").cast("int").alias("resample")))
+
+
+@query()
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matrix(spark, sf_dir)
+    n = m.select("date").distinct().count()
+    index = bootstrap.stationary_indices(n, n, spark.range(20).select(F.col("id").cast("int").alias("resample")))
+    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index), "resample", WEIGHTS, None, CAPITAL))
+
+
+@query(f"""WITH {_BARS}, old AS (SELECT ticker, date, adj_close FROM bars WHERE date < DATE '1998-01-01'), new AS (SELECT ticker, date, adj_close * 2 AS adj_close FROM bars WHERE date >= DATE '1997-06-01')
+SELECT ticker, date, round(adj_close, 6) AS adj_close FROM (SELECT * FROM old WHERE date < DATE '1997-06-01' OR (ticker, date) NOT IN (SELECT ticker, date FROM new) UNION ALL SELECT * FROM new)""")
+def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _bars(spark, sf_dir).select("ticker", "date", "adj_close")
+    old, new = bars.where("date < date'1998-01-01'"), bars.where("date >= date'1997-06-01'").withColumn("adj_close", F.col("adj_close") * 2)
+    return sinks.upsert(old, new, ["ticker", "date"]).select("ticker", "date", r("adj_close", 6).alias("adj_close"))
+
+
+@query("SELECT s, CASE WHEN trim(s) LIKE '^%' THEN upper(trim(s)) ELSE regexp_replace(upper(trim(s)), '\\.NS$', '') END AS exchange_symbol, CASE WHEN trim(s) LIKE '^%' OR upper(trim(s)) LIKE '%.NS' THEN upper(trim(s)) ELSE upper(trim(s)) || '.NS' END AS vendor_symbol FROM (SELECT DISTINCT lower(p_brand) || '.ns' AS s FROM part UNION ALL SELECT DISTINCT ' ' || p_type || ' ' FROM part UNION ALL SELECT ' ^index')")
+def ticker_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = panel.read(spark, sf_dir, "part")
+    s = part.select(F.concat(F.lower("p_brand"), F.lit(".ns")).alias("s")).distinct().union(part.select(F.concat(F.lit(" "), "p_type", F.lit(" "))).distinct()).union(spark.createDataFrame([(" ^index",)], "s string"))
+    return s.select("s", tickers.to_exchange_symbol(F.col("s")).alias("exchange_symbol"), tickers.to_vendor_symbol(F.col("s")).alias("vendor_symbol"))
+
+
+@query("SELECT DISTINCT p_type AS ticker FROM part WHERE contains(lower(p_type), 'm')")
+def ticker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = panel.read(spark, sf_dir, "part").select(F.col("p_type").alias("ticker")).distinct()
+    return secs.where(tickers.matches(F.col("ticker"), F.col("ticker"), " M "))
+
+
+@query(f"WITH w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}) SELECT ticker, w, row_number() OVER (ORDER BY w DESC, ticker) AS place, CASE WHEN row_number() OVER (ORDER BY ticker) < 6 THEN 16.67 ELSE round(100 - 5 * 16.67, 2) END AS equal_pct FROM w WHERE w > 0.0005")
+def weights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that show, largest first; and equal weights to exactly 100, the remainder on the last."""
+    w = spark.createDataFrame(sorted(WEIGHTS.items()), "ticker string, w double").where("w > 0.0005")
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    even = F.round(100 / n, 2)
+    rank = F.row_number().over(Window.orderBy("ticker"))
+    return w.select("ticker", "w", F.row_number().over(Window.orderBy(F.desc("w"), "ticker")).cast("long").alias("place"), F.when(rank < n, even).otherwise(F.round(100 - (n - 1) * even, 2)).alias("equal_pct"))
