@@ -96,14 +96,14 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.coverage(bars, secs, REQUESTED_YEARS).withColumn("bars", F.col("bars").cast("long"))
 
 
-@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 6) AS adj_close, volume FROM bars WHERE ticker = 'PROMO' ORDER BY date DESC LIMIT {TAIL_ROWS}")
+@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 3) AS adj_close, volume FROM bars WHERE ticker = 'PROMO' ORDER BY date DESC LIMIT {TAIL_ROWS}")
 def price_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.newest(_bars(spark, sf_dir), "PROMO", TAIL_ROWS).orderBy("date").select("ticker", "date", r("adj_close", 6).alias("adj_close"), "volume")
+    return panel.newest(_bars(spark, sf_dir), "PROMO", TAIL_ROWS).orderBy("date").select("ticker", "date", r("adj_close", 3).alias("adj_close"), "volume")
 
 
-@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 6) AS adj_close FROM bars WHERE ticker IN ('PROMO', 'SMALL') AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+@query(f"WITH {_BARS} SELECT ticker, date, round(adj_close, 3) AS adj_close FROM bars WHERE ticker IN ('PROMO', 'SMALL') AND date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def price_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.scan_prices(_bars(spark, sf_dir), ["PROMO", "SMALL"], "1996-01-01", "1996-12-31").select("ticker", "date", r("adj_close", 6).alias("adj_close"))
+    return panel.scan_prices(_bars(spark, sf_dir), ["PROMO", "SMALL"], "1996-01-01", "1996-12-31").select("ticker", "date", r("adj_close", 3).alias("adj_close"))
 
 
 @query(f"WITH {_RETS} SELECT ticker, date, round(ret, 8) + 0.0 AS ret FROM clean")
@@ -380,11 +380,11 @@ def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_BARS}, old AS (SELECT ticker, date, adj_close FROM bars WHERE date < DATE '1998-01-01'), new AS (SELECT ticker, date, adj_close * 2 AS adj_close FROM bars WHERE date >= DATE '1997-06-01')
-SELECT ticker, date, round(adj_close, 6) AS adj_close FROM (SELECT * FROM old WHERE date < DATE '1997-06-01' OR (ticker, date) NOT IN (SELECT ticker, date FROM new) UNION ALL SELECT * FROM new)""")
+SELECT ticker, date, round(adj_close, 3) AS adj_close FROM (SELECT * FROM old WHERE date < DATE '1997-06-01' OR (ticker, date) NOT IN (SELECT ticker, date FROM new) UNION ALL SELECT * FROM new)""")
 def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = _bars(spark, sf_dir).select("ticker", "date", "adj_close")
     old, new = bars.where("date < date'1998-01-01'"), bars.where("date >= date'1997-06-01'").withColumn("adj_close", F.col("adj_close") * 2)
-    return sinks.upsert(old, new, ["ticker", "date"]).select("ticker", "date", r("adj_close", 6).alias("adj_close"))
+    return sinks.upsert(old, new, ["ticker", "date"]).select("ticker", "date", r("adj_close", 3).alias("adj_close"))
 
 
 @query("SELECT s, CASE WHEN trim(s) LIKE '^%' THEN upper(trim(s)) ELSE regexp_replace(upper(trim(s)), '\\.NS$', '') END AS exchange_symbol, CASE WHEN trim(s) LIKE '^%' OR upper(trim(s)) LIKE '%.NS' THEN upper(trim(s)) ELSE upper(trim(s)) || '.NS' END AS vendor_symbol FROM (SELECT DISTINCT lower(p_brand) || '.ns' AS s FROM part UNION ALL SELECT DISTINCT ' ' || p_type || ' ' FROM part UNION ALL SELECT ' ^index')")
@@ -400,7 +400,7 @@ def ticker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secs.where(tickers.matches(F.col("ticker"), F.col("ticker"), " M "))
 
 
-@query(f"WITH w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}) SELECT ticker, w, row_number() OVER (ORDER BY w DESC, ticker) AS place, CASE WHEN row_number() OVER (ORDER BY ticker) < 6 THEN 16.67 ELSE round(100 - 5 * 16.67, 2) END AS equal_pct FROM w WHERE w > 0.0005")
+@query(f"WITH w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}) SELECT ticker, CAST(w AS DOUBLE) AS w, row_number() OVER (ORDER BY w DESC, ticker) AS place, CAST(CASE WHEN row_number() OVER (ORDER BY ticker) < 6 THEN 16.67 ELSE 16.65 END AS DOUBLE) AS equal_pct FROM w WHERE w > 0.0005")
 def weights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights that show, largest first; and equal weights to exactly 100, the remainder on the last."""
     w = spark.createDataFrame(sorted(WEIGHTS.items()), "ticker string, w double").where("w > 0.0005")
