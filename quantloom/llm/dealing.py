@@ -50,13 +50,14 @@ def unpack(blob: bytes) -> Iterator[tuple[int | None, str | None]]:
     return zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)
 
 
-def by_shard(batches: Iterator, words: bool = False) -> Iterator[tuple[int, dict[str, np.ndarray], list[bytes]]]:
+def by_shard(batches: Iterator, words: bool = False) -> Iterator[tuple[int, dict, list[bytes]]]:
     """One (shard, columns of its rows of kind 0, its packs) after another; rows come sorted by shard, kind."""
     shard, facts, blobs = None, [], []
     names = ("x1", "x2", "y1", "y2", "y3")
 
     def done():
         cols = {n: np.concatenate([f[n] for f in facts]) if facts else np.empty(0, np.int64 if n[0] == "x" else np.int32) for n in names}
+        cols["data"] = [x for f in facts for x in f["data"].to_pylist() if x is not None]
         cols["word"] = [w for f in facts for w in f["word"].to_pylist()] if words else []
         return shard, cols, blobs
 
@@ -72,7 +73,7 @@ def by_shard(batches: Iterator, words: bool = False) -> Iterator[tuple[int, dict
             told = part[kinds[part] == 0]
             if len(told):
                 own = batch.slice(int(told[0]), len(told))
-                facts.append({n: np.asarray(own.column(n).fill_null(0)) for n in names} | {"word": own.column("word")})
+                facts.append({n: np.asarray(own.column(n).fill_null(0)) for n in names} | {"word": own.column("word"), "data": own.column("data")})
             blobs += batch.slice(int(part[0]), len(part)).filter(batch.column("kind").slice(int(part[0]), len(part)).cast("bool")).column("data").to_pylist()
     if shard is not None:
         yield done()

@@ -13,7 +13,7 @@ smallest hash in the window depends on the window's words only, so windows that
    elsewhere go.
 
 A shard's automaton is bounded by the shard's own text, however often a phrase recurs in the corpus, and each
-document is streamed once. A phrase shared by a third of all documents is at most one row per shard.
+document is streamed once. A phrase shared by a third of all documents is at most one record per shard.
 
 Results for odd input: null texts and texts without words give 0, 0 and the digest of the empty string;
 texts shorter than a window lose nothing; rows that repeat a doc_id are one document at the same place, so
@@ -28,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import WORD, discard, shard_count, shard_of, staged
@@ -139,8 +139,49 @@ def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == x, at, -1)
 
 
-def _window_rows(docs: DataFrame, anchors: DataFrame, shards: int, window: int) -> DataFrame:
-    """Step 2: (shard, w1, w2, doc_id, start, again): windows with a recurring anchor, once per shard."""
+#: A window at its first place in a shard: 96 bits of hash, the place, and whether it stands there again.
+_SEEN = np.dtype([("w1", "<u8"), ("w2", "<u4"), ("id", "<i8"), ("start", "<i4"), ("again", "<u1")])
+#: A confirmed window for a shard: a place of it in the shard, its first place, and a check of its hash.
+_TOLD = np.dtype([("id", "<i8"), ("start", "<i4"), ("first_id", "<i8"), ("first_start", "<i4"), ("check", "<u4")])
+
+
+def _packed(records: np.ndarray) -> bytes:
+    """Records as compressed bytes, column after column."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(records[n]).tobytes() for n in records.dtype.names))
+
+
+def _unpacked(blobs: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Records of all blobs, and which blob each comes from."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor()
+    parts = []
+    for x in map(raw.decompress, blobs):
+        n, at = len(x) // dtype.itemsize, 0
+        part = np.empty(n, dtype)
+        for name in dtype.names:
+            size = dtype[name].itemsize * n
+            part[name] = np.frombuffer(x[at : at + size], dtype[name])
+            at += size
+        parts.append(part)
+    if not parts:
+        return np.empty(0, dtype), np.empty(0, np.int64)
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def _parcels(records: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(target, packed records) for each target there is."""
+    order = np.argsort(to, kind="stable")
+    records, to = records[order], to[order]
+    for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else []:
+        yield int(to[part[0]]), _packed(records[part])
+
+
+def _windows(docs: DataFrame, anchors: DataFrame, shards: int, window: int) -> DataFrame:
+    """Step 2: windows with a recurring anchor, once per shard, in parcels (bucket, shard, data) for the bucket of
+    their hash."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,36 +189,86 @@ def _window_rows(docs: DataFrame, anchors: DataFrame, shards: int, window: int)
         hashes = _Hashes()
         for shard, told, blobs in by_shard(batches):
             recurring = np.sort(told["x1"].view(np.uint64))
-            cols: list[list] = [[], [], [], []]
+            found = []
             for blob in blobs:
                 for doc_id, text in unpack(blob):
                     h = word_hashes(text, hashes)
                     starts = np.flatnonzero(_found(recurring, window_anchors(h, window)) >= 0)
                     if len(starts):
-                        made = rolled(h, window, _FIRST)[starts], rolled(h, window, _SECOND)[starts], np.full(len(starts), _NULL_ID if doc_id is None else doc_id), starts
-                        for col, value in zip(cols, made, strict=True):
-                            col.append(value)
-            if not cols[0]:
+                        own = np.empty(len(starts), _SEEN)
+                        own["w1"], own["w2"] = rolled(h, window, _FIRST)[starts], rolled(h, window, _SECOND)[starts] >> np.uint64(32)
+                        own["id"], own["start"] = _NULL_ID if doc_id is None else doc_id, starts
+                        found.append(own)
+            if not found:
                 continue
-            w1, w2, ids, starts = (np.concatenate(c) for c in cols)
-            order = np.lexsort((starts, ids, w2, w1))
-            w1, w2, ids, starts = w1[order], w2[order], ids[order], starts[order]
-            first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]))
-            again = np.diff(np.concatenate([first, [len(w1)]])) > 1
-            for k in range(0, len(first), 100_000):
-                f = first[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(f), shard, np.int32)), pa.array(w1[f].view(np.int64)), pa.array(w2[f].view(np.int64)), pa.array(ids[f]), pa.array(starts[f].astype(np.int32)), pa.array(again[k : k + 100_000])],
-                    names=["shard", "w1", "w2", "doc_id", "start", "again"],
-                )
-
-    return dealt(facts(anchors, x1="anchor"), docs, shards).mapInArrow(build, "shard int, w1 long, w2 long, doc_id long, start int, again boolean")
-
-
-def _compile(phrases: list[tuple[int, ...]]):
+            x = np.concatenate(found)
+            x = x[np.lexsort((x["start"], x["id"], x["w2"], x["w1"]))]
+            first = np.flatnonzero(np.concatenate([[True], (x["w1"][1:] != x["w1"][:-1]) | (x["w2"][1:] != x["w2"][:-1])]))
+            once = x[first]
+            once["again"] = np.diff(np.concatenate([first, [len(x)]])) > 1
+            rows = list(_parcels(once, (once["w1"] % np.uint64(shards)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([shard] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "shard", "data"])
+
+    return dealt(facts(anchors, x1="anchor"), docs, shards).mapInArrow(build, "bucket int, shard int, data binary")
+
+
+def _confirmed(windows: DataFrame, shards: int) -> DataFrame:
+    """Step 3: parcels (shard, data) of the windows found at two places, with their first place. A window stands
+    at most once per shard here, so a hot one is at most as many records as there are shards."""
+
+    def confirm(blobs: list[bytes], owners: list[int]) -> Iterator[tuple[int, bytes]]:
+        x, blob = _unpacked(blobs, _SEEN)
+        order = np.lexsort((x["start"], x["id"], x["w2"], x["w1"]))
+        x, owner = x[order], np.array(owners)[blob[order]]
+        first = np.flatnonzero(np.concatenate([[True], (x["w1"][1:] != x["w1"][:-1]) | (x["w2"][1:] != x["w2"][:-1])]))
+        many = np.diff(np.concatenate([first, [len(x)]]))
+        lead = np.repeat(first, many)
+        keep = (np.repeat(many, many) > 1) | (x["again"] > 0)
+        out = np.empty(int(keep.sum()), _TOLD)
+        out["id"], out["start"], out["check"] = x["id"][keep], x["start"][keep], x["w1"][keep].astype(np.uint32)
+        out["first_id"], out["first_start"] = x["id"][lead[keep]], x["start"][lead[keep]]
+        owner = owner[keep]
+        order = np.lexsort((out["start"], out["id"]))  # neighbours pack well
+        return _parcels(out[order], owner[order])
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def done() -> pa.RecordBatch:
+            rows = list(confirm(blobs, owners))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["shard", "data"])
+
+        now, blobs, owners = None, [], []
+        for batch in batches:
+            for bucket, shard, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "data")), strict=True):
+                if bucket != now:
+                    if blobs:
+                        yield done()
+                    now, blobs, owners = bucket, [], []
+                blobs.append(data)
+                owners.append(shard)
+        if blobs:
+            yield done()
+
+    return windows.repartitionById(shards, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(build, "shard int, data binary")
+
+
+#: The automaton reads a word as LETTERS letters of six bits; the first letter has an alphabet of its own, so a
+#: phrase can only begin where a word does.
+LETTERS = 5
+_SHIFTS = np.arange(LETTERS, dtype=np.uint64) * np.uint64(6)
+
+
+def _letters(h: np.ndarray) -> str:
+    out = ((h[:, None] >> _SHIFTS) & np.uint64(63)).astype(np.uint8)
+    out[:, 1:] += 64
+    return out.tobytes().decode("latin-1")
+
+
+def _compile(phrases: set[str]):
     import ahocorasick
 
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for p in phrases:
         machine.add_word(p, 1)
     machine.make_automaton()
@@ -192,13 +283,13 @@ def removed_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _locate(h: np.ndarray, letters: list[int], doc_id: int, machine, w1: np.ndarray, w2: np.ndarray, first_ids: np.ndarray, first_starts: np.ndarray, window: int) -> np.ndarray:
+def _locate(h: np.ndarray, doc_id: int, machine, w1: np.ndarray, w2: np.ndarray, first_ids: np.ndarray, first_starts: np.ndarray, window: int) -> np.ndarray:
     """Starts of the document's windows that start earlier elsewhere: places the automaton finds, then an
     exact look-up of the windows around them."""
     last = len(h) - window
     if last < 0 or machine is None:
         return np.empty(0, np.int64)
-    ends = np.fromiter((end for end, _ in machine.iter(tuple(letters))), np.int64)
+    ends = np.fromiter((end for end, _ in machine.iter(_letters(h))), np.int64) // LETTERS
     if not len(ends):
         return ends
     at = ends - (ANCHOR - 1)  # where the phrase begins; windows that hold it begin up to window - ANCHOR before
@@ -217,18 +308,18 @@ def _locate(h: np.ndarray, letters: list[int], doc_id: int, machine, w1: np.ndar
 
 
 def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> DataFrame:
-    """Step 4. `confirmed`: (shard, doc_id, start: a place in the shard, first_id, first_start, check: the low
-    bits of the window's hash)."""
+    """Step 4. `confirmed`: parcels (shard, data) of step 3."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hashes = _Hashes()
         for _, told, blobs in by_shard(batches):
-            order = np.lexsort((told["y1"], told["x1"]))
-            ids, starts, first_ids, first_starts, checks = (told[n][order] for n in ("x1", "y1", "x2", "y2", "y3"))
+            x, _ = _unpacked(told["data"], _TOLD)
+            x = x[np.lexsort((x["start"], x["id"]))]
+            ids, starts, first_ids, first_starts, checks = (np.ascontiguousarray(x[n]) for n in _TOLD.names)
             keys: list[list] = [[], [], [], []]
-            phrases: set[tuple[int, ...]] = set()
+            phrases: set[str] = set()
             if len(ids):
                 for blob in blobs:  # the texts of the confirmed windows, from their place in this shard
                     for doc_id, text in unpack(blob):
@@ -241,17 +332,17 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                             continue
                         k1 = rolled(h, window, _FIRST)
                         here = np.arange(a, b)[starts[a:b] < len(k1)]
-                        here = here[k1[starts[here]].astype(np.uint32).view(np.int32) == checks[here]]  # else: of another row with this doc_id
+                        here = here[k1[starts[here]].astype(np.uint32) == checks[here]]  # else: of another row with this doc_id
                         own = starts[here]
                         if not len(own):
                             continue
                         g = rolled(h, ANCHOR, _FIRST)
                         wanted = np.unique(window_anchors(h, window)[own])
-                        letters = (h & np.uint64(0x7FFFFFFF)).tolist()
-                        phrases.update(tuple(letters[i : i + ANCHOR]) for i in np.flatnonzero(_found(wanted, g) >= 0).tolist())
+                        spelt = _letters(h)
+                        phrases.update(spelt[i * LETTERS : (i + ANCHOR) * LETTERS] for i in np.flatnonzero(_found(wanted, g) >= 0).tolist())
                         for col, value in zip(keys, (k1[own], rolled(h, window, _SECOND)[own], first_ids[here], first_starts[here]), strict=True):
                             col.append(value)
-            machine = _compile(sorted(phrases)) if phrases else None
+            machine = _compile(phrases) if phrases else None
             w1, w2, f1, f2 = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(keys, (np.uint64, np.uint64, np.int64, np.int32), strict=True))
             order = np.argsort(w1, kind="stable")
             w1, w2, f1, f2 = w1[order], w2[order], f1[order], f2[order]
@@ -262,7 +353,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                     gone = np.empty(0, np.int64)
                     if machine is not None and len(words) >= window:
                         h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                        gone = _locate(h, (h & np.uint64(0x7FFFFFFF)).tolist(), _NULL_ID if doc_id is None else doc_id, machine, w1, w2, f1, f2, window)
+                        gone = _locate(h, _NULL_ID if doc_id is None else doc_id, machine, w1, w2, f1, f2, window)
                     n = len(words)
                     if len(gone):
                         mask = removed_words(n, gone, window)
@@ -272,7 +363,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return dealt(facts(confirmed, x1="doc_id", x2="first_id", y1="start", y2="first_start", y3="check"), docs, shards).mapInArrow(build, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt(facts(confirmed, data="data"), docs, shards).mapInArrow(build, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -282,10 +373,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_bytes: int = S
     anchors = _anchor_rows(docs, window)
     recurring = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     of_shard = staged(anchors.select("anchor", "shard").join(recurring, "anchor").select("shard", "anchor").distinct(), "anchors")
-    # a window is at most once per shard here, so a hot window's group has at most as many rows as shards
-    place = Window.partitionBy("w1", "w2")
-    windows = _window_rows(docs, of_shard, shards, window)
-    told = windows.select("shard", "doc_id", "start", "again", F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.min(F.struct("doc_id", "start")).over(place).alias("f"), F.count(F.lit(1)).over(place).alias("n"))
-    confirmed = staged(told.where("n > 1 or again").select("shard", "doc_id", "start", F.col("f.doc_id").alias("first_id"), F.col("f.start").alias("first_start"), F.when(F.col("low") >= 1 << 31, F.col("low") - (1 << 32)).otherwise(F.col("low")).cast("int").alias("check")), "windows")
+    confirmed = staged(_confirmed(_windows(docs, of_shard, shards, window), shards), "windows")
     discard(of_shard)
     return _apply(docs, confirmed, shards, window)
