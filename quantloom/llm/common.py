@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same class inside a Java or Python character class.
 SPACE_CLASS = r"\x20\x09-\x0D"
-#: A-Z to a-z only; other letters keep their case.
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-ASCII_LOWER = {ord(u): low for u, low in zip(UPPER, LOWER, strict=True)}
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z to a-z only; other letters keep their case. Bytes do that in one pass in C."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shared_dir(spark: SparkSession) -> str:

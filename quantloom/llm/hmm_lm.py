@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ASCII_LOWER, WORD, discard, shard_count, shard_of, staged
+from quantloom.llm.common import WORD, ascii_lower, discard, shard_count, shard_of, staged
 from quantloom.llm.dealing import by_shard, dealt, facts, packs, unpack
 
 STATES = 6
@@ -43,7 +43,7 @@ _WORD = re.compile(WORD)
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(ASCII_LOWER) if text and not text.isascii() else (text or "").lower())
+    return _WORD.findall(ascii_lower(text or ""))
 
 
 def held_out(doc_id: int | None) -> bool:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ASCII_LOWER, WORD, components, staged
+from quantloom.llm.common import WORD, ascii_lower, components, staged
 
 SHINGLE = 4
 PERCENT = 80
@@ -66,7 +66,7 @@ class _Hashes(dict):
 
 def shingle_hashes(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = _WORD.findall((text or "").translate(ASCII_LOWER) if text and not text.isascii() else (text or "").lower())
+    words = _WORD.findall(ascii_lower(text or ""))
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -81,7 +81,7 @@ def shingle_hashes(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> set:
     """The shingles themselves, for confirming links."""
-    words = _WORD.findall((text or "").translate(ASCII_LOWER))
+    words = _WORD.findall(ascii_lower(text or ""))
     if len(words) < size:
         return {tuple(words)} if words else set()
     return set(zip(*(words[i:] for i in range(size))))
