@@ -34,9 +34,9 @@ from quantloom.llm.common import let
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BLOCK_CHARS = 8 << 20
-BLOCK_WORDS = 150_000
+BLOCK_WORDS = 100_000
 #: Words whose edges a task remembers, and words whose lattices are built at once.
-REMEMBERED, AT_ONCE = 300_000, 30_000
+REMEMBERED, AT_ONCE = 150_000, 15_000
 LONG_WORD = 256
 _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ class _Follow:
     """may_follow() of pairs, remembered for one task in a table of fixed size (a newer pair replaces an older
     one of the same slot)."""
 
-    SLOTS = 22
+    SLOTS = 20
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.keys, self.values = pieces, np.full(1 << self.SLOTS, -1, np.int64), np.zeros(1 << self.SLOTS, bool)
@@ -168,8 +168,9 @@ def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarr
     """Edges of the words' lattices as packed longs, the offsets of the (sub)words in them, and the offsets
     of the words in the subwords. Only a long word has several subwords: it is cut where no piece bridges.
 
-    An edge packs its end within the subword (22 bits), the allowed lengths of its predecessor (17 bits; bit
-    0: it begins the subword), its length (5 bits) and its piece (16 bits).
+    An edge packs its start within the subword (22 bits), the allowed lengths of its predecessor (17 bits; bit
+    0: it begins the subword), its length (5 bits) and its piece (16 bits). Edges that may follow no edge that
+    ends at their start lie on no path and are left out.
     """
     flat, sizes = pieces.units(words)
     begins = np.cumsum(sizes) - sizes
@@ -214,8 +215,9 @@ def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarr
         bits = np.where(allowed, 1 << length[f], 0)
         own = np.flatnonzero(many)
         mask[inner[own]] |= np.bitwise_or.reduceat(bits, (np.cumsum(many) - many)[own])
-    packed = (start + length - heads_of) << 41 | mask << 24 | length << 16 | piece
-    edge_offsets = ending[np.concatenate([heads, [n]]) + 1]
+    packed = ((start - heads_of) << 41 | mask << 24 | length << 16 | piece)[mask > 0]
+    kept = np.concatenate([[0], np.cumsum(mask > 0)])
+    edge_offsets = kept[ending[np.concatenate([heads, [n]]) + 1]]
     word_offsets = np.searchsorted(heads, np.concatenate([begins, [n]]))
     return packed, edge_offsets, word_offsets
 
@@ -238,6 +240,14 @@ def word_edges(words: list[str], pieces: Pieces, follow: _Follow, memory: dict[s
     return np.frombuffer(b"".join(flat), np.int64), edge_offsets, word_offsets
 
 
+class _Numbers(dict):
+    """Numbers new words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
 def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a few MB: the piece table is of fixed size
 
@@ -249,7 +259,7 @@ def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
         ids: list = []
         counts: list[int] = []
         places: list[int] = []
-        seen: dict[str, int] = {}
+        seen = _Numbers()
         size = 0
 
         def done():
@@ -268,13 +278,13 @@ def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                places += [seen.setdefault(w, len(seen)) for w in found]
+                places.extend(map(seen.__getitem__, found))
                 counts.append(len(found))
                 ids.append(doc_id)
                 size += len(text or "")
                 if size >= BLOCK_CHARS or len(seen) >= BLOCK_WORDS:
                     yield done()
-                    ids, counts, places, seen, size = [], [], [], {}, 0
+                    ids, counts, places, seen, size = [], [], [], _Numbers(), 0
         if ids:
             yield done()
 
@@ -292,14 +302,13 @@ def best_path(edges: Column) -> Column:
     second walks back from the end."""
 
     def take(best: Column, e: Column) -> Column:
-        start = _bits(e, 41, 22) - _bits(e, 16, 5)
-        previous = _bits(F.element_at(best, start + 1), 16, 5)
-        allowed = F.call_function("shiftright", _bits(e, 24, 17), previous).bitwiseAND(F.lit(1))
+        previous = F.get(best, F.shiftright(e, 41).cast("int"))  # the best piece that ends where e starts
+        allowed = F.call_function("shiftright", F.shiftright(e, 24), _bits(previous, 16, 5)).bitwiseAND(F.lit(1))
         return F.when(allowed == 1, F.concat(best, F.array(e))).otherwise(best)
 
     def back(state: Column, e: Column) -> Column:
-        on = _bits(e, 41, 22) == state["need"]
-        return F.when(on, F.struct((state["need"] - _bits(e, 16, 5)).alias("need"), F.concat(F.array(_bits(e, 0, 16)), state["ids"]).alias("ids"))).otherwise(state)
+        on = F.shiftright(e, 41).cast("int") + _bits(e, 16, 5) == state["need"]
+        return F.when(on, F.struct(F.shiftright(e, 41).cast("int").alias("need"), F.concat(F.array(_bits(e, 0, 16)), state["ids"]).alias("ids"))).otherwise(state)
 
     def walk(best: Column) -> Column:
         begin = F.struct((F.size(best) - 1).alias("need"), F.array().cast("array<int>").alias("ids"))
@@ -312,7 +321,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id and ids (array<int>), one row per document row."""
     pieces = pieces or Pieces()
     paths = F.transform("lattices", best_path)
-    coded = let(paths, lambda p: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["seq"], lambda i: F.element_at(p, i + 1))).alias("ids"))))
+    coded = let(paths, lambda p: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["seq"], lambda i: F.get(p, i))).alias("ids"))))
     return _blocks(docs, pieces).select(F.explode(coded).alias("d")).select("d.doc_id", "d.ids")
 
 
@@ -327,7 +336,7 @@ def decode(ids: Column, pieces: Pieces | None = None) -> Column:
     for i in pieces.special:
         hexed[i] = ""
     table = F.split(F.lit(",".join(hexed)), ",")
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
     return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 1 << 30)).otherwise(text)
 
 
