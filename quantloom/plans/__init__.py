@@ -1,0 +1 @@
+"""Requests and responses of the engine's operations."""
