@@ -36,7 +36,7 @@ from quantloom.llm.dealing import by_shard, dealt, facts, unpack
 
 WINDOW = 20
 ANCHOR = 8
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _WORD = re.compile(WORD)
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -55,7 +55,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         at = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return at
@@ -86,22 +86,47 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - have)], x[size - have :]) if size > have else x
 
 
-def window_anchors(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The anchor hash of each window of a document; empty for documents shorter than a window."""
-    if len(h) < window:
-        return np.empty(0, np.uint64)
-    return sliding_min(rolled(h, ANCHOR, _FIRST), window - ANCHOR + 1)
+def phrase_hashes(h: np.ndarray) -> np.ndarray:
+    return rolled(h, ANCHOR, _FIRST)
+
+
+def window_anchors(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The anchor of each window of a document, from its phrase hashes; empty if shorter than a window."""
+    return sliding_min(g, window - ANCHOR + 1) if len(g) >= window - ANCHOR + 1 else np.empty(0, np.uint64)
+
+
+def window_hashes(g: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows at `starts`, from the phrases that cover each window."""
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    for at in [*range(0, window - ANCHOR, ANCHOR), window - ANCHOR]:
+        one, two = one * _FIRST + g[starts + at], two * _SECOND + g[starts + at]
+    return _mix(one), _mix(two)
 
 
 def anchor_counts(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a document, and how often each phrase stands in it (2: twice or more). Phrases
-    are counted wherever they stand: in periodic text, equal windows can follow each other on one anchor."""
-    if len(h) < window:
+    """The distinct anchors of a document, and whether each counts once or (2) recurs within it.
+
+    A run of windows on one place of an anchor counts once. In periodic text, equal windows can follow each
+    other within a run; there, phrases are counted wherever they stand."""
+    g = phrase_hashes(h)
+    m = window_anchors(g, window)
+    if not len(m):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    g = rolled(h, ANCHOR, _FIRST)
-    anchors = np.unique(sliding_min(g, window - ANCHOR + 1))
-    at = _found(anchors, g)
-    return anchors, np.minimum(np.bincount(at[at >= 0], minlength=len(anchors)), 2)
+    runs = m[np.concatenate([[True], m[1:] != m[:-1]])]
+    anchors, times = np.unique(runs, return_counts=True)
+    if any((g[d:] == g[:-d]).any() for d in range(1, min(window - ANCHOR + 1, len(g)))):
+        at = _found(anchors, g)
+        times = np.bincount(at[at >= 0], minlength=len(anchors))
+    return anchors, np.minimum(times, 2)
+
+
+def _on_runs(known: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Where a window's anchor is among the sorted `known`; looked up once per run of equal anchors."""
+    if not len(m):
+        return np.empty(0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    hit = _found(known, m[heads]) >= 0
+    return np.flatnonzero(np.repeat(hit, np.diff(np.concatenate([heads, [len(m)]]))))
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -192,11 +217,12 @@ def _windows(docs: DataFrame, anchors: DataFrame, shards: int, window: int) -> D
             found = []
             for blob in blobs:
                 for doc_id, text in unpack(blob):
-                    h = word_hashes(text, hashes)
-                    starts = np.flatnonzero(_found(recurring, window_anchors(h, window)) >= 0)
+                    g = phrase_hashes(word_hashes(text, hashes))
+                    starts = _on_runs(recurring, window_anchors(g, window))
                     if len(starts):
                         own = np.empty(len(starts), _SEEN)
-                        own["w1"], own["w2"] = rolled(h, window, _FIRST)[starts], rolled(h, window, _SECOND)[starts] >> np.uint64(32)
+                        w1, w2 = window_hashes(g, starts, window)
+                        own["w1"], own["w2"] = w1, w2 >> np.uint64(32)
                         own["id"], own["start"] = _NULL_ID if doc_id is None else doc_id, starts
                         found.append(own)
             if not found:
@@ -253,15 +279,15 @@ def _confirmed(windows: DataFrame, shards: int) -> DataFrame:
     return windows.repartitionById(shards, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(build, "shard int, data binary")
 
 
-#: The automaton reads a word as LETTERS letters of six bits; the first letter has an alphabet of its own, so a
+#: The automaton reads a word as LETTERS letters of seven bits; the first letter has an alphabet of its own, so a
 #: phrase can only begin where a word does.
-LETTERS = 5
-_SHIFTS = np.arange(LETTERS, dtype=np.uint64) * np.uint64(6)
+LETTERS = 4
+_SHIFTS = np.arange(LETTERS, dtype=np.uint64) * np.uint64(7)
 
 
 def _letters(h: np.ndarray) -> str:
-    out = ((h[:, None] >> _SHIFTS) & np.uint64(63)).astype(np.uint8)
-    out[:, 1:] += 64
+    out = ((h[:, None] >> _SHIFTS) & np.uint64(127)).astype(np.uint8)
+    out[:, 1:] += 128
     return out.tobytes().decode("latin-1")
 
 
@@ -299,7 +325,7 @@ def _locate(h: np.ndarray, doc_id: int, machine, w1: np.ndarray, w2: np.ndarray,
     starts = np.flatnonzero(np.cumsum(flags)[: last + 1] > 0)
     if not len(starts):
         return starts
-    k1, k2 = rolled(h, window, _FIRST)[starts], rolled(h, window, _SECOND)[starts]
+    k1, k2 = window_hashes(phrase_hashes(h), starts, window)
     found = _found(w1, k1)
     ok = (found >= 0) & (w2[found] == k2)
     starts, found = starts[ok], found[ok]
@@ -330,17 +356,17 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                         h = word_hashes(text, hashes)
                         if len(h) < window:
                             continue
-                        k1 = rolled(h, window, _FIRST)
-                        here = np.arange(a, b)[starts[a:b] < len(k1)]
-                        here = here[k1[starts[here]].astype(np.uint32) == checks[here]]  # else: of another row with this doc_id
-                        own = starts[here]
-                        if not len(own):
+                        g = phrase_hashes(h)
+                        here = np.arange(a, b)[starts[a:b] <= len(h) - window]
+                        k1, k2 = window_hashes(g, starts[here], window)
+                        same = k1.astype(np.uint32) == checks[here]  # else: of another row with this doc_id
+                        here, k1, k2 = here[same], k1[same], k2[same]
+                        if not len(here):
                             continue
-                        g = rolled(h, ANCHOR, _FIRST)
-                        wanted = np.unique(window_anchors(h, window)[own])
+                        wanted = np.unique(window_anchors(g, window)[starts[here]])
                         spelt = _letters(h)
                         phrases.update(spelt[i * LETTERS : (i + ANCHOR) * LETTERS] for i in np.flatnonzero(_found(wanted, g) >= 0).tolist())
-                        for col, value in zip(keys, (k1[own], rolled(h, window, _SECOND)[own], first_ids[here], first_starts[here]), strict=True):
+                        for col, value in zip(keys, (k1, k2, first_ids[here], first_starts[here]), strict=True):
                             col.append(value)
             machine = _compile(phrases) if phrases else None
             w1, w2, f1, f2 = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(keys, (np.uint64, np.uint64, np.int64, np.int32), strict=True))
@@ -370,9 +396,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_bytes: int = S
     """One row per document row: doc_id, n_words, n_removed, kept_sha256."""
     shards = shard_count(docs, shard_bytes)
     docs = docs.select("doc_id", "text", shard_of(F.col("doc_id"), shards).alias("shard"))
-    anchors = _anchor_rows(docs, window)
+    anchors = staged(_anchor_rows(docs, window), "all-anchors")
     recurring = anchors.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     of_shard = staged(anchors.select("anchor", "shard").join(recurring, "anchor").select("shard", "anchor").distinct(), "anchors")
+    discard(anchors)
     confirmed = staged(_confirmed(_windows(docs, of_shard, shards, window), shards), "windows")
     discard(of_shard)
     return _apply(docs, confirmed, shards, window)
