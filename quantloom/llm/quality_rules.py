@@ -89,7 +89,7 @@ def host_rates(figures: DataFrame) -> DataFrame:
     by_host = by_host.withColumn("rate", F.col("failed") / F.col("n"))
     prior = by_host.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop("rate").alias("v"))
     strength = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1000.0))))
-    return by_host.crossJoin(F.broadcast(prior.select("m", strength.alias("s")))).select("host", "n", (F.col("failed") + F.col("m") * F.col("s")).alias("up"), (F.col("n") + F.col("s")).alias("down")).select("host", (F.col("up") / F.col("down")).alias("host_rate"))
+    return by_host.crossJoin(F.broadcast(prior.select("m", strength.alias("s")))).select("host", "n", (F.col("failed") + F.col("m") * F.col("s")).alias("up"), (F.col("n") + F.col("s")).alias("down")).select("host", F.round(F.col("up") / F.col("down"), 9).alias("host_rate"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
