@@ -36,7 +36,7 @@ SPACE = "▁"
 BLOCK_CHARS = 8 << 20
 BLOCK_WORDS = 100_000
 #: Words whose edges a task remembers, and words whose lattices are built at once.
-REMEMBERED, AT_ONCE = 150_000, 15_000
+REMEMBERED, AT_ONCE = 250_000, 15_000
 LONG_WORD = 256
 _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -317,6 +317,26 @@ def best_path(edges: Column) -> Column:
     return let(F.aggregate(edges, F.array(F.lit(0).cast("long")), take), walk)
 
 
+def _table(pieces: Pieces) -> Column:
+    """The pieces' bytes in hexadecimal, as one constant array that is looked up by position."""
+    hexed = [p.replace(SPACE, " ").encode().hex() for p in pieces.text]
+    for b, i in pieces.bytes.items():
+        hexed[i] = f"{b:02x}"
+    for i in pieces.special:
+        hexed[i] = ""
+    return F.split(F.lit(",".join(hexed)), ",")
+
+
+def _hex(ids: Column, table: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+
+
+def _text(hexed: Column) -> Column:
+    """Text of joined pieces, without the space that encoding put in front."""
+    text = F.decode(F.unhex(hexed), "UTF-8")
+    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 1 << 30)).otherwise(text)
+
+
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id and ids (array<int>), one row per document row."""
     pieces = pieces or Pieces()
@@ -326,21 +346,20 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 
 def decode(ids: Column, pieces: Pieces | None = None) -> Column:
-    """Text of an array of ids: the pieces' bytes joined, spaces restored, the added first space removed.
-
-    The table of pieces is one constant array, looked up by position."""
-    pieces = pieces or Pieces()
-    hexed = [p.replace(SPACE, " ").encode().hex() for p in pieces.text]
-    for b, i in pieces.bytes.items():
-        hexed[i] = f"{b:02x}"
-    for i in pieces.special:
-        hexed[i] = ""
-    table = F.split(F.lit(",".join(hexed)), ",")
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
-    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 1 << 30)).otherwise(text)
+    """Text of an array of ids: the pieces' bytes joined, spaces restored, the added first space removed."""
+    return _text(_hex(ids, _table(pieces or Pieces())))
 
 
 def encode_and_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, and the SHA-256 of the text decoded from the ids."""
+    """doc_id, n_tokens, ids, and the SHA-256 of the text decoded from the ids.
+
+    Within a block each distinct word is decoded once, from its own ids, and the texts join the words' bytes."""
     pieces = Pieces(path)
-    return encode(docs, pieces).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.encode(decode(F.col("ids"), pieces), "UTF-8"), 256).alias("decoded_sha256"))
+    table = _table(pieces)
+    paths = F.transform("lattices", best_path)
+
+    def documents(p: Column) -> Column:
+        return let(F.transform(p, lambda ids: _hex(ids, table)), lambda h: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["seq"], lambda i: F.get(p, i))).alias("ids"), F.sha2(F.encode(_text(F.array_join(F.transform(d["seq"], lambda i: F.get(h, i)), "")), "UTF-8"), 256).alias("decoded_sha256"))))
+
+    rows = _blocks(docs, pieces).select(F.explode(let(paths, documents)).alias("d"))
+    return rows.select("d.doc_id", F.size("d.ids").cast("long").alias("n_tokens"), "d.ids", "d.decoded_sha256")
