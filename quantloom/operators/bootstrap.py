@@ -75,7 +75,7 @@ def run_windows(prices: DataFrame, key: str, weights: dict[str, float], benchmar
     if benchmark:
         rows = rows.unionByName(prices.where(F.col("ticker") == benchmark).select(name("benchmark"), "date", "ticker", "px"))
         plan = plan.unionByName(backtest.constant_weights(first, {benchmark: 1.0}).select(name("benchmark"), "date", "ticker", "w"))
-    values, _ = backtest.run(rows, plan, capital, bps)
+    values = backtest.run(rows, plan, capital, bps)[0].cache()  # metrics read them twice
     split = F.split("scenario", r"\|")
     return backtest.metrics(values, risk_free).withColumn(key, split[0].cast("int")).withColumn("series", split[1]).drop("scenario")
 

@@ -142,7 +142,8 @@ def moments_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return returns.price_matrix(_bars(spark, sf_dir), registry(spark), TICKERS, START, END, check=False)
+    """The price matrix, cached: backtests read it several times in a plan, and it is tickers times days."""
+    return returns.price_matrix(_bars(spark, sf_dir), registry(spark), TICKERS, START, END, check=False).cache()
 
 
 @query(f"WITH {_PRICES} SELECT ticker, date, round(px, 4) AS px FROM prices")
@@ -345,7 +346,7 @@ res AS (SELECT window_id, power(arg_max(value, date) / arg_min(value, date), 1 /
 
 def _window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = _prices(spark, sf_dir)
-    cut = bootstrap.window_prices(prices, bootstrap.rolling_windows(prices.select("date"), 2.0))
+    cut = bootstrap.window_prices(prices, bootstrap.rolling_windows(prices.select("date"), 2.0)).cache()
     return bootstrap.run_windows(cut, "window_id", WEIGHTS, None, CAPITAL)
 
 
@@ -373,10 +374,10 @@ def block_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _matrix(spark, sf_dir)
+    m = _matrix(spark, sf_dir).cache()
     n = m.select("date").distinct().count()
     index = bootstrap.stationary_indices(n, n, spark.range(20).select(F.col("id").cast("int").alias("resample")))
-    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index), "resample", WEIGHTS, None, CAPITAL))
+    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index).cache(), "resample", WEIGHTS, None, CAPITAL))
 
 
 @query(f"""WITH {_BARS}, old AS (SELECT ticker, date, adj_close FROM bars WHERE date < DATE '1998-01-01'), new AS (SELECT ticker, date, adj_close * 2 AS adj_close FROM bars WHERE date >= DATE '1997-06-01')
