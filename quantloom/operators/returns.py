@@ -32,10 +32,10 @@ def cleaned_returns(bars: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def on_common_days(rows: DataFrame, n_tickers: int) -> DataFrame:
-    """The rows of days on which all tickers have one: one aggregation by day and a semi join, instead of a
-    join per ticker."""
-    days = rows.groupBy("date").agg(F.count_distinct("ticker").alias("n")).where(F.col("n") == n_tickers).select("date")
-    return rows.join(days, "date", "left_semi")
+    """The rows of days on which all tickers have one: one pass over each day's rows (as many as tickers), instead
+    of a join per ticker or a second read of the rows."""
+    there = F.size(F.collect_set("ticker").over(Window.partitionBy("date")))
+    return rows.withColumn("there", there).where(F.col("there") == n_tickers).drop("there")
 
 
 @dataclass
@@ -90,11 +90,11 @@ def price_matrix(bars: DataFrame, anomalies: DataFrame, tickers: list[str], star
         require_coverage(bounds(own), tickers, start, end)
     own = scan_prices(own, None, start, end)
     order = Window.partitionBy("ticker").orderBy("date")
-    first = own.groupBy("ticker").agg(F.min(F.struct("date", "adj_close")).alias("f")).select("ticker", F.col("f.date").alias("date"), F.col("f.adj_close").alias("anchor"))
-    steps = cleaned_returns(own, anomalies).select("ticker", "date", (1 + F.col("ret")).alias("step"))
-    steps = steps.unionByName(first.select("ticker", "date", F.lit(1.0).alias("step")))
-    grown = steps.withColumn("growth", F.product("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    prices = grown.join(first.select("ticker", "anchor"), "ticker").select("ticker", "date", (F.col("anchor") * F.col("growth")).alias("px"))
+    marked = anomalies.where("adjustment = 'exclude_return'").select("ticker", "date", F.lit(True).alias("excluded")).distinct()
+    before = F.lag("adj_close").over(order)
+    step = F.when(F.col("excluded"), 1.0).otherwise(F.coalesce(F.try_divide("adj_close", F.nullif(before, F.lit(0.0))), F.lit(1.0)))
+    steps = own.join(marked, ["ticker", "date"], "left").select("ticker", "date", step.alias("step"), F.first("adj_close").over(order).alias("anchor"))
+    prices = steps.select("ticker", "date", (F.col("anchor") * F.product("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("px"))
     return on_common_days(prices, len(tickers))
 
 

@@ -185,7 +185,7 @@ def _hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded_metrics(values: DataFrame) -> DataFrame:
-    m = backtest.metrics(values)
+    m = backtest.metrics(values.cache())
     return m.select(*[c if t in ("string", "date") else r(c, 2 if c == "final_value" else 6).alias(c) for c, t in m.dtypes])
 
 
@@ -247,14 +247,14 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False)
+    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False).cache()
     values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
     return _rounded_metrics(values)
 
 
 @query()
 def value_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False)
+    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False).cache()
     values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
     return values.groupBy("date").pivot("scenario", ["strategy", "hold", "benchmark"]).agg(F.first(r("value", 2)))
 
