@@ -107,14 +107,15 @@ def anchor_counts(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     """The distinct anchors of a document, and whether each counts once or (2) recurs within it.
 
     A run of windows on one place of an anchor counts once. In periodic text, equal windows can follow each
-    other within a run; there, phrases are counted wherever they stand."""
+    other within a run, if a phrase stands again up to window - ANCHOR + 1 words on; there, phrases are counted
+    wherever they stand."""
     g = phrase_hashes(h)
     m = window_anchors(g, window)
     if not len(m):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     runs = m[np.concatenate([[True], m[1:] != m[:-1]])]
     anchors, times = np.unique(runs, return_counts=True)
-    if any((g[d:] == g[:-d]).any() for d in range(1, min(window - ANCHOR + 1, len(g)))):
+    if any((g[d:] == g[:-d]).any() for d in range(1, min(window - ANCHOR + 2, len(g)))):
         at = _found(anchors, g)
         times = np.bincount(at[at >= 0], minlength=len(anchors))
     return anchors, np.minimum(times, 2)

@@ -58,6 +58,19 @@ def test_substring_dedup_equals_brute_force(spark, docs):
     assert got == want and sum(x[2] for x in want) > 500
 
 
+def test_substring_dedup_of_lines_repeated_within_a_document(spark):
+    """A line of 1 to 25 distinct words, repeated within one document only; 13 = WINDOW - ANCHOR + 1 among them."""
+    texts = {n: [f"d{n}w{j}" for j in range(n)] * (52 // n + 2) for n in range(1, 26)}
+    want = {}
+    for i, w in texts.items():
+        first = {}
+        for k in range(len(w) - 19):
+            first.setdefault(tuple(w[k : k + 20]), k)
+        want[i] = len({j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < k for j in range(k, k + 20)})
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(rows, shard_bytes=4000).collect()} == want and min(want.values()) > 0
+
+
 def test_near_duplicates_equal_brute_force(docs):
     sets = {r.doc_id: near_dup.shingle_set(r.text, 4) for r in docs.collect()}
     group = {i: i for i in sets}
