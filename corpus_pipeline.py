@@ -20,6 +20,9 @@ from quantloom.llm.sentencepiece_lattice import Pieces, encode
 #: brute-force versions.
 ORACLE_SQL = None
 
+#: Words of a shingle in stages without a contract of their own (op5's own contract has four).
+SHINGLE = 5
+
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in `ids`; null keys match null keys."""
@@ -34,8 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id, once."""
-    kept = near_duplicates(docs).where("kept")
+    """One document of each group of near-duplicates stays: that of the smallest doc_id, once. Near are texts
+    whose sets of SHINGLE words have similarity 0.8."""
+    kept = near_duplicates(docs, size=SHINGLE).where("kept")
     return _only(docs, kept).dropDuplicates(["doc_id"])
 
 

@@ -111,3 +111,18 @@ def test_pipeline_keeps_clean_documents(spark):
     assert kept.join(bad, "doc_id", "left_semi").count() <= 0.3 * bad.count()
     safe = corpus_pipeline.secrets(spark, docs, sf_dir)
     assert safe.columns == columns and safe.where(F.col("text").rlike("AKIA[A-Z0-9]{16}")).count() == 0
+
+
+def test_pipeline_near_duplicates_share_five_word_sets(spark):
+    """Brute force on five-word sets; one inner word changed in 39 to 48 words is near by four words only."""
+    import corpus_pipeline
+    from quantloom.llm.near_dup import shingle_set
+
+    texts = []
+    for n in (20, 39, 42, 45, 48, 60, 80):
+        w = [f"t{n}w{j}" for j in range(n)]
+        texts += [" ".join(w), " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]])]
+    sets = [shingle_set(t, 5) for t in texts]
+    want = [i for i, x in enumerate(sets) if not any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])]
+    rows = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dups(spark, rows, "").collect()) == want and len(want) == 12
