@@ -24,23 +24,32 @@ ORACLE_SQL = None
 SHINGLE = 5
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in `ids`; null keys match null keys."""
-    ids = ids.select(F.col("doc_id").alias("wanted_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+#: A row's key: 128 bits of its whole content, as null or repeated doc_ids do not name a row. Rows of equal keys
+#: are equal, so decisions on them are too.
+KEY = ("row_key1", "row_key2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    content = [x for c in docs.columns for x in (F.col(c), F.isnull(c))]
+    return docs.select("*", *[F.xxhash64(F.lit(i), *content).alias(k) for i, k in enumerate(KEY)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go (empty and toxic texts among them)."""
+    """Rows that the quality classifier rejects go (empty and toxic texts among them)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, classify(docs, labels).where("kept"))
+    keyed = _keyed(docs)
+    kept = classify(keyed, labels, keep=KEY).where("kept").select(*KEY).distinct()
+    return keyed.join(kept, list(KEY), "left_semi").select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id, once. Near are texts
-    whose sets of SHINGLE words have similarity 0.8."""
-    kept = near_duplicates(docs, size=SHINGLE).where("kept")
-    return _only(docs, kept).dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates stays: that of the smallest doc_id (null last), then key. Near are
+    texts whose sets of SHINGLE words have similarity 0.8; rows are compared under numbers of their own."""
+    rows = staged(_keyed(docs).withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col("row_number").alias("doc_id"), "text"), size=SHINGLE).select(F.col("doc_id").alias("row_number"), "component_id")
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", *KEY, "row_number")).alias("first")
+    kept = groups.join(rows.select("row_number", "doc_id", *KEY), "row_number").groupBy("component_id").agg(first).select("first.row_number")
+    return rows.join(kept, "row_number", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents appear as often as the mix takes them, to the nearest whole copy."""
-    return repeat_documents(docs, mix_documents(docs))
+    keyed = _keyed(docs)
+    return repeat_documents(keyed, mix_documents(keyed, keep=KEY), KEY).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,8 +56,9 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS, budget: float |
     return sources.withColumn("target", target).drop("cap")
 
 
-def mix_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+def mix_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the columns `keep`, size, source_size, target, taken (words the mix takes,
+    repeats counted).
 
     The order of the fractional repetition is a hash of (seed, doc_id), so reruns agree whatever the
     partitioning. Its running sum never gathers a source in one task: sizes are first summed by (source, hash
@@ -65,7 +66,7 @@ def mix_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7)
     of one bucket are ordered together.
     """
     key = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS << 20))
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("at")).withColumn("bucket", F.shiftright("at", 20).cast("int")), "sizes")
+    sized = staged(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), key.alias("at")).withColumn("bucket", F.shiftright("at", 20).cast("int")), "sizes")
     targets = water_fill(source_sizes(sized), max_epochs)
     epochs = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(epochs), F.lit(max_epochs))).otherwise(F.lit(0))
@@ -76,19 +77,20 @@ def mix_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7)
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "rest")
     plan = offsets.join(targets, F.col("b_source").eqNullSafe(F.col("t_source")))
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", *keep, "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
+def repeat_documents(docs: DataFrame, taken: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, to the nearest whole copy.
 
-    `taken` has one row per distinct doc_id. Null keys match null keys.
+    `taken` has one row per document. Rows of `docs` with equal `by` are taken for equal; their copies are summed.
+    Null keys match null keys.
     """
-    times = taken.select(F.col("doc_id").alias("taken_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0)).alias("copies_taken"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("taken_id"))).where("copies_taken > 0")
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
+    times = taken.groupBy(*[F.col(c).alias(f"taken_{c}") for c in by]).agg(F.sum(copies).cast("int").alias("copies_taken")).where("copies_taken > 0")
+    same = [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in by]
+    joined = docs.dropDuplicates(list(by)).join(times, same)
     return joined.withColumn("copy_taken", F.explode(F.sequence(F.lit(1), F.col("copies_taken")))).select(*docs.columns)
-
-

@@ -154,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return np.array([fit(made, q), toxic]).astype(np.float32)
 
 
-def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Narrow: doc_id, host, path and the two log odds of each whole text."""
+def evidence(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Narrow: doc_id, host, path, the two log odds of each whole text, and the columns `keep`."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 x (DIMENSIONS + SHAPES) floats, 2 MB
 
     def score(batches: Iterator) -> Iterator:
@@ -165,9 +165,10 @@ def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         ids = _Ids(np.flatnonzero((quality[:DIMENSIONS] != 0) | (toxic[:DIMENSIONS] != 0)))
         for batch in batches:
             out = [(log_odds(*f, quality), log_odds(*f, toxic)) for f in (features(x, ids) for x in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array([a for a, _ in out], pa.float64()), pa.array([b for _, b in out], pa.float64())], names=["doc_id", "host", "path", "q", "t"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array([a for a, _ in out], pa.float64()), pa.array([b for _, b in out], pa.float64()), *(batch.column(c) for c in keep)], names=["doc_id", "host", "path", "q", "t", *keep])
 
-    return docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text").mapInArrow(score, "doc_id long, host string, path string, q double, t double")
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text", *keep).mapInArrow(score, f"doc_id long, host string, path string, q double, t double{kept}")
 
 
 def _shrunk(n: Column, total: Column, towards: Column, strength: Column) -> Column:
@@ -191,17 +192,17 @@ def site_priors(scored: DataFrame) -> DataFrame:
     return joined.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "gq", "gt", *[_shrunk(F.col("n"), F.col(c), F.col(f"r{c}"), F.col(f"s{c}")).alias(f"p{c}") for c in "qt"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, p_quality, p_toxic, path_quality, path_toxic, kept: one row per document row."""
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, p_quality, p_toxic, path_quality, path_toxic, kept: one row per document row."""
     weights = train(docs, labels, max_labelled)
     if weights is None:
         has = F.length(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", " "))) > 0
         none = F.lit(None).cast("double")
-        return docs.select("doc_id", none.alias("p_quality"), none.alias("p_toxic"), none.alias("path_quality"), none.alias("path_toxic"), has.alias("kept"))
-    scored = staged(evidence(docs, weights), "evidence")
+        return docs.select("doc_id", *keep, none.alias("p_quality"), none.alias("p_toxic"), none.alias("path_quality"), none.alias("path_toxic"), has.alias("kept"))
+    scored = staged(evidence(docs, weights, keep), "evidence")
     sites = site_priors(scored)
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
     logit = lambda x: F.log(F.greatest(F.lit(1e-6), x) / F.greatest(F.lit(1e-6), 1 - x))
     final = lambda c: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(c) + logit(F.col(f"p{c}")) - logit(F.col(f"g{c}"))))))
-    out = joined.select("doc_id", F.when(F.col("q") > float("-inf"), final("q")).otherwise(0.0).alias("p_quality"), F.when(F.col("q") > float("-inf"), final("t")).otherwise(0.0).alias("p_toxic"), F.col("pq").alias("path_quality"), F.col("pt").alias("path_toxic"))
+    out = joined.select("doc_id", *keep, F.when(F.col("q") > float("-inf"), final("q")).otherwise(0.0).alias("p_quality"), F.when(F.col("q") > float("-inf"), final("t")).otherwise(0.0).alias("p_toxic"), F.col("pq").alias("path_quality"), F.col("pt").alias("path_toxic"))
     return out.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))

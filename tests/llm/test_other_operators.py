@@ -126,3 +126,28 @@ def test_pipeline_near_duplicates_share_five_word_sets(spark):
     want = [i for i, x in enumerate(sets) if not any(100 * len(x & y) >= 80 * len(x | y) for y in sets[:i])]
     rows = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dups(spark, rows, "").collect()) == want and len(want) == 12
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Rows whose doc_id is null or stands again with another text are judged, grouped and mixed one by one."""
+    from collections import Counter
+
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = lambda i: " ".join(f"g{i}w{j}" for j in range(60))
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    rows = [row(None, good(0)), row(None, good(1)), row(7, good(2)), row(7, good(3)), row(9, good(3)), row(None, good(2)), row(7, good(2))]
+    got = corpus_pipeline.near_dups(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([row(None, good(0)), row(None, good(1)), row(7, good(2)), row(7, good(3))], key=str)
+
+    mixed = Counter(r.text for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows[:4] + rows[:1], schema), "").collect())
+    assert mixed == {good(0): 2, good(1): 1, good(2): 1, good(3): 1}
+
+    bad = lambda i: " ".join(["idiot trash scum"] * 4 + [f"b{i}w{j}" for j in range(60)])
+    known = [row(i, bad(i) if i % 2 else good(i)) for i in range(100, 300)]
+    spark.createDataFrame([(r[0], 1, r[0] % 2) for r in known] + [(99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    asked = [row(None, bad(1)), row(None, good(2)), row(5, bad(3)), row(5, good(4)), row(99, "### " * 50)]
+    docs = spark.createDataFrame(known + asked, schema)
+    kept = {r.text for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert good(2) in kept and good(4) in kept and bad(1) not in kept and bad(3) not in kept
