@@ -8,7 +8,8 @@ crosses, summed. What all tables find is merged and reranked by the exact distan
 The cell width and the number of cells to visit are fitted on a bounded sample: as many cells as the sample's
 own nearest neighbours need for the wanted recall. All rows are indexed: each batch of rows is hashed into the
 tables, and a block of queries (a bounded number) looks up its cells there; each batch returns its nearest
-found for each query, so vectors never move.
+found for each query, so vectors never move. Queries for which that finds fewer than k (few rows, or a query far
+from all others) are answered by an exact pass over all rows in the same blocks.
 
 Results for odd input: vectors that are null, zero, of another length than most of the sample, or that hold
 null or non-finite components take no part, as rows or as queries; rows with the query's own vec_id are never
@@ -37,17 +38,18 @@ WIDTH = 0.75  # of the sample's root mean square distance
 _STEPS = np.array(list(product((-1, 0, 1), repeat=HASHES)))
 
 
-def vectors(column) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (index) that take part, and their vectors in double precision, from an Arrow list column."""
+def vectors(column, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (index) that take part, and their vectors in double precision, from an Arrow list column. size: the
+    length of vectors that take part; if None, the most common one."""
     import pyarrow as pa
 
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.asarray(column.value_lengths().fill_null(0))
     if not len(lengths) or not lengths.max():
-        return np.empty(0, np.int64), np.empty((0, 0))
+        return np.empty(0, np.int64), np.empty((0, size or 0))
     flat = np.asarray(column.flatten().cast(pa.float64()).fill_null(np.nan))
     begins = np.cumsum(lengths) - lengths
-    size = int(np.bincount(lengths[lengths > 0]).argmax())
+    size = size or int(np.bincount(lengths[lengths > 0]).argmax())
     rows = np.flatnonzero(lengths == size)
     out = flat[begins[rows][:, None] + np.arange(size)]
     ok = np.isfinite(out).all(1) & (out != 0).any(1)
@@ -100,10 +102,10 @@ class Index:
         return int(min(len(_STEPS), ranks[min(len(ranks) - 1, int(np.ceil(WANTED * len(ranks))))] + 1))
 
 
-def search_batch(index: Index, queries: np.ndarray, query_ids: np.ndarray, probes: list, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The nearest found of one batch for each query: (query id, vec id, distance)."""
-    hit = np.zeros((len(queries), len(x)), bool)
-    for t, (keys, owner) in enumerate(probes):
+def search_batch(index: Index, queries: np.ndarray, query_ids: np.ndarray, probes: list | None, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest found of one batch for each query: (query id, vec id, distance). Without probes, of all rows."""
+    hit = np.full((len(queries), len(x)), probes is None)
+    for t, (keys, owner) in enumerate(probes or ()):
         own = index.key(index.cells(x, t)[0])
         low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
         many = high - low
@@ -125,15 +127,15 @@ def search_batch(index: Index, queries: np.ndarray, query_ids: np.ndarray, probe
     return tuple(np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
 
 
-def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((index, query_ids, queries))  # QUERY_BLOCK vectors
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         index, query_ids, queries = shared.value
-        probes = []
-        for t in range(TABLES):
+        probes = None if exact else []
+        for t in range(0 if exact else TABLES):
             keys = index.probes(queries, t, index.visits)
             owner = np.repeat(np.arange(len(queries)), keys.shape[1])
             order = np.argsort(keys.ravel(), kind="stable")
@@ -141,8 +143,8 @@ def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.nda
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                took, x = vectors(part.column("embedding"))
-                if not len(took) or x.shape[1] != index.size:
+                took, x = vectors(part.column("embedding"), index.size)
+                if not len(took):
                     continue
                 ids = np.asarray(part.column("vec_id"))[took]
                 q, v, d = search_batch(index, queries, query_ids, probes, ids, x, k)
@@ -151,10 +153,30 @@ def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.nda
     return rows.mapInArrow(build, "query_id long, vec_id long, score double")
 
 
+def _passes(rows: DataFrame, asked: DataFrame, index: Index, k: int, exact: bool = False) -> DataFrame | None:
+    """The k nearest found for the queries `asked`: query_id, rank, vec_id, score; None if none takes part."""
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow() if blocks > 1 else asked.orderBy("vec_id").toArrow()
+        if not len(own):
+            continue
+        at, x = vectors(own["embedding"], index.size)
+        if not len(at):
+            continue
+        part = _block(rows, index, np.asarray(own["vec_id"])[at], x, k, exact)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return None
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
 def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`.
 
-    Queries go out in blocks of a bounded number; each block is one pass over the rows."""
+    Queries go out in blocks of a bounded number; each block is one pass over the rows. Those left with fewer than k
+    go out once more, over all rows."""
     rows = rows.select("vec_id", "embedding").where("vec_id is not null")
     sample = rows.where("embedding is not null").orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(SAMPLE).toArrow()
     took, fitted = vectors(sample["embedding"]) if len(sample) else (np.empty(0), np.empty((0, 0)))
@@ -163,18 +185,11 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         return empty
     index = Index(fitted)
     asked = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow() if blocks > 1 else asked.orderBy("vec_id").toArrow()
-        if not len(own):
-            continue
-        at, x = vectors(own["embedding"])
-        if not len(at) or x.shape[1] != index.size:
-            continue
-        part = _block(rows, index, np.asarray(own["vec_id"])[at], x, k)
-        found = part if found is None else found.union(part)
+    found = _passes(rows, asked, index, k)
     if found is None:
         return empty
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = staged(found, "found")
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = staged(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    exact = _passes(rows, short, index, k, exact=True)
+    return found if exact is None else found.join(full, "query_id", "left_semi").select(found.columns).union(exact)

@@ -151,3 +151,33 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     docs = spark.createDataFrame(known + asked, schema)
     kept = {r.text for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
     assert good(2) in kept and good(4) in kept and bad(1) not in kept and bad(3) not in kept
+
+
+def _brute_nearest(vectors, q, k=10):
+    d = {i: float(np.sqrt(((v - vectors[q]) ** 2).sum())) for i, v in vectors.items() if i != q}
+    return sorted(d, key=lambda i: (d[i], i))[:k]
+
+
+@pytest.mark.parametrize("n", [5, 11])
+def test_nearest_of_few_rows_is_whole(spark, n):
+    x = {i * 100: v for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 64)))}
+    got = ann_lsh.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert {q: [r.vec_id for r in got if r.query_id == q] for q in x} == {q: _brute_nearest(x, q) for q in x}
+
+
+def test_nearest_of_a_far_query_and_among_other_lengths(spark):
+    """A query beyond all probes is answered exactly; a slice of mostly other lengths still gives its vectors."""
+    rng = np.random.default_rng(1)
+    x = {i: v / np.linalg.norm(v) for i, v in enumerate(rng.normal(size=(2001, 64)), 1)}
+    x[100] = x[100] * 5
+    other = [(10_000 + i, [1.0] * 5) for i in range(300)]
+    x |= {20_000 + i: x[100] + 0.01 * (i + 1) for i in range(3)}  # the nearest of 100 stand among other lengths
+    rows = other + [(i, v.tolist()) for i, v in x.items() if i >= 20_000] + [(i, v.tolist()) for i, v in x.items() if i < 20_000]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+    try:
+        got = ann_lsh.nearest(df).where("query_id = 100").orderBy("rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [r.vec_id for r in got] == _brute_nearest(x, 100)
