@@ -181,3 +181,17 @@ def test_nearest_of_a_far_query_and_among_other_lengths(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert [r.vec_id for r in got] == _brute_nearest(x, 100)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div><h1>Title</h1><div class=ad>Buy</div><p>{WORDS} {WORDS} {WORDS}</p><aside>side</aside><p>Short closing sentence.</p></div>", f"Title {WORDS} {WORDS} {WORDS} Short closing sentence."),
+        (f"<div><p>{WORDS}</p></div><aside><article>teaser</article></aside><p>end</p>", f"{WORDS} end"),
+        (f"<p>{WORDS}</p><div class=related><article><p>other page</p></article></div>", WORDS),
+        ("<h1>Site</h1><nav>open<article><p>Hi</p></article>", "Hi"), ("<aside><article>only</article></aside>", "only"),
+        (f"<aside><article>teaser</article></aside><nav>open<article>{WORDS}</article>", WORDS),
+    ],
+)
+def test_main_text_drops_only_the_boilerplate(html, text):
+    assert html_extract.main_text(html) == text
