@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Texts are cut into words (runs of spaces with what follows them), and each block of documents keeps its
-distinct words once. A word's lattice is a relation of edges (word, start, end, piece): substrings of bounded
-length are exploded, equi-joined to the piece table on their hash and grouped by word. Spark's higher-order
-aggregate() then folds each word's edges in order of their end, and a second fold reads the best path back.
+1. Texts are cut into units wherever no piece of the model spans two neighbouring characters (words, numbers'
+   digits, marks). A block of documents keeps each distinct unit once, and its documents as numbers of units.
+2. The distinct units of all blocks are one relation. Their substrings of bounded length are exploded, equi-joined
+   to the piece table (of fixed size, broadcast) and grouped by unit: each group is a unit's lattice.
+3. Spark's higher-order aggregate() folds each lattice in order of the edges' ends into the best path.
+4. The paths are joined back to the blocks by unit and meet the blocks' documents in tasks of bounded size.
 
 The public model is a merge model (BPE), whose segmentation is not the path of highest summed scores. What
 holds for it instead: a path is the model's own segmentation if and only if each piece segments to itself and
@@ -12,35 +14,37 @@ pieces that it may follow, and the fold's recurrence is: the best piece ending a
 predecessor, the best piece ending at its `start`, is allowed. There is exactly one. The result equals the
 library's for every text.
 
-Everything is a narrow map: no shuffle, bounded blocks.
+Units of more than LONG_UNIT characters (none in ordinary text) are folded by the same recurrence slice by slice in
+one task each, as an array that grows inside aggregate() would cost the square of their length.
 
 Results for odd input: null and empty texts have no pieces; characters that are no piece become their UTF-8
-bytes; U+2581 in a text decodes to a space, as in the library; words of any length are folded whole (words of
-thousands of letters in time quadratic in the stretch that pieces bridge without a gap); repeated rows are
-encoded one by one; an empty table gives an empty result.
+bytes; U+2581 in a text decodes to a space, as in the library; texts of any length are encoded whole; repeated
+rows are encoded one by one; a null doc_id is kept; an empty table gives an empty result. Only doc_id and text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import let
+from quantloom.llm.common import release, shared_dir, staged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BLOCK_CHARS = 8 << 20
-BLOCK_WORDS = 100_000
-#: Words whose edges a task remembers, and words whose lattices are built at once.
-REMEMBERED, AT_ONCE = 250_000, 15_000
-LONG_WORD = 256
-_WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: A block ends at so many characters or distinct units; texts are cut in slices of so many characters.
+BLOCK_CHARS, BLOCK_UNITS, SLICE_CHARS = 16 << 20, 300_000, 1 << 18
+LONG_UNIT = 128
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.float64(-np.inf)
+#: The piece of an edge over a character that is no piece.
+_UNKNOWN = 0xFFFF
 
 
 class Pieces:
@@ -58,11 +62,10 @@ class Pieces:
         special = {*self.special, *self.bytes.values()}
         normal = {names[i]: i for i in range(n) if i not in special}
         scores = np.array([model.get_score(i) for i in range(n)])
-        if any(SPACE in p.lstrip(SPACE) for p in normal):
-            raise ValueError("pieces that span words are not supported")
         self.char = {p: i for p, i in normal.items() if len(p) == 1}
-        self.of_char = None
         self.longest = max(map(len, normal))
+        if n >= _UNKNOWN or self.longest > 16:
+            raise ValueError("models of 65,535 pieces or more, or with pieces of over 16 characters, are not supported")
         # pairs of pieces that merge
         pairs = {(normal[p[:k]], normal[p[k:]]): i for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal}
         keys = np.array([a << 20 | b for a, b in pairs], np.int64)
@@ -72,7 +75,7 @@ class Pieces:
         self.scores = np.full((n, self.longest + 1), _NONE)
         self.left = np.tile(np.arange(n)[:, None], (1, self.longest + 1))
         self.right = self.left.copy()
-        lattice: dict[int, list[tuple[int, int]]] = {k: [] for k in range(2, self.longest + 1)}
+        self.joined: dict[str, int] = {}  # pieces that stand in segmentations
         for p, i in normal.items():
             if len(p) == 1:
                 continue
@@ -90,35 +93,26 @@ class Pieces:
                 step += 1
                 self.left[i, step:], self.right[i, step:] = symbols[0], symbols[-1]
             if symbols == [i]:  # else it never stands in a segmentation
-                h = np.uint64(0)
-                with np.errstate(over="ignore"):
-                    for c in p:
-                        h = h * _FACTOR + np.uint64(self.char[c] + 1)
-                lattice[len(p)].append((int(h), i))
-        self.by_length = {}
-        for k, rows in lattice.items():
-            if rows:
-                rows.sort()
-                self.by_length[k] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64))
-
-    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Single-character pieces of the words, UTF-8 bytes for characters that are none; and the number
-        per word."""
-        if self.of_char is None:  # once per process: 4 MB
-            self.of_char = np.full(0x110000, -1, np.int32)
-            self.of_char[[ord(c) for c in self.char]] = list(self.char.values())
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = self.of_char[points].astype(np.int64)
-        unknown = np.flatnonzero(flat < 0)
-        if len(unknown):
-            raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[unknown].tolist()]
-            times = np.ones(len(flat), np.int64)
-            times[unknown] = [len(x) for x in raw]
-            sizes = np.add.reduceat(np.concatenate([times, [0]]), np.cumsum(sizes) - sizes) * (sizes > 0)
-            flat = np.repeat(flat, times)
-            flat[flat < 0] = [self.bytes[b] for x in raw for b in x]
-        return flat, sizes
+                self.joined[p] = i
+        self.joined |= self.char
+        # characters that stand next to each other in a piece: elsewhere a text can be cut
+        chars = sorted({c for p in self.joined for c in p})
+        self.of_char = np.zeros(0x110000, np.int16)
+        self.of_char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.bridged = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in self.joined:
+            at = self.of_char[[ord(c) for c in p]]
+            self.bridged[at[:-1], at[1:]] = True
+        self.raw = [p.replace(SPACE, " ").encode() for p in names]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
+        for i in self.special:
+            self.raw[i] = b""
+
+    def cuts(self, text: str) -> np.ndarray:
+        """Places in the text, after its first character, that no piece spans."""
+        at = self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return np.flatnonzero(~self.bridged[at[:-1], at[1:]]) + 1
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether text a + b segments to exactly (a, b): both pieces' merges run side by side, best score
@@ -164,202 +158,294 @@ class _Follow:
         return out
 
 
-def lattice(words: list[str], pieces: Pieces, follow: _Follow) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of the words' lattices as packed longs, the offsets of the (sub)words in them, and the offsets
-    of the words in the subwords. Only a long word has several subwords: it is cut where no piece bridges.
-
-    An edge packs its start within the subword (22 bits), the allowed lengths of its predecessor (17 bits; bit
-    0: it begins the subword), its length (5 bits) and its piece (16 bits). Edges that may follow no edge that
-    ends at their start lie on no path and are left out.
-    """
-    flat, sizes = pieces.units(words)
-    begins = np.cumsum(sizes) - sizes
-    n = len(flat)
-    end_of = np.repeat(begins + sizes, sizes)
-    # explode: every start with each bounded length; join: on the hash of the substring
-    starts, ids, lengths = [np.arange(n)], [flat], [np.ones(n, np.int64)]
-    live, h = np.arange(n), (flat + 1).astype(np.uint64)
-    for k in range(2, pieces.longest + 1):
-        keep = live + k <= end_of[live]
-        live, h = live[keep], h[keep]
-        h = h * _FACTOR + (flat[live + k - 1] + 1).astype(np.uint64)
-        if k in pieces.by_length and len(live):
-            hashes, named = pieces.by_length[k]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[at] == h
-            starts.append(live[hit])
-            ids.append(named[at[hit]])
-            lengths.append(np.full(int(hit.sum()), k))
-    start, piece, length = np.concatenate(starts), np.concatenate(ids), np.concatenate(lengths)
-    # long words: new subwords where no edge passes over
-    bridged = np.zeros(n + 1, np.int64)
-    np.add.at(bridged, start + 1, 1)
-    np.add.at(bridged, start + length, -1)
-    bridged = np.cumsum(bridged)
-    heads = np.zeros(n + 1, bool)
-    heads[begins] = True
-    heads[:n] |= (np.repeat(sizes, sizes) > LONG_WORD) & (bridged[:n] == 0)
-    heads = np.flatnonzero(heads[:n])
-    # group by word: edges in order of their end; which of the edges that end at its start each may follow
-    order = np.lexsort((length, start + length))
-    start, piece, length = start[order], piece[order], length[order]
-    heads_of = heads[np.searchsorted(heads, start, "right") - 1]
-    inner = np.flatnonzero(start > heads_of)
-    ending = np.concatenate([[0], np.cumsum(np.bincount(start + length, minlength=n + 1))])  # edges by end
-    low, many = ending[start[inner]], ending[start[inner] + 1] - ending[start[inner]]
+def allowed_lengths(start: np.ndarray, length: np.ndarray, piece: np.ndarray, first: np.ndarray, follow: _Follow) -> np.ndarray:
+    """For each edge the lengths, as bits, of those edges ending at its start that it may follow (bit 0: it begins the
+    unit). Edges are in order of their ends; `first` are the starts of units; no two units share a place."""
+    ending = np.concatenate([[0], np.cumsum(np.bincount(start + length, minlength=int(start.max(initial=0)) + 1))])
+    mask = first.astype(np.int64)
+    inner = np.flatnonzero(~first)
+    low = ending[start[inner]]
+    many = ending[start[inner] + 1] - low
     e = np.repeat(inner, many)
     f = np.repeat(low, many) + np.arange(len(e)) - np.repeat(np.cumsum(many) - many, many)
-    mask = (start == heads_of).astype(np.int64)
     if len(e):
-        allowed = follow(piece[f], piece[e])
-        bits = np.where(allowed, 1 << length[f], 0)
+        known = (piece[e] != _UNKNOWN) & (piece[f] != _UNKNOWN)
+        ok = ~known
+        ok[known] = follow(piece[f[known]], piece[e[known]])
         own = np.flatnonzero(many)
-        mask[inner[own]] |= np.bitwise_or.reduceat(bits, (np.cumsum(many) - many)[own])
-    packed = ((start - heads_of) << 41 | mask << 24 | length << 16 | piece)[mask > 0]
-    kept = np.concatenate([[0], np.cumsum(mask > 0)])
-    edge_offsets = kept[ending[np.concatenate([heads, [n]]) + 1]]
-    word_offsets = np.searchsorted(heads, np.concatenate([begins, [n]]))
-    return packed, edge_offsets, word_offsets
-
-
-def word_edges(words: list[str], pieces: Pieces, follow: _Follow, memory: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lattice() of many words, a bounded number at once, with the task's memory of earlier words."""
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    new = [w for w in words if w not in memory]
-    for k in range(0, len(new), AT_ONCE):
-        part = new[k : k + AT_ONCE]
-        packed, edges, subs = lattice(part, pieces, follow)
-        raw, cuts, places = packed.tobytes(), (edges * 8).tolist(), subs.tolist()
-        for i, w in enumerate(part):
-            memory[w] = [raw[cuts[j] : cuts[j + 1]] for j in range(places[i], places[i + 1])]
-    found = [memory[w] for w in words]
-    flat = [x for own in found for x in own]
-    edge_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // 8)])
-    word_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-    return np.frombuffer(b"".join(flat), np.int64), edge_offsets, word_offsets
+        mask[inner[own]] |= np.bitwise_or.reduceat(np.where(ok, 1 << length[f], 0), (np.cumsum(many) - many)[own])
+    return mask
+
+
+def _ruled(lattices: DataFrame, shared) -> DataFrame:
+    """Lattices (unit, edges) with the allowed lengths of each edge's predecessor; edges without any lie on no path and
+    are left out. Packed: start (from bit 41), allowed (17 bits), length (5 bits in 8), piece (16 bits)."""
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        follow = _Follow(shared.value)
+        for batch in batches:
+            edges = batch.column("edges")
+            counts, flat = np.asarray(edges.value_lengths()), np.asarray(edges.flatten())
+            end, length, piece = flat >> 32, flat >> 24 & 0xFF, flat & 0xFFFFFF
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            sizes = end[offsets[1:] - 1] + 1  # the last edge ends at the unit's end
+            base = np.repeat(np.cumsum(sizes) - sizes, counts)
+            mask = allowed_lengths(end - length + base, length, piece, end == length, follow)
+            kept = np.concatenate([[0], np.cumsum(mask > 0)])
+            packed = ((end - length) << 41 | mask << 24 | length << 16 | piece)[mask > 0]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.ListArray.from_arrays(pa.array(kept[offsets], pa.int32()), pa.array(packed))], names=["unit", "edges"])
+
+    return lattices.mapInArrow(build, "unit string, edges array<long>")
+
+
+def _bits(e: Column, at: int, width: int) -> Column:
+    return F.shiftright(e, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+
+def best_path(edges: Column) -> Column:
+    """Fold one unit's edges, in order of their ends, into the ids of its segmentation. The state has, for each place so
+    far, the length of the piece that ends there and the ids up to it."""
+    begin = F.array(F.struct(F.lit(0).alias("length"), F.array().cast("array<int>").alias("ids")))
+
+    def take(best: Column, e: Column) -> Column:
+        before = F.get(best, F.shiftright(e, 41).cast("int"))
+        allowed = F.call_function("shiftright", F.shiftright(e, 24), before["length"]).bitwiseAND(F.lit(1)) == 1
+        longer = F.struct(_bits(e, 16, 8).alias("length"), F.concat(before["ids"], F.array(_bits(e, 0, 16))).alias("ids"))
+        return F.when(allowed, F.concat(best, F.array(longer))).otherwise(best)
+
+    return F.aggregate(edges, begin, take, lambda best: F.element_at(best, -1)["ids"])
+
+
+def long_path(unit: str, pieces: Pieces, follow: _Follow, slice_chars: int = SLICE_CHARS) -> np.ndarray:
+    """The same recurrence for a unit of any length, slice by slice in bounded memory."""
+    n, reach = len(unit), pieces.longest
+    lengths, ids = np.zeros(n + 1, np.uint8), np.full(n + 1, -1, np.int32)
+    for a in range(0, n, slice_chars):
+        low, high = max(0, a - 2 * reach), min(n, a + slice_chars)
+        found = []  # (end, length, piece), by end
+        for end in range(low + 1, high + 1):
+            for k in range(1, min(reach, end - low) + 1):
+                i = pieces.joined.get(unit[end - k : end], _UNKNOWN if k == 1 else None)
+                if i is not None:
+                    found.append((end, k, i))
+        end, length, piece = np.array(found, np.int64).T
+        mask = allowed_lengths(end - low - length, length, piece, end == length, follow)
+        for e, k, i, m in zip(end.tolist(), length.tolist(), piece.tolist(), mask.tolist(), strict=True):
+            if e > a and m >> int(lengths[e - k]) & 1:
+                lengths[e], ids[e] = k, i
+    path, at = [], n
+    while at:
+        path.append(ids[at])
+        at -= int(lengths[at])
+    return np.array(path[::-1], np.int32)
+
+
+def _slices(text: str, pieces: Pieces) -> Iterator[str]:
+    """The text in parts of about SLICE_CHARS, cut where no piece spans."""
+    at = 0
+    while len(text) - at > SLICE_CHARS:
+        part = text[at : at + SLICE_CHARS]
+        found = pieces.cuts(part)
+        while not len(found) and at + len(part) < len(text):  # one long unit
+            part = text[at : at + 2 * len(part)]
+            found = pieces.cuts(part)
+        end = int(found[-1]) if len(found) else len(part)
+        yield text[at : at + end]
+        at += end
+    if at < len(text):
+        yield text[at:]
+
+
+def units_of(text: str | None, pieces: Pieces) -> list[str]:
+    """The text's units, in order, with the space that encoding puts in front."""
+    out: list[str] = []
+    for part in _slices(SPACE + text.replace(" ", SPACE), pieces) if text else ():
+        cut = pieces.cuts(part).tolist()
+        out += [part[a:b] for a, b in zip([0, *cut], [*cut, len(part)], strict=True)]
+    return out
 
 
 class _Numbers(dict):
-    """Numbers new words in the order in which they come."""
+    """Numbers new units in the order in which they come."""
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
+    def __missing__(self, unit: str) -> int:
+        at = self[unit] = len(self)
         return at
 
 
-def _blocks(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a few MB: the piece table is of fixed size
+def _blocks(docs: DataFrame, shared) -> DataFrame:
+    """block, its distinct units, and its documents as numbers of units (compressed)."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        pieces = shared.value
-        follow, memory = _Follow(pieces), {}
-        ids: list = []
-        counts: list[int] = []
-        places: list[int] = []
-        seen = _Numbers()
-        size = 0
-
-        def done():
-            packed, edges, words = word_edges(list(seen), pieces, follow, memory)
-            at = np.array(places, np.int64)
-            spans = np.diff(words)[at] if len(at) else at
-            first = np.repeat(words[:-1][at] if len(at) else at, spans)
-            flat = first + np.arange(len(first)) - np.repeat(np.cumsum(spans) - spans, spans)
-            ends = np.concatenate([[0], np.cumsum(spans)])
-            offsets = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-            seq = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
-            own = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), seq], names=["doc_id", "seq"])
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(packed))
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), own), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)], names=["docs", "lattices"])
+        pieces, made = shared.value, TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor(level=3)
+        ids, counts, places, seen, size = [], [], [], _Numbers(), 0
+
+        def done() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            seq = np.concatenate(places) if places else np.empty(0, np.int32)
+            own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(seq))], names=["doc_id", "seq"])
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_batch(own)
+            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([list(seen)], pa.list_(pa.string())), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "units", "docs"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-                places.extend(map(seen.__getitem__, found))
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found = units_of(text.as_py(), pieces)
+                places.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
                 counts.append(len(found))
-                ids.append(doc_id)
-                size += len(text or "")
-                if size >= BLOCK_CHARS or len(seen) >= BLOCK_WORDS:
+                ids.append(doc_id.as_py())
+                size += sum(map(len, found))
+                if size >= BLOCK_CHARS or len(seen) >= BLOCK_UNITS:
                     yield done()
+                    made += 1
                     ids, counts, places, seen, size = [], [], [], _Numbers(), 0
         if ids:
             yield done()
 
-    return docs.select("doc_id", "text").mapInArrow(build, "docs array<struct<doc_id: bigint, seq: array<int>>>, lattices array<array<bigint>>")
-
-
-def _bits(e: Column, at: int, width: int) -> Column:
-    return F.shiftright(e, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-
+    return docs.select("doc_id", "text").mapInArrow(build, "block long, units array<string>, docs binary")
+
+
+def _by_block(blocks: DataFrame) -> DataFrame:
+    """The blocks as a staged table that is bucketed by block, so that what is joined to it moves, and not the
+    documents. The table's name goes at once; its files are the staged ones."""
+    spark = blocks.sparkSession
+    name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stage-blocks-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    release(spark)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def coded_units(units: DataFrame, pieces: Pieces, shared) -> DataFrame:
+    """unit and ids of distinct units: explode, join, group, fold."""
+    spark = units.sparkSession
+    table = spark.createDataFrame(list(pieces.joined.items()), "piece string, id int")
+    size = F.length("unit")
+    starts = units.where(size <= LONG_UNIT).select("unit", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    parts = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("start") + 1))).alias("length"))
+    parts = parts.withColumn("piece", F.substring("unit", F.col("start"), F.col("length")))
+    joined = parts.join(F.broadcast(table), "piece", "left").where("id is not null or length = 1")
+    edge = F.shiftleft((F.col("start") + F.col("length") - 1).cast("long"), 32) + F.shiftleft(F.col("length").cast("long"), 24) + F.coalesce("id", F.lit(_UNKNOWN))
+    lattices = joined.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    short = _ruled(lattices, shared).select("unit", best_path(F.col("edges")).alias("ids"))
+
+    def walk(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def best_path(edges: Column) -> Column:
-    """Fold one word's edges: ids of its segmentation.
+        pieces = shared.value
+        follow = _Follow(pieces)
+        for batch in batches:
+            ids = [long_path(u, pieces, follow) for u in batch.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
 
-    The first fold keeps, for each position, the piece ending there (position 0: none, of length 0). The
-    second walks back from the end."""
+    return short.union(units.where(size > LONG_UNIT).mapInArrow(walk, "unit string, ids array<int>"))
 
-    def take(best: Column, e: Column) -> Column:
-        previous = F.get(best, F.shiftright(e, 41).cast("int"))  # the best piece that ends where e starts
-        allowed = F.call_function("shiftright", F.shiftright(e, 24), _bits(previous, 16, 5)).bitwiseAND(F.lit(1))
-        return F.when(allowed == 1, F.concat(best, F.array(e))).otherwise(best)
 
-    def back(state: Column, e: Column) -> Column:
-        on = F.shiftright(e, 41).cast("int") + _bits(e, 16, 5) == state["need"]
-        return F.when(on, F.struct(F.shiftright(e, 41).cast("int").alias("need"), F.concat(F.array(_bits(e, 0, 16)), state["ids"]).alias("ids"))).otherwise(state)
+def _packed_paths(paths: DataFrame) -> DataFrame:
+    """block and the ids of its units by number, packed: one row a block, whose size is bounded."""
 
-    def walk(best: Column) -> Column:
-        begin = F.struct((F.size(best) - 1).alias("need"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.reverse(F.slice(best, 2, F.size(best))), begin, back)["ids"]
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return let(F.aggregate(edges, F.array(F.lit(0).cast("long")), take), walk)
+        def done() -> pa.RecordBatch:
+            own = pa.Table.from_batches(parts).sort_by("no").combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_table(own)
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["of_block", "paths"])
 
+        now, parts = None, []
+        for batch in batches:
+            blocks = np.asarray(batch.column("block"))
+            for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
+                if blocks[part[0]] != now:
+                    if parts:
+                        yield done()
+                    now, parts = int(blocks[part[0]]), []
+                parts.append(batch.slice(int(part[0]), len(part)).select(["no", "ids"]))
+        if parts:
+            yield done()
 
-def _table(pieces: Pieces) -> Column:
-    """The pieces' bytes in hexadecimal, as one constant array that is looked up by position."""
-    hexed = [p.replace(SPACE, " ").encode().hex() for p in pieces.text]
-    for b, i in pieces.bytes.items():
-        hexed[i] = f"{b:02x}"
-    for i in pieces.special:
-        hexed[i] = ""
-    return F.split(F.lit(",".join(hexed)), ",")
+    return paths.repartition("block").sortWithinPartitions("block").mapInArrow(build, "of_block long, paths binary")
 
 
-def _hex(ids: Column, table: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
+    """doc_id, ids and, if asked for, the SHA-256 of the text decoded from the ids: one row per document row."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a few MB: the piece table is of fixed size
+    blocks = _by_block(_blocks(docs, shared))
+    pairs = blocks.select("block", F.posexplode("units").alias("no", "unit"))
+    coded = staged(coded_units(pairs.select("unit").distinct(), pieces, shared), "coded")
+    paths = _packed_paths(pairs.join(coded, "unit").select("block", "no", "ids"))
+    both = blocks.join(paths, F.col("block") == F.col("of_block"), "left").select("units", "docs", "paths")
+    schema = "doc_id long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
 
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
 
-def _text(hexed: Column) -> Column:
-    """Text of joined pieces, without the space that encoding put in front."""
-    text = F.decode(F.unhex(hexed), "UTF-8")
-    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 1 << 30)).otherwise(text)
+        pieces = shared.value
+        for batch in batches:
+            for units, packed, paths in zip(batch.column("units"), batch.column("docs"), batch.column("paths"), strict=True):
+                own = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all().combine_chunks()
+                flat, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+                if paths.is_valid:
+                    of_unit = pa.ipc.open_stream(paths.as_buffer()).read_all().column("ids").combine_chunks()
+                    flat, counts = np.asarray(of_unit.flatten()), np.asarray(of_unit.value_lengths()).astype(np.int64)
+                unknown = np.flatnonzero(flat == _UNKNOWN)
+                if len(unknown):  # a character that is no piece is a unit of its own
+                    named = units.values.take(pa.array(np.searchsorted(np.cumsum(counts), unknown, "right"))).to_pylist()
+                    times = np.ones(len(flat), np.int64)
+                    raw = [c.encode() for c in named]
+                    times[unknown] = [len(x) for x in raw]
+                    counts[np.searchsorted(np.cumsum(counts), unknown, "right")] = times[unknown]
+                    flat = np.repeat(flat, times)
+                    flat[flat == _UNKNOWN] = [pieces.bytes[b] for x in raw for b in x]
+                begins = np.cumsum(counts) - counts
+                seqs = own.column("seq").combine_chunks()
+                ends = np.asarray(seqs.offsets).astype(np.int64)
+                every = np.asarray(seqs.values)
+                text_of = []
+                if decoded:
+                    joined, at = list(map(pieces.raw.__getitem__, flat.tolist())), [0, *np.cumsum(counts).tolist()]
+                    text_of = [b"".join(joined[a:b]) for a, b in zip(at, at[1:])]
+                doc = 0
+                while doc < len(own):  # some documents at once: the ids of a whole block are many
+                    last = max(doc + 1, int(np.searchsorted(ends, ends[doc] + 500_000, "right")) - 1)
+                    seq = every[ends[doc] : ends[last]]
+                    spans = counts[seq]
+                    at = np.repeat(begins[seq], spans) + np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
+                    cut = np.concatenate([[0], np.cumsum(spans)])[ends[doc : last + 1] - ends[doc]]
+                    cols = [own.column("doc_id").slice(doc, last - doc).combine_chunks(), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[at]))]
+                    if decoded:
+                        texts = (b"".join(map(text_of.__getitem__, every[ends[d] : ends[d + 1]].tolist())) for d in range(doc, last))
+                        cols.append(pa.array([hashlib.sha256(x[1:] if x[:1] == b" " else x).hexdigest() for x in texts], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded_sha256"][: len(cols)])
+                    doc = last
+
+    return both.mapInArrow(build, schema)
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id and ids (array<int>), one row per document row."""
-    pieces = pieces or Pieces()
-    paths = F.transform("lattices", best_path)
-    coded = let(paths, lambda p: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["seq"], lambda i: F.get(p, i))).alias("ids"))))
-    return _blocks(docs, pieces).select(F.explode(coded).alias("d")).select("d.doc_id", "d.ids")
+    return _encoded(docs, pieces or Pieces(), decoded=False)
 
 
 def decode(ids: Column, pieces: Pieces | None = None) -> Column:
     """Text of an array of ids: the pieces' bytes joined, spaces restored, the added first space removed."""
-    return _text(_hex(ids, _table(pieces or Pieces())))
+    table = F.split(F.lit(",".join(x.hex() for x in (pieces or Pieces()).raw)), ",")
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+    return F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 1 << 30)).otherwise(text)
 
 
 def encode_and_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, and the SHA-256 of the text decoded from the ids.
-
-    Within a block each distinct word is decoded once, from its own ids, and the texts join the words' bytes."""
-    pieces = Pieces(path)
-    table = _table(pieces)
-    paths = F.transform("lattices", best_path)
-
-    def documents(p: Column) -> Column:
-        return let(F.transform(p, lambda ids: _hex(ids, table)), lambda h: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["seq"], lambda i: F.get(p, i))).alias("ids"), F.sha2(F.encode(_text(F.array_join(F.transform(d["seq"], lambda i: F.get(h, i)), "")), "UTF-8"), 256).alias("decoded_sha256"))))
-
-    rows = _blocks(docs, pieces).select(F.explode(let(paths, documents)).alias("d"))
-    return rows.select("d.doc_id", F.size("d.ids").cast("long").alias("n_tokens"), "d.ids", "d.decoded_sha256")
+    """doc_id, n_tokens, ids, and the SHA-256 of the text decoded from the ids."""
+    rows = _encoded(docs, Pieces(path), decoded=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
