@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import release, shared_dir, staged
+from quantloom.llm.common import release, shared_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A block ends at so many characters or distinct units; texts are cut in slices of so many characters.
-BLOCK_CHARS, BLOCK_UNITS, SLICE_CHARS = 16 << 20, 300_000, 1 << 18
+BLOCK_CHARS, BLOCK_UNITS, SLICE_CHARS = 24 << 20, 400_000, 1 << 18
 LONG_UNIT = 128
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.float64(-np.inf)
@@ -288,11 +288,15 @@ def _blocks(docs: DataFrame, shared) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            seq = np.concatenate(places) if places else np.empty(0, np.int32)
+            names = list(seen)
+            order = sorted(range(len(names)), key=names.__getitem__)  # sorted units pack well
+            rank = np.empty(len(names), np.int32)
+            rank[order] = np.arange(len(names), dtype=np.int32)
+            seq = rank[np.concatenate(places)] if names else np.empty(0, np.int32)
             own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(seq))], names=["doc_id", "seq"])
             with pa.ipc.new_stream(sink, own.schema) as out:
                 out.write_batch(own)
-            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([list(seen)], pa.list_(pa.string())), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "units", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([[names[i] for i in order]], pa.list_(pa.string())), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "units", "docs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
@@ -311,13 +315,13 @@ def _blocks(docs: DataFrame, shared) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, "block long, units array<string>, docs binary")
 
 
-def _by_block(blocks: DataFrame) -> DataFrame:
-    """The blocks as a staged table that is bucketed by block, so that what is joined to it moves, and not the
-    documents. The table's name goes at once; its files are the staged ones."""
-    spark = blocks.sparkSession
-    name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stage-blocks-{uuid.uuid4().hex}"
+def _bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """Like staged(), as a table bucketed by a column: joins and groups on it then move the other side only, or
+    nothing. The table's name goes at once; its files are the staged ones."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, by).sortBy(by).option("compression", "zstd").option("path", f"{shared_dir(spark)}/stage-{name}").saveAsTable(name)
     release(spark)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
@@ -325,7 +329,7 @@ def _by_block(blocks: DataFrame) -> DataFrame:
 
 
 def coded_units(units: DataFrame, pieces: Pieces, shared) -> DataFrame:
-    """unit and ids of distinct units: explode, join, group, fold."""
+    """unit and path (its ids, two bytes each) of distinct units: explode, join, group, fold."""
     spark = units.sparkSession
     table = spark.createDataFrame(list(pieces.joined.items()), "piece string, id int")
     size = F.length("unit")
@@ -335,7 +339,7 @@ def coded_units(units: DataFrame, pieces: Pieces, shared) -> DataFrame:
     joined = parts.join(F.broadcast(table), "piece", "left").where("id is not null or length = 1")
     edge = F.shiftleft((F.col("start") + F.col("length") - 1).cast("long"), 32) + F.shiftleft(F.col("length").cast("long"), 24) + F.coalesce("id", F.lit(_UNKNOWN))
     lattices = joined.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    short = _ruled(lattices, shared).select("unit", best_path(F.col("edges")).alias("ids"))
+    short = _ruled(lattices, shared).select("unit", F.unhex(F.array_join(F.transform(best_path(F.col("edges")), lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("path"))
 
     def walk(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -343,14 +347,14 @@ def coded_units(units: DataFrame, pieces: Pieces, shared) -> DataFrame:
         pieces = shared.value
         follow = _Follow(pieces)
         for batch in batches:
-            ids = [long_path(u, pieces, follow) for u in batch.column("unit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
+            paths = [long_path(u, pieces, follow).astype(">u2").tobytes() for u in batch.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(paths, pa.binary())], names=["unit", "path"])
 
-    return short.union(units.where(size > LONG_UNIT).mapInArrow(walk, "unit string, ids array<int>"))
+    return short.union(units.where(size > LONG_UNIT).mapInArrow(walk, "unit string, path binary"))
 
 
 def _packed_paths(paths: DataFrame) -> DataFrame:
-    """block and the ids of its units by number, packed: one row a block, whose size is bounded."""
+    """block and the paths of its units by number, packed: one row a block, whose size is bounded."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -370,7 +374,7 @@ def _packed_paths(paths: DataFrame) -> DataFrame:
                     if parts:
                         yield done()
                     now, parts = int(blocks[part[0]]), []
-                parts.append(batch.slice(int(part[0]), len(part)).select(["no", "ids"]))
+                parts.append(batch.slice(int(part[0]), len(part)).select(["no", "path"]))
         if parts:
             yield done()
 
@@ -380,10 +384,11 @@ def _packed_paths(paths: DataFrame) -> DataFrame:
 def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
     """doc_id, ids and, if asked for, the SHA-256 of the text decoded from the ids: one row per document row."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a few MB: the piece table is of fixed size
-    blocks = _by_block(_blocks(docs, shared))
-    pairs = blocks.select("block", F.posexplode("units").alias("no", "unit"))
-    coded = staged(coded_units(pairs.select("unit").distinct(), pieces, shared), "coded")
-    paths = _packed_paths(pairs.join(coded, "unit").select("block", "no", "ids"))
+    blocks = _bucketed(_blocks(docs, shared), "block", "blocks")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _bucketed(blocks.select("block", F.posexplode("units").alias("no", "unit")).repartition(buckets, "unit"), "unit", "pairs")
+    coded = _bucketed(coded_units(pairs.select("unit").distinct(), pieces, shared), "unit", "coded")
+    paths = _packed_paths(pairs.join(coded, "unit").select("block", "no", "path"))
     both = blocks.join(paths, F.col("block") == F.col("of_block"), "left").select("units", "docs", "paths")
     schema = "doc_id long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
 
@@ -397,8 +402,9 @@ def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
                 own = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all().combine_chunks()
                 flat, counts = np.empty(0, np.int32), np.empty(0, np.int64)
                 if paths.is_valid:
-                    of_unit = pa.ipc.open_stream(paths.as_buffer()).read_all().column("ids").combine_chunks()
-                    flat, counts = np.asarray(of_unit.flatten()), np.asarray(of_unit.value_lengths()).astype(np.int64)
+                    of_unit = pa.ipc.open_stream(paths.as_buffer()).read_all().column("path").combine_chunks()
+                    flat = np.frombuffer(b"".join(of_unit.to_pylist()), ">u2").astype(np.int32)
+                    counts = np.diff(np.frombuffer(of_unit.buffers()[1], np.int32, len(of_unit) + 1, of_unit.offset * 4)).astype(np.int64) // 2
                 unknown = np.flatnonzero(flat == _UNKNOWN)
                 if len(unknown):  # a character that is no piece is a unit of its own
                     named = units.values.take(pa.array(np.searchsorted(np.cumsum(counts), unknown, "right"))).to_pylist()
