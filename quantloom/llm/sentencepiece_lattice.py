@@ -39,6 +39,8 @@ from quantloom.llm.common import release, shared_dir
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A block ends at so many characters or distinct units; texts are cut in slices of so many characters.
+#: Documents of a block are packed by so many units, and paths on their way to the blocks by so many rows.
+CHUNK_UNITS, PARCEL_ROWS = 300_000, 200_000
 BLOCK_CHARS, BLOCK_UNITS, SLICE_CHARS = 24 << 20, 400_000, 1 << 18
 LONG_UNIT = 128
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -276,7 +278,7 @@ class _Numbers(dict):
 
 
 def _blocks(docs: DataFrame, shared) -> DataFrame:
-    """block, its distinct units, and its documents as numbers of units (compressed)."""
+    """block, its distinct units, and its documents as numbers of units, in compressed chunks."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -284,19 +286,18 @@ def _blocks(docs: DataFrame, shared) -> DataFrame:
 
         pieces, made = shared.value, TaskContext.get().partitionId() << 32
         pack = zstandard.ZstdCompressor(level=3)
-        ids, counts, places, seen, size = [], [], [], _Numbers(), 0
+        chunks, ids, counts, places, seen, size, held = [], [], [], [], _Numbers(), 0, 0
 
-        def done() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            names = list(seen)
-            order = sorted(range(len(names)), key=names.__getitem__)  # sorted units pack well
-            rank = np.empty(len(names), np.int32)
-            rank[order] = np.arange(len(names), dtype=np.int32)
-            seq = rank[np.concatenate(places)] if names else np.empty(0, np.int32)
+        def chunk() -> bytes:
+            seq = np.concatenate(places) if places else np.empty(0, np.int32)
             own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(seq))], names=["doc_id", "seq"])
+            sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as out:
                 out.write_batch(own)
-            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([[names[i] for i in order]], pa.list_(pa.string())), pa.array([pack.compress(sink.getvalue())], pa.binary())], names=["block", "units", "docs"])
+            return pack.compress(sink.getvalue())
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([list(seen)], pa.list_(pa.string())), pa.array([chunks], pa.list_(pa.binary()))], names=["block", "units", "docs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
@@ -304,15 +305,22 @@ def _blocks(docs: DataFrame, shared) -> DataFrame:
                 places.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
                 counts.append(len(found))
                 ids.append(doc_id.as_py())
+                held += len(found)
                 size += sum(map(len, found))
-                if size >= BLOCK_CHARS or len(seen) >= BLOCK_UNITS:
+                full = size >= BLOCK_CHARS or len(seen) >= BLOCK_UNITS
+                if held >= CHUNK_UNITS or full:
+                    chunks.append(chunk())
+                    ids, counts, places, held = [], [], [], 0
+                if full:
                     yield done()
                     made += 1
-                    ids, counts, places, seen, size = [], [], [], _Numbers(), 0
+                    chunks, seen, size = [], _Numbers(), 0
         if ids:
+            chunks.append(chunk())
+        if chunks:
             yield done()
 
-    return docs.select("doc_id", "text").mapInArrow(build, "block long, units array<string>, docs binary")
+    return docs.select("doc_id", "text").mapInArrow(build, "block long, units array<string>, docs array<binary>")
 
 
 def _bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
@@ -353,32 +361,52 @@ def coded_units(units: DataFrame, pieces: Pieces, shared) -> DataFrame:
     return short.union(units.where(size > LONG_UNIT).mapInArrow(walk, "unit string, path binary"))
 
 
-def _packed_paths(paths: DataFrame) -> DataFrame:
-    """block and the paths of its units by number, packed: one row a block, whose size is bounded."""
+def _parcels(paths: DataFrame) -> DataFrame:
+    """(block, no, path) rows as parcels for each block: numbers, lengths and ids of a task's rows, compressed."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        def done() -> pa.RecordBatch:
-            own = pa.Table.from_batches(parts).sort_by("no").combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema) as out:
-                out.write_table(own)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["of_block", "paths"])
+        pack = zstandard.ZstdCompressor(level=3)
 
-        now, parts = None, []
+        def done() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("no", "ascending")]).combine_chunks()
+            blocks, nos, path = (own.column(c).combine_chunks() for c in ("block", "no", "path"))
+            blocks, nos = np.asarray(blocks), np.asarray(nos)
+            ends, data = np.frombuffer(path.buffers()[1], np.int32, len(path) + 1, path.offset * 4), path.buffers()[2].to_pybytes() if len(path) else b""
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            made = []
+            for a, b in zip(cuts, cuts[1:]):
+                lengths = (np.diff(ends[a : b + 1]) // 2).astype(np.int32)
+                made.append(pack.compress(np.int32(b - a).tobytes() + np.diff(nos[a:b], prepend=np.int32(0)).tobytes() + lengths.tobytes() + data[ends[a] : ends[b]]))
+            return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]]), pa.array(made, pa.binary())], names=["of_block", "parcel"])
+
+        held, rows = [], 0
         for batch in batches:
-            blocks = np.asarray(batch.column("block"))
-            for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
-                if blocks[part[0]] != now:
-                    if parts:
-                        yield done()
-                    now, parts = int(blocks[part[0]]), []
-                parts.append(batch.slice(int(part[0]), len(part)).select(["no", "path"]))
-        if parts:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= PARCEL_ROWS:
+                yield done()
+                held, rows = [], 0
+        if rows:
             yield done()
 
-    return paths.repartition("block").sortWithinPartitions("block").mapInArrow(build, "of_block long, paths binary")
+    return paths.mapInArrow(build, "of_block long, parcel binary")
+
+
+def _opened(parcels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of units, how many ids each has, and the ids one after another."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor()
+    parts: list[list] = [[], [], []]
+    for x in map(raw.decompress, parcels):
+        n = int(np.frombuffer(x, np.int32, 1)[0])
+        parts[0].append(np.cumsum(np.frombuffer(x, np.int32, n, 4)))
+        parts[1].append(np.frombuffer(x, np.int32, n, 4 + 4 * n).astype(np.int64))
+        parts[2].append(np.frombuffer(x, ">u2", offset=4 + 8 * n).astype(np.int32))
+    return tuple(np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
 
 
 def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
@@ -388,7 +416,8 @@ def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = _bucketed(blocks.select("block", F.posexplode("units").alias("no", "unit")).repartition(buckets, "unit"), "unit", "pairs")
     coded = _bucketed(coded_units(pairs.select("unit").distinct(), pieces, shared), "unit", "coded")
-    paths = _packed_paths(pairs.join(coded, "unit").select("block", "no", "path"))
+    # a block's parcels hold its own units once, so their list is bounded like the block
+    paths = _parcels(pairs.join(coded, "unit").select("block", "no", "path")).groupBy("of_block").agg(F.collect_list("parcel").alias("paths"))
     both = blocks.join(paths, F.col("block") == F.col("of_block"), "left").select("units", "docs", "paths")
     schema = "doc_id long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
 
@@ -396,45 +425,44 @@ def _encoded(docs: DataFrame, pieces: Pieces, decoded: bool) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        pieces = shared.value
-        for batch in batches:
-            for units, packed, paths in zip(batch.column("units"), batch.column("docs"), batch.column("paths"), strict=True):
-                own = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())).read_all().combine_chunks()
-                flat, counts = np.empty(0, np.int32), np.empty(0, np.int64)
-                if paths.is_valid:
-                    of_unit = pa.ipc.open_stream(paths.as_buffer()).read_all().column("path").combine_chunks()
-                    flat = np.frombuffer(b"".join(of_unit.to_pylist()), ">u2").astype(np.int32)
-                    counts = np.diff(np.frombuffer(of_unit.buffers()[1], np.int32, len(of_unit) + 1, of_unit.offset * 4)).astype(np.int64) // 2
-                unknown = np.flatnonzero(flat == _UNKNOWN)
-                if len(unknown):  # a character that is no piece is a unit of its own
-                    named = units.values.take(pa.array(np.searchsorted(np.cumsum(counts), unknown, "right"))).to_pylist()
-                    times = np.ones(len(flat), np.int64)
-                    raw = [c.encode() for c in named]
-                    times[unknown] = [len(x) for x in raw]
-                    counts[np.searchsorted(np.cumsum(counts), unknown, "right")] = times[unknown]
-                    flat = np.repeat(flat, times)
-                    flat[flat == _UNKNOWN] = [pieces.bytes[b] for x in raw for b in x]
-                begins = np.cumsum(counts) - counts
-                seqs = own.column("seq").combine_chunks()
-                ends = np.asarray(seqs.offsets).astype(np.int64)
-                every = np.asarray(seqs.values)
-                text_of = []
+        pieces, raw = shared.value, zstandard.ZstdDecompressor()
+
+        def documents(units, chunks: list[bytes], parcels: list[bytes]) -> Iterator[pa.RecordBatch]:
+            nos, many, flat = _opened(parcels)
+            unknown = np.flatnonzero(flat == _UNKNOWN)
+            if len(unknown):  # a character that is no piece is a unit of its own
+                of = np.searchsorted(np.cumsum(many), unknown, "right")
+                spelt = [c.encode() for c in units.values.take(pa.array(nos[of])).to_pylist()]
+                times = np.ones(len(flat), np.int64)
+                times[unknown] = many[of] = [len(x) for x in spelt]
+                flat = np.repeat(flat, times)
+                flat[flat == _UNKNOWN] = [pieces.bytes[b] for x in spelt for b in x]
+            counts, begins = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
+            counts[nos], begins[nos] = many, np.cumsum(many) - many
+            text_of = [b""] * len(nos) if decoded else []
+            if decoded:
+                for a in range(0, len(nos), 50_000):
+                    part = nos[a : a + 50_000]
+                    low = int(begins[part[0]])
+                    joined = list(map(pieces.raw.__getitem__, flat[low : int(begins[part[-1]] + counts[part[-1]])].tolist()))
+                    for no, b, n in zip(part.tolist(), (begins[part] - low).tolist(), counts[part].tolist(), strict=True):
+                        text_of[no] = b"".join(joined[b : b + n])
+            for x in chunks:
+                own = pa.ipc.open_stream(raw.decompress(x)).read_next_batch()
+                ends, seq = np.asarray(own.column("seq").offsets).astype(np.int64), np.asarray(own.column("seq").values)
+                spans = counts[seq]
+                at = np.repeat(begins[seq], spans) + np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
+                cut = np.concatenate([[0], np.cumsum(spans)])[ends]
+                cols = [own.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[at]))]
                 if decoded:
-                    joined, at = list(map(pieces.raw.__getitem__, flat.tolist())), [0, *np.cumsum(counts).tolist()]
-                    text_of = [b"".join(joined[a:b]) for a, b in zip(at, at[1:])]
-                doc = 0
-                while doc < len(own):  # some documents at once: the ids of a whole block are many
-                    last = max(doc + 1, int(np.searchsorted(ends, ends[doc] + 500_000, "right")) - 1)
-                    seq = every[ends[doc] : ends[last]]
-                    spans = counts[seq]
-                    at = np.repeat(begins[seq], spans) + np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
-                    cut = np.concatenate([[0], np.cumsum(spans)])[ends[doc : last + 1] - ends[doc]]
-                    cols = [own.column("doc_id").slice(doc, last - doc).combine_chunks(), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[at]))]
-                    if decoded:
-                        texts = (b"".join(map(text_of.__getitem__, every[ends[d] : ends[d + 1]].tolist())) for d in range(doc, last))
-                        cols.append(pa.array([hashlib.sha256(x[1:] if x[:1] == b" " else x).hexdigest() for x in texts], pa.string()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded_sha256"][: len(cols)])
-                    doc = last
+                    texts = (b"".join(map(text_of.__getitem__, seq[a:b].tolist())) for a, b in zip(ends.tolist(), ends[1:].tolist()))
+                    cols.append(pa.array([hashlib.sha256(t[1:] if t[:1] == b" " else t).hexdigest() for t in texts], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded_sha256"][: len(cols)])
+
+        for batch in batches:
+            for row in range(len(batch)):
+                units, chunks, parcels = (batch.column(c)[row] for c in ("units", "docs", "paths"))
+                yield from documents(units, chunks.as_py(), parcels.as_py() or [])
 
     return both.mapInArrow(build, schema)
 
