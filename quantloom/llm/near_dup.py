@@ -8,14 +8,16 @@ less meet under a key for certain, and pairs beyond that still meet if any one c
 similarity 0.8 exactly, all six chunks fail with probability 1e-6). Pairs that meet are compared on their
 whole texts; only confirmed pairs are links.
 
-Groups stay linear:
+What a group costs:
 1. documents with equal sets form a class, represented by its smallest doc_id; copies never meet in a join;
 2. each class is first compared with one star of its keys (the class that meets most others), the nearest by
    sketch; confirmed links are contracted to components, and classes whose keys still hold several
-   components meet further stars;
-3. keys whose classes all lie in one component are done. In the others, classes of different components meet
-   if sizes and a 1024-bit sketch allow similarity 0.8, so no link between different texts is lost, while
-   classes already linked are never paired with each other.
+   components meet further stars: at most one pair a class and round;
+3. keys whose classes all lie in one component are done. The classes of the other keys order their shingles by how
+   many of these classes have them, rare ones first. Two sets of the wanted similarity share one of their first
+   shingles, and from the first shared one on enough remain in both; only classes of different components that meet
+   both conditions are compared. No link between different texts is lost (both conditions are necessary), and
+   copies of one text with many edits of their own, which crowd the keys without being links, hardly ever meet.
 
 Results for odd input: null texts and texts without words have an empty set and are linked with nothing; a
 text with fewer than k words is one shingle; repeated rows (same doc_id) fall into one class and are all
@@ -32,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, ascii_lower, components, staged
+from quantloom.llm.common import WORD, ascii_lower, components, discard, staged
 
 SHINGLE = 4
 PERCENT = 80
@@ -41,7 +43,7 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 SKETCH_BITS = 1024
 #: Sketch bits that may differ go this many standard deviations beyond what similarity PERCENT / 100 expects.
 SKETCH_DEVIATIONS = 5.0
-#: Classes of a key that are compared in one group; keys with more are dealt into blocks of this size.
+#: Sets of a first shingle that are compared in one group; shingles with more are dealt into blocks of this size.
 KEY_BLOCK = 4096
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -178,41 +180,68 @@ def _may_link(a: str, b: str) -> Column:
     return (low * 100 >= high * PERCENT) & (_differ(a, b) <= _most_different(F.col(f"{a}_n") + F.col(f"{b}_n"), F.exp, F.sqrt))
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes that share a key, lie in different components and may be linked.
+def _open_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """id, c, n and the hashed shingles of the texts of `classes(id, c)`."""
 
-    `rows`: key, many (rows of the key), id, c (component), n, sketch. Sizes and sketches are compared in
-    arrays, a key at a time. The rows of a key beyond KEY_BLOCK are dealt into blocks, and each pair of blocks
-    is a task group of its own, so that no group grows with the data.
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashes = _Hashes()
+        for batch in batches:
+            made = [shingle_hashes(x, size, hashes) for x in batch.column("text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])])
+            flat = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "c", "n", "shingles"])
+
+    texts = docs.join(classes, F.col("doc_id") == F.col("id")).select("id", "c", "text")
+    return texts.mapInArrow(build, "id long, c long, n long, shingles array<long>")
+
+
+def _first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key = shingle, id, c, n, rest): the shingles by which a set can first meet another one of similarity
+    percent / 100, rarest first, and how many of the set's shingles there are from this one on. Shingles that no other
+    set has come first and meet nothing."""
+    each = staged(sets.withColumn("set", F.monotonically_increasing_id()), "sets").select("set", "id", "c", "n", F.explode("shingles").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    ranked = each.join(shared, "key").groupBy("set", "id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
+    firsts = ranked.select("id", "c", "n", F.size("s").alias("left"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), reach).cast("int"))).alias("at", "x"))
+    return firsts.select("x.key", "id", "c", "n", (F.col("left") - F.col("at")).cast("long").alias("rest"))
+
+
+def _open_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) of sets in different components that share a first shingle and may be linked.
+
+    `rows`: key, many (rows of the key), id, c (component), n, rest. A pair is compared in arrays, a key at a time. If
+    the key is the first that both share, they share at most the lesser `rest`. The rows of a key beyond KEY_BLOCK are
+    dealt into blocks, and each pair of blocks is a task group of its own, so that no group grows with the data.
     """
     blocks = F.ceil(F.col("many") / KEY_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "c", "n", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "c", "n", "rest")
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs(key: tuple, ids: np.ndarray, c: np.ndarray, n: np.ndarray, own: np.ndarray, bits: np.ndarray):
+        def pairs(key: tuple, ids: np.ndarray, c: np.ndarray, n: np.ndarray, rest: np.ndarray, own: np.ndarray):
             for at in range(0, len(ids), 1024):
                 left = slice(at, at + 1024)
-                ok = c[left, None] != c[None]
-                ok &= ids[left, None] < ids[None]
+                ok = (c[left, None] != c[None]) & (ids[left, None] < ids[None])
                 if key[1] != key[2]:
                     ok &= own[left, None] != own[None]
-                low, high = np.minimum(n[left, None], n[None]), np.maximum(n[left, None], n[None])
-                ok &= low * 100 >= high * PERCENT
+                ok &= np.minimum(rest[left, None], rest[None]) * (100 + percent) >= (n[left, None] + n[None]) * percent
                 i, j = np.nonzero(ok)
-                near = np.bitwise_count(bits[i + at] ^ bits[j]).sum(1, dtype=np.int64) <= _most_different((n[i + at] + n[j]).astype(float), np.exp, np.sqrt)
-                if near.any():
-                    yield np.stack([ids[i[near] + at], ids[j[near]]], 1)
+                if len(i):
+                    yield np.stack([ids[i + at], ids[j]], 1)
 
         def flush(held: list) -> pa.RecordBatch:
             x = np.unique(np.concatenate(held), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
         held: list = []
-        for key, cols in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "own")):
+        for key, cols in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "rest", "own")):
             held += pairs(key, *cols)
             if sum(map(len, held)) > 200_000:
                 yield flush(held)
@@ -225,14 +254,13 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator, by: tuple, names: tuple) -> Iterator:
-    """(key, columns) of each run of equal `by` values in sorted batches; the last column is the sketch."""
+    """(key, columns) of each run of equal `by` values in sorted batches."""
     now, parts = None, []
     for batch in batches:
         if not len(batch):
             continue
         keys = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in by], 1)
         cols = [np.asarray(batch.column(c)) for c in names]
-        cols.append(np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(-1, SKETCH_BITS // 64))
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
             key = tuple(keys[a].tolist())
@@ -309,17 +337,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # the class that meets most others stands in the middle of its group: it is the star of its keys
     central = keys.groupBy("id").agg(F.sum("many").alias("met"))
     links = staged(confirm(staged(_stars(keys.join(central, "id"), classes), "stars1"), docs, size), "links1")
-    for again in (1, 2):  # classes that their star did not take meet another one of their keys
-        placed = _place(keys, links, f"near{again}")
-        mixed = _mixed(placed)
-        open_keys = placed.join(mixed.select("key"), "key").withColumn("met", F.xxhash64(F.lit(again), "id"))
-        stars = staged(_stars(open_keys, classes, "c"), f"stars{again}")
-        links = staged(links.union(confirm(stars, docs, size)), f"links{again}")
-    placed = _place(keys, links, "near3")
-    open_pairs = _open_pairs(placed.join(_mixed(placed), "key").join(classes.select("id", "n", "sketch"), "id"))
-    links = staged(links.union(confirm(staged(open_pairs, "pairs"), docs, size)), "links3")
-
-    final = components(links, "near4")
+    # classes that their star did not take meet another one of their keys
+    placed = _place(keys, links, "near1")
+    open_keys = placed.join(_mixed(placed).select("key"), "key").withColumn("met", F.xxhash64("id"))
+    links = staged(links.union(confirm(staged(_stars(open_keys, classes, "c"), "stars2"), docs, size)), "links2")
+    placed = _place(keys, links, "near2")
+    still = staged(placed.join(_mixed(placed).select("key"), "key").select("id", "c").distinct(), "open")
+    firsts = staged(_first_shingles(_open_sets(docs, still, size)), "firsts")
+    open_pairs = staged(_open_pairs(firsts.join(_mixed(firsts), "key")), "pairs")
+    links = staged(links.union(confirm(open_pairs, docs, size)), "links3")
+    for done in (keys, still, firsts, open_pairs):
+        discard(done)
+
+    final = components(links, "near3")
     named = classes.select("class_key", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("class_key").alias("of_class"), F.coalesce("component", "id").alias("component"))
     out = rows.join(named, F.col("class_key") == F.col("of_class"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
