@@ -26,8 +26,9 @@ f AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp
  coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (rid) LEFT JOIN line USING (rid)),
 b AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, {_fails(0)} AS lenient, {_fails(1)} AS strict FROM f),
 h AS (SELECT host, count(*) AS n, CAST(sum(CASE WHEN base_failed OR strict THEN 1 ELSE 0 END) AS DOUBLE) AS failed FROM b GROUP BY host),
-p AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM h),
-s AS (SELECT m, least(1000.0, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0 END)) AS s FROM p),
+p AS (SELECT CAST(sum(n) AS DOUBLE) AS docs, count(*) - 1 AS alike, sum(failed) AS f, sum(failed) / CAST(sum(n) AS DOUBLE) AS m, sum(failed * failed / n) AS ff, CAST(sum(n * n) AS DOUBLE) AS nn FROM h),
+x AS (SELECT m, CASE WHEN m > 0 AND m < 1 THEN (ff - f * f / docs) / (m * (1 - m)) - alike END AS spread, docs - nn / docs - alike AS room FROM p),
+s AS (SELECT m, least(1000.0, greatest(1.0, coalesce(CASE WHEN room > 1e-6 AND spread > 1e-6 THEN 1 / least(1.0, spread / room) - 1 END, 1000.0))) AS s FROM x),
 r AS (SELECT host, round((failed + m * s) / (n + s), 9) AS host_rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT lenient AND NOT (host_rate > {q.HOST_FAIL_RATE} AND strict) AS kept, host_rate FROM b JOIN r ON b.host IS NOT DISTINCT FROM r.host"""
 

@@ -1,12 +1,12 @@
 """Host-level quality rules, with DataFrame functions only.
 
 Each document gets rule figures from its whole text. Failures of the document rules are summed by host,
-each host's failure rate is shrunk with a beta prior fitted to all hosts (method of moments), and the
+each host's failure rate is shrunk with a beta prior fitted to all hosts (moments of the beta-binomial), and the
 verdict on the host is joined back: documents from hosts whose shrunk rate is too high must pass the strict
 thresholds as well. A document that passes the strict rules is kept whatever its host.
 
 Results for odd input: a null or blank text has no words and fails the base rule; a null host is a host of
-its own; repeated rows are judged one by one; an empty table gives an empty result. Only the key, text and
+its own; repeated rows are judged one by one; texts of any length are read whole; an empty table gives an empty result. Only the key, text and
 host columns are read, so other columns cannot clash.
 """
 
@@ -79,17 +79,23 @@ def _fails(level: int) -> Column:
 
 
 def host_rates(figures: DataFrame) -> DataFrame:
-    """host, n, failed, rate, shrunk: posterior mean under Beta(a, b) fitted to the hosts' rates.
+    """host and its shrunk failure rate: posterior mean under Beta(a, b) fitted to the hosts.
 
-    Moments: with mean m and variance v between hosts, a + b = m (1 - m) / v - 1, kept within [1, 1000].
-    Sums combine before the shuffle, so a hot host is a few rows per task; hosts themselves are never
-    collected, the prior is one row.
+    Moments of the beta-binomial: with overall rate m, k hosts of n documents and N in all, the squares between hosts
+    S = sum n (rate - m)^2 are (k - 1) m (1 - m) if all hosts are alike, and more by rho m (1 - m) (N - sum n^2 / N -
+    (k - 1)) if not, so hosts of few documents don't pass for unlike ones. a + b = 1 / rho - 1, kept within [1, 1000];
+    1000 if nothing shows a difference. Sums combine before the shuffle, so a hot host is a few rows per task; hosts
+    themselves are never collected, the prior is one row.
     """
-    by_host = figures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
-    by_host = by_host.withColumn("rate", F.col("failed") / F.col("n"))
-    prior = by_host.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop("rate").alias("v"))
-    strength = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1000.0))))
-    return by_host.crossJoin(F.broadcast(prior.select("m", strength.alias("s")))).select("host", "n", (F.col("failed") + F.col("m") * F.col("s")).alias("up"), (F.col("n") + F.col("s")).alias("down")).select("host", F.round(F.col("up") / F.col("down"), 9).alias("host_rate"))
+    by_host = figures.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).cast("double").alias("failed"))
+    sums = by_host.agg(F.sum("n").cast("double").alias("docs"), F.count(F.lit(1)).alias("hosts"), F.sum("failed").alias("f"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("ff"), F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"))
+    docs, m, alike = F.col("docs"), F.col("m"), F.col("hosts") - 1
+    sums = sums.withColumn("m", F.col("f") / docs)
+    spread = F.when((m > 0) & (m < 1), (F.col("ff") - F.col("f") * F.col("f") / docs) / (m * (1 - m)) - alike)
+    room = docs - F.col("nn") / docs - alike
+    rho = F.when((room > 1e-6) & (spread > 1e-6), F.least(F.lit(1.0), spread / room))
+    strength = F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.coalesce(1 / rho - 1, F.lit(1000.0))))
+    return by_host.crossJoin(F.broadcast(sums.select("m", strength.alias("s")))).select("host", F.round((F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s")), 9).alias("host_rate"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
