@@ -99,13 +99,63 @@ def test_index_guarantees_the_distance_threshold():
 
 def test_open_pairs_across_blocks(spark, monkeypatch):
     """Keys beyond the block size give the same pairs as within it."""
-    rows = spark.createDataFrame([(1, 40, i, i, 100, [0] * 16) for i in range(40)], "key long, many long, id long, c long, n long, sketch array<long>")
+    rows = spark.createDataFrame([(1, 40, i, i, 100, 100) for i in range(40)], "key long, many long, id long, c long, n long, rest long")
     want = {(a, b) for a in range(40) for b in range(a + 1, 40)}
     assert {tuple(r) for r in near_dup._open_pairs(rows).collect()} == want
     monkeypatch.setattr(near_dup, "KEY_BLOCK", 7)
     assert {tuple(r) for r in near_dup._open_pairs(rows).collect()} == want
 
 
+def _groups(sets, percent=80):
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = group[a], group[b]
+                group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    return group
+
+
+def test_near_duplicates_in_crowds(spark, monkeypatch):
+    """Hundreds of edited copies of one text, many of them just below the threshold: groups as by brute force, and few
+    pairs. Chains, too: each text differs a little from the one before."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5, 6, 7, 9))):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    chain = [f"c{i}" for i in range(200)]
+    for i in range(60):
+        chain[i * 3] = f"y{i}"
+        texts.append(list(chain))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    made, pairs = [], near_dup._open_pairs
+    monkeypatch.setattr(near_dup, "_open_pairs", lambda x, *a: made.append(pairs(x, *a)) or made[-1])
+    for size in (4, 5):
+        want = _groups({i: near_dup.shingle_set(" ".join(w), size) for i, w in enumerate(texts)})
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows, size=size).collect()}
+        assert got == want and 40 < len(set(want.values())) < 340
+
+
+def test_first_shingles_lose_no_pair(spark):
+    rng = random.Random(9)
+    sets = {i: set(rng.sample(range(60), rng.randint(1, 40))) for i in range(60)}
+    for i in range(60, 120):
+        s = set(sets[i - 60])
+        for x in rng.sample(sorted(s), len(s) // 10):
+            s.remove(x)
+        sets[i] = s | set(rng.sample(range(60), 2))
+    rows = spark.createDataFrame([(i, i, len(s), sorted(s)) for i, s in sets.items()], "id long, c long, n long, shingles array<long>")
+    firsts = near_dup._first_shingles(rows)
+    got = {tuple(r) for r in near_dup._open_pairs(firsts.join(near_dup._mixed(firsts), "key")).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 20 and len(got) < 3000
+
+
 def test_components_on_paths_and_stars(spark):
     from quantloom.llm.common import components
 
@@ -158,6 +208,22 @@ def test_host_rates_shrink_towards_the_mean(spark):
     rows = [("big", i < 900) for i in range(1000)] + [("small", True)] + [("good", False)] * 500
     got = {r.host: r.host_rate for r in host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
     assert 0.88 < got["big"] < 0.9 and 0.5 < got["small"] < 1 and got["good"] < 0.01
+    # hosts of one document each say nothing about differences between hosts
+    rows = [(f"h{i}", i % 10 < 3) for i in range(2000)]
+    rates = [r.host_rate for r in host_rates(spark.createDataFrame(rows, "host string, failed boolean")).collect()]
+    assert 0.29 < min(rates) and max(rates) < 0.31
+
+
+def test_site_priors_by_hand(spark):
+    """Sparse sites stay near the global rate, large ones keep their own, and a document's own score is left out."""
+    from quantloom.llm.quality_classifier import site_priors
+
+    even = [(f"s{i}", "en", 3.0 if i % 2 else -3.0, -2.0) for i in range(500)]
+    row = site_priors(spark.createDataFrame(even, "host string, path string, q double, t double")).first()
+    assert row["sq"] == row["uq"] == 1000.0
+    unlike = [("good", "en", 4.0, -2.0)] * 300 + [("bad", "en", -4.0, -2.0)] * 300 + [("good", "fr", 4.0, -2.0)]
+    row = site_priors(spark.createDataFrame(unlike, "host string, path string, q double, t double")).first()
+    assert row["sq"] == 1.0 and row["gq"] == pytest.approx(0.5, abs=0.01)
 
 
 def test_hmm_recursions_equal_the_textbook():
