@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,69 @@ def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser, of unsigned longs."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Texts are hashed in parts of so many bytes; words of more bytes than LONG_WORD get a hash of their own.
+_PART, LONG_WORD = 1 << 16, 256
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_PART - 1, _BASE, np.uint64)]))
+_INVERSE = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_PART - 1, pow(_BASE, -1, 1 << 64), np.uint64)]))
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_INSIDE = np.ones(256, np.int8)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = 0
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _part_hashes(data: bytes) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    raw = np.frombuffer(data, np.uint8)
+    inside = _INSIDE[raw]
+    edges = [np.flatnonzero(inside[1:] != inside[:-1]) + 1]
+    edges = np.concatenate([[0][: inside[0]], *edges, [len(raw)][: inside[-1]]]).astype(np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * _POWERS[: len(raw)], out=sums[1:])
+    size = ends - starts
+    out = mixed((sums[ends] - sums[starts]) * _INVERSE[starts] + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, in order: a polynomial in the word's bytes, from running sums over
+    the text, without an object for each word."""
+    if len(data) <= _PART:
+        return _part_hashes(data) if data else np.empty(0, np.uint64)
+    from xxhash import xxh3_64_intdigest
+
+    parts, at = [], 0
+    while at < len(data):
+        part = data[at : at + _PART]
+        if at + _PART < len(data):
+            white = np.flatnonzero(_INSIDE[np.frombuffer(part, np.uint8)] == 0)
+            if not len(white):  # one long word
+                end = _SPACE.search(data, at + _PART)
+                end = end.start() if end else len(data)
+                parts.append(np.array([xxh3_64_intdigest(data[at:end])], np.uint64))
+                at = end
+                continue
+            part = part[: int(white[-1]) + 1]
+        parts.append(_part_hashes(part))
+        at += len(part)
+    return np.concatenate(parts)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

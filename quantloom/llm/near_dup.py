@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, ascii_lower, components, discard, staged
+from quantloom.llm.common import WORD, ascii_lower, components, discard, mixed, staged, utf8, word_hashes
 
 SHINGLE = 4
 PERCENT = 80
@@ -49,34 +49,16 @@ _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > 400_000:
-            self.clear()
-        at = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return at
-
-
-def shingle_hashes(text: str | None, size: int, hashes: _Hashes) -> np.ndarray:
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = _WORD.findall(ascii_lower(text or ""))
-    if not words:
+    h = word_hashes(utf8(text).lower())  # of bytes, lower() changes A-Z only
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
     for j in range(size):
-        out = _mix(out * _MIX + h[j : n + j])
+        out = mixed(out * _MIX + h[j : n + j])
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
@@ -89,7 +71,7 @@ def shingle_set(text: str | None, size: int) -> set:
     return set(zip(*(words[i:] for i in range(size))))
 
 
-_SEEDS = _mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * _MIX)[:, None]
+_SEEDS = mixed(np.arange(1, SLOTS + 1, dtype=np.uint64) * _MIX)[:, None]
 _BIN_STARTS = np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(64 - 10)
 
 
@@ -99,7 +81,7 @@ def min_slots(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(shingles), 2048):  # bounded memory for texts of any length
         part = shingles[None, at : at + 2048]
         low = np.minimum(low, ((part ^ _SEEDS) * (_SEEDS | np.uint64(1))).min(1))
-    return _mix(low).astype(np.uint32)
+    return mixed(low).astype(np.uint32)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -108,7 +90,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     first = np.searchsorted(shingles, _BIN_STARTS)
     full = first < np.concatenate([first[1:], [len(shingles)]])
     bits = np.zeros(SKETCH_BITS, np.uint8)
-    bits[full] = _mix(shingles[first[full]]) & np.uint64(1)
+    bits[full] = mixed(shingles[first[full]]) & np.uint64(1)
     return np.packbits(bits).view(np.int64)
 
 
@@ -119,11 +101,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        hashes = _Hashes()
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
-                s = shingle_hashes(text, size, hashes)
+                s = shingle_hashes(text, size)
                 made = (len(s), xxh3_128_digest(s.tobytes()), min_slots(s).tobytes(), sketch(s)) if len(s) else (0, None, None, None)
                 for col, value in zip(cols, made, strict=True):
                     col.append(value)
@@ -140,7 +121,7 @@ def index_keys(slots: np.ndarray) -> np.ndarray:
         for k, kept in enumerate(combinations(range(CHUNK_SLOTS), CHUNK_SLOTS - CHUNK_ERRORS)):
             key = np.full(len(slots), c * 1000 + k + 1, np.uint64)
             for j in kept:
-                key = _mix(key * _MIX + slots[:, c * CHUNK_SLOTS + j])
+                key = mixed(key * _MIX + slots[:, c * CHUNK_SLOTS + j])
             out.append(key)
     return np.stack(out, 1).view(np.int64)
 
@@ -186,9 +167,8 @@ def _open_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = _Hashes()
         for batch in batches:
-            made = [shingle_hashes(x, size, hashes) for x in batch.column("text").to_pylist()]
+            made = [shingle_hashes(x, size) for x in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in made])])
             flat = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "c", "n", "shingles"])

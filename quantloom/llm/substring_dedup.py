@@ -24,48 +24,24 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import WORD, discard, shard_count, shard_of, staged
+from quantloom.llm.common import discard, mixed, shard_count, shard_of, staged, utf8, word_hashes
 from quantloom.llm.dealing import by_shard, dealt, facts, unpack
 
 WINDOW = 20
 ANCHOR = 8
 SHARD_BYTES = 8 << 20
-_WORD = re.compile(WORD)
 _FIRST = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _NULL_ID = -(1 << 63)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered for one task and cleared when large."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) > 250_000:
-            self.clear()
-        at = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return at
-
-
-def word_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
-    words = _WORD.findall(text or "")
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-
-
 def rolled(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     """Hash of each run of `size` values: a polynomial modulo 2**64, mixed."""
     n = len(h) - size + 1
@@ -74,7 +50,7 @@ def rolled(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(size):
         out = out * factor + h[j : n + j]
-    return _mix(out)
+    return mixed(out)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -100,7 +76,7 @@ def window_hashes(g: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tu
     one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     for at in [*range(0, window - ANCHOR, ANCHOR), window - ANCHOR]:
         one, two = one * _FIRST + g[starts + at], two * _SECOND + g[starts + at]
-    return _mix(one), _mix(two)
+    return mixed(one), mixed(two)
 
 
 def anchor_counts(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +112,10 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = _Hashes()
         for batch in batches:
             anchors, shards, counts = [], [], []
             for text, shard in zip(batch.column("text").to_pylist(), batch.column("shard").to_pylist(), strict=True):
-                a, n = anchor_counts(word_hashes(text, hashes), window)
+                a, n = anchor_counts(word_hashes(utf8(text)), window)
                 if len(a):
                     anchors.append(a)
                     counts.append(n)
@@ -212,13 +187,12 @@ def _windows(docs: DataFrame, anchors: DataFrame, shards: int, window: int) -> D
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = _Hashes()
         for shard, told, blobs in by_shard(batches):
             recurring = np.sort(told["x1"].view(np.uint64))
             found = []
             for blob in blobs:
                 for doc_id, text in unpack(blob):
-                    g = phrase_hashes(word_hashes(text, hashes))
+                    g = phrase_hashes(word_hashes(utf8(text)))
                     starts = _on_runs(recurring, window_anchors(g, window))
                     if len(starts):
                         own = np.empty(len(starts), _SEEN)
@@ -340,7 +314,6 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = _Hashes()
         for _, told, blobs in by_shard(batches):
             x, _ = _unpacked(told["data"], _TOLD)
             x = x[np.lexsort((x["start"], x["id"]))]
@@ -354,7 +327,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                         a, b = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
                         if a == b:
                             continue
-                        h = word_hashes(text, hashes)
+                        h = word_hashes(utf8(text))
                         if len(h) < window:
                             continue
                         g = phrase_hashes(h)
@@ -376,17 +349,15 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
             for blob in blobs:
                 out: list[list] = [[], [], [], []]
                 for doc_id, text in unpack(blob):
-                    words = _WORD.findall(text or "")
+                    raw = utf8(text)
+                    words = raw.split()  # of bytes, split() takes exactly the six white-space characters
                     gone = np.empty(0, np.int64)
                     if machine is not None and len(words) >= window:
-                        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                        gone = _locate(h, _NULL_ID if doc_id is None else doc_id, machine, w1, w2, f1, f2, window)
+                        gone = _locate(word_hashes(raw), _NULL_ID if doc_id is None else doc_id, machine, w1, w2, f1, f2, window)
                     n = len(words)
                     if len(gone):
-                        mask = removed_words(n, gone, window)
-                        words = [w for w, g in zip(words, mask.tolist(), strict=True) if not g]
-                    kept = " ".join(words)
-                    for col, value in zip(out, (doc_id, n, n - len(words), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
+                        words = list(compress(words, (~removed_words(n, gone, window)).tolist()))
+                    for col, value in zip(out, (doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()), strict=True):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
