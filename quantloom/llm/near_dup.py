@@ -15,8 +15,9 @@ What a group costs:
    components meet further stars: at most one pair a class and round;
 3. keys whose classes all lie in one component are done. The classes of the other keys order their shingles by how
    many of these classes have them, rare ones first. Two sets of the wanted similarity share one of their first
-   shingles, and from the first shared one on enough remain in both; only classes of different components that meet
-   both conditions are compared. No link between different texts is lost (both conditions are necessary), and
+   shingles, and from the first shared one on enough remain in both. Classes of different components that meet both
+   conditions form clusters (one row a class), whose whole sets are compared in arrays within one task; as many links
+   come out as join the components. No link between different texts is lost, as both conditions are necessary;
    copies of one text with many edits of their own, which crowd the keys without being links, hardly ever meet.
 
 Results for odd input: null texts and texts without words have an empty set and are linked with nothing; a
@@ -45,6 +46,8 @@ SKETCH_BITS = 1024
 SKETCH_DEVIATIONS = 5.0
 #: Sets of a first shingle that are compared in one group; shingles with more are dealt into blocks of this size.
 KEY_BLOCK = 4096
+#: Sets of a cluster that are compared with each other in one group, likewise.
+CLUSTER_BLOCK = 2048
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,7 +184,7 @@ def _first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key = shingle, id, c, n, rest): the shingles by which a set can first meet another one of similarity
     percent / 100, rarest first, and how many of the set's shingles there are from this one on. Shingles that no other
     set has come first and meet nothing."""
-    each = staged(sets.withColumn("set", F.monotonically_increasing_id()), "sets").select("set", "id", "c", "n", F.explode("shingles").alias("key"))
+    each = sets.select("set", "id", "c", "n", F.explode("shingles").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     ranked = each.join(shared, "key").groupBy("set", "id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("s"))
     own = F.col("n") - F.size("s")
@@ -190,51 +193,86 @@ def _first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return firsts.select("x.key", "id", "c", "n", (F.col("left") - F.col("at")).cast("long").alias("rest"))
 
 
-def _open_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) of sets in different components that share a first shingle and may be linked.
-
-    `rows`: key, many (rows of the key), id, c (component), n, rest. A pair is compared in arrays, a key at a time. If
-    the key is the first that both share, they share at most the lesser `rest`. The rows of a key beyond KEY_BLOCK are
-    dealt into blocks, and each pair of blocks is a task group of its own, so that no group grows with the data.
-    """
-    blocks = F.ceil(F.col("many") / KEY_BLOCK).cast("int")
+def _dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """Rows of a group beyond `block` (`many` in all) are dealt into blocks, and each pair of blocks (by, low, high) is a
+    task group of its own, so that no group grows with the data; `own` is the row's block."""
+    blocks = F.ceil(F.col("many") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "c", "n", "rest")
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "many")
+    return dealt.repartition(by, "low", "high").sortWithinPartitions(by, "low", "high")
+
+
+def _may_meet(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join all sets which may be linked with another one of a different component under a first
+    shingle: one a set and shingle, not one a pair.
+
+    `rows`: key, many (rows of the key), id, c (component), n, rest. If the key is the first that two sets share, they
+    share at most the lesser `rest`.
+    """
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs(key: tuple, ids: np.ndarray, c: np.ndarray, n: np.ndarray, rest: np.ndarray, own: np.ndarray):
+        for key, (ids, c, n, rest, own) in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "rest", "own")):
+            meets = np.zeros(len(ids), bool)
             for at in range(0, len(ids), 1024):
                 left = slice(at, at + 1024)
-                ok = (c[left, None] != c[None]) & (ids[left, None] < ids[None])
+                ok = (c[left, None] != c[None]) & (ids[left, None] != ids[None])
                 if key[1] != key[2]:
                     ok &= own[left, None] != own[None]
                 ok &= np.minimum(rest[left, None], rest[None]) * (100 + percent) >= (n[left, None] + n[None]) * percent
-                i, j = np.nonzero(ok)
-                if len(i):
-                    yield np.stack([ids[i + at], ids[j]], 1)
+                meets[left] = ok.any(1)
+            found = np.unique(ids[meets])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found) - 1, found[0])), pa.array(found[1:])], names=["a", "b"])
+
+    return _dealt(rows.select("key", "many", "id", "c", "n", "rest"), "key", KEY_BLOCK).mapInArrow(build, "a long, b long").distinct()
 
-        def flush(held: list) -> pa.RecordBatch:
-            x = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-        held: list = []
-        for key, cols in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "rest", "own")):
-            held += pairs(key, *cols)
-            if sum(map(len, held)) > 200_000:
-                yield flush(held)
-                held = []
-        if held:
-            yield flush(held)
+def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the sets of a cluster, found on the sets themselves: as many as join their components, not
+    one a pair.
+
+    `members`: cluster, many (rows of the cluster), id, c, n, shingles.
+    """
+
+    def build(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for key, (ids, c, n, own, flat) in _groups(batches, ("cluster", "low", "high"), ("id", "c", "n", "own"), "shingles"):
+            begins = np.cumsum(n) - n
+            names, places = np.unique(flat, return_inverse=True)
+            root = {x: x for x in c.tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            links = []
+            mark = np.zeros(len(names), np.int32)
+            for i in range(len(ids)):
+                mine = places[begins[i] : begins[i] + n[i]]
+                mark[mine] = 1
+                shared = np.add.reduceat(mark[places], begins)
+                mark[mine] = 0
+                ok = (shared * 100 >= (n + n[i] - shared) * percent) & (c != c[i]) & (ids > ids[i])
+                if key[1] != key[2]:
+                    ok &= own != own[i]
+                for j in np.flatnonzero(ok).tolist():
+                    x, y = find(int(c[i])), find(int(c[j]))
+                    if x != y:
+                        root[x] = y
+                        links.append((int(ids[i]), int(ids[j])))
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return together.mapInArrow(build, "a long, b long").distinct()
+    return _dealt(members.select("cluster", "many", "id", "c", "n", "shingles"), "cluster", CLUSTER_BLOCK).mapInArrow(build, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator, by: tuple, names: tuple) -> Iterator:
-    """(key, columns) of each run of equal `by` values in sorted batches."""
+def _groups(batches: Iterator, by: tuple, names: tuple, lists: str | None = None) -> Iterator:
+    """(key, columns) of each run of equal `by` values in sorted batches; `lists`: a column whose flat values follow."""
     now, parts = None, []
     for batch in batches:
         if not len(batch):
@@ -248,7 +286,8 @@ def _groups(batches: Iterator, by: tuple, names: tuple) -> Iterator:
                 if parts:
                     yield now, [np.concatenate(x) for x in zip(*parts, strict=True)]
                 now, parts = key, []
-            parts.append([c[a:b] for c in cols])
+            flat = [np.asarray(batch.column(lists).slice(a, b - a).flatten())] if lists else []
+            parts.append([*(c[a:b] for c in cols), *flat])
     if parts:
         yield now, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
@@ -323,10 +362,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     links = staged(links.union(confirm(staged(_stars(open_keys, classes, "c"), "stars2"), docs, size)), "links2")
     placed = _place(keys, links, "near2")
     still = staged(placed.join(_mixed(placed).select("key"), "key").select("id", "c").distinct(), "open")
-    firsts = staged(_first_shingles(_open_sets(docs, still, size)), "firsts")
-    open_pairs = staged(_open_pairs(firsts.join(_mixed(firsts), "key")), "pairs")
-    links = staged(links.union(confirm(open_pairs, docs, size)), "links3")
-    for done in (keys, still, firsts, open_pairs):
+    sets = staged(_open_sets(docs, still, size).withColumn("set", F.monotonically_increasing_id()), "sets")
+    firsts = staged(_first_shingles(sets), "firsts")
+    clusters = components(_may_meet(firsts.join(_mixed(firsts), "key")), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = staged(clusters.union(clusters.select("cluster", "cluster")).distinct(), "clusters")
+    members = sets.join(clusters, "id").join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("many")), "cluster")
+    links = staged(links.union(confirm(staged(_linked(members), "linked"), docs, size)), "links3")
+    for done in (keys, still, sets, firsts, clusters):
         discard(done)
 
     final = components(links, "near3")
