@@ -284,12 +284,15 @@ def removed_words(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _locate(h: np.ndarray, doc_id: int, machine, w1: np.ndarray, w2: np.ndarray, first_ids: np.ndarray, first_starts: np.ndarray, window: int) -> np.ndarray:
+def _locate(h: np.ndarray, doc_id: int, machine, anchors: np.ndarray, w1: np.ndarray, w2: np.ndarray, first_ids: np.ndarray, first_starts: np.ndarray, window: int) -> np.ndarray:
     """Starts of the document's windows that start earlier elsewhere: places the automaton finds, then an
     exact look-up of the windows around them."""
     last = len(h) - window
     if last < 0 or machine is None:
         return np.empty(0, np.int64)
+    g = phrase_hashes(h)
+    if not (_found(anchors, g) >= 0).any():  # no phrase of the automaton stands here
+        return np.empty(0, np.int64)
     ends = np.fromiter((end for end, _ in machine.iter(_letters(h))), np.int64) // LETTERS
     if not len(ends):
         return ends
@@ -300,7 +303,7 @@ def _locate(h: np.ndarray, doc_id: int, machine, w1: np.ndarray, w2: np.ndarray,
     starts = np.flatnonzero(np.cumsum(flags)[: last + 1] > 0)
     if not len(starts):
         return starts
-    k1, k2 = window_hashes(phrase_hashes(h), starts, window)
+    k1, k2 = window_hashes(g, starts, window)
     found = _found(w1, k1)
     ok = (found >= 0) & (w2[found] == k2)
     starts, found = starts[ok], found[ok]
@@ -320,6 +323,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
             ids, starts, first_ids, first_starts, checks = (np.ascontiguousarray(x[n]) for n in _TOLD.names)
             keys: list[list] = [[], [], [], []]
             phrases: set[str] = set()
+            known: list[np.ndarray] = [np.empty(0, np.uint64)]
             if len(ids):
                 for blob in blobs:  # the texts of the confirmed windows, from their place in this shard
                     for doc_id, text in unpack(blob):
@@ -338,11 +342,12 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                         if not len(here):
                             continue
                         wanted = np.unique(window_anchors(g, window)[starts[here]])
+                        known.append(wanted)
                         spelt = _letters(h)
                         phrases.update(spelt[i * LETTERS : (i + ANCHOR) * LETTERS] for i in np.flatnonzero(_found(wanted, g) >= 0).tolist())
                         for col, value in zip(keys, (k1, k2, first_ids[here], first_starts[here]), strict=True):
                             col.append(value)
-            machine = _compile(phrases) if phrases else None
+            machine, anchors = _compile(phrases) if phrases else None, np.unique(np.concatenate(known))
             w1, w2, f1, f2 = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(keys, (np.uint64, np.uint64, np.int64, np.int32), strict=True))
             order = np.argsort(w1, kind="stable")
             w1, w2, f1, f2 = w1[order], w2[order], f1[order], f2[order]
@@ -353,7 +358,7 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
                     words = raw.split()  # of bytes, split() takes exactly the six white-space characters
                     gone = np.empty(0, np.int64)
                     if machine is not None and len(words) >= window:
-                        gone = _locate(word_hashes(raw), _NULL_ID if doc_id is None else doc_id, machine, w1, w2, f1, f2, window)
+                        gone = _locate(word_hashes(raw), _NULL_ID if doc_id is None else doc_id, machine, anchors, w1, w2, f1, f2, window)
                     n = len(words)
                     if len(gone):
                         words = list(compress(words, (~removed_words(n, gone, window)).tolist()))
