@@ -97,13 +97,19 @@ def test_index_guarantees_the_distance_threshold():
     assert all(np.intersect1d(x, y).size for x, y in zip(near_dup.index_keys(a), near_dup.index_keys(b), strict=True))
 
 
-def test_open_pairs_across_blocks(spark, monkeypatch):
-    """Keys beyond the block size give the same pairs as within it."""
+def test_clusters_across_blocks(spark, monkeypatch):
+    """Groups beyond the block sizes give the same components as within them, in as many links at most."""
+    from quantloom.llm.common import components
+
     rows = spark.createDataFrame([(1, 40, i, i, 100, 100) for i in range(40)], "key long, many long, id long, c long, n long, rest long")
-    want = {(a, b) for a in range(40) for b in range(a + 1, 40)}
-    assert {tuple(r) for r in near_dup._open_pairs(rows).collect()} == want
-    monkeypatch.setattr(near_dup, "KEY_BLOCK", 7)
-    assert {tuple(r) for r in near_dup._open_pairs(rows).collect()} == want
+    sets = spark.createDataFrame([(1, 40, i, i, 20, list(range(i // 10 * 100, i // 10 * 100 + 19)) + [1000 + i]) for i in range(40)], "cluster long, many long, id long, c long, n long, shingles array<long>")
+    for block in (4096, 7):
+        monkeypatch.setattr(near_dup, "KEY_BLOCK", block)
+        monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", block)
+        assert {r.component for r in components(near_dup._may_meet(rows), "t").collect()} == {0}
+        links = near_dup._linked(sets)
+        assert {r.node: r.component for r in components(links, "t").collect()} == {i: i // 10 * 10 for i in range(40) if i % 10}
+        assert links.count() <= (36 if block == 4096 else 36 * 36)
 
 
 def _groups(sets, percent=80):
@@ -117,9 +123,9 @@ def _groups(sets, percent=80):
     return group
 
 
-def test_near_duplicates_in_crowds(spark, monkeypatch):
-    """Hundreds of edited copies of one text, many of them just below the threshold: groups as by brute force, and few
-    pairs. Chains, too: each text differs a little from the one before."""
+def test_near_duplicates_in_crowds(spark):
+    """Hundreds of edited copies of one text, many of them just below the threshold: groups as by brute force.
+    Chains, too: each text differs a little from the one before."""
     rng = random.Random(8)
     base = [f"b{i}" for i in range(120)]
     texts = []
@@ -133,8 +139,6 @@ def test_near_duplicates_in_crowds(spark, monkeypatch):
         chain[i * 3] = f"y{i}"
         texts.append(list(chain))
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    made, pairs = [], near_dup._open_pairs
-    monkeypatch.setattr(near_dup, "_open_pairs", lambda x, *a: made.append(pairs(x, *a)) or made[-1])
     for size in (4, 5):
         want = _groups({i: near_dup.shingle_set(" ".join(w), size) for i, w in enumerate(texts)})
         got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows, size=size).collect()}
@@ -142,6 +146,8 @@ def test_near_duplicates_in_crowds(spark, monkeypatch):
 
 
 def test_first_shingles_lose_no_pair(spark):
+    from quantloom.llm.common import components
+
     rng = random.Random(9)
     sets = {i: set(rng.sample(range(60), rng.randint(1, 40))) for i in range(60)}
     for i in range(60, 120):
@@ -149,11 +155,11 @@ def test_first_shingles_lose_no_pair(spark):
         for x in rng.sample(sorted(s), len(s) // 10):
             s.remove(x)
         sets[i] = s | set(rng.sample(range(60), 2))
-    rows = spark.createDataFrame([(i, i, len(s), sorted(s)) for i, s in sets.items()], "id long, c long, n long, shingles array<long>")
+    rows = spark.createDataFrame([(i, i, i, len(s), sorted(s)) for i, s in sets.items()], "set long, id long, c long, n long, shingles array<long>")
     firsts = near_dup._first_shingles(rows)
-    got = {tuple(r) for r in near_dup._open_pairs(firsts.join(near_dup._mixed(firsts), "key")).collect()}
+    together = {r.node: r.component for r in components(near_dup._may_meet(firsts.join(near_dup._mixed(firsts), "key")), "t").collect()}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert want <= got and len(want) > 20 and len(got) < 3000
+    assert len(want) > 20 and all(together.get(a, a) == together.get(b, b) for a, b in want)
 
 
 def test_components_on_paths_and_stars(spark):
