@@ -291,7 +291,7 @@ def _locate(h: np.ndarray, doc_id: int, machine, anchors: np.ndarray, w1: np.nda
     if last < 0 or machine is None:
         return np.empty(0, np.int64)
     g = phrase_hashes(h)
-    if not (_found(anchors, g) >= 0).any():  # no phrase of the automaton stands here
+    if not len(_on_runs(anchors, window_anchors(g, window))):  # no window has a phrase of the automaton as its anchor
         return np.empty(0, np.int64)
     ends = np.fromiter((end for end, _ in machine.iter(_letters(h))), np.int64) // LETTERS
     if not len(ends):
@@ -324,14 +324,15 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
             keys: list[list] = [[], [], [], []]
             phrases: set[str] = set()
             known: list[np.ndarray] = [np.empty(0, np.uint64)]
+            hashed: dict[tuple[int, int], np.ndarray] = {}  # word hashes of the shard's documents with confirmed windows
             if len(ids):
-                for blob in blobs:  # the texts of the confirmed windows, from their place in this shard
-                    for doc_id, text in unpack(blob):
+                for k, blob in enumerate(blobs):  # the texts of the confirmed windows, from their place in this shard
+                    for place, (doc_id, text) in enumerate(unpack(blob)):
                         doc_id = _NULL_ID if doc_id is None else doc_id
                         a, b = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
                         if a == b:
                             continue
-                        h = word_hashes(utf8(text))
+                        h = hashed[k, place] = word_hashes(utf8(text))
                         if len(h) < window:
                             continue
                         g = phrase_hashes(h)
@@ -351,14 +352,15 @@ def _apply(docs: DataFrame, confirmed: DataFrame, shards: int, window: int) -> D
             w1, w2, f1, f2 = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(keys, (np.uint64, np.uint64, np.int64, np.int32), strict=True))
             order = np.argsort(w1, kind="stable")
             w1, w2, f1, f2 = w1[order], w2[order], f1[order], f2[order]
-            for blob in blobs:
+            for k, blob in enumerate(blobs):
                 out: list[list] = [[], [], [], []]
-                for doc_id, text in unpack(blob):
+                for place, (doc_id, text) in enumerate(unpack(blob)):
                     raw = utf8(text)
                     words = raw.split()  # of bytes, split() takes exactly the six white-space characters
                     gone = np.empty(0, np.int64)
                     if machine is not None and len(words) >= window:
-                        gone = _locate(word_hashes(raw), _NULL_ID if doc_id is None else doc_id, machine, anchors, w1, w2, f1, f2, window)
+                        h = hashed.pop((k, place), None)
+                        gone = _locate(word_hashes(raw) if h is None else h, _NULL_ID if doc_id is None else doc_id, machine, anchors, w1, w2, f1, f2, window)
                     n = len(words)
                     if len(gone):
                         words = list(compress(words, (~removed_words(n, gone, window)).tolist()))
