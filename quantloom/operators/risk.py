@@ -13,14 +13,11 @@ from quantloom.functions.rng import normal, uniform
 LEVELS = (0.95, 0.99)
 
 
-def safe_cholesky(cov: np.ndarray) -> np.ndarray:
-    """Cholesky factor; a matrix that is not positive definite gets its eigenvalues clipped and a jitter."""
-    try:
-        return np.linalg.cholesky(cov)
-    except np.linalg.LinAlgError:
-        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-        fixed = (vectors * np.clip(values, 1e-14, None)) @ vectors.T
-        return np.linalg.cholesky(fixed + 1e-12 * np.eye(len(cov)))
+def loading(cov: np.ndarray) -> np.ndarray:
+    """A matrix A with A A' = cov, for drawing correlated returns: eigenvectors scaled by the roots of their
+    eigenvalues; negative ones, of a matrix that is only nearly a covariance, count as zero."""
+    values, vectors = np.linalg.eigh(cov)
+    return vectors * np.sqrt(np.maximum(values, 0))
 
 
 def check_request(weights: dict[str, float], n_sims: int, horizon: int, levels: tuple = LEVELS) -> None:
@@ -39,14 +36,14 @@ def _grid(spark, n_sims: int, horizon: int) -> DataFrame:
 
 def parametric_paths(returns: DataFrame, weights: dict[str, float], n_sims: int, horizon: int, seed: int = 0) -> DataFrame:
     """sim, path_return: daily multivariate normal draws with the sample's moments, weights re-applied each day,
-    compounded. A draw is the mean plus the Cholesky factor times normals of (seed, sim, day, asset)."""
+    compounded. A draw is the mean plus the loading times normals of (seed, sim, day, asset)."""
     from quantloom.operators.optimizer import annual_moments
     from quantloom.functions.constants import TRADING_DAYS
 
     names, mu, cov = annual_moments(returns)
     w = np.array([weights.get(t, 0.0) for t in names])
-    low = safe_cholesky(cov / TRADING_DAYS)
-    load = w @ low  # the portfolio's loading on each asset's normal
+    a = loading(cov / TRADING_DAYS)
+    load = w @ a  # the portfolio's loading on each asset's normal
     day = F.lit(float(w @ mu / TRADING_DAYS))
     for k in range(len(names)):
         day = day + F.lit(float(load[k])) * normal(seed, F.col("sim"), F.col("day"), k)

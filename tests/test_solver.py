@@ -57,3 +57,14 @@ def test_infeasible_cap():
 def test_max_return_is_the_linear_optimum():
     w = solver.max_return_weights(np.array([0.1, 0.3, 0.2]), np.zeros(3), np.full(3, 0.5))
     assert w.tolist() == [0.0, 0.5, 0.5]
+
+
+def test_loading_gives_the_covariance_back():
+    from quantloom.operators.risk import loading
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 3))
+    cov = x @ x.T  # of rank 3: singular
+    a = loading(cov)
+    assert np.allclose(a @ a.T, cov)
+    assert np.isfinite(loading(np.array([[1.0, 1.1], [1.1, 1.0]]))).all()
