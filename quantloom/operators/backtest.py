@@ -86,11 +86,16 @@ def run(prices: DataFrame, weights: DataFrame, capital: float, bps: float = COST
 
     `prices`: scenario, date, ticker, px, the same tickers on all days of a scenario; `weights`: scenario, date
     (rebalance days), ticker, w; a ticker without a weight gets 0. A scenario is one row of the fold: its state
-    is rebalances times tickers numbers.
+    is rebalances times tickers numbers. The run fails on prices that are not positive and finite, and on rebalances
+    whose weights of priced tickers do not sum to 1 (a weight that is not finite or of an unknown ticker among them).
     """
     rate = bps / 10_000
+    px = F.col("px")
+    prices = prices.withColumn("px", F.when((px > 0) & (px < float("inf")), px).otherwise(F.raise_error(F.concat(F.lit("INVALID_PARAMETER: price of "), "ticker", F.lit(" on "), F.col("date").cast("string"))).cast("double")))
     at = prices.join(weights.select("scenario", "date").distinct(), ["scenario", "date"]).join(weights, ["scenario", "date", "ticker"], "left")
-    rows = at.groupBy("scenario", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "px", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("x"))
+    rows = at.groupBy("scenario", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "px", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("x"), F.sum("w").alias("total"))
+    agrees = F.abs(F.col("total") - 1) <= ENGINE_WEIGHT_TOLERANCE
+    rows = rows.withColumn("x", F.when(agrees, F.col("x")).otherwise(F.raise_error(F.concat(F.lit(f"{StrategyContractViolation.code}: weights of "), "scenario", F.lit(" on "), F.col("date").cast("string"), F.lit(" do not sum to 1"))).cast(rows.schema["x"].dataType)))
     folded = rows.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("date", F.col("x.px").alias("px"), F.col("x.w").alias("w"), F.col("x.ticker").alias("tickers")))).alias("days"))
     log = "array<struct<date: date, shares: array<double>, cash: double, cost: double, turnover: double>>"
     none = F.transform(F.element_at("days", 1)["px"], lambda _: F.lit(0.0))
@@ -127,23 +132,23 @@ def metrics(values: DataFrame, risk_free: float = RISK_FREE) -> DataFrame:
     """One row per scenario. Sharpe and Sortino are 0 where the risk is 0 or a single return gives none; trough is
     the first day of the deepest drawdown, peak the first day of the highest value up to it."""
     order = Window.partitionBy("scenario").orderBy("date")
-    d = F.try_divide("value", F.lag("value").over(order)) - 1
-    rows = drawdowns(values).withColumn("d", d)
+    top = F.max(F.struct("value", (-F.unix_date("date")).alias("k"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = values.select("scenario", "date", "value", (F.try_divide("value", F.lag("value").over(order)) - 1).alias("d"), top.alias("top"))
+    rows = rows.withColumn("drawdown", F.try_divide("value", "top.value") - 1)
     short = F.least(F.col("d") - risk_free / TRADING_DAYS, F.lit(0.0))
     agg = rows.groupBy("scenario").agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.min_by("value", "date").alias("v0"), F.max_by("value", "date").alias("v1"),
         (F.avg("d") * TRADING_DAYS).alias("mean"), (F.coalesce(F.stddev_samp("d"), F.lit(0.0)) * TRADING_DAYS**0.5).alias("vol"),
-        (F.sqrt(F.avg(short * short)) * TRADING_DAYS**0.5).alias("down"), F.min(F.struct("drawdown", "date")).alias("low"),
+        (F.sqrt(F.avg(short * short)) * TRADING_DAYS**0.5).alias("down"), F.min(F.struct("drawdown", "date", "top.k")).alias("low"),
     )
-    peak = rows.join(agg.select("scenario", F.col("low.date").alias("trough_date")), "scenario").where("date <= trough_date").groupBy("scenario").agg(F.max(F.struct("value", (-F.unix_date("date")).alias("k"))).alias("p")).select("scenario", F.date_from_unix_date(-F.col("p.k")).alias("peak_date"))
     years = F.datediff("end_date", "start_date") / DAYS_PER_YEAR
     cagr = F.when((years > 0) & (F.col("v0") > 0) & (F.col("v1") > 0), F.pow(F.col("v1") / F.col("v0"), 1 / F.nullif(years, F.lit(0.0))) - 1).otherwise(0.0)
     excess = F.coalesce(F.col("mean"), F.lit(0.0)) - risk_free
-    return agg.join(peak, "scenario").select(
+    return agg.select(
         "scenario", "start_date", "end_date", F.col("v1").alias("final_value"), (F.try_divide("v1", "v0") - 1).alias("total_return"), cagr.alias("cagr"),
         F.coalesce("mean", F.lit(0.0)).alias("annualised_return"), F.col("vol").alias("annualised_volatility"),
         F.when(F.col("vol") > 0, excess / F.col("vol")).otherwise(0.0).alias("sharpe"), F.when(F.col("down") > 0, excess / F.col("down")).otherwise(0.0).alias("sortino"),
-        F.col("low.drawdown").alias("max_drawdown"), "peak_date", F.col("low.date").alias("trough_date"),
+        F.col("low.drawdown").alias("max_drawdown"), F.date_from_unix_date(-F.col("low.k")).alias("peak_date"), F.col("low.date").alias("trough_date"),
     )
 
 

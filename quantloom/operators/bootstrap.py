@@ -51,33 +51,53 @@ def iid_indices(n_days: int, length: int, resamples: DataFrame, seed: int = 0) -
 
 
 def resampled_prices(returns: DataFrame, indices: DataFrame) -> DataFrame:
-    """resample, date, ticker, px: synthetic paths from base 100 on a calendar of business days from 2000-01-03.
-    All tickers take the same historical day, so the cross-section stays."""
+    """resample, pos, date, ticker, px: synthetic paths on business days from 2000-01-03. Position 0 is the base of 100,
+    the drawn days follow. All tickers take the same historical day, so the cross-section stays."""
     history = returns.select("ticker", "ret", (F.dense_rank().over(Window.orderBy("date")) - 1).cast("long").alias("day_idx"))
-    drawn = indices.join(F.broadcast(history), "day_idx")
+    step = lambda pos, ret: F.struct(pos.cast("int").alias("pos"), ret.alias("ret"))
+    own = step(F.col("pos") + 1, F.col("ret"))
+    steps = F.when(F.col("pos") == 0, F.array(step(F.lit(0), F.lit(0.0)), own)).otherwise(F.array(own))
+    drawn = indices.join(F.broadcast(history), "day_idx").select("resample", "ticker", F.explode(steps).alias("s")).select("resample", "ticker", "s.pos", "s.ret")
     order = Window.partitionBy("resample", "ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     day = F.date_add(F.lit("2000-01-03").cast("date"), (F.floor(F.col("pos") / 5) * 7 + F.col("pos") % 5).cast("int"))
-    return drawn.select("resample", day.alias("date"), "ticker", (100 * F.product(1 + F.col("ret")).over(order)).alias("px"))
+    return drawn.select("resample", "pos", day.alias("date"), "ticker", (100 * F.product(1 + F.col("ret")).over(order)).alias("px"))
 
 
-def run_windows(prices: DataFrame, key: str, weights: dict[str, float], benchmark: str | None, capital: float, bps: float = COST_BPS, risk_free: float = RISK_FREE, frequency: str = "monthly", strategy_weights: DataFrame | None = None) -> DataFrame:
-    """key, series, metrics: strategy, buy-and-hold and benchmark of every window, as scenarios of one backtest.
+def run_windows(prices: DataFrame, key: str, weights: dict[str, float], benchmark: str | None, capital: float, bps: float = COST_BPS, risk_free: float = RISK_FREE, frequency: str = "monthly", strategy_weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metrics (key, series, ...) of strategy, buy-and-hold and benchmark in every window, as scenarios of one
+    backtest, and the trades of all (scenario is "key|series").
 
-    strategy_weights: date, ticker, w of a walk-forward strategy; solved once per date, joined to all windows.
+    strategy_weights: [key,] date, ticker, w of a walk-forward strategy; without the key, solved once per date and
+    joined to all windows.
     """
     own = prices.where(F.col("ticker") != benchmark) if benchmark else prices
     name = lambda series: F.concat_ws("|", F.col(key).cast("string"), F.lit(series)).alias("scenario")
     calendar = backtest.rebalance_calendar(own.select(key, "date").distinct(), frequency)
     first = calendar.groupBy(key).agg(F.min("date").alias("date"))
-    planned = backtest.constant_weights(calendar, weights) if strategy_weights is None else calendar.join(strategy_weights.select("date", "ticker", "w"), "date")
+    on = [key, "date"] if strategy_weights is not None and key in strategy_weights.columns else ["date"]
+    planned = backtest.constant_weights(calendar, weights) if strategy_weights is None else calendar.join(strategy_weights.select(*on, "ticker", "w"), on)
     rows = own.select(name("strategy"), "date", "ticker", "px").unionByName(own.select(name("hold"), "date", "ticker", "px"))
     plan = planned.select(name("strategy"), "date", "ticker", "w").unionByName(backtest.constant_weights(first, weights).select(name("hold"), "date", "ticker", "w"))
     if benchmark:
         rows = rows.unionByName(prices.where(F.col("ticker") == benchmark).select(name("benchmark"), "date", "ticker", "px"))
         plan = plan.unionByName(backtest.constant_weights(first, {benchmark: 1.0}).select(name("benchmark"), "date", "ticker", "w"))
-    values = backtest.run(rows, plan, capital, bps)[0].cache()  # metrics read them twice
+    values, trades = backtest.run(rows, plan, capital, bps)
     split = F.split("scenario", r"\|")
-    return backtest.metrics(values, risk_free).withColumn(key, split[0].cast("int")).withColumn("series", split[1]).drop("scenario")
+    return backtest.metrics(values, risk_free).withColumn(key, split[0].cast("int")).withColumn("series", split[1]).drop("scenario"), trades
+
+
+def totals(trades: DataFrame) -> DataFrame:
+    """One row over the strategy's trades in all windows: n_rebalances, total_cost, average_turnover (of those that
+    trade; 0 if none does)."""
+    own = trades.where(F.split("scenario", r"\|")[1] == "strategy")
+    return own.agg(F.count(F.lit(1)).alias("n_rebalances"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_cost"), F.coalesce(F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))), F.lit(0.0)).alias("average_turnover"))
+
+
+def failures(calendar: DataFrame, solved: DataFrame, key: str) -> DataFrame:
+    """key, n_failed: rebalances of each window whose weights are held because the solve failed."""
+    on = [key, "date"] if key in solved.columns else ["date"]
+    status = calendar.join(solved.select(*on, "status").distinct(), on)
+    return status.groupBy(key).agg(F.count_if(F.col("status") != "ok").alias("n_failed"))
 
 
 def summaries(results: DataFrame, names: tuple = METRICS) -> DataFrame:
@@ -92,10 +112,6 @@ def summaries(results: DataFrame, names: tuple = METRICS) -> DataFrame:
 def win_rates(results: DataFrame, key: str, names: tuple = METRICS[:3]) -> DataFrame:
     """metric, baseline, win_rate: share of windows in which the strategy is strictly better; a tie is no win, and
     without the baseline the rate is 0."""
-    mine = results.where("series = 'strategy'").select(key, *[F.col(m).alias(f"s_{m}") for m in names])
-    joined = mine.join(results.where("series <> 'strategy'").select(key, F.col("series").alias("baseline"), *names), key)
-    stacked = joined.select("baseline", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"s_{m}") > F.col(m)).alias("win")) for m in names])).alias("p"))
-    got = stacked.groupBy(F.col("p.metric").alias("metric"), "baseline").agg(F.avg(F.col("p.win").cast("double")).alias("win_rate"))
-    spark = results.sparkSession
-    frame = spark.createDataFrame([(m, b) for m in names for b in ("hold", "benchmark")], "metric string, baseline string")
-    return frame.join(got, ["metric", "baseline"], "left").select("metric", "baseline", F.coalesce("win_rate", F.lit(0.0)).alias("win_rate"))
+    wide = results.groupBy(key).agg(*[F.max(F.when(F.col("series") == s, F.col(m))).alias(f"{s}_{m}") for s in ("strategy", "hold", "benchmark") for m in names])
+    pairs = [F.struct(F.lit(m).alias("metric"), F.lit(b).alias("baseline"), (F.col(f"strategy_{m}") > F.col(f"{b}_{m}")).cast("double").alias("win")) for m in names for b in ("hold", "benchmark")]
+    return wide.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.metric", "p.baseline").agg(F.coalesce(F.avg("p.win"), F.lit(0.0)).alias("win_rate"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.constants import FRONTIER_POINTS, MAX_WEIGHT, RISK_FREE, TRADING_DAYS
-from quantloom.functions.errors import InvalidParameter, enforce_max
+from quantloom.functions.errors import InvalidParameter, OptimizationFailed, enforce_max
 from quantloom.operators import solver
 from quantloom.operators.returns import moments
 
@@ -57,9 +57,15 @@ def efficient_frontier(returns: DataFrame, points: int = FRONTIER_POINTS, cap: f
     targets = solver.frontier_targets(mu, cov, low, high, points)
     spark = returns.sparkSession
 
+    def solved(target: float) -> tuple:
+        try:
+            return _row(target, solver.for_return(mu, cov, low, high, target), names, mu, cov, risk_free)
+        except OptimizationFailed:
+            return target, "not_converged", None, None, None, None
+
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([_row(t, solver.for_return(mu, cov, low, high, t), names, mu, cov, risk_free) for t in f["target"]], columns=["target", "status", "ret", "vol", "sharpe", "weights"])
+            yield pd.DataFrame([solved(t) for t in f["target"]], columns=["target", "status", "ret", "vol", "sharpe", "weights"])
 
     rows = spark.createDataFrame([(float(t),) for t in targets], "target double").repartition(min(points, spark.sparkContext.defaultParallelism))
     return rows.mapInPandas(solve, POINT).orderBy("vol")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 from quantloom.functions.constants import FRONTIER_POINTS, MAX_WEIGHT, RISK_FREE, TRADING_DAYS
-from quantloom.functions.errors import InfeasibleConstraints
+from quantloom.functions.errors import InfeasibleConstraints, OptimizationFailed
 
 
 def limits(n: int, cap: float = MAX_WEIGHT, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -30,7 +30,7 @@ def project(w: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _quadratic(cov: np.ndarray, tilt: np.ndarray, low: np.ndarray, high: np.ndarray, w: np.ndarray, steps: int = 20_000, tol: float = 1e-13) -> np.ndarray:
-    """argmin of w'Cw / 2 - tilt'w over the box and the budget."""
+    """argmin of w'Cw / 2 - tilt'w over the box and the budget; raises OptimizationFailed if far from it after all steps."""
     w = w.copy()
     g = cov @ w - tilt
     scale = max(np.abs(cov).max(), np.abs(tilt).max(), 1e-300)
@@ -47,6 +47,9 @@ def _quadratic(cov: np.ndarray, tilt: np.ndarray, low: np.ndarray, high: np.ndar
         w[i] += move
         w[j] -= move
         g += move * (cov[:, i] - cov[:, j])
+    else:
+        if gain > 1e-6 * scale:
+            raise OptimizationFailed(f"no convergence in {steps} steps", gap=float(gain / scale))
     return w
 
 

@@ -11,23 +11,28 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.constants import LOOKBACK_DAYS, MAX_WEIGHT, RISK_FREE
 from quantloom.functions.errors import EngineError, InvalidParameter
-from quantloom.operators import solver
-from quantloom.operators.returns import raw_returns
+from quantloom.operators import backtest, solver
 
 OBJECTIVES = ("min_variance", "max_sharpe")
 
 
-def trailing(prices: DataFrame, as_of: DataFrame, lookback: int) -> DataFrame:
-    """as_of, k, rets: for each date the returns of the days up to it, at most `lookback`, one array by ticker
-    order per day. A frame that ends at the current row cannot see later days."""
-    returns = raw_returns(prices.withColumnRenamed("px", "adj_close"))
-    days = returns.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("x")).select("date", F.col("x.ret").alias("rets"))
-    window = Window.orderBy("date").rowsBetween(1 - lookback, 0)
-    return days.withColumn("history", F.collect_list("rets").over(window)).join(as_of.select("date").distinct(), "date", "right").select("date", "history")
+def trailing(prices: DataFrame, as_of: DataFrame, lookback: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, date, history: for each date of `as_of` the returns of the days up to it, at most `lookback`, one array by
+    ticker order per day; null where there is none. Days are numbered, each date asks for the numbers up to its own,
+    so it cannot see later days, and every history is gathered in a task of its own."""
+    order = Window.partitionBy(*keys, "ticker").orderBy("date")
+    returns = prices.withColumn("ret", F.try_divide("px", F.nullif(F.lag("px").over(order), F.lit(0.0))) - 1).where("ret is not null")
+    days = returns.groupBy(*keys, "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("x")).select(*keys, "date", F.col("x.ret").alias("rets"))
+    days = days.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
+    asked = as_of.select(*keys, "date").distinct()
+    wanted = days.drop("rets").join(asked, [*keys, "date"]).select(*keys, "date", F.explode(F.sequence(F.greatest(F.lit(1), F.col("k") - (lookback - 1)), "k")).alias("k"))
+    found = wanted.join(days.drop("date"), [*keys, "k"]).groupBy(*keys, "date").agg(F.array_sort(F.collect_list(F.struct("k", "rets"))).alias("h"))
+    return asked.join(found, [*keys, "date"], "left").select(*keys, "date", F.col("h.rets").alias("history"))
 
 
-def walk_forward_weights(prices: DataFrame, rebalances: DataFrame, objective: str = "min_variance", lookback: int = LOOKBACK_DAYS, cap: float = MAX_WEIGHT, risk_free: float = RISK_FREE, min_days: int = 2) -> DataFrame:
-    """date, status, ticker, w: one solve per distinct rebalance date, whatever windows share it.
+def walk_forward_weights(prices: DataFrame, rebalances: DataFrame, objective: str = "min_variance", lookback: int = LOOKBACK_DAYS, cap: float = MAX_WEIGHT, risk_free: float = RISK_FREE, min_days: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, date, status, ticker, w: one solve per distinct rebalance date, whatever windows share it. keys: columns of
+    both inputs that tell paths apart, each with days and solves of its own.
 
     A date without enough history or whose problem has no solution holds the last weights found, else equal
     ones; its status says so.
@@ -48,16 +53,18 @@ def walk_forward_weights(prices: DataFrame, rebalances: DataFrame, objective: st
                     mu, cov = solver.annualised(x)
                     low, high = solver.limits(n, cap)
                     w = solver.min_variance(cov, low, high) if objective == "min_variance" else solver.max_sharpe(mu, cov, low, high, risk_free)
+                    backtest.check_weights(dict(zip(names, w.tolist(), strict=True)), names)
                     rows.append((when, "ok", w.tolist()))
                 except EngineError as e:
                     rows.append((when, e.code, None))
-            yield pd.DataFrame(rows, columns=["date", "status", "w"])
+            out = pd.DataFrame(rows, columns=["date", "status", "w"])
+            yield out.assign(**{c: f[c].to_numpy() for c in keys})[[*keys, "date", "status", "w"]]
 
-    histories = trailing(prices, rebalances, lookback)
+    histories = trailing(prices, rebalances, lookback, keys)
     spark = prices.sparkSession
-    solved = histories.repartition(spark.sparkContext.defaultParallelism, "date").mapInPandas(solve, "date date, status string, w array<double>")
-    sofar = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    solved = histories.repartition(spark.sparkContext.defaultParallelism, *keys, "date").mapInPandas(solve, "".join(f"{c} {t}, " for c, t in rebalances.dtypes if c in keys) + "date date, status string, w array<double>")
+    sofar = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     equal = F.array(*[F.lit(1 / n)] * n)
     held = solved.withColumn("w", F.coalesce(F.last("w", ignorenulls=True).over(sofar), equal))
     tickers = F.array(*[F.lit(t) for t in names])
-    return held.select("date", "status", F.explode(F.arrays_zip(tickers.alias("ticker"), "w")).alias("p")).select("date", "status", F.col("p.ticker").alias("ticker"), F.col("p.w").alias("w"))
+    return held.select(*keys, "date", "status", F.explode(F.arrays_zip(tickers.alias("ticker"), "w")).alias("p")).select(*keys, "date", "status", F.col("p.ticker").alias("ticker"), F.col("p.w").alias("w"))

@@ -76,6 +76,7 @@ steps AS (SELECT ticker, date, coalesce(CASE WHEN anom.date IS NOT NULL THEN 1.0
   FROM inside LEFT JOIN anom USING (ticker, date)),
 grown AS (SELECT ticker, date, anchor * exp(sum(ln(step)) OVER (PARTITION BY ticker ORDER BY date)) AS px FROM steps),
 prices AS (SELECT * FROM grown WHERE date IN (SELECT date FROM grown GROUP BY date HAVING count(*) = 6))"""
+_PRICES_INDEX = _PRICES.replace("inside AS (SELECT * FROM bars", "inside AS (SELECT * FROM allbars").replace("count(*) = 6", "count(*) = 7")
 
 
 @query(f"""WITH {_BARS}, b AS (SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM allbars GROUP BY 1)
@@ -141,9 +142,10 @@ def moments_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.moments(_matrix(spark, sf_dir))[1].select("a", "b", r("cov", 10).alias("cov"))
 
 
-def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prices(spark: SparkSession, sf_dir: str, benchmark: bool = False) -> DataFrame:
     """The price matrix, cached: backtests read it several times in a plan, and it is tickers times days."""
-    return returns.price_matrix(_bars(spark, sf_dir), registry(spark), TICKERS, START, END, check=False).cache()
+    asked = [*TICKERS, BENCHMARK] if benchmark else TICKERS
+    return returns.price_matrix(_bars(spark, sf_dir, benchmark), registry(spark), asked, START, END, check=False).cache()
 
 
 @query(f"WITH {_PRICES} SELECT ticker, date, round(px, 4) AS px FROM prices")
@@ -185,7 +187,7 @@ def _hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded_metrics(values: DataFrame) -> DataFrame:
-    m = backtest.metrics(values.cache())
+    m = backtest.metrics(values)
     return m.select(*[c if t in ("string", "date") else r(c, 2 if c == "final_value" else 6).alias(c) for c, t in m.dtypes])
 
 
@@ -247,14 +249,20 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False).cache()
+    prices = _prices(spark, sf_dir, benchmark=True)
     values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
     return _rounded_metrics(values)
 
 
-@query()
+_SHARES = _FOLD.replace(_PRICES, _PRICES_INDEX).replace("byday AS (SELECT date, list(px ORDER BY ticker) AS px FROM prices GROUP BY date)", "byday AS (SELECT date, list(px ORDER BY ticker) AS px FROM prices WHERE ticker <> '^INDEX' GROUP BY date)")
+
+
+@query(f"""WITH RECURSIVE {_SHARES}, p0 AS (SELECT ticker, arg_min(px, date) AS p0 FROM prices GROUP BY 1),
+h AS (SELECT date, {CAPITAL} * (1 - 0.0015) * sum(w * px / p0) + {CAPITAL} * 0.0015 * 0.0015 AS hold FROM prices JOIN w USING (ticker) JOIN p0 USING (ticker) GROUP BY date),
+i AS (SELECT date, {CAPITAL} * (1 - 0.0015) * px / p0 + {CAPITAL} * 0.0015 * 0.0015 AS benchmark FROM prices JOIN p0 USING (ticker) WHERE ticker = '^INDEX')
+SELECT date, round(value, 2) AS strategy, round(hold, 2) AS hold, round(benchmark, 2) AS benchmark FROM vals JOIN h USING (date) JOIN i USING (date)""")
 def value_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = returns.price_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK], START, END, check=False).cache()
+    prices = _prices(spark, sf_dir, benchmark=True)
     values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
     return values.groupBy("date").pivot("scenario", ["strategy", "hold", "benchmark"]).agg(F.first(r("value", 2)))
 
@@ -337,34 +345,48 @@ def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.rolling_windows(_prices(spark, sf_dir).select("date"), 2.0)
 
 
-_WINDOW_HOLD = f"""{_WINDOWS}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+_RATE = "0.0015"
+_WINDOW_ALL = f"""{_WINDOWS.replace(_PRICES, _PRICES_INDEX)}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
 wp AS (SELECT window_id, date, ticker, px, first_value(px) OVER (PARTITION BY window_id, ticker ORDER BY date) AS p0 FROM prices JOIN windows ON date BETWEEN start_date AND end_date),
-vals AS (SELECT window_id, date, {CAPITAL} * (1 - 0.0015) * sum(w * px / p0) + {CAPITAL} - {CAPITAL} * (1 - 0.0015) * (1 + 0.0015) AS value FROM wp JOIN w USING (ticker) GROUP BY 1, 2),
-dd AS (SELECT window_id, date, value, value / max(value) OVER (PARTITION BY window_id ORDER BY date) - 1 AS dd, value / lag(value) OVER (PARTITION BY window_id ORDER BY date) - 1 AS d FROM vals),
-res AS (SELECT window_id, power(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS cagr, (avg(d) * 252 - {RISK_FREE}) / (stddev_samp(d) * sqrt(252)) AS sharpe, min(dd) AS max_drawdown, stddev_samp(d) * sqrt(252) AS annualised_volatility FROM dd GROUP BY 1)"""
+byday AS (SELECT window_id, date, list(px ORDER BY ticker) AS px FROM wp WHERE ticker <> '^INDEX' GROUP BY ALL),
+rebal AS (SELECT window_id, date, px, row_number() OVER (PARTITION BY window_id ORDER BY date) AS k FROM byday WHERE (window_id, date) IN (SELECT window_id, min(date) FROM wp GROUP BY window_id, date_trunc('month', date))),
+ws AS (SELECT list(w ORDER BY ticker) AS ws FROM w),
+f AS (
+ SELECT window_id, CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS shares, CAST({CAPITAL} AS DOUBLE) AS cash FROM windows
+ UNION ALL
+ SELECT window_id, k, t2, pre - list_inner_product(t2, px) - {_RATE} * list_sum([abs(x[1] - x[2]) * x[3] for x in list_zip(t2, shares, px)])
+ FROM (SELECT *, [(pre - {_RATE} * list_sum([abs(pre * z[1] / z[2] - z[3]) * z[2] for z in list_zip(ws, px, shares)])) * x[1] / x[2] for x in list_zip(ws, px)] AS t2
+  FROM (SELECT rebal.window_id, rebal.k, rebal.px, f.shares, ws, f.cash + list_inner_product(f.shares, rebal.px) AS pre FROM f JOIN rebal ON rebal.window_id = f.window_id AND rebal.k = f.k + 1, ws))),
+periods AS (SELECT byday.window_id, byday.date, byday.px, count(rebal.k) OVER (PARTITION BY byday.window_id ORDER BY byday.date) AS k FROM byday LEFT JOIN rebal USING (window_id, date)),
+vals AS (SELECT periods.window_id, 'strategy' AS series, periods.date, f.cash + list_inner_product(f.shares, periods.px) AS value FROM periods JOIN f USING (window_id, k)
+ UNION ALL SELECT window_id, 'hold', date, {CAPITAL} * (1 - {_RATE}) * sum(w * px / p0) + {CAPITAL} * {_RATE} * {_RATE} FROM wp JOIN w USING (ticker) GROUP BY ALL
+ UNION ALL SELECT window_id, 'benchmark', date, {CAPITAL} * (1 - {_RATE}) * px / p0 + {CAPITAL} * {_RATE} * {_RATE} FROM wp WHERE ticker = '^INDEX'),
+dd AS (SELECT *, value / max(value) OVER o - 1 AS dd, value / lag(value) OVER o - 1 AS d FROM vals WINDOW o AS (PARTITION BY window_id, series ORDER BY date)),
+res AS (SELECT window_id, series, power(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS cagr, (avg(d) * 252 - {RISK_FREE}) / (stddev_samp(d) * sqrt(252)) AS sharpe, min(dd) AS max_drawdown, stddev_samp(d) * sqrt(252) AS annualised_volatility FROM dd GROUP BY 1, 2)"""
 
 
 def _window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = _prices(spark, sf_dir)
+    prices = _prices(spark, sf_dir, benchmark=True)
     cut = bootstrap.window_prices(prices, bootstrap.rolling_windows(prices.select("date"), 2.0)).cache()
-    return bootstrap.run_windows(cut, "window_id", WEIGHTS, None, CAPITAL)
+    return bootstrap.run_windows(cut, "window_id", WEIGHTS, BENCHMARK, CAPITAL)[0]
 
 
-@query(f"WITH {_WINDOW_HOLD} SELECT window_id, 'hold' AS series, round(cagr, 6) AS cagr, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) + 0.0 AS max_drawdown, round(annualised_volatility, 6) AS annualised_volatility FROM res")
+@query(f"WITH RECURSIVE {_WINDOW_ALL} SELECT window_id, series, round(cagr, 6) AS cagr, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) + 0.0 AS max_drawdown, round(annualised_volatility, 6) AS annualised_volatility FROM res")
 def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _window_results(spark, sf_dir).where("series = 'hold'").select("window_id", "series", *[r(m, 6).alias(m) for m in bootstrap.METRICS])
+    return _window_results(spark, sf_dir).select("window_id", "series", *[r(m, 6).alias(m) for m in bootstrap.METRICS])
 
 
-@query(f"""WITH {_WINDOW_HOLD}, s AS (UNPIVOT res ON cagr, sharpe, max_drawdown, annualised_volatility INTO NAME metric VALUE x)
-SELECT 'hold' AS series, metric, count(x) AS n, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.95), 6) AS p95, round(min(x), 6) + 0.0 AS lowest, round(max(x), 6) + 0.0 AS highest FROM s GROUP BY metric""")
+@query(f"""WITH RECURSIVE {_WINDOW_ALL}, s AS (UNPIVOT res ON cagr, sharpe, max_drawdown, annualised_volatility INTO NAME metric VALUE x)
+SELECT series, metric, count(x) AS n, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.95), 6) AS p95, round(min(x), 6) + 0.0 AS lowest, round(max(x), 6) + 0.0 AS highest FROM s GROUP BY series, metric""")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bootstrap.summaries(_window_results(spark, sf_dir).where("series = 'hold'"))
+    s = bootstrap.summaries(_window_results(spark, sf_dir))
     return s.select("series", "metric", "n", *[r(c, 6).alias(c) for c in s.columns[3:]])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WINDOW_ALL}, s AS (UNPIVOT res ON cagr, sharpe, max_drawdown INTO NAME metric VALUE x)
+SELECT a.metric, b.series AS baseline, round(avg(CAST(a.x > b.x AS DOUBLE)), 8) AS win_rate FROM s a JOIN s b USING (window_id, metric) WHERE a.series = 'strategy' AND b.series <> 'strategy' GROUP BY ALL""")
 def win_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.win_rates(_window_results(spark, sf_dir), "window_id")
+    return bootstrap.win_rates(_window_results(spark, sf_dir), "window_id").withColumn("win_rate", r("win_rate"))
 
 
 @query()
@@ -374,10 +396,10 @@ def block_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _matrix(spark, sf_dir).cache()
+    m = returns.returns_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK]).cache()
     n = m.select("date").distinct().count()
     index = bootstrap.stationary_indices(n, n, spark.range(20).select(F.col("id").cast("int").alias("resample")))
-    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index).cache(), "resample", WEIGHTS, None, CAPITAL))
+    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index).cache(), "resample", WEIGHTS, BENCHMARK, CAPITAL)[0])
 
 
 @query(f"""WITH {_BARS}, old AS (SELECT ticker, date, adj_close FROM bars WHERE date < DATE '1998-01-01'), new AS (SELECT ticker, date, adj_close * 2 AS adj_close FROM bars WHERE date >= DATE '1997-06-01')

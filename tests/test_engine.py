@@ -223,3 +223,43 @@ def test_normalise_frame(spark):
 
 
 random.seed(0)
+
+
+def test_engine_refuses_bad_weights_and_prices(spark):
+    rows = [("a", f"2024-01-0{d}", t, p) for d in (1, 2, 3) for t, p in (("X", 10.0 + d), ("Y", 20.0))]
+    prices = spark.createDataFrame(rows, "scenario string, date string, ticker string, px double").withColumn("date", F.col("date").cast("date"))
+    plan = lambda w: spark.createDataFrame([("a", "2024-01-01", t, x) for t, x in w.items()], "scenario string, date string, ticker string, w double").withColumn("date", F.col("date").cast("date"))
+    assert backtest.run(prices, plan({"X": 0.5, "Y": 0.5}), 100.0)[0].count() == 3
+    for bad in ({"X": 0.5}, {"X": 0.5, "Z": 0.5}, {"X": float("nan"), "Y": 0.5}):
+        with pytest.raises(Exception, match="STRATEGY_CONTRACT_VIOLATION"):
+            backtest.run(prices, plan(bad), 100.0)[0].collect()
+    for bad in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(Exception, match="INVALID_PARAMETER"):
+            backtest.run(prices.withColumn("px", F.when(F.col("ticker") == "X", F.lit(bad)).otherwise(F.col("px"))), plan({"X": 0.5, "Y": 0.5}), 100.0)[0].collect()
+
+
+def test_synthetic_paths_begin_at_their_base(spark):
+    rets = spark.createDataFrame([("X", "2024-01-01", 0.1), ("X", "2024-01-02", -0.5)], "ticker string, date string, ret double")
+    index = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "resample int, pos int, day_idx long")
+    got = bootstrap.resampled_prices(rets, index).orderBy("pos").collect()
+    assert [(r.pos, str(r.date), round(r.px, 9)) for r in got] == [(0, "2000-01-03", 100.0), (1, "2000-01-04", 50.0), (2, "2000-01-05", 55.0)]
+
+
+def test_sinks_seed_and_restore(spark, tmp_path):
+    old = spark.createDataFrame([(1, "A", "a", "X", "s", True, False)], "id int, ticker string, name string, exchange string, sector string, is_active boolean, is_benchmark boolean")
+    new = old.select("ticker", F.lit("renamed").alias("name")).unionByName(sinks.benchmark_row(spark, "^I", "Index"), allowMissingColumns=True)
+    got = {r.ticker: r for r in sinks.upsert_securities(old, new).collect()}
+    assert (got["A"].id, got["A"].name, got["A"].exchange) == (1, "renamed", "X") and got["^I"].id == 2 and got["^I"].is_benchmark
+    marks = spark.createDataFrame([("A", "2024-01-01", "x"), ("Q", "2024-01-01", "y")], "ticker string, date string, adjustment string")
+    stored, n, skipped = sinks.upsert_anomalies(marks.limit(0), marks, old)
+    assert stored.count() == 1 and n == 1 and skipped == ["Q"]
+    tie = spark.createDataFrame([("A", 1), ("A", 2)], "ticker string, v int")
+    assert [r.v for r in sinks.upsert(tie.limit(0), tie, ["ticker"]).collect()] == [2]
+    with pytest.raises(UnknownTicker):
+        sinks.ingest(lambda t: None, lambda t, df: 0, ["A"], only=["B"])
+    done = sinks.ingest_all(lambda: ["A", "B"], lambda t: 1 / 0 if t == "A" else old, lambda t, df: df.count(), lambda: 3, lambda: "text")
+    assert done["failed"] == ["A"] and done["rows"] == 1 and done["anomalies"] == 3
+    assert sinks.ingest_all(lambda: ["A"], None, None, lambda: 0, lambda: "", fetch_prices=False)["prices"] == []
+    sinks.dump(old, f"{tmp_path}/d")
+    back = sinks.restore(spark, f"{tmp_path}/d", f"{tmp_path}/t")
+    assert [tuple(r) for r in sinks.verify_counts({"securities": (old, back), "marks": (marks, back)}).collect()] == [("securities", 1, 1, True), ("marks", 2, 1, False)]
