@@ -34,7 +34,7 @@ SAMPLE = 4096
 SAMPLE_QUERIES = 256
 WANTED = 0.95
 QUERY_BLOCK = 4096
-WIDTH = 0.75  # of the sample's root mean square distance
+WIDTH = 1.5  # of the sample's root mean square distance
 _STEPS = np.array(list(product((-1, 0, 1), repeat=HASHES)))
 
 
