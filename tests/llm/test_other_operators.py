@@ -195,3 +195,82 @@ def test_nearest_of_a_far_query_and_among_other_lengths(spark):
 )
 def test_main_text_drops_only_the_boilerplate(html, text):
     assert html_extract.main_text(html) == text
+
+
+def _bare(body):
+    """The page without names, classes and article."""
+    import re
+
+    return re.sub(r"\s(class|id|role)=('[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(article|nav|aside|header|footer|main)", r"<\1div", body))
+
+
+def test_surge_and_dive_find_the_article_of_a_page_without_names():
+    paragraphs = [" ".join([WORDS] * k) for k in (3, 2, 4, 1)]
+    nav = "<nav><ul>" + "".join(f"<li><a href=/x{i}>Section {i}</a></li>" for i in range(6)) + "</ul></nav>"
+    article = "<article><h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "<p>Short end.</p></article>"
+    page = f"<html><body><header><div>Site</div></header>{nav}<div class=ad>Buy this now</div>{article}<footer><div>&copy; site</div></footer></body></html>"
+    want = " ".join(["A title", *paragraphs, "Short end."])
+    assert html_extract.main_text(page) == want
+    assert "class" not in _bare(page) and "article" not in _bare(page)
+    assert html_extract.main_text(_bare(page)) == want
+
+
+def _slow_stretches(lengths, plain):
+    """The step in plain loops: sums over three lines ahead of or behind a line with text, blocks of lines at most one
+    empty line apart, gaps filled unless mostly links."""
+    sizes = plain if any(plain) else lengths
+    n = len(sizes)
+    part = lambda a, b: sum(sizes[max(a, 0) : max(min(b, n), 0)])
+    sums = [x for x in (part(i, i + 3) for i in range(-2, n)) if x > 0]
+    if not any(lengths):
+        return []
+    least = 0.5 * (sum(x * x for x in sums) / len(sums)) ** 0.5
+    blocks = []
+    for i in range(n):
+        if lengths[i] > 0:
+            if blocks and i - blocks[-1][-1] <= 2:
+                blocks[-1].append(i)
+            else:
+                blocks.append([i])
+    kept = [any(part(i, i + 3) >= least or part(i - 2, i + 1) >= least for i in b) for b in blocks]
+    hits = [k for k, x in enumerate(kept) if x]
+    for a, b in zip(hits, hits[1:]):
+        gap = [i for k in range(a + 1, b) for i in blocks[k]]
+        if 2 * sum(plain[i] for i in gap) >= sum(lengths[i] for i in gap):
+            for k in range(a, b):
+                kept[k] = True
+    return [(b[0], b[-1] + 1) for b, x in zip(blocks, kept) if x]
+
+
+def test_surge_and_dive_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(0, 40))
+        lengths = (rng.integers(0, 2, n) * rng.choice([5, 40, 300], n)).tolist()
+        plain = [int(x * rng.choice([0, 1, 1])) for x in lengths]
+        assert html_extract.surge_and_dive(lengths, plain) == _slow_stretches(lengths, plain)
+
+
+def test_pages_odd_input(spark):
+    """Repeated rows, extra and clashing columns, null ids, a text of a million characters, an empty table."""
+    long = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "u", "<p>a</p>", "x", 9), (1, "u", "<p>a</p>", "x", 9), (None, None, long, None, None), (2, "v", "<a href=/>all link</a>", "y", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()), key=str)
+    assert got == sorted([(1, "a", 1), (1, "a", 1), (None, ("word " * 200_000).strip(), 999_999), (2, "all link", 8)], key=str)
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_mix_odd_input(spark):
+    """Null and repeated ids, clashing columns and a very long text: every row is mixed on its own."""
+    rows = [(None, "a b", "s", 1, 1.0), (None, "a b", "s", 2, 2.0), (4, "w " * 300_000, "s", 3, 3.0), (4, None, "s", 4, 4.0), (5, "", None, 5, 5.0)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target double")).toPandas()
+    assert len(got) == 5 and sorted(got["size"]) == [0, 0, 2, 2, 300_000]
+    assert got["taken"].sum() == 300_004 and (got["taken"] == got["size"]).all()
+
+
+def test_nearest_repeated_ids_and_clashing_columns(spark):
+    """A repeated query is answered once, by its smallest vector; rows that share its id are no neighbours."""
+    rows = [(100, [1.0, 0.0], 5), (100, [2.0, 0.0], 6), (7, [1.0, 1.0], 7), (7, [1.0, 1.0], 8)]
+    got = ann_lsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(100, 1, 7, 1.0), (100, 2, 7, 1.0)]
