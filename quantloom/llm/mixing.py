@@ -20,7 +20,7 @@ from quantloom.llm.common import staged, word_count
 # The contract's weights, repeating over the sources in order.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BUCKETS = 4096
+BUCKET_DIGITS = 3  # hexadecimal digits of the hash: 4096 buckets a source
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -60,13 +60,14 @@ def mix_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = 7,
     """One row per document: doc_id, the columns `keep`, size, source_size, target, taken (words the mix takes,
     repeats counted).
 
-    The order of the fractional repetition is a hash of (seed, doc_id), so reruns agree whatever the
+    The order of the fractional repetition is a hash of (seed, doc_id, size), so reruns agree whatever the
     partitioning. Its running sum never gathers a source in one task: sizes are first summed by (source, hash
     bucket), the running sum over at most 4096 buckets a source gives each bucket's offset, and only the rows
     of one bucket are ordered together.
     """
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS << 20))
-    sized = staged(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), key.alias("at")).withColumn("bucket", F.shiftright("at", 20).cast("int")), "sizes")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    sized = docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")).withColumn("at", key)
+    sized = staged(sized.withColumn("bucket", F.conv(F.substring("at", 1, BUCKET_DIGITS), 16, 10).cast("int")), "sizes")
     targets = water_fill(source_sizes(sized), max_epochs)
     epochs = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(epochs), F.lit(max_epochs))).otherwise(F.lit(0))

@@ -1,5 +1,6 @@
 """SQL (DuckDB) of the queries that SQL can express."""
 
+from quantloom.llm import mixing as m
 from quantloom.llm import quality_rules as q
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -41,3 +42,13 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+
+OP3 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(list_extract([{', '.join(map(str, m.WEIGHTS))}], 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(m.WEIGHTS)}) AS DOUBLE) AS w FROM d GROUP BY source),
+c AS (SELECT *, CAST({m.MAX_EPOCHS} * source_size AS DOUBLE) AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, w * (SELECT max(level) FROM l WHERE level <= cap / w)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), {m.MAX_EPOCHS}) ELSE 0 END AS whole FROM t),
+r AS (SELECT *, least(CAST(round(target) AS BIGINT) - whole * source_size, source_size * ({m.MAX_EPOCHS} - whole)) AS rest FROM e),
+o AS (SELECT d.*, r.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM o"""
