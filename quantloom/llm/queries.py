@@ -86,3 +86,24 @@ def op7_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.ann_lsh import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.weighted_fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lloyd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
