@@ -1,5 +1,6 @@
 """SQL (DuckDB) of the queries that SQL can express."""
 
+from quantloom.llm import centroids as c
 from quantloom.llm import mixing as m
 from quantloom.llm import quality_rules as q
 
@@ -52,3 +53,20 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_
 r AS (SELECT *, least(CAST(round(target) AS BIGINT) - whole * source_size, source_size * ({m.MAX_EPOCHS} - whole)) AS rest FROM e),
 o AS (SELECT d.*, r.*, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', '7', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM o"""
+
+
+def _round(k: int) -> str:
+    """CTEs of one round: the nearest centroid of every vector, the sums of its components, and the centroids moved."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT rid, min((xx - 2 * list_inner_product(x, m) + mm, c)) AS b FROM v, c{k} GROUP BY rid),
+t{k} AS (SELECT c, i, CAST(sum(z) AS HUGEINT) AS s, count(*) AS n FROM (SELECT b[2] AS c, unnest(x) AS z, unnest(range({c.SIZE})) AS i FROM a{k} JOIN v USING (rid)) GROUP BY c, i),
+g{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS moved FROM t{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c, m, list_inner_product(m, m) AS mm FROM (SELECT c{k}.c, coalesce(moved, m) AS m FROM c{k} LEFT JOIN g{k} USING (c))),"""
+
+
+OP12 = rf"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, [floor({c.SCALE} * CAST(e AS DOUBLE)) for e in embedding] AS x FROM embeddings
+ WHERE len(embedding) = {c.SIZE} AND len(list_filter(embedding, lambda e: isfinite(e))) = {c.SIZE})),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id) NULLS LAST, x) - 1 AS c, x AS m, xx AS mm FROM v QUALIFY c < {c.CLUSTERS}),{"".join(_round(k) for k in range(c.ROUNDS))}
+f AS (SELECT vec_id, b[2] AS c, CAST(b[1] AS BIGINT) AS distance FROM (SELECT rid, min((xx - 2 * list_inner_product(x, m) + mm, c)) AS b FROM v, c{c.ROUNDS} GROUP BY rid) JOIN v USING (rid)),
+h AS (SELECT c, sha256(array_to_string([CAST(y AS BIGINT) for y in m], ',')) AS centroid_sha256 FROM c{c.ROUNDS})
+SELECT vec_id, CAST(c AS INT) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN h USING (c)"""

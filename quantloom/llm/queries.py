@@ -10,7 +10,7 @@ from quantloom.llm import oracles
 from quantloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op2_host_quality_rules": oracles.OP2, "op3_mix_sources": oracles.OP3, "op5_minhash_near_dup": oracles.OP5}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.OP1, "op2_host_quality_rules": oracles.OP2, "op3_mix_sources": oracles.OP3, "op5_minhash_near_dup": oracles.OP5, "op12_lloyd_clusters": oracles.OP12}
 
 
 def query(f):
