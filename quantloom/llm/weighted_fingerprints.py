@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import SPACE_CLASS, discard, staged
 
-SAMPLES = 32
+SAMPLES = 64
 MARGIN = 30.0
 KEY = ["id", "h"]
 
@@ -95,12 +95,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     jobs, ranges = _next_rows(rows)
     nexts = whole.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
     third = F.floor(F.col("n") / 3).cast("int")
-    heads = jobs.join(nexts, ["next_id", "next_h"]).select("doc_id", *KEY, "n", "self", "next_id", "next_h", "times", F.substring("next_text", F.lit(1), third).alias("head"))
+    heads = jobs.join(nexts, ["next_id", "next_h"]).select(*KEY, "n", "self", F.substring("next_text", F.lit(1), third).alias("head"))
     pairs = whole.join(heads, KEY).withColumn("text2", F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), "head"))
-    told = pairs.select(*KEY, "self", "doc_id", "n", "next_id", "next_h", "times", F.sha2("text2", 256).alias("edited_sha256"))
+    digests = pairs.select(*KEY, "self", F.sha2("text2", 256).alias("edited_sha256"))  # both read the same exchanged texts
     codes = sampled(pairs.select(*KEY, "self", F.col("text").alias("text1"), "text2"), [*KEY, "self"])
     empty = F.array().cast("array<string>")
-    found = told.join(codes, [*KEY, "self"], "left").withColumns({c: F.coalesce(c, empty) for c in ("codes1", "codes2")})
+    found = jobs.join(digests, [*KEY, "self"]).join(codes, [*KEY, "self"], "left").withColumns({c: F.coalesce(c, empty) for c in ("codes1", "codes2")})
     found = staged(found, "fingerprints")
     discard(ranges)
     own = found.where("not self").select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("codes1").alias("next_codes"))
