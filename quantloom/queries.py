@@ -315,19 +315,67 @@ def max_achievable_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimizer.max_achievable_return(returns.moments(_matrix(spark, sf_dir))[0]).select(r("max_return").alias("max_return"))
 
 
-@query()
+# Portfolios by trying all sets of free assets (f) and of assets at the cap (h): the free ones' covariances are inverted by
+# Gauss and Jordan's steps, weights a + m b and prices p + m q are linear in the multiplier m, and a set holds where all
+# are on the right side. m: p (key of a problem), cv (rows of annual covariances), mu, in the order of tickers.
+_N, _CAP = len(TICKERS), 0.35
+_EACH = f"range(1, {_N + 1})"
+_PIECES = f"""sets AS (SELECT p, f, [[CASE WHEN (f >> (i - 1)) & 1 = 1 AND (f >> (j - 1)) & 1 = 1 THEN cv[i][j] WHEN i = j THEN 1.0 ELSE 0.0 END for j in {_EACH}] || [CASE WHEN i = j THEN 1.0 ELSE 0.0 END for j in {_EACH}] for i in {_EACH}] AS t FROM m, range(1, {1 << _N}) s(f)),
+gj AS (SELECT p, f, 1 AS k, t FROM sets UNION ALL SELECT p, f, k + 1, [CASE WHEN i = k THEN [x / t[k][k] for x in t[k]] ELSE [z[1] - t[i][k] / t[k][k] * z[2] for z in list_zip(t[i], t[k])] END for i in {_EACH}] FROM gj WHERE k <= {_N}),
+inv AS (SELECT p, f, [x[{_N + 1}:{2 * _N}] for x in t] AS v FROM gj WHERE k = {_N + 1}),
+pat AS (SELECT p, f, h, v, cv, mu, [CAST((f >> (i - 1)) & 1 AS DOUBLE) for i in {_EACH}] AS e, [{_CAP} * CAST((h >> (i - 1)) & 1 AS DOUBLE) for i in {_EACH}] AS held FROM inv JOIN m USING (p), range(0, {1 << _N}) s(h) WHERE f & h = 0),
+x1 AS (SELECT *, [list_inner_product(x, e) for x in v] AS a1, [list_inner_product(x, [z[1] * z[2] for z in list_zip(e, mu)]) for x in v] AS am, [list_inner_product(x, [z[1] * list_inner_product(z[2], held) for z in list_zip(e, cv)]) for x in v] AS aq FROM pat),
+x2 AS (SELECT *, (1 - list_sum(held) + list_sum(aq)) / list_sum(a1) AS h0, -list_sum(am) / list_sum(a1) AS h1 FROM x1),
+x3 AS (SELECT p, f, h, cv, mu, h0, h1, [z[1] + h0 * z[2] - z[3] for z in list_zip(held, a1, aq)] AS a, [h1 * z[1] + z[2] for z in list_zip(a1, am)] AS b FROM x2),
+x4 AS (SELECT *, [list_inner_product(x, a) - h0 for x in cv] AS pp, [list_inner_product(z[1], b) - z[2] - h1 for z in list_zip(cv, mu)] AS q FROM x3),
+sides AS (SELECT p, f, h, CASE WHEN (f >> (i - 1)) & 1 = 1 THEN [[a[i], b[i]], [{_CAP} - a[i], -b[i]]] WHEN (h >> (i - 1)) & 1 = 1 THEN [[-pp[i], -q[i]]] ELSE [[pp[i], q[i]]] END AS c FROM x4, {_EACH} s(i)),
+spans AS (SELECT p, f, h, greatest(coalesce(max(CASE WHEN c[2] > 1e-11 THEN -c[1] / c[2] END), 0), 0) AS lo, min(CASE WHEN c[2] < -1e-11 THEN -c[1] / c[2] END) AS hi, bool_or(abs(c[2]) <= 1e-11 AND c[1] < -1e-10) AS bad FROM (SELECT p, f, h, unnest(c) AS c FROM sides) GROUP BY ALL),
+pieces AS MATERIALIZED (SELECT p, cv, mu, a, b, lo, hi, list_inner_product(mu, a) AS r0, list_inner_product(mu, b) AS r1, list_inner_product(a, [list_inner_product(x, a) for x in cv]) AS v0, list_inner_product(a, [list_inner_product(x, b) for x in cv]) AS v1, list_inner_product(b, [list_inner_product(x, b) for x in cv]) AS v2
+ FROM spans JOIN x4 USING (p, f, h) WHERE NOT bad AND lo < coalesce(hi, 1e300) - 1e-12)"""
+_MOMENTS = f"""{_MATRIX}, cc AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) * 252 AS c FROM matrix x JOIN matrix y ON x.date = y.date GROUP BY 1, 2),
+m AS (SELECT 0 AS p, (SELECT list(r ORDER BY a) FROM (SELECT a, list(c ORDER BY b) AS r FROM cc GROUP BY a)) AS cv, (SELECT list(mu ORDER BY ticker) FROM (SELECT ticker, avg(ret) * 252 AS mu FROM matrix GROUP BY 1)) AS mu), {_PIECES}"""
+_LEAST = "SELECT 0 AS point, cv, mu, a AS w, CAST(0 AS DOUBLE) AS m FROM pieces WHERE lo = 0"
+_RATIO = f"""SELECT 0 AS point, cv, mu, w, var / (list_inner_product(mu, w) - {RISK_FREE}) AS m FROM (SELECT *, list_inner_product(w, [list_inner_product(y, w) for y in cv]) AS var FROM (SELECT cv, mu, [z[1] + x * z[2] for z in list_zip(a, b)] AS w
+ FROM (SELECT *, CASE WHEN hi IS NULL THEN lo ELSE least(hi, greatest(lo, ((r0 - {RISK_FREE}) * v1 - r1 * v0) / (r1 * v1 - (r0 - {RISK_FREE}) * v2))) END AS x FROM pieces))) ORDER BY (list_inner_product(mu, w) - {RISK_FREE}) / sqrt(var) DESC LIMIT 1"""
+_POINTS = """SELECT CAST(i AS INT) AS point, cv, mu, [z[1] + x * z[2] for z in list_zip(a, b)] AS w, x AS m, t AS target FROM (SELECT *, (t - r0) / r1 AS x FROM pieces, (SELECT i, least_ret + i * (best_ret - least_ret) / 29 AS t FROM (SELECT min(r0 + lo * r1) AS least_ret, max(r0 + lo * r1) AS best_ret FROM pieces), range(30) s(i)) WHERE r1 > 1e-12)
+ WHERE x BETWEEN lo - 1e-9 AND hi + 1e-9 QUALIFY row_number() OVER (PARTITION BY i ORDER BY lo) = 1"""
+
+
+def _proof_sql(points: str, more: str = "") -> str:
+    """certify()'s columns for rows (point, cv, mu, w, m), worked out from the matrix again."""
+    return f"""WITH RECURSIVE {_MOMENTS}, pts AS ({points}),
+u AS (SELECT * EXCLUDE (cv, mu, w), unnest({TICKERS}) AS ticker, unnest(w) AS w, unnest([list_inner_product(x, w) for x in cv]) AS slope, unnest(mu) AS mu FROM pts),
+o AS (SELECT *, slope - m * mu AS over, w <= 1e-9 AS low, w >= {_CAP} - 1e-9 AS high FROM u),
+s AS (SELECT point, coalesce(avg(over) FILTER (NOT low AND NOT high), max(over) FILTER (high), min(over)) AS budget_price, sum(w) AS total, sum(w * mu) AS ret, sqrt(sum(w * slope)) AS vol FROM o GROUP BY point),
+d AS (SELECT *, over - budget_price AS price, CASE WHEN low THEN greatest(over - budget_price, 0) ELSE 0 END AS lower_price, CASE WHEN high THEN greatest(budget_price - over, 0) ELSE 0 END AS upper_price FROM o JOIN s USING (point)),
+k AS (SELECT point, max(greatest(abs(price - lower_price + upper_price), abs(total - 1), -w, w - {_CAP})) AS kkt_error FROM d GROUP BY point)
+SELECT {more}ticker, round(w, 6) + 0.0 AS w, round(m, 6) + 0.0 AS return_price, round(budget_price, 6) + 0.0 AS budget_price, round(lower_price, 6) + 0.0 AS lower_price, round(upper_price, 6) + 0.0 AS upper_price, round(ret, 6) + 0.0 AS ret, round(vol, 6) AS vol, round((ret - {RISK_FREE}) / vol, 6) + 0.0 AS sharpe, round(kkt_error, 8) + 0.0 AS kkt_error FROM d JOIN k USING (point)"""
+
+
+def _rounded_proof(proof: DataFrame, *more: str) -> DataFrame:
+    return proof.select(*more, "ticker", *[r(c, 6).alias(c) for c in ("w", "return_price", "budget_price", "lower_price", "upper_price", "ret", "vol", "sharpe")], r("kkt_error").alias("kkt_error"))
+
+
+@query(_proof_sql(_LEAST))
 def min_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimizer.optimise(_matrix(spark, sf_dir), "min_variance").select("status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+    return _rounded_proof(optimizer.certified(_matrix(spark, sf_dir), "min_variance"))
 
 
-@query()
+@query(_proof_sql(_RATIO))
 def max_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimizer.optimise(_matrix(spark, sf_dir), "max_sharpe").select("status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+    return _rounded_proof(optimizer.certified(_matrix(spark, sf_dir), "max_sharpe"))
 
 
-@query()
+@query(_proof_sql(_POINTS, "point, round(target, 6) + 0.0 AS target, "))
 def efficient_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimizer.efficient_frontier(_matrix(spark, sf_dir)).select("target", "status", "ret", "vol", "sharpe", F.map_entries("weights").alias("weights"))
+    proof = optimizer.certified_frontier(_matrix(spark, sf_dir))
+    return _rounded_proof(proof.withColumn("target", r("target", 6)), "point", "target")
+
+
+@query(f"""WITH RECURSIVE {_MOMENTS}, ends AS (SELECT CAST(row_number() OVER (ORDER BY lo DESC) - 1 AS INT) AS corner, lo, r0 + lo * r1 AS ret, sqrt(v0 + 2 * lo * v1 + lo * lo * v2) AS vol, [z[1] + lo * z[2] for z in list_zip(a, b)] AS w FROM pieces)
+SELECT corner, round(lo, 6) AS multiplier, round(ret, 6) + 0.0 AS ret, round(vol, 6) AS vol, unnest({TICKERS}) AS ticker, round(unnest(w), 6) + 0.0 AS w FROM ends""")
+def frontier_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return optimizer.frontier_corners(_matrix(spark, sf_dir)).select("corner", *[r(c, 6).alias(c) for c in ("multiplier", "ret", "vol")], "ticker", r("w", 6).alias("w"))
 
 
 @query()
