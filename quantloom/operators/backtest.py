@@ -80,6 +80,12 @@ def _by_day(rows: DataFrame, value: str) -> DataFrame:
     return got.select("scenario", "date", F.col("x.ticker").alias("tickers"), F.col(f"x.{value}").alias(value))
 
 
+def _checked(prices: DataFrame) -> DataFrame:
+    """The prices; the run fails on one that is not positive and finite."""
+    px = F.col("px")
+    return prices.withColumn("px", F.when((px > 0) & (px < float("inf")), px).otherwise(F.raise_error(F.concat(F.lit("INVALID_PARAMETER: price of "), "ticker", F.lit(" on "), F.col("date").cast("string"))).cast("double")))
+
+
 def run(prices: DataFrame, weights: DataFrame, capital: float, bps: float = COST_BPS) -> tuple[DataFrame, DataFrame]:
     """Values (scenario, date, value, cash) of every day and trades (scenario, date, tickers, shares, cash, cost,
     turnover) of every rebalance.
@@ -90,8 +96,7 @@ def run(prices: DataFrame, weights: DataFrame, capital: float, bps: float = COST
     whose weights of priced tickers do not sum to 1 (a weight that is not finite or of an unknown ticker among them).
     """
     rate = bps / 10_000
-    px = F.col("px")
-    prices = prices.withColumn("px", F.when((px > 0) & (px < float("inf")), px).otherwise(F.raise_error(F.concat(F.lit("INVALID_PARAMETER: price of "), "ticker", F.lit(" on "), F.col("date").cast("string"))).cast("double")))
+    prices = _checked(prices)
     at = prices.join(weights.select("scenario", "date").distinct(), ["scenario", "date"]).join(weights, ["scenario", "date", "ticker"], "left")
     rows = at.groupBy("scenario", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "px", F.coalesce("w", F.lit(0.0)).alias("w")))).alias("x"), F.sum("w").alias("total"))
     agrees = F.abs(F.col("total") - 1) <= ENGINE_WEIGHT_TOLERANCE
@@ -113,6 +118,7 @@ def run(prices: DataFrame, weights: DataFrame, capital: float, bps: float = COST
 def buy_and_hold(prices: DataFrame, weights: dict[str, float], capital: float, bps: float = COST_BPS) -> DataFrame:
     """scenario, date, value: bought on the first day, never traded again; closed form, no fold."""
     rate = bps / 10_000
+    prices = _checked(prices)
     first = prices.groupBy("scenario", "ticker").agg(F.min_by("px", "date").alias("p0"))
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("ticker")), F.lit(0.0))
     total = sum(abs(x) for x in weights.values())

@@ -64,8 +64,8 @@ def resampled_prices(returns: DataFrame, indices: DataFrame) -> DataFrame:
 
 
 def run_windows(prices: DataFrame, key: str, weights: dict[str, float], benchmark: str | None, capital: float, bps: float = COST_BPS, risk_free: float = RISK_FREE, frequency: str = "monthly", strategy_weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Metrics (key, series, ...) of strategy, buy-and-hold and benchmark in every window, as scenarios of one
-    backtest, and the trades of all (scenario is "key|series").
+    """Metrics (key, series, ...) of strategy, buy-and-hold and benchmark in every window, and the strategy's trades
+    (scenario is "key|series"). Only the strategy is folded; what trades once has a closed form.
 
     strategy_weights: [key,] date, ticker, w of a walk-forward strategy; without the key, solved once per date and
     joined to all windows.
@@ -73,15 +73,14 @@ def run_windows(prices: DataFrame, key: str, weights: dict[str, float], benchmar
     own = prices.where(F.col("ticker") != benchmark) if benchmark else prices
     name = lambda series: F.concat_ws("|", F.col(key).cast("string"), F.lit(series)).alias("scenario")
     calendar = backtest.rebalance_calendar(own.select(key, "date").distinct(), frequency)
-    first = calendar.groupBy(key).agg(F.min("date").alias("date"))
     on = [key, "date"] if strategy_weights is not None and key in strategy_weights.columns else ["date"]
     planned = backtest.constant_weights(calendar, weights) if strategy_weights is None else calendar.join(strategy_weights.select(*on, "ticker", "w"), on)
-    rows = own.select(name("strategy"), "date", "ticker", "px").unionByName(own.select(name("hold"), "date", "ticker", "px"))
-    plan = planned.select(name("strategy"), "date", "ticker", "w").unionByName(backtest.constant_weights(first, weights).select(name("hold"), "date", "ticker", "w"))
+    values, trades = backtest.run(own.select(name("strategy"), "date", "ticker", "px"), planned.select(name("strategy"), "date", "ticker", "w"), capital, bps)
+    held = backtest.buy_and_hold(own.select(name("hold"), "date", "ticker", "px"), weights, capital, bps)
+    values = values.select("scenario", "date", "value").unionByName(held)
     if benchmark:
-        rows = rows.unionByName(prices.where(F.col("ticker") == benchmark).select(name("benchmark"), "date", "ticker", "px"))
-        plan = plan.unionByName(backtest.constant_weights(first, {benchmark: 1.0}).select(name("benchmark"), "date", "ticker", "w"))
-    values, trades = backtest.run(rows, plan, capital, bps)
+        index = prices.where(F.col("ticker") == benchmark).select(name("benchmark"), "date", "ticker", "px")
+        values = values.unionByName(backtest.buy_and_hold(index, {benchmark: 1.0}, capital, bps))
     split = F.split("scenario", r"\|")
     return backtest.metrics(values, risk_free).withColumn(key, split[0].cast("int")).withColumn("series", split[1]).drop("scenario"), trades
 

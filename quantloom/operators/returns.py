@@ -131,10 +131,11 @@ def large_moves(bars: DataFrame, registry: DataFrame, reviewed: DataFrame, thres
 
 
 def moments(returns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ticker, mean) and (a, b, cov) with ddof 1, from a long matrix. The pairs of a day are tickers squared;
-    each pair is computed once and mirrored."""
+    """(ticker, mean) and (a, b, cov) with ddof 1, from a long matrix. A day's returns meet once, as one array; its pairs
+    (tickers squared) are summed where they arise, so what moves besides is a row for each pair and task."""
     means = returns.groupBy("ticker").agg(F.avg("ret").alias("mean"))
-    left = returns.select("date", F.col("ticker").alias("a"), F.col("ret").alias("x"))
-    right = returns.select("date", F.col("ticker").alias("b"), F.col("ret").alias("y"))
-    upper = left.join(right, "date").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    days = returns.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("r"))
+    left = days.select("r", F.posexplode("r").alias("i", "x"))
+    pairs = left.select("x", F.explode(F.slice("r", F.col("i") + 1, F.size("r"))).alias("y"))
+    upper = pairs.groupBy(F.col("x.ticker").alias("a"), F.col("y.ticker").alias("b")).agg(F.covar_samp("x.ret", "y.ret").alias("cov"))
     return means, upper.unionByName(upper.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))

@@ -378,10 +378,34 @@ def frontier_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimizer.frontier_corners(_matrix(spark, sf_dir)).select("corner", *[r(c, 6).alias(c) for c in ("multiplier", "ret", "vol")], "ticker", r("w", 6).alias("w"))
 
 
-@query()
+# Moments of the 252 returns up to each quarter's first day.
+_TRAILING = f"""{_PRICES}, steps2 AS (SELECT ticker, date, px / lag(px) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM prices), rets AS (SELECT * FROM steps2 WHERE ret IS NOT NULL),
+num AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM rets)),
+asked AS (SELECT min(date) AS date FROM prices GROUP BY date_trunc('quarter', date)),
+spans2 AS (SELECT asked.date AS as_of, d.date FROM asked JOIN num ON num.date = asked.date JOIN num d ON d.k BETWEEN num.k - 251 AND num.k),
+hist AS (SELECT as_of, date, ticker, ret FROM spans2 JOIN rets USING (date)),
+mean2 AS (SELECT as_of, ticker, avg(ret) AS mean, count(*) AS n FROM hist GROUP BY 1, 2),
+cov2 AS (SELECT x.as_of, x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS c FROM hist x JOIN hist y ON x.as_of = y.as_of AND x.date = y.date GROUP BY ALL)"""
+
+
+@query(f"WITH {_TRAILING} SELECT c.as_of AS date, CAST(n AS INT) AS n, a, b, round(mean, 10) + 0.0 AS mean_a, round(c, 10) + 0.0 AS cov FROM cov2 c JOIN mean2 m ON c.as_of = m.as_of AND a = ticker WHERE n > 1")
+def trailing_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir)
+    m = strategies.trailing_moments(prices, backtest.rebalance_calendar(prices.select("date"), "quarterly"), 252).where("cov is not null")
+    names = F.array(*[F.lit(t) for t in TICKERS])
+    rows = m.select("date", "n", "means", F.posexplode("cov").alias("k", "cov"))
+    i, j = F.floor(F.col("k") / len(TICKERS)).cast("int"), (F.col("k") % len(TICKERS)).cast("int")
+    return rows.select("date", "n", F.get(names, i).alias("a"), F.get(names, j).alias("b"), r(F.get("means", i), 10).alias("mean_a"), r("cov", 10).alias("cov"))
+
+
+@query(f"""WITH RECURSIVE {_TRAILING}, m AS (SELECT as_of AS p, list(r ORDER BY a) AS cv, list(mu ORDER BY a) AS mu FROM (SELECT as_of, a, list(c * 252 ORDER BY b) AS r FROM cov2 GROUP BY as_of, a) x JOIN (SELECT as_of, ticker AS a, mean * 252 AS mu, n FROM mean2) y USING (as_of, a) WHERE n >= 60 GROUP BY as_of),
+{_PIECES}, solved AS (SELECT date, a AS w FROM asked LEFT JOIN (SELECT p AS date, a FROM pieces WHERE lo = 0) USING (date)),
+held AS (SELECT date, CASE WHEN w IS NULL THEN 'INVALID_PARAMETER' ELSE 'ok' END AS status, coalesce(last_value(w IGNORE NULLS) OVER (ORDER BY date), [1 / {_N}.0 for i in range({_N})]) AS w FROM solved)
+SELECT date, status, unnest({TICKERS}) AS ticker, round(unnest(w), 6) + 0.0 AS w FROM held""")
 def walk_forward_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = _prices(spark, sf_dir)
-    return strategies.walk_forward_weights(prices, backtest.rebalance_calendar(prices.select("date"), "quarterly"), lookback=252, min_days=60)
+    found = strategies.walk_forward_weights(prices, backtest.rebalance_calendar(prices.select("date"), "quarterly"), lookback=252, min_days=60)
+    return found.select("date", "status", "ticker", r("w", 6).alias("w"))
 
 
 _WINDOWS = f"""{_PRICES}, days AS (SELECT DISTINCT date FROM prices), firsts AS (SELECT min(date) AS start_date FROM days GROUP BY date_trunc('month', date)),
