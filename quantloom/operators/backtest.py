@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.constants import COST_BPS, DAYS_PER_YEAR, ENGINE_WEIGHT_TOLERANCE, RISK_FREE, TRADING_DAYS
 from quantloom.functions.errors import StrategyContractViolation
+from quantloom.operators.scan import running
 
 
 def rebalance_calendar(days: DataFrame, frequency: str = "monthly") -> DataFrame:
@@ -128,10 +129,14 @@ def buy_and_hold(prices: DataFrame, weights: dict[str, float], capital: float, b
     return held.select("scenario", "date", (F.col("v") + left).alias("value"))
 
 
-def drawdowns(values: DataFrame) -> DataFrame:
-    """scenario, date, value, high_water, drawdown."""
-    sofar = Window.partitionBy("scenario").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return values.select("scenario", "date", "value", F.max("value").over(sofar).alias("high_water")).withColumn("drawdown", F.try_divide("value", "high_water") - 1)
+def drawdowns(values: DataFrame, span: int | None = None) -> DataFrame:
+    """scenario, date, value, high_water, drawdown. span: cut long series into blocks of so many days."""
+    if span:
+        high = running(values.select("scenario", "date", "value"), "date", span, {"high_water": ("value", "max")}, ("scenario",))
+    else:
+        sofar = Window.partitionBy("scenario").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        high = values.select("scenario", "date", "value", F.max("value").over(sofar).alias("high_water"))
+    return high.withColumn("drawdown", F.try_divide("value", "high_water") - 1)
 
 
 def metrics(values: DataFrame, risk_free: float = RISK_FREE) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.constants import COST_BPS, EXPECTED_BLOCK, RISK_FREE
 from quantloom.functions.errors import InvalidParameter, enforce_max
-from quantloom.functions.rng import uniform
+from quantloom.functions.rng import counter_uniform
 from quantloom.operators import backtest
 
 METRICS = ("cagr", "sharpe", "max_drawdown", "annualised_volatility")
@@ -34,20 +34,28 @@ def window_prices(prices: DataFrame, windows: DataFrame) -> DataFrame:
     return prices.join(F.broadcast(w), (F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date"))).select("window_id", "date", "ticker", "px")
 
 
+#: Streams of the generator: where blocks begin, the days they begin with, and single days.
+BEGINS, STARTS, SINGLE = 3, 4, 5
+
+
+def _positions(resamples: DataFrame, length: int) -> DataFrame:
+    return resamples.select("resample", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
+
+
 def stationary_indices(n_days: int, length: int, resamples: DataFrame, seed: int = 0, block: int = EXPECTED_BLOCK) -> DataFrame:
     """resample, pos, day_idx: blocks begin at random days, go on for a geometric length of mean `block` and wrap
     around. Each resample depends on its own number only."""
-    rows = resamples.select("resample", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    new = (F.col("pos") == 0) | (uniform(seed, F.col("resample"), F.col("pos"), 7) < 1 / block)
-    order = Window.partitionBy("resample").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.last(F.when(new, F.col("pos")), ignorenulls=True).over(order)
-    start = F.floor(uniform(seed, F.col("resample"), F.col("begun"), 8) * n_days)
-    return rows.withColumn("begun", begun).select("resample", "pos", ((start + F.col("pos") - F.col("begun")) % n_days).cast("long").alias("day_idx"))
+    rows = counter_uniform(_positions(resamples, length), "begins", F.col("resample"), F.col("pos"), seed, BEGINS)
+    rows = counter_uniform(rows, "start", F.col("resample"), F.col("pos"), seed, STARTS)
+    new = (F.col("pos") == 0) | (F.col("begins") < 1 / block)
+    sofar = Window.partitionBy("resample").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(new, F.struct("pos", "start")), ignorenulls=True).over(sofar)
+    return rows.withColumn("begun", begun).select("resample", "pos", ((F.floor(F.col("begun.start") * n_days) + F.col("pos") - F.col("begun.pos")) % n_days).cast("long").alias("day_idx"))
 
 
 def iid_indices(n_days: int, length: int, resamples: DataFrame, seed: int = 0) -> DataFrame:
-    rows = resamples.select("resample", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    return rows.select("resample", "pos", F.floor(uniform(seed, F.col("resample"), F.col("pos"), 9) * n_days).cast("long").alias("day_idx"))
+    rows = counter_uniform(_positions(resamples, length), "u", F.col("resample"), F.col("pos"), seed, SINGLE)
+    return rows.select("resample", "pos", F.floor(F.col("u") * n_days).cast("long").alias("day_idx"))
 
 
 def resampled_prices(returns: DataFrame, indices: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.constants import DAYS_PER_YEAR, LOOKBACK_DAYS
 from quantloom.functions.errors import InsufficientCoverage, InsufficientLookback
+from quantloom.operators.scan import running
 from quantloom.sources.panel import scan_prices
 
 
@@ -78,11 +79,12 @@ def returns_window(bars: DataFrame, matrix: DataFrame, tickers: list[str], lookb
     return ReturnsWindow(got["a"], got["b"], got["n"], lookback, short, latest, reason, first)
 
 
-def price_matrix(bars: DataFrame, anomalies: DataFrame, tickers: list[str], start: str, end: str, check: bool = True) -> DataFrame:
+def price_matrix(bars: DataFrame, anomalies: DataFrame, tickers: list[str], start: str, end: str, check: bool = True, span: int | None = None) -> DataFrame:
     """Long matrix (ticker, date, px) of cleaned prices on common days within [start, end]; never shrinks.
 
     Prices are rebuilt from each ticker's first bar in the window and its cleaned returns, so a registered move
-    leaves no jump. Levels are aligned, so returns across a day that a ticker lacks compound.
+    leaves no jump. Levels are aligned, so returns across a day that a ticker lacks compound. span: cut long series into
+    blocks of so many days, so that a ticker is more than one task.
     """
     tickers = list(dict.fromkeys(tickers))
     own = scan_prices(bars, tickers)
@@ -91,10 +93,17 @@ def price_matrix(bars: DataFrame, anomalies: DataFrame, tickers: list[str], star
     own = scan_prices(own, None, start, end)
     order = Window.partitionBy("ticker").orderBy("date")
     marked = anomalies.where("adjustment = 'exclude_return'").select("ticker", "date", F.lit(True).alias("excluded")).distinct()
-    before = F.lag("adj_close").over(order)
-    step = F.when(F.col("excluded"), 1.0).otherwise(F.coalesce(F.try_divide("adj_close", F.nullif(before, F.lit(0.0))), F.lit(1.0)))
-    steps = own.join(marked, ["ticker", "date"], "left").select("ticker", "date", step.alias("step"), F.first("adj_close").over(order).alias("anchor"))
-    prices = steps.select("ticker", "date", (F.col("anchor") * F.product("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("px"))
+    growth = F.coalesce(F.try_divide("adj_close", F.nullif("before", F.lit(0.0))), F.lit(1.0))
+    step = F.when(F.col("excluded"), 1.0).otherwise(growth).alias("step")
+    if span:
+        lagged = running(own, "date", span, {"before": ("adj_close", "lag"), "anchor": ("adj_close", "first")}, ("ticker",))
+        steps = lagged.join(marked, ["ticker", "date"], "left").select("ticker", "date", "anchor", step)
+        grown = running(steps, "date", span, {"growth": ("step", "product")}, ("ticker",))
+    else:
+        lagged = own.withColumns({"before": F.lag("adj_close").over(order), "anchor": F.first("adj_close").over(order)})
+        steps = lagged.join(marked, ["ticker", "date"], "left").select("ticker", "date", "anchor", step)
+        grown = steps.withColumn("growth", F.product("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    prices = grown.select("ticker", "date", (F.col("anchor") * F.col("growth")).alias("px"))
     return on_common_days(prices, len(tickers))
 
 

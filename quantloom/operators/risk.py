@@ -6,18 +6,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.constants import HISTOGRAM_BINS
+from quantloom.functions.constants import HISTOGRAM_BINS, TRADING_DAYS
 from quantloom.functions.errors import InvalidParameter, InvalidWeights, enforce_max
-from quantloom.functions.rng import normal, uniform
+from quantloom.functions.rng import counter_uniform, inverse_normal
 
 LEVELS = (0.95, 0.99)
 
 
 def loading(cov: np.ndarray) -> np.ndarray:
-    """A matrix A with A A' = cov, for drawing correlated returns: eigenvectors scaled by the roots of their
-    eigenvalues; negative ones, of a matrix that is only nearly a covariance, count as zero."""
-    values, vectors = np.linalg.eigh(cov)
-    return vectors * np.sqrt(np.maximum(values, 0))
+    """A matrix A with A A' = cov, for drawing correlated returns: Cholesky's factor, or, of a matrix that is only nearly a
+    covariance, eigenvectors scaled by the roots of their eigenvalues, of which negative ones count as zero."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(cov)
+        return vectors * np.sqrt(np.maximum(values, 0))
 
 
 def check_request(weights: dict[str, float], n_sims: int, horizon: int, levels: tuple = LEVELS) -> None:
@@ -29,26 +32,30 @@ def check_request(weights: dict[str, float], n_sims: int, horizon: int, levels:
         raise InvalidWeights("weights must be finite and sum to 1", total=sum(weights.values()))
 
 
+#: Streams of the generator: normals of parametric draws, days of historical ones.
+NORMALS, DAYS = 1, 2
+ASSETS = 64  # counters of a day; more than the tickers of a request
+
+
 def _grid(spark, n_sims: int, horizon: int) -> DataFrame:
-    """One row per simulation and day: simulations are dealt over the cluster, days exploded within."""
-    return spark.range(n_sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("day"))
+    """One row per simulation and day: simulations are dealt over the cluster by their number, days exploded within, so
+    that grouping by simulation moves nothing."""
+    dealt = spark.range(n_sims).select(F.col("id").alias("sim")).repartition("sim")
+    return dealt.select("sim", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("day"))
 
 
 def parametric_paths(returns: DataFrame, weights: dict[str, float], n_sims: int, horizon: int, seed: int = 0) -> DataFrame:
     """sim, path_return: daily multivariate normal draws with the sample's moments, weights re-applied each day,
     compounded. A draw is the mean plus the loading times normals of (seed, sim, day, asset)."""
     from quantloom.operators.optimizer import annual_moments
-    from quantloom.functions.constants import TRADING_DAYS
 
     names, mu, cov = annual_moments(returns)
     w = np.array([weights.get(t, 0.0) for t in names])
-    a = loading(cov / TRADING_DAYS)
-    load = w @ a  # the portfolio's loading on each asset's normal
-    day = F.lit(float(w @ mu / TRADING_DAYS))
-    for k in range(len(names)):
-        day = day + F.lit(float(load[k])) * normal(seed, F.col("sim"), F.col("day"), k)
-    grid = _grid(returns.sparkSession, n_sims, horizon)
-    return _compounded(grid.select("sim", day.alias("r")))
+    load = w @ loading(cov / TRADING_DAYS)  # the portfolio's loading on each asset's normal
+    grid = _grid(returns.sparkSession, n_sims, horizon).select("sim", "day", F.posexplode(F.array(*[F.lit(float(x)) for x in load])).alias("asset", "load"))
+    drawn = counter_uniform(grid, "u", F.col("sim"), F.col("day") * ASSETS + F.col("asset"), seed, NORMALS)
+    daily = drawn.groupBy("sim", "day").agg((F.lit(float(w @ mu / TRADING_DAYS)) + F.sum(F.col("load") * inverse_normal("u"))).alias("r"))
+    return _compounded(daily)
 
 
 def _compounded(rows: DataFrame) -> DataFrame:
@@ -67,8 +74,10 @@ def bootstrap_paths(returns: DataFrame, weights: dict[str, float], n_sims: int,
     historical day is one number before the join; the history is a look-back, so its size is bounded."""
     history = portfolio_days(returns, weights)
     n = n_days or history.count()
-    index = index if index is not None else F.floor(uniform(seed, F.col("sim"), F.col("day")) * n).cast("long")
-    grid = _grid(returns.sparkSession, n_sims, horizon).select("sim", index.alias("day_idx"))
+    grid = _grid(returns.sparkSession, n_sims, horizon)
+    if index is None:
+        grid, index = counter_uniform(grid, "u", F.col("sim"), F.col("day"), seed, DAYS), F.floor(F.col("u") * n).cast("long")
+    grid = grid.select("sim", index.alias("day_idx"))
     return _compounded(grid.join(F.broadcast(history), "day_idx").select("sim", "r"))
 
 

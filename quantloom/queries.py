@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import rng, tickers
 from quantloom.functions.constants import BENCHMARK, LARGE_MOVE, RISK_FREE, TAIL_ROWS
-from quantloom.operators import backtest, bootstrap, optimizer, returns, risk, strategies
+from quantloom.operators import backtest, bootstrap, optimizer, returns, risk, scan, strategies
 from quantloom.sources import panel, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,13 +247,6 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.turnover(_mix(spark, sf_dir)[1], CAPITAL).select("scenario", "n_rebalances", r("total_cost", 2).alias("total_cost"), r("cost_pct", 6).alias("cost_pct"), r("average_turnover").alias("average_turnover"))
 
 
-@query()
-def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = _prices(spark, sf_dir, benchmark=True)
-    values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
-    return _rounded_metrics(values)
-
-
 _SHARES = _FOLD.replace(_PRICES, _PRICES_INDEX).replace("byday AS (SELECT date, list(px ORDER BY ticker) AS px FROM prices GROUP BY date)", "byday AS (SELECT date, list(px ORDER BY ticker) AS px FROM prices WHERE ticker <> '^INDEX' GROUP BY date)")
 
 
@@ -267,6 +260,47 @@ def value_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy("date").pivot("scenario", ["strategy", "hold", "benchmark"]).agg(F.first(r("value", 2)))
 
 
+def _metrics_by_scenario(before: str) -> str:
+    """_metrics_sql() for vals (scenario, date, value) of several scenarios."""
+    return f"""WITH RECURSIVE {before},
+dd AS (SELECT *, value / max(value) OVER o - 1 AS drawdown, value / lag(value) OVER o - 1 AS d FROM vals WINDOW o AS (PARTITION BY scenario ORDER BY date)),
+low AS (SELECT scenario, date AS trough_date, drawdown AS max_drawdown FROM dd QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY drawdown, date) = 1),
+peak AS (SELECT scenario, date AS peak_date FROM dd JOIN low USING (scenario) WHERE date <= trough_date QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY value DESC, date) = 1),
+a AS (SELECT scenario, min(date) AS start_date, max(date) AS end_date, arg_min(value, date) AS v0, arg_max(value, date) AS v1, avg(d) * 252 AS mean, stddev_samp(d) * sqrt(252) AS vol, sqrt(avg(power(least(d - {RISK_FREE} / 252, 0), 2))) * sqrt(252) AS down FROM dd GROUP BY scenario)
+SELECT scenario, start_date, end_date, round(v1, 2) AS final_value, round(v1 / v0 - 1, 6) AS total_return, round(power(v1 / v0, 1 / (date_diff('day', start_date, end_date) / 365.25)) - 1, 6) AS cagr, round(mean, 6) AS annualised_return, round(vol, 6) AS annualised_volatility,
+round((mean - {RISK_FREE}) / vol, 6) AS sharpe, round((mean - {RISK_FREE}) / down, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, peak_date, trough_date FROM a JOIN low USING (scenario) JOIN peak USING (scenario)"""
+
+
+@query(_metrics_by_scenario(_SHARES.replace("vals AS (SELECT periods.date", "mixed AS (SELECT periods.date") + f""", p0 AS (SELECT ticker, arg_min(px, date) AS p0 FROM prices GROUP BY 1),
+vals AS (SELECT 'strategy' AS scenario, date, value FROM mixed
+ UNION ALL SELECT 'hold', date, {CAPITAL} * (1 - 0.0015) * sum(w * px / p0) + {CAPITAL} * 0.0015 * 0.0015 FROM prices JOIN w USING (ticker) JOIN p0 USING (ticker) GROUP BY date
+ UNION ALL SELECT 'benchmark', date, {CAPITAL} * (1 - 0.0015) * px / p0 + {CAPITAL} * 0.0015 * 0.0015 FROM prices JOIN p0 USING (ticker) WHERE ticker = '^INDEX')"""))
+def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir, benchmark=True)
+    values, _, _ = backtest.with_baselines(prices, WEIGHTS, backtest.rebalance_calendar(prices.select("date")), BENCHMARK, CAPITAL)
+    return _rounded_metrics(values)
+
+
+@query("""WITH s AS (SELECT date_trunc('second', ts) AS ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1), l AS (SELECT ts, sum(cents) OVER (ORDER BY ts) AS level FROM s),
+h AS (SELECT ts, level, max(level) OVER (ORDER BY ts) AS high_water, lag(level) OVER (ORDER BY ts) AS before FROM l)
+SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(level AS BIGINT) AS level, CAST(high_water AS BIGINT) AS high_water, CAST(level - high_water AS BIGINT) AS drawdown, CAST(level - before AS BIGINT) AS change FROM h""")
+def event_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series of cents by the second: its level, high water and drawdown, in blocks of a day."""
+    events = panel.read(spark, sf_dir, "events")
+    seconds = events.groupBy(F.date_trunc("second", "ts").alias("ts")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    level = scan.running(seconds, "ts", 86_400, {"level": ("cents", "sum")})
+    found = scan.running(level, "ts", 86_400, {"high_water": ("level", "max"), "before": ("level", "lag")})
+    return found.select("ts", "level", "high_water", (F.col("level") - F.col("high_water")).alias("drawdown"), (F.col("level") - F.col("before")).alias("change"))
+
+
+@query("""WITH u AS (SELECT l_extendedprice / l_quantity AS x FROM lineitem), q AS (SELECT 0.01 AS share, quantile_cont(x, 0.01) AS threshold FROM u UNION ALL SELECT 0.05, quantile_cont(x, 0.05) FROM u UNION ALL SELECT 0.5, quantile_cont(x, 0.5) FROM u UNION ALL SELECT 0.99, quantile_cont(x, 0.99) FROM u)
+SELECT CAST(share AS DOUBLE) AS share, round(threshold, 6) AS threshold, round(avg(x), 6) AS tail_mean FROM q JOIN u ON x <= threshold GROUP BY share, threshold""")
+def unit_price_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the unit prices of all line items and the means up to them."""
+    prices = panel.read(spark, sf_dir, "lineitem").select(F.try_divide("l_extendedprice", "l_quantity").alias("x"))
+    return scan.tails(prices, "x", [0.01, 0.05, 0.5, 0.99]).select("share", r("threshold", 6).alias("threshold"), r("tail_mean", 6).alias("tail_mean"))
+
+
 # Monte Carlo with draws that SQL repeats: integer arithmetic instead of a hash.
 _DRAWN = f"""{_MATRIX}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
 history AS (SELECT row_number() OVER (ORDER BY date) - 1 AS day_idx, sum(w * ret) AS r FROM matrix JOIN w USING (ticker) GROUP BY date),
@@ -298,16 +332,46 @@ def pnl_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("method", "bin", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"), F.col("n").cast("long").alias("n"))
 
 
-@query()
+def _uniform_sql(name: str, rows: str, a: str, b: str, seed: int, stream: int) -> str:
+    """CTEs `name`: the columns of `rows` and u, counter_uniform()'s rounds written out."""
+    out = [f"{name}_0 AS (SELECT *, CAST({a} AS BIGINT) AS _a, CAST({b} AS BIGINT) AS _b FROM {rows})"]
+    for k, key in enumerate(rng.round_keys(seed, stream)):
+        out.append(f"{name}_{k + 1} AS (SELECT * EXCLUDE (_a, _b), xor(xor((_a * {rng.MULTIPLIER}) >> {rng.HALF}, _b), {key}) AS _a, (_a * {rng.MULTIPLIER}) & {(1 << rng.HALF) - 1} AS _b FROM {name}_{k})")
+    return ",\n".join(out) + f",\n{name} AS (SELECT * EXCLUDE (_a, _b), (CAST(_a * {1 << 22} + (_b >> 9) AS DOUBLE) + 0.5) / {1 << 53}.0 AS u FROM {name}_{rng.ROUNDS})"
+
+
+_SIMS, _HORIZON = 10_000, 10
+# Draws with Cholesky's factor by elimination: step k leaves the rest of the matrix after k - 1 columns.
+_PARAMETRIC = f"""{_MATRIX}, cc AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS c FROM matrix x JOIN matrix y ON x.date = y.date GROUP BY 1, 2),
+wm AS (SELECT sum(w * mean) AS base FROM (SELECT ticker, avg(ret) AS mean FROM matrix GROUP BY 1) JOIN (VALUES {_values_of(WEIGHTS)}) w(ticker, w) USING (ticker)),
+ch AS (SELECT 1 AS k, (SELECT list(r ORDER BY a) FROM (SELECT a, list(c ORDER BY b) AS r FROM cc GROUP BY a)) AS t UNION ALL SELECT k + 1, [[t[i][j] - t[i][k] * t[k][j] / t[k][k] for j in range(1, 7)] for i in range(1, 7)] FROM ch WHERE k < 6),
+loads AS (SELECT k - 1 AS asset, list_sum([CASE WHEN i >= k THEN {[WEIGHTS[t] for t in TICKERS]}[i] * t[i][k] / sqrt(t[k][k]) ELSE 0 END for i in range(1, 7)]) AS load FROM ch),
+cells AS (SELECT sim, day, asset, load FROM range({_SIMS}) a(sim), range(1, {_HORIZON + 1}) b(day), loads),
+{_uniform_sql("drawn", "cells", "sim", f"day * {risk.ASSETS} + asset", 0, risk.NORMALS)},
+dailies AS (SELECT sim, day, any_value(base) + sum(load * ({rng.inverse_normal_sql("u")})) AS r FROM drawn, wm GROUP BY sim, day),
+ppaths AS (SELECT sim, product(1 + r) - 1 AS path_return FROM dailies GROUP BY sim)"""
+_HISTORICAL = f"""history AS (SELECT row_number() OVER (ORDER BY date) - 1 AS day_idx, sum(w * ret) AS r FROM matrix JOIN (VALUES {_values_of(WEIGHTS)}) w(ticker, w) USING (ticker) GROUP BY date),
+hcells AS (SELECT sim, day FROM range({_SIMS}) a(sim), range(1, {_HORIZON + 1}) b(day)),
+{_uniform_sql("hdrawn", "hcells", "sim", "day", 0, risk.DAYS)},
+hpaths AS (SELECT sim, product(1 + r) - 1 AS path_return FROM (SELECT sim, CAST(floor(u * (SELECT count(*) FROM history)) AS BIGINT) AS day_idx FROM hdrawn) JOIN history USING (day_idx) GROUP BY sim)"""
+
+
+@query(f"""WITH RECURSIVE {_PARAMETRIC}, q AS (SELECT 0.95 AS level, quantile_cont(path_return * {CAPITAL}, 0.05) AS threshold FROM ppaths UNION ALL SELECT 0.99, quantile_cont(path_return * {CAPITAL}, 0.01) FROM ppaths),
+s AS (SELECT avg(path_return * {CAPITAL}) AS a, min(path_return * {CAPITAL}) AS b, max(path_return * {CAPITAL}) AS c FROM ppaths)
+SELECT CAST(level AS DOUBLE) AS level, round(-any_value(threshold), 2) AS var, round(-avg(path_return * {CAPITAL}), 2) AS cvar, round(any_value(a), 2) AS mean_pnl, round(any_value(b), 2) AS min_pnl, round(any_value(c), 2) AS max_pnl FROM q JOIN ppaths ON path_return * {CAPITAL} <= threshold, s GROUP BY level""")
 def var_parametric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.summarise(risk.parametric_paths(_matrix(spark, sf_dir), WEIGHTS, 10_000, 10), CAPITAL)
+    s = risk.summarise(risk.parametric_paths(_matrix(spark, sf_dir), WEIGHTS, _SIMS, _HORIZON), CAPITAL)
+    return s.select("level", *[r(c, 2).alias(c) for c in s.columns if c != "level"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARAMETRIC}, {_HISTORICAL}, pnls AS (SELECT 'parametric' AS method, path_return * {CAPITAL} AS pnl FROM ppaths UNION ALL SELECT 'bootstrap', path_return * {CAPITAL} FROM hpaths),
+e AS (SELECT min(pnl) AS a, max(pnl) AS b FROM pnls), n AS (SELECT method, CAST(least(50, floor((pnl - a) / (b - a) * 50) + 1) AS INT) AS bin, count(*) AS n FROM pnls, e GROUP BY 1, 2)
+SELECT g.method, CAST(k AS INT) AS bin, round(a + (b - a) / 50 * (k - 1), 4) AS lo, round(a + (b - a) / 50 * k, 4) AS hi, coalesce(n.n, 0) AS n FROM (SELECT method, k, a, b FROM (SELECT unnest(['parametric', 'bootstrap']) AS method), e, range(1, 51) t(k)) g LEFT JOIN n ON n.method = g.method AND n.bin = k""")
 def var_both_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matrix(spark, sf_dir).cache()
-    both = {"parametric": risk.parametric_paths(m, WEIGHTS, 10_000, 10), "bootstrap": risk.bootstrap_paths(m, WEIGHTS, 10_000, 10)}
-    return both["parametric"].withColumn("method", F.lit("parametric")).unionByName(both["bootstrap"].withColumn("method", F.lit("bootstrap"))).transform(lambda p: risk.histogram(p, CAPITAL))
+    both = {"parametric": risk.parametric_paths(m, WEIGHTS, _SIMS, _HORIZON), "bootstrap": risk.bootstrap_paths(m, WEIGHTS, _SIMS, _HORIZON)}
+    h = risk.histogram(both["parametric"].withColumn("method", F.lit("parametric")).unionByName(both["bootstrap"].withColumn("method", F.lit("bootstrap"))), CAPITAL)
+    return h.select("method", "bin", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"), F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {_MATRIX}, m AS (SELECT ticker, avg(ret) AS mean FROM matrix GROUP BY 1), k AS (SELECT mean, row_number() OVER (ORDER BY mean DESC, ticker) AS rank FROM m) SELECT round(sum(greatest(0.0, least(0.35, 1 - (rank - 1) * 0.35)) * mean * 252), 8) + 0.0 AS max_return FROM k")
@@ -418,13 +482,12 @@ def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RATE = "0.0015"
-_WINDOW_ALL = f"""{_WINDOWS.replace(_PRICES, _PRICES_INDEX)}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
-wp AS (SELECT window_id, date, ticker, px, first_value(px) OVER (PARTITION BY window_id, ticker ORDER BY date) AS p0 FROM prices JOIN windows ON date BETWEEN start_date AND end_date),
-byday AS (SELECT window_id, date, list(px ORDER BY ticker) AS px FROM wp WHERE ticker <> '^INDEX' GROUP BY ALL),
+# Three series in each window of prices wp (window_id, date, ticker, px, p0).
+_RUN = f"""byday AS (SELECT window_id, date, list(px ORDER BY ticker) AS px FROM wp WHERE ticker <> '^INDEX' GROUP BY ALL),
 rebal AS (SELECT window_id, date, px, row_number() OVER (PARTITION BY window_id ORDER BY date) AS k FROM byday WHERE (window_id, date) IN (SELECT window_id, min(date) FROM wp GROUP BY window_id, date_trunc('month', date))),
 ws AS (SELECT list(w ORDER BY ticker) AS ws FROM w),
 f AS (
- SELECT window_id, CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS shares, CAST({CAPITAL} AS DOUBLE) AS cash FROM windows
+ SELECT window_id, CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0, 0] AS DOUBLE[]) AS shares, CAST({CAPITAL} AS DOUBLE) AS cash FROM (SELECT DISTINCT window_id FROM wp)
  UNION ALL
  SELECT window_id, k, t2, pre - list_inner_product(t2, px) - {_RATE} * list_sum([abs(x[1] - x[2]) * x[3] for x in list_zip(t2, shares, px)])
  FROM (SELECT *, [(pre - {_RATE} * list_sum([abs(pre * z[1] / z[2] - z[3]) * z[2] for z in list_zip(ws, px, shares)])) * x[1] / x[2] for x in list_zip(ws, px)] AS t2
@@ -435,6 +498,9 @@ vals AS (SELECT periods.window_id, 'strategy' AS series, periods.date, f.cash +
  UNION ALL SELECT window_id, 'benchmark', date, {CAPITAL} * (1 - {_RATE}) * px / p0 + {CAPITAL} * {_RATE} * {_RATE} FROM wp WHERE ticker = '^INDEX'),
 dd AS (SELECT *, value / max(value) OVER o - 1 AS dd, value / lag(value) OVER o - 1 AS d FROM vals WINDOW o AS (PARTITION BY window_id, series ORDER BY date)),
 res AS (SELECT window_id, series, power(arg_max(value, date) / arg_min(value, date), 1 / (date_diff('day', min(date), max(date)) / 365.25)) - 1 AS cagr, (avg(d) * 252 - {RISK_FREE}) / (stddev_samp(d) * sqrt(252)) AS sharpe, min(dd) AS max_drawdown, stddev_samp(d) * sqrt(252) AS annualised_volatility FROM dd GROUP BY 1, 2)"""
+_WINDOW_ALL = f"""{_WINDOWS.replace(_PRICES, _PRICES_INDEX)}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+wp AS (SELECT window_id, date, ticker, px, first_value(px) OVER (PARTITION BY window_id, ticker ORDER BY date) AS p0 FROM prices JOIN windows ON date BETWEEN start_date AND end_date),
+{_RUN}"""
 
 
 def _window_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,17 +527,42 @@ def win_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.win_rates(_window_results(spark, sf_dir), "window_id").withColumn("win_rate", r("win_rate"))
 
 
-@query()
-def block_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.stationary_indices(504, 504, spark.range(20).select(F.col("id").cast("int").alias("resample")))
+_RESAMPLES = 20
+
+
+def _indices_sql(days: str, length: str) -> str:
+    """CTE idx (resample, pos, day_idx): stationary blocks over `days` days, with bootstrap.py's draws."""
+    return f"""rcells AS (SELECT resample, pos FROM range({_RESAMPLES}) a(resample), (SELECT unnest(range({length})) AS pos)),
+{_uniform_sql("rbegins", "rcells", "resample", "pos", 0, bootstrap.BEGINS)},
+{_uniform_sql("rstarts", "(SELECT resample, pos, u AS ub FROM rbegins)", "resample", "pos", 0, bootstrap.STARTS)},
+runs AS (SELECT resample, pos, u, last_value(CASE WHEN pos = 0 OR ub < 1 / 21.0 THEN pos END IGNORE NULLS) OVER (PARTITION BY resample ORDER BY pos) AS begun FROM rstarts),
+idx AS (SELECT r.resample, r.pos, (CAST(floor(s.u * {days}) AS BIGINT) + r.pos - r.begun) % {days} AS day_idx FROM runs r JOIN rstarts s ON s.resample = r.resample AND s.pos = r.begun)"""
+
 
+_DAYS = "(SELECT count(DISTINCT date) FROM matrix)"
+_MATRIX_INDEX = _MATRIX.replace("AS ret FROM bars)", "AS ret FROM allbars)").replace("= 6 ORDER BY", "= 7 ORDER BY")
 
-@query()
+
+@query(f"WITH {_MATRIX}, {_indices_sql(_DAYS, _DAYS)} SELECT CAST(resample AS INT) AS resample, CAST(pos AS INT) AS pos, day_idx FROM idx")
+def block_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of the return matrix as stationary block resamples draw them."""
+    n = _matrix(spark, sf_dir).select("date").distinct().count()
+    return bootstrap.stationary_indices(n, n, spark.range(_RESAMPLES).select(F.col("id").cast("int").alias("resample")))
+
+
+@query(f"""WITH RECURSIVE {_MATRIX_INDEX}, {_indices_sql(_DAYS, _DAYS)}, w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}),
+hist AS (SELECT ticker, ret, dense_rank() OVER (ORDER BY date) - 1 AS day_idx FROM matrix),
+grown2 AS (SELECT resample, ticker, pos + 1 AS pos, 100 * exp(sum(ln(1 + ret)) OVER (PARTITION BY resample, ticker ORDER BY pos)) AS px FROM idx JOIN hist USING (day_idx)),
+paths2 AS (SELECT * FROM grown2 UNION ALL SELECT DISTINCT resample, ticker, 0, 100.0 FROM grown2),
+wp AS (SELECT resample AS window_id, CAST(DATE '2000-01-03' + CAST(floor(pos / 5) * 7 + pos % 5 AS INT) AS DATE) AS date, ticker, px, 100.0 AS p0 FROM paths2),
+{_RUN}, s AS (UNPIVOT res ON cagr, sharpe, max_drawdown, annualised_volatility INTO NAME metric VALUE x)
+SELECT series, metric, count(x) AS n, round(quantile_cont(x, 0.5), 6) + 0.0 AS median, round(quantile_cont(x, 0.05), 6) + 0.0 AS p5, round(quantile_cont(x, 0.95), 6) + 0.0 AS p95, round(min(x), 6) + 0.0 AS lowest, round(max(x), 6) + 0.0 AS highest FROM s GROUP BY series, metric""")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = returns.returns_matrix(_bars(spark, sf_dir, benchmark=True), registry(spark), [*TICKERS, BENCHMARK]).cache()
     n = m.select("date").distinct().count()
-    index = bootstrap.stationary_indices(n, n, spark.range(20).select(F.col("id").cast("int").alias("resample")))
-    return bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index).cache(), "resample", WEIGHTS, BENCHMARK, CAPITAL)[0])
+    index = bootstrap.stationary_indices(n, n, spark.range(_RESAMPLES).select(F.col("id").cast("int").alias("resample")))
+    s = bootstrap.summaries(bootstrap.run_windows(bootstrap.resampled_prices(m, index).cache(), "resample", WEIGHTS, BENCHMARK, CAPITAL)[0])
+    return s.select("series", "metric", "n", *[r(c, 6).alias(c) for c in s.columns[3:]])
 
 
 @query(f"""WITH {_BARS}, old AS (SELECT ticker, date, adj_close FROM bars WHERE date < DATE '1998-01-01'), new AS (SELECT ticker, date, adj_close * 2 AS adj_close FROM bars WHERE date >= DATE '1997-06-01')
@@ -495,11 +586,14 @@ def ticker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secs.where(tickers.matches(F.col("ticker"), F.col("ticker"), " M "))
 
 
-@query(f"WITH w(ticker, w) AS (VALUES {_values_of(WEIGHTS)}) SELECT ticker, CAST(w AS DOUBLE) AS w, row_number() OVER (ORDER BY w DESC, ticker) AS place, CAST(CASE WHEN row_number() OVER (ORDER BY ticker) < 6 THEN 16.67 ELSE 16.65 END AS DOUBLE) AS equal_pct FROM w WHERE w > 0.0005")
+@query(f"""WITH {_BARS}, v AS (SELECT ticker, sum(volume) AS v FROM bars GROUP BY 1), w AS (SELECT ticker, v / sum(v) OVER () AS w FROM v)
+SELECT ticker, round(w, 8) AS w, row_number() OVER (ORDER BY w DESC, ticker) AS place, CASE WHEN row_number() OVER (ORDER BY ticker) < count(*) OVER () THEN round(100 / count(*) OVER (), 2) ELSE round(100 - (count(*) OVER () - 1) * round(100 / count(*) OVER (), 2), 2) END AS equal_pct FROM w WHERE w > 0.0005""")
 def weights_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights that show, largest first; and equal weights to exactly 100, the remainder on the last."""
-    w = spark.createDataFrame(sorted(WEIGHTS.items()), "ticker string, w double").where("w > 0.0005")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
+    """Weights by volume that show, largest first; and equal weights to exactly 100, the remainder on the last ticker."""
+    volumes = _bars(spark, sf_dir).groupBy("ticker").agg(F.sum("volume").alias("v"))
+    every = Window.partitionBy()  # a row a ticker
+    w = volumes.select("ticker", (F.col("v") / F.sum("v").over(every)).alias("w")).where("w > 0.0005")
+    n = F.count(F.lit(1)).over(every)
     even = F.round(100 / n, 2)
     rank = F.row_number().over(Window.orderBy("ticker"))
-    return w.select("ticker", "w", F.row_number().over(Window.orderBy(F.desc("w"), "ticker")).cast("long").alias("place"), F.when(rank < n, even).otherwise(F.round(100 - (n - 1) * even, 2)).alias("equal_pct"))
+    return w.select("ticker", r("w").alias("w"), F.row_number().over(Window.orderBy(F.desc("w"), "ticker")).cast("long").alias("place"), F.when(rank < n, even).otherwise(F.round(100 - (n - 1) * even, 2)).alias("equal_pct"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions import rng, tickers
+from quantloom.functions import tickers
 from quantloom.functions.errors import EngineError, InsufficientCoverage, UnknownTicker, enforce_max
 from quantloom.operators import backtest, bootstrap, returns, risk, strategies
 from quantloom.sources import panel, sinks
@@ -210,12 +210,6 @@ def test_errors_and_limits(spark):
     assert e.value.as_dict()["code"] == "REQUEST_LIMIT_EXCEEDED"
 
 
-def test_uniforms_do_not_depend_on_partitions(spark):
-    u = lambda df: df.select("id", rng.uniform(1, F.col("id")).alias("u")).orderBy("id").collect()
-    a, b = u(spark.range(5000)), u(spark.range(5000).repartition(7))
-    assert a == b and 0.48 < sum(x.u for x in a) / 5000 < 0.52
-
-
 def test_normalise_frame(spark):
     f = spark.createDataFrame([(D(2024, 1, 1), 1.0, float("nan"), 5.0)], "Date date, `('Close', 'X.NS')` double, OPEN double, Volume double")
     got = panel.to_rows(panel.normalise_frame(f)).first()
