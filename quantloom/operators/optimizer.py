@@ -30,8 +30,11 @@ def annual_moments(returns: DataFrame) -> tuple[list[str], np.ndarray, np.ndarra
     at = {t: i for i, t in enumerate(names)}
     c = np.zeros((len(names), len(names)))
     for r in cov.collect():
-        c[at[r["a"]], at[r["b"]]] = r["cov"]
-    return names, np.array([mu[t] for t in names]) * TRADING_DAYS, c * TRADING_DAYS
+        c[at[r["a"]], at[r["b"]]] = np.nan if r["cov"] is None else r["cov"]
+    means = np.array([mu[t] for t in names], float)
+    if not (np.isfinite(means).all() and np.isfinite(c).all()):
+        raise InvalidParameter("returns must be finite, on two days at least", tickers=[t for t, m, row in zip(names, means, c, strict=True) if not (np.isfinite(m) and np.isfinite(row).all())])
+    return names, means * TRADING_DAYS, c * TRADING_DAYS
 
 
 def _row(target: float | None, w: np.ndarray | None, names: list[str], mu: np.ndarray, cov: np.ndarray, risk_free: float) -> tuple:

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.constants import DAYS_PER_YEAR, LOOKBACK_DAYS
+from quantloom.functions.constants import DAYS_PER_YEAR, LOOKBACK_DAYS, SHORT_HISTORY
 from quantloom.functions.errors import InsufficientCoverage, InsufficientLookback
 from quantloom.operators.scan import running
 from quantloom.sources.panel import scan_prices
@@ -107,11 +107,18 @@ def price_matrix(bars: DataFrame, anomalies: DataFrame, tickers: list[str], star
     return on_common_days(prices, len(tickers))
 
 
+def shortfalls(found: DataFrame, tickers: list[str], start: str, end: str) -> DataFrame:
+    """ticker, first_date, last_date of the asked tickers whose bars do not cover [start, end]; nulls where there are none.
+    `found`: bounds() of the bars."""
+    asked = found.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tickers)], "ticker string")
+    both = asked.join(found, "ticker", "left")
+    late = F.col("first_date").isNull() | (F.col("first_date") > F.lit(start).cast("date")) | (F.col("last_date") < F.lit(end).cast("date"))
+    return both.where(late).select("ticker", "first_date", "last_date")
+
+
 def require_coverage(found: DataFrame, tickers: list[str], start: str, end: str) -> None:
     """Raises InsufficientCoverage that names every shortfall. `found`: bounds() of the tickers."""
-    have = {r["ticker"]: r for r in found.where(F.col("ticker").isin(tickers)).collect()}
-    a, b = date.fromisoformat(start), date.fromisoformat(end)
-    short = {t: "no bars" if t not in have else f"{have[t]['first_date']}..{have[t]['last_date']}" for t in tickers if t not in have or have[t]["first_date"] > a or have[t]["last_date"] < b}
+    short = {r["ticker"]: f"{r['first_date']}..{r['last_date']}" if r["first_date"] else "no bars" for r in shortfalls(found, tickers, start, end).collect()}
     if short:
         raise InsufficientCoverage(f"no full coverage of {start}..{end}: {short}", tickers=short)
 
@@ -126,7 +133,7 @@ def coverage(bars: DataFrame, securities: DataFrame, requested_years: float) ->
     whole = F.datediff(span[0], span[1])
     share = F.round(100.0 * days / F.nullif(whole, F.lit(0)), 1)
     wanted = F.round(100.0 * days / (requested_years * DAYS_PER_YEAR), 1)
-    return joined.select("ticker", "bars", "first_date", "last_date", F.coalesce(share, F.lit(0.0)).alias("pct_of_span"), F.coalesce(wanted, F.lit(0.0)).alias("pct_of_requested"), (F.coalesce(wanted, F.lit(0.0)) < 95.0).alias("short_history"))
+    return joined.select("ticker", "bars", "first_date", "last_date", F.coalesce(share, F.lit(0.0)).alias("pct_of_span"), F.coalesce(wanted, F.lit(0.0)).alias("pct_of_requested"), (F.coalesce(wanted, F.lit(0.0)) < 100 * SHORT_HISTORY).alias("short_history"))
 
 
 def large_moves(bars: DataFrame, registry: DataFrame, reviewed: DataFrame, threshold: float) -> DataFrame:

@@ -63,9 +63,11 @@ def _compounded(rows: DataFrame) -> DataFrame:
 
 
 def portfolio_days(returns: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """day_idx (from 0), r: the portfolio's return on each historical day, in order."""
+    """day_idx (from 0), r: the portfolio's return on each historical day, in order. Fails on a return that is not finite."""
     w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("ticker"))
-    daily = returns.groupBy("date").agg(F.sum(F.coalesce(w, F.lit(0.0)) * F.col("ret")).alias("r"))
+    finite = F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") < float("inf"))
+    ret = F.when(finite, F.col("ret")).otherwise(F.raise_error(F.concat(F.lit("INVALID_PARAMETER: return of "), "ticker", F.lit(" on "), F.col("date").cast("string"))).cast("double"))
+    daily = returns.groupBy("date").agg(F.sum(F.coalesce(w, F.lit(0.0)) * ret).alias("r"))
     return daily.select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("day_idx"), "r")
 
 

@@ -127,9 +127,27 @@ def returns_matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matrix(spark, sf_dir).select("ticker", "date", r("ret").alias("ret"))
 
 
-@query(f"WITH {_MATRIX} SELECT min(date) AS start_date, max(date) AS end_date, count(DISTINCT date) AS trading_days, CAST(504 AS INT) AS requested, count(DISTINCT date) < 504 AS shrunk FROM matrix")
+_LOOKBACKS = (504, 2520)
+
+
+@query(f"""WITH {_RETS}, common AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT date FROM clean GROUP BY date HAVING count(DISTINCT ticker) = 6)),
+got AS (SELECT requested, min(date) AS start_date, max(date) AS end_date, count(*) AS trading_days FROM (SELECT unnest({list(_LOOKBACKS)}) AS requested) JOIN common ON k <= requested GROUP BY 1),
+latest AS (SELECT ticker, first_date FROM (SELECT ticker, min(date) AS first_date FROM bars GROUP BY 1) ORDER BY first_date DESC, ticker LIMIT 1)
+SELECT start_date, end_date, trading_days, CAST(requested AS INT) AS requested, trading_days < requested AS shrunk, CASE WHEN trading_days < requested THEN ticker END AS constrained_by,
+CASE WHEN trading_days < requested THEN ticker || ' starts on ' || first_date || ': ' || trading_days || ' of ' || requested || ' days' END AS reason FROM got, latest""")
 def returns_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(spark, sf_dir).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count_distinct("date").alias("trading_days"), F.lit(504).alias("requested"), (F.count_distinct("date") < 504).alias("shrunk"))
+    """Where matrices of two look-backs come from, and what shortened them."""
+    bars = _bars(spark, sf_dir)
+    found = [returns.returns_window(bars, returns.returns_matrix(bars, registry(spark), TICKERS, n), TICKERS, n) for n in _LOOKBACKS]
+    rows = [(w.start, w.end, w.trading_days, w.requested, w.shrunk, w.constrained_by, w.reason) for w in found]
+    return spark.createDataFrame(rows, "start_date date, end_date date, trading_days long, requested int, shrunk boolean, constrained_by string, reason string")
+
+
+@query(f"""WITH {_BARS}, b AS (SELECT ticker, min(date) AS first_date, max(date) AS last_date FROM allbars GROUP BY 1), s AS (SELECT unnest({[*TICKERS, 'UNLISTED', BENCHMARK]}) AS ticker)
+SELECT ticker, first_date, last_date FROM s LEFT JOIN b USING (ticker) WHERE first_date IS NULL OR first_date > DATE '1995-01-03' OR last_date < DATE '2001-11-03'""")
+def price_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickers for which a price matrix of the whole span would be refused."""
+    return returns.shortfalls(returns.bounds(_bars(spark, sf_dir, benchmark=True)), [*TICKERS, "UNLISTED", BENCHMARK], "1995-01-03", "2001-11-03")
 
 
 @query(f"WITH {_MATRIX} SELECT ticker, round(avg(ret), 10) + 0.0 AS mean FROM matrix GROUP BY 1")
@@ -142,15 +160,15 @@ def moments_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.moments(_matrix(spark, sf_dir))[1].select("a", "b", r("cov", 10).alias("cov"))
 
 
-def _prices(spark: SparkSession, sf_dir: str, benchmark: bool = False) -> DataFrame:
+def _prices(spark: SparkSession, sf_dir: str, benchmark: bool = False, check: bool = False) -> DataFrame:
     """The price matrix, cached: backtests read it several times in a plan, and it is tickers times days."""
     asked = [*TICKERS, BENCHMARK] if benchmark else TICKERS
-    return returns.price_matrix(_bars(spark, sf_dir, benchmark), registry(spark), asked, START, END, check=False).cache()
+    return returns.price_matrix(_bars(spark, sf_dir, benchmark), registry(spark), asked, START, END, check=check).cache()
 
 
 @query(f"WITH {_PRICES} SELECT ticker, date, round(px, 4) AS px FROM prices")
 def price_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prices(spark, sf_dir).select("ticker", "date", r("px", 4).alias("px"))
+    return _prices(spark, sf_dir, check=True).select("ticker", "date", r("px", 4).alias("px"))
 
 
 def _calendar_sql(unit: str) -> str:
@@ -281,16 +299,17 @@ def backtest_with_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_metrics(values)
 
 
-@query("""WITH s AS (SELECT date_trunc('second', ts) AS ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1), l AS (SELECT ts, sum(cents) OVER (ORDER BY ts) AS level FROM s),
-h AS (SELECT ts, level, max(level) OVER (ORDER BY ts) AS high_water, lag(level) OVER (ORDER BY ts) AS before FROM l)
-SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(level AS BIGINT) AS level, CAST(high_water AS BIGINT) AS high_water, CAST(level - high_water AS BIGINT) AS drawdown, CAST(level - before AS BIGINT) AS change FROM h""")
+@query("""WITH s AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS second, sum(CAST(round(CASE WHEN user_id % 2 = 0 THEN value ELSE -value END * 100) AS BIGINT)) AS cents FROM events GROUP BY 1), l AS (SELECT second, cents, sum(cents) OVER (ORDER BY second) AS level FROM s),
+h AS (SELECT second, cents, level, max(level) OVER (ORDER BY second) AS high_water, coalesce(lag(level) OVER (ORDER BY second), 0) AS before FROM l)
+SELECT second, CAST(level AS BIGINT) AS level, CAST(high_water AS BIGINT) AS high_water, CAST(level - high_water AS BIGINT) AS drawdown, CAST(before AS BIGINT) AS before FROM h""")
 def event_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as one series of cents by the second: its level, high water and drawdown, in blocks of a day."""
+    """All events as one series of cents by the second (odd users pay back): its level, high water and drawdown, in blocks of a day."""
     events = panel.read(spark, sf_dir, "events")
-    seconds = events.groupBy(F.date_trunc("second", "ts").alias("ts")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    level = scan.running(seconds, "ts", 86_400, {"level": ("cents", "sum")})
-    found = scan.running(level, "ts", 86_400, {"high_water": ("level", "max"), "before": ("level", "lag")})
-    return found.select("ts", "level", "high_water", (F.col("level") - F.col("high_water")).alias("drawdown"), (F.col("level") - F.col("before")).alias("change"))
+    signed = F.when(F.col("user_id") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+    seconds = events.groupBy(F.unix_timestamp("ts").alias("second")).agg(F.sum(F.round(signed * 100).cast("long")).alias("cents"))
+    level = scan.running(seconds, "second", 86_400, {"level": ("cents", "sum")})
+    found = scan.running(level, "second", 86_400, {"high_water": ("level", "max"), "before": ("level", "lag")})
+    return found.select("second", "level", "high_water", (F.col("level") - F.col("high_water")).alias("drawdown"), F.coalesce("before", F.lit(0)).alias("before"))
 
 
 @query("""WITH u AS (SELECT l_extendedprice / l_quantity AS x FROM lineitem), q AS (SELECT 0.01 AS share, quantile_cont(x, 0.01) AS threshold FROM u UNION ALL SELECT 0.05, quantile_cont(x, 0.05) FROM u UNION ALL SELECT 0.5, quantile_cont(x, 0.5) FROM u UNION ALL SELECT 0.99, quantile_cont(x, 0.99) FROM u)

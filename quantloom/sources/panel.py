@@ -94,11 +94,11 @@ def normalise_frame(df: DataFrame) -> DataFrame:
 
 
 def to_rows(frame: DataFrame) -> DataFrame:
-    """Typed price rows: decimals of four places, NaN as null, adj_close the close if there is none."""
+    """Typed price rows: decimals of four places, NaN as null. Vendors send adjusted bars, so adj_close is always the close."""
     def price(c: str):
         return F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)).cast("decimal(18,4)")
 
-    if "adj_close" not in frame.columns:
+    if "close" in frame.columns:
         frame = frame.withColumn("adj_close", F.col("close"))
     here = [c for c in frame.columns if c in BAR_COLUMNS]
     volume = F.when(F.isnan(F.col("volume").cast("double")), None).otherwise(F.col("volume")).cast("long").alias("volume")

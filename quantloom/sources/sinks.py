@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -22,18 +23,40 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def upsert_folder(spark: SparkSession, folder: str, new: DataFrame, keys: list[str]) -> str:
-    """Upsert into the newest version under `folder` and write the next one beside it; returns its path.
-
-    Readers of the old version are never disturbed, and a failed write leaves the old version the newest.
-    """
+def _versions(spark: SparkSession, folder: str) -> tuple:
+    """The folder's file system and path, and its committed versions: number and the folder of its rows."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    done = sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(path) else []
-    out = upsert(spark.read.parquet(done[-1]), new, keys) if done else upsert(new.limit(0).drop("_order"), new, keys)
-    target = f"{folder}/v{len(done):06d}-{uuid.uuid4().hex[:8]}"
-    out.write.parquet(target)
-    return target
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return fs, path, sorted((int(n[8:14]), f"{folder}/{n[8:]}") for n in names if n.startswith("_commit-"))
+
+
+def newest_version(spark: SparkSession, folder: str) -> str | None:
+    """Where the newest committed rows of an upserted folder lie."""
+    done = _versions(spark, folder)[2]
+    return done[-1][1] if done else None
+
+
+def upsert_folder(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], attempts: int = 10) -> str:
+    """Upsert into the newest version under `folder` and commit the next one beside it; returns its path.
+
+    Readers of the old version are never disturbed, and a failed write leaves the old version the newest. A version is
+    committed by a marker that is created only if its number is free; a writer that finds it taken applies its rows to
+    the version that came first, so of two writers none is lost.
+    """
+    for _ in range(attempts):
+        fs, path, done = _versions(spark, folder)
+        number = done[-1][0] + 1 if done else 0
+        out = upsert(spark.read.parquet(done[-1][1]), new, keys) if done else upsert(new.limit(0).drop("_order"), new, keys)
+        name = f"{number:06d}-{uuid.uuid4().hex[:8]}"
+        out.write.parquet(f"{folder}/{name}")
+        at = lambda *x: spark._jvm.org.apache.hadoop.fs.Path(*x)
+        if fs.createNewFile(at(path, f"_number-{number:06d}")):
+            fs.createNewFile(at(path, f"_commit-{name}"))
+            return f"{folder}/{name}"
+        fs.delete(at(path, name), True)
+        time.sleep(0.2)
+    raise RuntimeError(f"{attempts} times another writer came first in {folder}; if none is at work, one died between its two markers: remove {folder}/_number-{number:06d}")
 
 
 def known_only(rows: DataFrame, securities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +121,18 @@ def dump(df: DataFrame, path: str) -> None:
 
 
 def restore(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """A dump in place of what `target` holds; returns what stands there now."""
-    spark.read.parquet(path).write.mode("overwrite").parquet(target)
+    """A dump in place of what `target` holds; returns what stands there now. The copy is written beside the target and its rows
+    are counted against the dump's before it takes the target's place."""
+    dumped, beside = spark.read.parquet(path), f"{target.rstrip('/')}-{uuid.uuid4().hex[:8]}"
+    dumped.write.parquet(beside)
+    check = verify_counts({target: (dumped, spark.read.parquet(beside))}).first()
+    if not check["same"]:
+        raise RuntimeError(f"{target}: {check['found']} of {check['expected']} rows restored; the old rows stay, the copy is {beside}")
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (target, beside))
+    fs = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise RuntimeError(f"{beside} is complete but could not be moved to {target}")
     return spark.read.parquet(target)
 
 
