@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.constants import DAYS_PER_YEAR, LOOKBACK_DAYS, SHORT_HISTORY
-from quantloom.functions.errors import InsufficientCoverage, InsufficientLookback
+from quantloom.functions.errors import LIMITS, InsufficientCoverage, InsufficientLookback
 from quantloom.operators.scan import running
 from quantloom.sources.panel import scan_prices
 
@@ -32,11 +32,30 @@ def cleaned_returns(bars: DataFrame, anomalies: DataFrame) -> DataFrame:
     return joined.select("ticker", "date", F.when(F.col("excluded"), 0.0).otherwise(F.col("ret")).alias("ret"))
 
 
-def on_common_days(rows: DataFrame, n_tickers: int) -> DataFrame:
-    """The rows of days on which all tickers have one: one pass over each day's rows (as many as tickers), instead
-    of a join per ticker or a second read of the rows."""
-    there = F.size(F.collect_set("ticker").over(Window.partitionBy("date")))
-    return rows.withColumn("there", there).where(F.col("there") == n_tickers).drop("there")
+def day_bits(rows: DataFrame) -> DataFrame:
+    """ticker, bucket, bits: the days on which a ticker has a row, a bitmap of 4 KB for each 32,768 days."""
+    day = F.unix_date("date").cast("long")
+    return rows.select("ticker", F.bitmap_bucket_number(day).alias("bucket"), F.bitmap_bit_position(day).alias("bit")).groupBy("ticker", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def common_days(rows: DataFrame, n_tickers: int) -> DataFrame:
+    """bucket, bits: the days on which all tickers have a row. Only bitmaps meet, one a ticker; the intersection is a row for
+    each 90 years."""
+    both = day_bits(rows).groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("tickers"))
+    return both.where(F.col("tickers") == n_tickers).select("bucket", "bits")
+
+
+def on_common_days(rows: DataFrame, n_tickers: int, bitmaps: bool | None = None) -> DataFrame:
+    """The rows of days on which all tickers have one. bitmaps (the default beyond 50 tickers): the rows are read twice and
+    stay where they are, and only bitmaps move; else a day's rows, as many as tickers, meet in one pass."""
+    if not (n_tickers > LIMITS["tickers"] if bitmaps is None else bitmaps):
+        there = F.size(F.collect_set("ticker").over(Window.partitionBy("date")))
+        return rows.withColumn("there", there).where(F.col("there") == n_tickers).drop("there")
+    day = F.unix_date("date").cast("long")
+    bit = F.bitmap_bit_position(day)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    common = common_days(rows, n_tickers).select(F.col("bucket").alias("_bucket"), "bits")
+    return rows.join(F.broadcast(common), F.bitmap_bucket_number(day) == F.col("_bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
 
 
 @dataclass

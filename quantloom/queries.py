@@ -150,6 +150,14 @@ def price_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.shortfalls(returns.bounds(_bars(spark, sf_dir, benchmark=True)), [*TICKERS, "UNLISTED", BENCHMARK], "1995-01-03", "2001-11-03")
 
 
+@query("""WITH d AS (SELECT p_type AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT ticker, date, volume FROM d WHERE date IN (SELECT date FROM d GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM d))""")
+def common_day_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes on the days on which every part type is traded, found by bitmaps of days."""
+    bars = _bars(spark, sf_dir).select("ticker", "date", "volume")
+    return returns.on_common_days(bars, bars.select("ticker").distinct().count(), bitmaps=True)
+
+
 @query(f"WITH {_MATRIX} SELECT ticker, round(avg(ret), 10) + 0.0 AS mean FROM matrix GROUP BY 1")
 def moments_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.moments(_matrix(spark, sf_dir))[0].select("ticker", r("mean", 10).alias("mean"))
