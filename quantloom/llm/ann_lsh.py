@@ -7,7 +7,7 @@ crosses, summed. What all tables find is merged and reranked by the exact distan
 
 The cell width and the number of cells to visit are fitted on a bounded sample: as many cells as the sample's
 own nearest neighbours need for the wanted recall. All rows are indexed: each batch of rows is hashed into the
-tables, and a block of queries (a bounded number) looks up its cells there; each batch returns its nearest
+tables, and a block of queries (a bounded number) looks up its cells there; each task returns the k nearest that it
 found for each query, so vectors never move. Queries for which that finds fewer than k (few rows, or a query far
 from all others) are answered by an exact pass over all rows in the same blocks.
 
@@ -127,6 +127,16 @@ def search_batch(index: Index, queries: np.ndarray, query_ids: np.ndarray, probe
     return tuple(np.concatenate(c) if c else np.empty(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
 
 
+def merged(kept: tuple, found: tuple, k: int) -> tuple:
+    """The k nearest of each query among two lists of (query id, vec id, distance), ties to the smaller vec id."""
+    q, v, d = (np.concatenate(c) for c in zip(kept, found, strict=True))
+    order = np.lexsort((v, d, q))
+    q, v, d = q[order], v[order], d[order]
+    begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return q[place < k], v[place < k], d[place < k]
+
+
 def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((index, query_ids, queries))  # QUERY_BLOCK vectors
 
@@ -140,6 +150,7 @@ def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.nda
             owner = np.repeat(np.arange(len(queries)), keys.shape[1])
             order = np.argsort(keys.ravel(), kind="stable")
             probes.append((keys.ravel()[order], owner[order]))
+        kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
@@ -147,8 +158,8 @@ def _block(rows: DataFrame, index: Index, query_ids: np.ndarray, queries: np.nda
                 if not len(took):
                     continue
                 ids = np.asarray(part.column("vec_id"))[took]
-                q, v, d = search_batch(index, queries, query_ids, probes, ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], names=["query_id", "vec_id", "score"])
+                kept = merged(kept, search_batch(index, queries, query_ids, probes, ids, x, k), k)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(build, "query_id long, vec_id long, score double")
 

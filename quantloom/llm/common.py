@@ -6,7 +6,6 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,13 +86,16 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, unset and on one machine as in tests, one of
+    our own. A cluster without one is refused, as its executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="quantloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -196,10 +198,3 @@ def components(links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
-
-
-def rows_to_table(names: Iterable[str], *columns):
-    """Arrow batch from equally long arrays."""
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=list(names))

@@ -196,3 +196,31 @@ def test_whitening_of_odd_vectors(spark):
     assert whitening._deviations(np.array([[2, -3]]), 3, [1, 2]) == [(3 * 2 - 1) ** 2 + (3 * -3 - 2) ** 2]
     with pytest.raises(Exception, match="too large"):
         whitening.whiten(_vectors(spark, [(1, [1e30], 0, "", "", "")])).count()
+
+
+def test_neighbours_come_out_once_a_task(spark):
+    from quantloom.llm import ann_lsh
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    index = ann_lsh.Index(x[:2000])
+    asked = np.arange(0, 50_000, 2500)
+    parts = ann_lsh._block(rows, index, asked, x[asked], 10, exact=True)
+    assert parts.count() == len(asked) * 10 * 3  # not ten for every 4,096 rows
+    best = {q: sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist()) for q in asked.tolist()}
+    got: dict = {}
+    for r in parts.collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for q, want in best.items():
+        assert [v for _, v in sorted(got[q])[:10]] == [v for _, v in want]
+
+
+def test_merging_keeps_ties_in_order():
+    from quantloom.llm.ann_lsh import merged
+
+    kept = np.array([1, 1, 2]), np.array([7, 9, 5]), np.array([0.5, 0.7, 1.0])
+    found = np.array([1, 1, 3]), np.array([3, 8, 4]), np.array([0.5, 0.6, 2.0])
+    q, v, d = merged(kept, found, 2)
+    assert list(zip(q.tolist(), v.tolist(), d.tolist(), strict=True)) == [(1, 3, 0.5), (1, 7, 0.5), (2, 5, 1.0), (3, 4, 2.0)]
+    assert [len(c) for c in merged(tuple(np.empty(0) for _ in range(3)), tuple(np.empty(0) for _ in range(3)), 2)] == [0, 0, 0]
