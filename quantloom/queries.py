@@ -397,7 +397,8 @@ SELECT g.method, CAST(k AS INT) AS bin, round(a + (b - a) / 50 * (k - 1), 4) AS
 def var_both_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matrix(spark, sf_dir).cache()
     both = {"parametric": risk.parametric_paths(m, WEIGHTS, _SIMS, _HORIZON), "bootstrap": risk.bootstrap_paths(m, WEIGHTS, _SIMS, _HORIZON)}
-    h = risk.histogram(both["parametric"].withColumn("method", F.lit("parametric")).unionByName(both["bootstrap"].withColumn("method", F.lit("bootstrap"))), CAPITAL)
+    paths = both["parametric"].withColumn("method", F.lit("parametric")).unionByName(both["bootstrap"].withColumn("method", F.lit("bootstrap")))
+    h = risk.histogram(paths.cache(), CAPITAL)  # read for edges, counts and methods; a row a simulation
     return h.select("method", "bin", r("lo", 4).alias("lo"), r("hi", 4).alias("hi"), F.col("n").cast("long").alias("n"))
 
 
