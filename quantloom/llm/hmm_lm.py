@@ -6,8 +6,9 @@ into classes by their ending, the end and the unknown word have one each. Within
 smoothed unigram share, so the model is a distribution over whole texts.
 
 Baum-Welch runs over all training documents: every task adds up the expected counts of its documents, the
-counts are summed across tasks, and the re-estimated model (states x classes numbers) goes out again. Texts of
-any length are handled exactly and in parallel: a text is cut into pieces, the scaled forward recursion of a
+counts are summed across tasks, and the re-estimated model (states x classes numbers) goes out again, until a round
+gains less than GAIN of the log likelihood. Texts advance side by side, one token a step. Texts of any length are
+handled exactly: a longer one is cut into pieces that advance side by side too, the scaled forward recursion of such a
 piece is carried as a states x states matrix, and the matrices of a text are chained.
 
 Held out are documents whose crc32(doc_id as text) mod 10 is 0.
@@ -19,6 +20,7 @@ unknown; an empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,14 +34,16 @@ from quantloom.llm.common import WORD, ascii_lower, discard, shard_count, shard_
 from quantloom.llm.dealing import by_shard, dealt, facts, packs, unpack
 
 STATES = 6
-ROUNDS = 3
+#: Training ends with the round whose summed log likelihood gains less than this share.
+GAIN = 2e-4
 FREQUENT = 512
 CLASSES = 1024
 END, UNKNOWN = CLASSES - 2, CLASSES - 1
 SMOOTHING = 0.1
-PIECE = 64
+PIECE = 256
 SHARD_BYTES = 16 << 20
 _WORD = re.compile(WORD)
+_LOG = logging.getLogger(__name__)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -161,116 +165,124 @@ def initial_model(masses: np.ndarray, seed: int = 11) -> Model:
 
 class _Pieces:
     """Texts cut into pieces of PIECE tokens, longest pieces first, so that position k of all pieces that have
-    one is a slice."""
+    one is a slice. Only tokens that exist are held: position k has `ids[k]`, one for each of its pieces."""
 
     def __init__(self, texts: list[np.ndarray]) -> None:
-        lengths = np.array([len(t) for t in texts])
+        lengths = np.array([len(t) for t in texts], np.int64)
         n = -(-lengths // PIECE)
         owner = np.repeat(np.arange(len(texts)), n)
         rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         size = np.minimum(PIECE, lengths[owner] - rank * PIECE)
-        order = np.argsort(-size, kind="stable")
+        # of equally long pieces those of cut texts come first
+        order = np.lexsort((n[owner] == 1, -size))
         self.size, self.rank, self.owner = size[order], rank[order], owner[order]
-        self.count, self.texts = n, len(texts)
-        self.ids = np.zeros((PIECE, len(order)), np.int64)
-        flat = np.concatenate(texts).astype(np.int64)
+        self.texts = len(texts)
+        flat = np.concatenate(texts) if texts else np.empty(0, np.uint16)
         begin = (np.cumsum(lengths) - lengths)[self.owner] + self.rank * PIECE
-        for k in range(PIECE):
-            live = int(np.searchsorted(-self.size, -k, "left"))
-            self.ids[k, :live] = flat[begin[:live] + k]
-        self.live = [int(np.searchsorted(-self.size, -k, "left")) for k in range(PIECE)]
-        by_place = np.lexsort((self.owner, self.rank))
+        longest = int(self.size[0]) if len(size) else 0
+        live = np.searchsorted(-self.size, -np.arange(longest), "left")
+        self.ids = [flat[begin[:m] + k] for k, m in enumerate(live.tolist())]
+        self.first = self.rank == 0
+        self.cut = np.flatnonzero(n[self.owner] > 1)  # pieces of texts of several pieces
+        by_place = self.cut[np.lexsort((self.owner[self.cut], self.rank[self.cut]))]
         self.levels = np.split(by_place, np.flatnonzero(np.diff(self.rank[by_place])) + 1) if len(by_place) else []
 
 
-def _chain(p: _Pieces, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each piece's matrix (scaled), its log scale, and the scaled forward vector before each piece."""
-    m = len(p.size)
-    mats = np.broadcast_to(np.eye(STATES), (m, STATES, STATES)).copy()
-    scale = np.zeros(m)
-    first = p.rank == 0
-    for k in range(PIECE):
-        live = p.live[k]
+def _forward(p: _Pieces, model: Model, before: np.ndarray, kept: list | None = None) -> np.ndarray:
+    """Log scale of each piece under the forward recursion from `before` (states x pieces); `kept` takes the scaled
+    vectors and scales of every position."""
+    emit, step = np.ascontiguousarray(model.emit.T), model.step.T
+    total = np.zeros(len(p.size))
+    prev = before
+    for k, ids in enumerate(p.ids):
+        live = len(ids)
+        a = step @ prev[:, :live]
+        if k == 0:
+            a = np.where(p.first, prev, a)
+        a *= emit[:, ids]
+        scale = a.sum(0)
+        a /= scale
+        total[:live] += np.log(scale)
+        if kept is not None:
+            kept.append((a, scale))
+        prev = a
+    return total
+
+
+def _chain(p: _Pieces, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward vector before each piece (states x pieces), and for pieces of cut texts each piece's scaled
+    matrix (from, to, piece), placed as in `p.cut`."""
+    before = np.repeat(model.start[:, None], len(p.size), 1)
+    mats = np.repeat(np.eye(STATES)[:, :, None], len(p.cut), 2)
+    if not len(p.cut):
+        return before, mats
+    emit, step = np.ascontiguousarray(model.emit.T), model.step.T
+    first = p.first[p.cut]
+    for k, ids in enumerate(p.ids):
+        live = int(np.searchsorted(p.cut, len(ids)))
         if not live:
             break
-        e = model.emit[p.ids[k, :live]]
+        moved = np.matmul(step, mats[:, :, :live])
         if k == 0:
-            moved = np.where(first[:live, None, None], np.eye(STATES), model.step[None])
-        else:
-            moved = mats[:live].reshape(-1, STATES) @ model.step
-            moved = moved.reshape(live, STATES, STATES)
-        mats[:live] = moved * e[:, None, :]
-        if k % 16 == 15 or k == PIECE - 1:
-            top = mats.max((1, 2))
-            mats /= top[:, None, None]
-            scale += np.log(top)
-    top = mats.max((1, 2))
-    mats /= top[:, None, None]
-    scale += np.log(top)
-    before = np.zeros((m, STATES))
-    now = np.tile(model.start, (p.texts, 1))
-    log_total = np.zeros(p.texts)
+            moved = np.where(first[:live], mats[:, :, :live], moved)
+        moved *= emit[:, ids[p.cut[:live]]]
+        if k % 16 == 15:
+            moved /= moved.max((0, 1))
+        mats[:, :, :live] = moved
+    mats /= mats.max((0, 1))
+    now = np.repeat(model.start[:, None], p.texts, 1)
     for level in p.levels:
         own = p.owner[level]
-        before[level] = now[own]
-        after = np.einsum("ms,mst->mt", now[own], mats[level])
-        total = after.sum(1)
-        now[own] = after / total[:, None]
-        log_total[own] += np.log(total) + scale[level]
-    return mats, before, log_total
+        before[:, level] = now[:, own]
+        after = np.einsum("sm,stm->tm", now[:, own], mats[:, :, np.searchsorted(p.cut, level)])
+        now[:, own] = after / after.sum(0)
+    return before, mats
 
 
 def log_likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
     """Natural log probability of each class sequence."""
-    return _chain(_Pieces(texts), model)[2]
+    p = _Pieces(texts)
+    return np.bincount(p.owner, weights=_forward(p, model, _chain(p, model)[0]), minlength=p.texts)
 
 
 def expected_counts(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, steps and emissions (Baum-Welch) and the log likelihood of the class sequences."""
     p = _Pieces(texts)
-    mats, before, log_total = _chain(p, model)
-    m = len(p.size)
-    ahead = np.ones((m, STATES))  # backward vector at the end of each piece
-    now = np.ones((p.texts, STATES))
+    before, mats = _chain(p, model)
+    beta = np.ones((STATES, len(p.size)))  # backward vector at the end of each piece
+    now = np.ones((STATES, p.texts))
     for level in reversed(p.levels):
         own = p.owner[level]
-        ahead[level] = now[own]
-        back = np.einsum("mst,mt->ms", mats[level], now[own])
-        now[own] = back / back.sum(1)[:, None]
-    alpha = np.zeros((PIECE, m, STATES))
-    prev = before.copy()
-    first = p.rank == 0
-    for k in range(PIECE):
-        live = p.live[k]
-        if not live:
-            break
-        stepped = prev[:live] @ model.step
+        beta[:, level] = now[:, own]
+        back = np.einsum("stm,tm->sm", mats[:, :, np.searchsorted(p.cut, level)], now[:, own])
+        now[:, own] = back / back.sum(0)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    log_total = float(_forward(p, model, before, kept).sum())
+    emit = np.ascontiguousarray(model.emit.T)
+    starts, steps = np.zeros(STATES), np.zeros((STATES, STATES))
+    shares = []
+    for k in range(len(p.ids) - 1, -1, -1):
+        ids = p.ids[k]
+        live = len(ids)
+        a, scale = kept[k]
+        b = beta[:, :live]
+        gamma = a * b
+        met = gamma.sum(0)
+        gamma /= met
+        shares.append(gamma)
+        v = emit[:, ids] * b
+        w = (before[:, :live] if k == 0 else kept[k - 1][0][:, :live]) / (met * scale)
         if k == 0:
-            stepped = np.where(first[:live, None], prev[:live], stepped)
-        a = stepped * model.emit[p.ids[k, :live]]
-        a /= a.sum(1)[:, None]
-        alpha[k, :live] = prev[:live] = a
-    starts, steps, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-    beta = ahead
-    for k in range(PIECE - 1, -1, -1):
-        live = p.live[k]
-        if not live:
-            continue
-        gamma = alpha[k, :live] * beta[:live]
-        gamma /= gamma.sum(1)[:, None]
-        for s in range(STATES):
-            emits[:, s] += np.bincount(p.ids[k, :live], weights=gamma[:, s], minlength=CLASSES)
-        v = model.emit[p.ids[k, :live]] * beta[:live]
-        u = before[:live] if k == 0 else alpha[k - 1, :live]
-        z = ((u @ model.step) * v).sum(1)
-        w = u / z[:, None]
-        if k == 0:
-            starts += gamma[first[:live]].sum(0)
-            w = np.where(first[:live, None], 0, w)
-        steps += w.T @ v
-        back = v @ model.step.T
-        beta[:live] = back / back.sum(1)[:, None]
-    return starts, steps * model.step, emits, float(log_total.sum())
+            starts += gamma[:, p.first[:live]].sum(1)
+            w = np.where(p.first[:live], 0, w)
+        steps += w @ v.T
+        back = model.step @ v
+        back /= back.sum(0)
+        beta[:, :live] = back
+        del kept[k:]
+    every = np.concatenate(p.ids[::-1]) if p.ids else np.empty(0, np.uint16)
+    emits = np.stack([np.bincount(every, weights=np.concatenate([g[s] for g in shares]) if shares else None, minlength=CLASSES) for s in range(STATES)], 1)
+    return starts, steps * model.step, emits, log_total
 
 
 def _texts(batches: Iterator, tokens_at_once: int = 1 << 18) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -291,30 +303,39 @@ def _texts(batches: Iterator, tokens_at_once: int = 1 << 18) -> Iterator[tuple[l
             yield batch.take(rows), texts
 
 
-def train(encoded: DataFrame, masses: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents. What comes to the driver is the model's size, whatever the data."""
+def train(encoded: DataFrame, masses: np.ndarray, rounds: int | None = None, gain: float = GAIN) -> Model:
+    """Baum-Welch over all training documents until a round gains less than the share `gain` of the log likelihood, or
+    for `rounds` rounds. What comes to the driver is the model's size, whatever the data."""
     model = initial_model(masses)
     context = encoded.sparkSession.sparkContext
     training = encoded.where("not held_out").select("classes")
-    for _ in range(rounds):
+    done, last = 0, -np.inf
+    while rounds is None or done < rounds:
         shared = context.broadcast(model)
 
         def build(batches: Iterator, shared=shared) -> Iterator:
             import pyarrow as pa
 
-            total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
+            total = np.zeros(1 + STATES + STATES * STATES + CLASSES * STATES)
             for _, texts in _texts(batches):
-                starts, steps, emits, _ = expected_counts(texts, shared.value)
-                total += np.concatenate([starts, steps.ravel(), emits.ravel()])
+                starts, steps, emits, likelihood = expected_counts(texts, shared.value)
+                total += np.concatenate([[likelihood], starts, steps.ravel(), emits.ravel()])
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["k", "v"])
 
-        summed = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
+        summed = np.zeros(1 + STATES + STATES * STATES + CLASSES * STATES)
         for row in training.mapInArrow(build, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
             summed[row["k"]] = row["v"]
-        starts, steps, emits = np.split(summed, [STATES, STATES + STATES * STATES])
+        shared.destroy()
+        done += 1
+        likelihood = float(summed[0])
+        _LOG.info("round %d: log likelihood %.6g", done, likelihood)
+        starts, steps, emits = np.split(summed[1:], [STATES, STATES + STATES * STATES])
         starts, steps, emits = starts + 0.1, steps.reshape(STATES, STATES) + 0.1, emits.reshape(CLASSES, STATES) + 0.01
         model = Model(starts / starts.sum(), steps / steps.sum(1)[:, None], emits / emits.sum(0))
+        if likelihood - last <= gain * abs(likelihood):
+            break
+        last = likelihood
     return model
 
 
@@ -333,7 +354,7 @@ def score(encoded: DataFrame, model: Model, total: int) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def hmm_scores(docs: DataFrame, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def hmm_scores(docs: DataFrame, rounds: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shards = shard_count(docs, shard_bytes)
     docs = docs.select("doc_id", "text", shard_of(F.col("doc_id"), shards).alias("shard"))

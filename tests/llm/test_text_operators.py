@@ -237,7 +237,7 @@ def test_hmm_recursions_equal_the_textbook():
 
     rng = np.random.default_rng(0)
     model = hmm_lm.initial_model(rng.random(hmm_lm.CLASSES) * 50)
-    for n in (1, 63, 64, 65, 200):
+    for n in (1, 63, 255, 256, 257, 700):
         t = rng.integers(0, hmm_lm.CLASSES, n).astype(np.uint16)
         a, total = model.start * model.emit[t[0]], 0.0
         for x in t[1:]:
@@ -253,6 +253,70 @@ def test_hmm_recursions_equal_the_textbook():
         model = hmm_lm.Model(starts / starts.sum(), steps / steps.sum(1)[:, None], (emits + 1e-9) / (emits + 1e-9).sum(0))
 
 
+def _plain_hmm(rows, gain):
+    """Scores by a plain scaled forward recursion, of a model that plain Baum-Welch trains until a round gains less than
+    `gain`: (scores, number of rounds)."""
+    import numpy as np
+
+    train = [i for i in rows if not hmm_lm.held_out(i)]
+    c = Counter(w for i in train for w in rows[i])
+    frequent = {w: k for k, w in enumerate(sorted((w for w in c if w), key=lambda w: (-c[w], w))[: hmm_lm.FREQUENT])}
+    of = lambda w: hmm_lm.UNKNOWN if not c[w] else hmm_lm.word_class(w, frequent) if w else hmm_lm.END
+    masses = np.zeros(hmm_lm.CLASSES)
+    for w in c:
+        if w:
+            masses[of(w)] += c[w] + 0.1
+    model = hmm_lm.initial_model(masses)
+
+    def forward(t):
+        alphas, total, a = [], 0.0, None
+        for x in t:
+            a = (model.start if a is None else a @ model.step) * model.emit[x]
+            total, a = total + np.log(a.sum()), a / a.sum()
+            alphas.append(a)
+        return alphas, total
+
+    sequences = {i: [of(w) for w in rows[i]] for i in rows}
+    last, rounds = -np.inf, 0
+    while True:
+        starts, steps, emits, likelihood = np.full(6, 0.1), np.full((6, 6), 0.1), np.full((hmm_lm.CLASSES, 6), 0.01), 0.0
+        for i in train:
+            t = sequences[i]
+            alphas, total = forward(t)
+            likelihood += total
+            b = np.ones(6)
+            for k in range(len(t) - 1, -1, -1):
+                g = alphas[k] * b
+                emits[t[k]] += g / g.sum()
+                if k:
+                    xi = alphas[k - 1][:, None] * model.step * (model.emit[t[k]] * b)[None]
+                    steps += xi / xi.sum()
+                    b = model.step @ (model.emit[t[k]] * b)
+                    b /= b.sum()
+                else:
+                    starts += g / g.sum()
+        model = hmm_lm.Model(starts / starts.sum(), steps / steps.sum(1)[:, None], emits / emits.sum(0))
+        rounds += 1
+        if likelihood - last <= gain * abs(likelihood):
+            break
+        last = likelihood
+    inside = {i: sum(np.log10((c[w] + 0.1) / masses[of(w)]) for w in rows[i] if w and c[w]) for i in rows}
+    return {i: forward(sequences[i])[1] / np.log(10) + inside[i] for i in rows}, rounds
+
+
+def test_hmm_scores_equal_plain_training_to_convergence(docs):
+    """Two documents are longer than a piece, so chained matrices take part; training runs until it gains no more."""
+    long = docs.withColumn("text", F.when(F.col("doc_id").isin(2, 5), F.repeat(F.concat("text", F.lit(" ")), 5)).otherwise(F.col("text")))
+    rows = {r.doc_id: hmm_lm.tokens(r.text) + [""] for r in long.collect()}
+    assert max(map(len, rows.values())) > hmm_lm.PIECE
+    want, rounds = _plain_hmm(rows, hmm_lm.GAIN)
+    assert rounds > 3
+    got = {r.doc_id: r.score for r in hmm_lm.hmm_scores(long, shard_bytes=4000).collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-6)
+
+
 def test_hmm_base_scores(docs):
     import math
 
