@@ -6,11 +6,13 @@ ahead of a line rises to the page's threshold the text surges, where the sum beh
 text between is content. The threshold is half of the root mean square of the page's own sums. A stretch goes on
 over lines one break apart, and across a gap that is not mostly links.
 
-Names help where a page gives them. Containers named as no article (menus, headers, footers, sidebars, notices, adverts,
-comments of readers) leave empty lines, and scripts, styles and forms always do; if a page names any such container or
-its article, what is left is content, however short: there the threshold is zero. Where a page names its article, only
-those lines count. An article inside a dropped container goes with it, unless that container is never closed or the page
-has no other text.
+The sums decide on every page; names set what a line counts. Lines of containers named as no article (menus, headers,
+footers, sidebars, notices, adverts, comments of readers) and of scripts, styles and forms count nothing and leave no
+gap. Where a page names its article, lines outside it count nothing, and a line inside with text outside links counts as
+much as the threshold at least; headings there count in full, so that only stretches of bare links dive. A class or id
+names a container if it consists of such a name and words on place or shape ("site-footer", not "has-sidebar" or
+"copyright-law"), and not if the container holds most of the page's text outside links, comments of readers excepted. An
+article inside a dropped container goes with it, unless that container is never closed or the page has no other text.
 
 Results for odd input: null or empty html and pages without text give an empty text and 0 characters;
 unclosed and misnested tags never raise; an unclosed quote in a tag ends at the next '>'; pages of any
@@ -40,8 +42,14 @@ BOILER = frozenset(
 READER = frozenset("comment comments commentlist discussion disqus replies".split())
 #: Inside a named article these words also name parts of the article itself.
 OUTSIDE_ONLY = frozenset("header masthead search skip widget".split())
-#: Dropped elements that say nothing on how a page names its parts.
-UNTELLING = frozenset("button dialog form head iframe noscript object option select svg template canvas audio video math".split())
+#: Words on place and shape that may stand beside these in a class or id; one with another word names something else.
+BESIDE = frozenset(
+    "area article bar blog block body bottom box button buttons center col column container content desktop entry fixed form global group horizontal icons "
+    "inner item items layer left link links list main mobile module outer page panel parent post posts primary reply respond right row secondary section side "
+    "site slot sticky story sub thread title top unit vertical view wrap wrapper".split()
+)
+DENIAL = frozenset("has hide is no not show with without".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 WINDOW = 3
 THRESHOLD = 0.5  # of the root mean square of the page's window sums
 #: Elements whose end tag may be left out: the end of their parent closes them.
@@ -57,27 +65,32 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 def _marks(attributes: str) -> frozenset:
+    """Names of no article in class, id and role."""
     words: set[str] = set()
     for m in _MARK.finditer(attributes):
-        words.update(_SPLIT.split((m[2] or m[3] or m[4] or "").lower()))
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = [x for x in _SPLIT.split(name) if x]
+            telling = BOILER.intersection(parts)
+            if telling and not DENIAL.intersection(parts) and all(x in BOILER or x in BESIDE or len(x) == 1 or any(c.isdigit() for c in x) for x in parts):
+                words |= telling
     return frozenset(words)
 
 
-def block_lines(html: str, ended: frozenset | None = frozenset()) -> tuple[list[str], list[int], list[bool], bool, bool, frozenset]:
+def block_lines(html: str, ended: frozenset | None = frozenset(), content: frozenset = frozenset()) -> tuple[list[str], list[int], list[bool], bool, frozenset, dict[int, int]]:
     """Lines in page order, their characters outside links, whether each is in a named article, whether the page names
-    one, whether it names any part, and the places of dropped containers that are never closed and hold an article. An
-    article ends the dropped containers it is in if all of them are in `ended` (or if that is None); else it is dropped
-    with them."""
+    one, the places of dropped containers that are never closed and hold an article, and the characters outside links of
+    each container dropped for its class or id alone. An article ends the dropped containers it is in if all of them are
+    in `ended` (or if that is None); else it is dropped with them. Containers at the places `content` are not dropped."""
     lines: list[str] = []
     plain: list[int] = []
     linked: list[str] = []
-    marked = False
     inside: list[bool] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, drops its text, drops as readers' comments, is an article, place
     named, at = False, 0
     holding: set[int] = set()  # dropped containers that hold an article
     unclosed: set[int] = set()
+    held: dict[int, int] = {}
 
     def left_open(entries: list) -> None:
         unclosed.update(x[4] for x in entries if x[4] in holding and x[0] not in OPTIONAL_END)
@@ -92,18 +105,22 @@ def block_lines(html: str, ended: frozenset | None = frozenset()) -> tuple[list[
         inside.append(bool(line) and any(x[3] for x in stack))
 
     def add(part: str) -> None:
-        text.append(part)
-        if any(x[0] == "a" for x in stack):
-            linked.append(part)
-
-    def gap() -> None:
-        end_line()
-        lines.extend([""] * WINDOW)
-        plain.extend([0] * WINDOW)
-        inside.extend([False] * WINDOW)
+        drop = next((x for x in stack if x[1]), None)
+        if drop is None:
+            text.append(part)
+            if any(x[0] == "a" for x in stack) and not (any(x[3] for x in stack) and any(x[0] in HEADING for x in stack)):
+                linked.append(part)
+        elif drop[4] in held and not any(x[0] == "a" or x[0] in DROPPED for x in stack):
+            held[drop[4]] += len(part.strip())
+
+    def no_gap() -> None:
+        """What was dropped leaves neither text nor empty lines."""
+        while lines and not lines[-1]:
+            for x in (lines, plain, inside):
+                x.pop()
 
     for m in _TOKEN.finditer(html):
-        if m.start() > at and not any(x[1] for x in stack):
+        if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
         if m[1]:
@@ -121,7 +138,7 @@ def block_lines(html: str, ended: frozenset | None = frozenset()) -> tuple[list[
                 left_open(stack[place + 1 :])
                 del stack[place:]
                 if dropped and not any(x[1] for x in stack):
-                    gap()
+                    no_gap()
             continue
         if name in INLINE and not attributes:
             if name not in VOID:
@@ -131,7 +148,7 @@ def block_lines(html: str, ended: frozenset | None = frozenset()) -> tuple[list[
             end_line()
             while stack and (stack[-1][0] in ("p", *INLINE) or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 if stack.pop()[1] and not any(x[1] for x in stack):
-                    gap()
+                    no_gap()
         if name in VOID:
             continue
         marks = _marks(attributes) if attributes else frozenset()
@@ -142,45 +159,30 @@ def block_lines(html: str, ended: frozenset | None = frozenset()) -> tuple[list[
                 holding |= within
                 stack.append((name, False, False, False, m.start()))
                 continue
-            named = marked = True
+            named = True
             if within:  # a container left open before the article ends there
                 del stack[next(i for i, x in enumerate(stack) if x[1]) :]
-                gap()
             stack.append((name, False, False, True, m.start()))
             continue
         if any(x[3] for x in stack):
             marks -= OUTSIDE_ONLY
-        drops = name in DROPPED or name == "header" and not any(x[3] for x in stack) or bool(marks & BOILER) and name not in ("html", "body") or bool(attributes and _HIDDEN.search(attributes))
-        marked = marked or drops and name not in UNTELLING
+        drops = name in DROPPED or name == "header" and not any(x[3] for x in stack) or bool(attributes and _HIDDEN.search(attributes))
+        if marks and not drops and name not in ("html", "body") and m.start() not in content:
+            drops = True
+            if not readers and not any(x[1] for x in stack):
+                held[m.start()] = 0
         stack.append((name, drops, readers, False, m.start()))
-    if at < len(html) and not any(x[1] for x in stack):
+    if at < len(html):
         add(html[at:])
     end_line()
     left_open(stack)
-    return lines, plain, inside, named, marked, frozenset(unclosed)
+    return lines, plain, inside, named, frozenset(unclosed), held
 
 
-def content_stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) stretches: maximal runs of lines whose following window of lines has text, trimmed to
-    lines with text."""
-    if not lengths:
-        return []
-    sizes = np.array([*lengths, *[0] * window])
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    sums = total[window:] - total[:-window]  # sums[i]: text in lines i .. i + window - 1
-    full = np.flatnonzero(sizes[: len(lengths)])
-    out: list[list[int]] = []
-    for i in full.tolist():
-        if out and (sums[out[-1][1] : i] > 0).all():
-            out[-1][1] = i + 1
-        else:
-            out.append([i, i + 1])
-    return [(a, b) for a, b in out]
-
-
-def surge_and_dive(lengths: list[int], plain: list[int], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """[surge, dive) stretches of a page that names no parts. `lengths`: characters of each line, `plain`: those outside
-    links. A page whose text is all links has none outside, so its lines count in full."""
+def surge_and_dive(lengths: list[int], plain: list[int], window: int = WINDOW, threshold: float = THRESHOLD, article: bool = False) -> list[tuple[int, int]]:
+    """[surge, dive) stretches of a page. `lengths`: characters of each line, `plain`: those outside links. A page whose
+    text is all links has none outside, so its lines count in full. article: all lines are in a named article, and each
+    one that counts at all reaches the threshold."""
     if not any(lengths):
         return []
     sizes = np.array(plain if any(plain) else lengths, float)
@@ -189,6 +191,8 @@ def surge_and_dive(lengths: list[int], plain: list[int], window: int = WINDOW, t
     enough = sums >= threshold * np.sqrt((sums[sums > 0] ** 2).mean())
     full = np.array(lengths) > 0
     content = full & (enough[: len(sizes)] | enough[window - 1 :])
+    if article:
+        content |= sizes > 0
     at = np.flatnonzero(full)
     near = np.diff(at) <= 2  # at most one empty line between
     block = np.concatenate([[0], np.cumsum(~near)])
@@ -212,16 +216,22 @@ def surge_and_dive(lengths: list[int], plain: list[int], window: int = WINDOW, t
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    lines, plain, inside, named, marked, unclosed = block_lines(html)
-    if unclosed:
-        lines, plain, inside, named, marked, _ = block_lines(html, unclosed)
-    if not any(lines):
-        lines, plain, inside, named, marked, _ = block_lines(html, None)
-    if named and any(inside):
-        lines = [x if y else "" for x, y in zip(lines, inside, strict=True)]
-    lengths = [len(x) for x in lines]
-    found = content_stretches(lengths) if marked else surge_and_dive(lengths, plain)
-    return " ".join(x for a, b in found for x in lines[a:b] if x)
+    found = block_lines(html)
+    if found[4]:
+        found = block_lines(html, found[4])
+    lines, plain, inside, named, unclosed, held = found
+    if not named and held:
+        place, most = max(held.items(), key=lambda x: x[1])
+        if 2 * most > sum(plain) + sum(held.values()):
+            found = block_lines(html, unclosed, frozenset([place]))
+    if not any(found[0]):
+        found = block_lines(html, None)
+    lines, plain, inside, named, _, _ = found
+    named = named and any(inside)
+    if named:
+        lines, plain = [x if y else "" for x, y in zip(lines, inside, strict=True)], [x if y else 0 for x, y in zip(plain, inside, strict=True)]
+    stretches = surge_and_dive([len(x) for x in lines], plain, article=named)
+    return " ".join(x for a, b in stretches for x in lines[a:b] if x)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

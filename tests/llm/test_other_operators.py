@@ -61,11 +61,6 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
-def test_stretches_surge_and_dive():
-    assert html_extract.content_stretches([5, 0, 7, 0, 0, 0, 9]) == [(0, 3), (6, 7)]
-    assert html_extract.content_stretches([]) == []
-
-
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in html_extract.extract_pages(rows).orderBy("page_id").collect()] == [(1, "u", "é", 1), (2, None, "", 0)]
@@ -197,6 +192,28 @@ def test_main_text_drops_only_the_boilerplate(html, text):
     assert html_extract.main_text(html) == text
 
 
+LINKS = "".join(f"<li><a href=/x{i}>Section {i}</a></li>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<h1>My site</h1><div class="wrap has-sidebar"><article><p>{WORDS}</p></article></div>', WORDS),
+        (f'<h1>My site</h1><div class="layout no-sidebar"><article><p>{WORDS}</p></article></div>', WORDS),
+        (f'<article><p>{WORDS}</p><section class="social-history"><p>one</p></section><section id="copyright-law"><p>two</p></section></article>', f"{WORDS} one two"),
+        (f"<ul>{LINKS}</ul><div><div><p>{WORDS} {WORDS}</p><p>{WORDS}</p></div></div><div><div>Buy now</div></div>", f"{WORDS} {WORDS} {WORDS}"),
+        (f"<ul>{LINKS}</ul><div><div><p>{WORDS} {WORDS}</p><p>{WORDS}</p></div></div><div><div>Buy now</div></div><footer>c</footer>", f"{WORDS} {WORDS} {WORDS}"),
+        (f'<p>Site</p><div class="sidebar-right"><article><p>{WORDS}</p></article></div>', WORDS),  # holds most of the text
+        (f'<div id="main-sidebar"><p>{WORDS}</p></div><p>x</p>', WORDS),
+        (f'<p>{WORDS}</p><div class="comment-list"><p>{WORDS} {WORDS}</p></div>', WORDS),  # comments of readers never count
+        (f'<p>{WORDS}</p><div class="site-footer ad-300x250">c</div>', WORDS),
+        (f'<article><div><h1><a href=/>T</a></h1></div><div><p>{WORDS}</p></div><div><ul>{LINKS}</ul></div></article>', f"T {WORDS}"),
+    ],
+)
+def test_sums_decide_and_names_only_weigh(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def _bare(body):
     """The page without names, classes and article."""
     import re
