@@ -48,6 +48,8 @@ SKETCH_DEVIATIONS = 5.0
 KEY_BLOCK = 4096
 #: Sets of a cluster that are compared with each other in one group, likewise.
 CLUSTER_BLOCK = 2048
+#: Shingles of a block of a cluster: 32 MB, so that two blocks and their arrays take a few hundred MB however long the texts.
+BLOCK_SHINGLES = 1 << 22
 _WORD = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,13 +195,14 @@ def _first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return firsts.select("x.key", "id", "c", "n", (F.col("left") - F.col("at")).cast("long").alias("rest"))
 
 
-def _dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """Rows of a group beyond `block` (`many` in all) are dealt into blocks, and each pair of blocks (by, low, high) is a
-    task group of its own, so that no group grows with the data; `own` is the row's block."""
-    blocks = F.ceil(F.col("many") / block).cast("int")
+def _dealt(rows: DataFrame, by: str, blocks: Column) -> DataFrame:
+    """Rows of a group are dealt into `blocks` blocks, and each pair of blocks (by, low, high) is a task group of its own,
+    so that no group grows with the data; `own` is the row's block."""
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), blocks.cast("int")))
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "many")
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
     return dealt.repartition(by, "low", "high").sortWithinPartitions(by, "low", "high")
 
 
@@ -227,14 +230,15 @@ def _may_meet(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found) - 1, found[0])), pa.array(found[1:])], names=["a", "b"])
 
-    return _dealt(rows.select("key", "many", "id", "c", "n", "rest"), "key", KEY_BLOCK).mapInArrow(build, "a long, b long").distinct()
+    return _dealt(rows.select("key", "many", "id", "c", "n", "rest"), "key", F.ceil(F.col("many") / KEY_BLOCK)).drop("many").mapInArrow(build, "a long, b long").distinct()
 
 
 def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between the sets of a cluster, found on the sets themselves: as many as join their components, not
     one a pair.
 
-    `members`: cluster, many (rows of the cluster), id, c, n, shingles.
+    `members`: cluster, many (rows of the cluster), total (their shingles), id, c, n, shingles. Blocks are bounded by rows
+    and by shingles. A set is compared with those that hold its shingles, and a group ends when it is one component.
     """
 
     def build(batches: Iterator) -> Iterator:
@@ -243,7 +247,11 @@ def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         for key, (ids, c, n, own, flat) in _groups(batches, ("cluster", "low", "high"), ("id", "c", "n", "own"), "shingles"):
             begins = np.cumsum(n) - n
             names, places = np.unique(flat, return_inverse=True)
+            count = np.bincount(places, minlength=len(names))
+            holders = np.repeat(np.arange(len(ids)), n)[np.argsort(places, kind="stable")]
+            ends = np.cumsum(count)
             root = {x: x for x in c.tolist()}
+            apart = len(root)
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -253,10 +261,17 @@ def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             links = []
             mark = np.zeros(len(names), np.int32)
             for i in range(len(ids)):
+                if apart == 1:
+                    break
                 mine = places[begins[i] : begins[i] + n[i]]
-                mark[mine] = 1
-                shared = np.add.reduceat(mark[places], begins)
-                mark[mine] = 0
+                met = count[mine]
+                if 4 * met.sum() < len(places):
+                    at = np.repeat(ends[mine] - np.cumsum(met), met) + np.arange(met.sum())
+                    shared = np.bincount(holders[at], minlength=len(ids))
+                else:
+                    mark[mine] = 1
+                    shared = np.add.reduceat(mark[places], begins)
+                    mark[mine] = 0
                 ok = (shared * 100 >= (n + n[i] - shared) * percent) & (c != c[i]) & (ids > ids[i])
                 if key[1] != key[2]:
                     ok &= own != own[i]
@@ -264,11 +279,14 @@ def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                     x, y = find(int(c[i])), find(int(c[j]))
                     if x != y:
                         root[x] = y
+                        apart -= 1
                         links.append((int(ids[i]), int(ids[j])))
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _dealt(members.select("cluster", "many", "id", "c", "n", "shingles"), "cluster", CLUSTER_BLOCK).mapInArrow(build, "a long, b long").distinct()
+    blocks = F.greatest(F.ceil(F.col("many") / CLUSTER_BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    dealt = _dealt(members.select("cluster", "many", "total", "id", "c", "n", "shingles"), "cluster", blocks).drop("many", "total")
+    return dealt.mapInArrow(build, "a long, b long").distinct()
 
 
 def _groups(batches: Iterator, by: tuple, names: tuple, lists: str | None = None) -> Iterator:
@@ -366,7 +384,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     firsts = staged(_first_shingles(sets), "firsts")
     clusters = components(_may_meet(firsts.join(_mixed(firsts), "key")), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clusters = staged(clusters.union(clusters.select("cluster", "cluster")).distinct(), "clusters")
-    members = sets.join(clusters, "id").join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("many")), "cluster")
+    sizes = sets.select("id", "n").join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"))
+    members = sets.join(clusters, "id").join(sizes, "cluster")
     links = staged(links.union(confirm(staged(_linked(members), "linked"), docs, size)), "links3")
     for done in (keys, still, sets, firsts, clusters):
         discard(done)

@@ -102,14 +102,46 @@ def test_clusters_across_blocks(spark, monkeypatch):
     from quantloom.llm.common import components
 
     rows = spark.createDataFrame([(1, 40, i, i, 100, 100) for i in range(40)], "key long, many long, id long, c long, n long, rest long")
-    sets = spark.createDataFrame([(1, 40, i, i, 20, list(range(i // 10 * 100, i // 10 * 100 + 19)) + [1000 + i]) for i in range(40)], "cluster long, many long, id long, c long, n long, shingles array<long>")
-    for block in (4096, 7):
+    sets = spark.createDataFrame([(1, 40, 800, i, i, 20, list(range(i // 10 * 100, i // 10 * 100 + 19)) + [1000 + i]) for i in range(40)], "cluster long, many long, total long, id long, c long, n long, shingles array<long>")
+    for block, shingles in ((4096, 1 << 22), (7, 1 << 22), (4096, 140)):
         monkeypatch.setattr(near_dup, "KEY_BLOCK", block)
         monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", block)
+        monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
         assert {r.component for r in components(near_dup._may_meet(rows), "t").collect()} == {0}
         links = near_dup._linked(sets)
         assert {r.node: r.component for r in components(links, "t").collect()} == {i: i // 10 * 10 for i in range(40) if i % 10}
-        assert links.count() <= (36 if block == 4096 else 36 * 36)
+        assert links.count() <= (36 if (block, shingles) == (4096, 1 << 22) else 36 * 36)
+
+
+def test_sets_of_a_cluster_equal_brute_force(spark):
+    """Sets that meet few others and sets that meet all go different ways to the same components, and long texts are dealt
+    by their shingles."""
+    import numpy as np
+
+    from quantloom.llm.common import components
+
+    rng = random.Random(12)
+    sets = {}
+    for i in range(120):
+        base = range(1000) if i % 3 else range(10**6 * (i // 12), 10**6 * (i // 12) + 200)
+        kept = rng.sample(base, round(len(base) * rng.choice((0.8, 0.9, 0.97))))
+        sets[i] = {*kept, *(10**9 + rng.randrange(10**6) for _ in range(3))}
+    total = sum(map(len, sets.values()))
+    rows = [(1, len(sets), total, i, i, len(x), sorted(x)) for i, x in sets.items()]
+    rows = spark.createDataFrame(rows, "cluster long, many long, total long, id long, c long, n long, shingles array<long>")
+    want = _groups(sets)
+    assert 3 < len(set(want.values())) < 100
+    for block in (near_dup.BLOCK_SHINGLES, 20_000):
+        blocks = F.ceil(F.col("total") / block)
+        groups = near_dup._dealt(rows, "cluster", blocks).groupBy("low", "high").agg(F.sum("n").alias("n")).collect()
+        assert max(r.n for r in groups) <= max(total if block > total else 0, 3 * block) and np.sum([r.low == r.high for r in groups]) == -(-total // block)
+        near = near_dup.BLOCK_SHINGLES
+        near_dup.BLOCK_SHINGLES = block
+        try:
+            got = {r.node: r.component for r in components(near_dup._linked(rows), "t").collect()}
+        finally:
+            near_dup.BLOCK_SHINGLES = near
+        assert {i: got.get(i, i) for i in sets} == want
 
 
 def _groups(sets, percent=80):
