@@ -1,14 +1,19 @@
 """Secret scan with one deterministic automaton for all rules.
 
-The rules are regular expressions. They are parsed here, turned into one Thompson automaton, determinised
-by subset construction and minimised by partition refinement; the result is a transition array
-(state x byte -> state). Scanning a text is a single pass over its UTF-8 bytes that follows the array; all
-rules advance together. Only texts in which the pass ends in the absorbing "hit" state are looked at again
-to place the spans, with one minimised automaton per rule.
+The rules are regular expressions. Each is parsed here, turned into a Thompson automaton, determinised by subset
+construction and minimised. A second subset construction joins them: a state of the scanner is, for every rule, the
+states of its matches that may be open, oldest first. It is minimised by partition refinement; the result is one
+transition array (state x byte -> state) and, for each state, what entering it does: which rules' matches end there,
+which begin to hold, and where open ones began. Scanning a text is a single pass over its UTF-8 bytes that follows
+the array; all rules advance together, and every span is placed in that pass. No byte is read twice.
+
+Where a match began is known from the state alone while all ways to it are of one length; only beyond that is it
+kept in a register of the rule. Matches are leftmost, longest and do not overlap within a rule. A rule's length
+condition (`least`) is applied to the placed span, so that counters of several rules do not multiply in the array.
 
 Results for odd input: a null text counts as empty; a text without secrets gives no spans; texts of any
-length are scanned whole in constant memory besides the text; repeated rows each get their own result;
-columns other than the key and the text are not read.
+length are scanned whole in constant memory besides the text and its spans; rows with equal or null doc_id each get
+their own result; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,39 +22,38 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from quantloom.llm.common import utf8
+
 
 @dataclass(frozen=True)
 class Rule:
     """Patterns have literals, classes, groups, | and ? * + {m,} on single items.
 
-    `pattern` is what counts; `reach` is the same without its length condition, so what a match consumes
-    even if it is then dropped. `trigger` is a pattern that every counted match contains: the scanning
-    automaton looks for it. Counters of several rules would multiply in one automaton; a trigger keeps only
-    those that make it selective. `base`: a kind of the contract."""
+    `least`: a match counts if the pattern held at so many of its last bytes, one after the other; for a pattern that
+    ends in [..]+, the length of that item. Shorter matches are consumed and dropped. `base`: a kind of the contract."""
 
     kind: str
     pattern: str
-    reach: str
-    trigger: str
+    least: int
     base: bool = True
 
 
 # The rules.
 _NAME = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-_ASSIGN = _NAME + "[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\\-]"
 RULES = (
-    Rule("assign", _ASSIGN + "{6,}", _ASSIGN + "+", _ASSIGN + "{6,}"),
-    Rule("access", "AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]"),
-    Rule("hex", "[0-9a-f]{24,}", "[0-9a-f]+", "[0-9a-f]{24,}"),
+    Rule("assign", _NAME + "[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=\\-]+", 6),
+    Rule("access", "AKIA[A-Z0-9]+", 16),
+    Rule("hex", "[0-9a-f]+", 24),
     # added by this operator, after the base kinds
-    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_", base=False),
-    Rule("google", "AIza[A-Za-z0-9_\\-]{35,}", "AIza[A-Za-z0-9_\\-]+", "AIza", base=False),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9\\-]{10,}", "xox[abprs]-[A-Za-z0-9\\-]+", "xox[abprs]-", base=False),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN ", base=False),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 36, base=False),
+    Rule("google", "AIza[A-Za-z0-9_\\-]+", 35, base=False),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9\\-]+", 10, base=False),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, base=False),
 )
 
 
@@ -174,15 +178,23 @@ class Dfa:
     dead: int
 
 
-def compile_dfa(patterns: list[str], search: bool) -> Dfa:
-    """Minimal automaton of the union of `patterns`. search: matches may start anywhere, and the first match
-    leads to one absorbing state."""
+def _refined(step: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """Minimisation: classes of states of equal output are split until all members of a class move alike. Returns the
+    state's name, 0 for the first one's, in the order of their first members."""
+    classes = np.unique(outputs, return_inverse=True)[1].reshape(-1)
+    while True:
+        refined = np.unique(np.concatenate([classes[:, None], classes[step]], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        if refined.max() == classes.max():
+            break
+        classes = refined
+    _, first, members = np.unique(classes, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[members.reshape(-1)]
+
+
+def compile_dfa(pattern: str) -> Dfa:
+    """Minimal automaton of a pattern, for matches that begin where it starts."""
     nfa = _Nfa()
-    start, final = nfa.state(), nfa.state()
-    for p in patterns:
-        a, b = nfa.parse(p)
-        nfa.eps[start].append(a)
-        nfa.eps[b].append(final)
+    start, final = nfa.parse(pattern)
 
     def close(states: set[int]) -> frozenset:
         todo, seen = list(states), set(states)
@@ -196,114 +208,152 @@ def compile_dfa(patterns: list[str], search: bool) -> Dfa:
     first = close({start})
     ids, order, rows = {first: 0}, [first], []
     for states in order:
-        row = np.zeros(256, np.int32)
-        if search and final in states:
-            row[:] = ids[states]
-        else:
-            targets: list[set[int]] = [set() for _ in range(256)]
-            for s in states:
-                if nfa.moves[s]:
-                    allowed, t = nfa.moves[s]
-                    for byte in allowed:
-                        targets[byte].add(t)
-            known: dict[frozenset, int] = {}
-            for byte in range(256):
-                raw = frozenset(targets[byte])
-                if raw not in known:
-                    reached = close(set(raw))
-                    if search:
-                        reached = frozenset({final}) if final in reached else reached | first
-                    if reached not in ids:
-                        ids[reached] = len(order)
-                        order.append(reached)
-                    known[raw] = ids[reached]
-                row[byte] = known[raw]
+        targets: list[set[int]] = [set() for _ in range(256)]
+        for s in states:
+            if nfa.moves[s]:
+                allowed, t = nfa.moves[s]
+                for byte in allowed:
+                    targets[byte].add(t)
+        row = []
+        for raw in targets:
+            reached = close(raw)
+            if reached not in ids:
+                ids[reached] = len(order)
+                order.append(reached)
+            row.append(ids[reached])
         rows.append(row)
     step, accepts = np.array(rows), np.array([final in s for s in order])
-    # Minimisation: split classes of states until all members of a class move alike.
-    classes = accepts.astype(np.int64)
-    while True:
-        seen = np.concatenate([classes[:, None], classes[step]], axis=1)
-        _, refined = np.unique(seen, axis=0, return_inverse=True)
-        refined = refined.reshape(-1)
-        if refined.max() == classes.max() and len(np.unique(refined)) == len(np.unique(classes)):
-            break
-        classes = refined
-    rename = np.full(classes.max() + 1, -1, np.int64)  # the start becomes state 0
-    rename[classes[0]] = 0
-    for c in classes:
-        if rename[c] < 0:
-            rename[c] = rename.max() + 1
-    names = rename[classes]
+    names = _refined(step, accepts)
     out, acc = np.zeros((names.max() + 1, 256), np.int32), np.zeros(names.max() + 1, bool)
     out[names], acc[names] = names[step], accepts
     dead = [s for s in range(len(out)) if not acc[s] and (out[s] == s).all()]
     return Dfa(out, acc, dead[0] if dead else -1)
 
 
-def _rows(dfa: Dfa) -> list[list]:
-    """The transition array as rows that hold their successor rows: one index per byte in the scan."""
-    rows = [[None] * 256 for _ in range(len(dfa.step))]
-    for row, targets in zip(rows, dfa.step.tolist(), strict=True):
-        row[:] = [rows[t] for t in targets]
-    return rows
+def _depths(dfa: Dfa) -> list[int | None]:
+    """How many bytes lead to each state, None where ways of several lengths do."""
+    seen: dict[int, int | None] = {0: 0}
+    todo = [0]
+    while todo:
+        s = todo.pop()
+        for t in set(dfa.step[s].tolist()) - {dfa.dead}:
+            d = None if seen[s] is None else seen[s] + 1
+            if t not in seen or (seen[t] is not None and seen[t] != d):
+                seen[t] = d if t not in seen else None
+                todo.append(t)
+    return [seen.get(s) for s in range(len(dfa.step))]
+
+
+#: Column of the transition array that ends a text.
+END = 256
+
+
+@dataclass(frozen=True)
+class Scanner:
+    """`step[state, byte or END]` is the next state, `acts[state]` what entering it does, one entry for each rule that
+    does anything: (rule, ends, begins, holds).
+
+    ends: a match ended before this byte; begins: where the rule's open matches began, for its registers; holds: the
+    open match holds from this byte on. A place is a register if not negative, else -1 - (bytes back from this one)."""
+
+    step: np.ndarray
+    acts: tuple
+
+
+def compile_scanner(patterns: tuple[str, ...]) -> Scanner:
+    """One minimal automaton that places the matches of all patterns. Refused with ValueError: patterns that match
+    nothing at all, that stop to hold before a longer match, or of which a match can lie inside an open older one."""
+    dfas = [compile_dfa(p) for p in patterns]
+    depths = [_depths(d) for d in dfas]
+    columns = np.unique(np.concatenate([d.step for d in dfas]), axis=1, return_index=True, return_inverse=True)
+    sample, class_of = columns[1].tolist(), columns[2].reshape(-1)  # bytes that no rule tells apart are one column
+
+    @lru_cache(maxsize=None)
+    def advance(r: int, open_at: tuple, byte: int) -> tuple:
+        dfa, depth = dfas[r], depths[r]
+        now, places, ends, holds, register = [], [], None, False, 0
+        for k, q in enumerate((*open_at, 0)):
+            fresh = k == len(open_at)
+            place = -1 if fresh else register if depth[q] is None else -1 - depth[q]
+            register += not fresh and depth[q] is None
+            t = dfa.dead if byte == END else int(dfa.step[q, byte])
+            if t == dfa.dead:
+                if dfa.accepts[q]:
+                    ends = place
+                continue
+            if dfa.accepts[q] and not dfa.accepts[t]:
+                raise ValueError(f"{patterns[r]!r}: a match may stop to hold and go on")
+            if t in now:
+                continue
+            now.append(t)
+            places.append(place)
+            if dfa.accepts[t]:
+                if len(now) > 1:
+                    raise ValueError(f"{patterns[r]!r}: a match may lie inside an open one")
+                holds = not dfa.accepts[q]
+                break  # the oldest match holds: no other begins inside it
+        begins = tuple(p for p, t in zip(places, now, strict=True) if depth[t] is None)
+        begins = None if begins == tuple(range(len(begins))) else begins
+        act = (r, ends, begins, holds) if ends is not None or begins or holds else None
+        return tuple(now), act
+
+    if any(d.accepts[0] or d.dead < 0 for d in dfas):
+        raise ValueError("a pattern matches nothing at all, or never ends")
+    first = (((),) * len(dfas), ())
+    ids, order, rows = {first: 0}, [first], []
+    for open_at, _ in order:
+        row = []
+        for byte in (*sample, END):
+            made = [advance(r, x, byte) for r, x in enumerate(open_at)]
+            state = (tuple(x for x, _ in made), tuple(a for _, a in made if a))
+            if state not in ids:
+                ids[state] = len(order)
+                order.append(state)
+            row.append(ids[state])
+        rows.append(row)
+    step = np.array(rows)
+    kinds: dict[tuple, int] = {}
+    outputs = np.array([kinds.setdefault(acts, len(kinds)) for _, acts in order])
+    names = _refined(step, outputs)
+    out, acts = np.zeros((names.max() + 1, step.shape[1]), np.int32), [()] * (names.max() + 1)
+    out[names] = names[step]
+    for name, (_, act) in zip(names.tolist(), order, strict=True):
+        acts[name] = act
+    return Scanner(out[:, [*class_of.tolist(), len(sample)]], tuple(acts))
 
 
 @lru_cache(maxsize=8)
-def _machines(rules: tuple[Rule, ...]):
-    search = compile_dfa([r.trigger for r in rules], search=True)
-    rows = _rows(search)
-    hit = rows[int(np.flatnonzero(search.accepts)[0])]
-    anchored = []
-    for r in rules:
-        reach, counts = compile_dfa([r.reach], search=False), compile_dfa([r.pattern], search=False)
-        starts = frozenset(int(b) for b in range(256) if reach.step[0, b] != reach.dead)
-        anchored.append((r.kind, reach.step.tolist(), reach.accepts.tolist(), reach.dead, counts.step.tolist(), counts.accepts.tolist(), starts))
-    return rows[0], hit, anchored
-
-
-def _spans(data: bytes, machine) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping byte spans of one rule; those that fail its length are consumed."""
-    _, reach, reach_ok, dead, counts, counts_ok, starts = machine
-    out, at, n = [], 0, len(data)
-    while at < n:
-        if data[at] not in starts:
-            at += 1
-            continue
-        state, end, i = 0, -1, at
-        while i < n:
-            state = reach[state][data[i]]
-            if state == dead:
-                break
-            i += 1
-            if reach_ok[state]:
-                end = i
-        if end < 0:
-            at += 1
-            continue
-        state = 0
-        for byte in data[at:end]:
-            state = counts[state][byte]
-        if counts_ok[state]:
-            out.append((at, end))
-        at = end
-    return out
+def _machine(rules: tuple[Rule, ...]) -> list:
+    """The transition array as rows that hold their successor rows, one index per byte in the scan, and then the acts."""
+    scanner = compile_scanner(tuple(r.pattern for r in rules))
+    rows: list[list] = [[] for _ in scanner.acts]
+    for row, targets, acts in zip(rows, scanner.step.tolist(), scanner.acts, strict=True):
+        row += [rows[t] for t in targets]
+        row.append(acts)
+    return rows[0]
 
 
 def find_secrets(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then rule order."""
-    row, hit, anchored = _machines(rules)
-    data = (text or "").encode("utf-8", "surrogatepass")
-    for byte in data:  # the one pass: every rule advances with each byte
+    row = _machine(rules)
+    data = utf8(text)
+    began: list[list[int]] = [[] for _ in rules]
+    held = [0] * len(rules)
+    found = []
+    for i, byte in enumerate(chain(data, (END,))):  # the one pass: every rule advances with each byte
         row = row[byte]
-    if row is not hit:
-        return []
-    found = [(a, k, b) for k, m in enumerate(anchored) for a, b in _spans(data, m)]
-    if len(data) != len(text):
+        if row[-1]:
+            for r, ends, begins, holds in row[-1]:
+                if ends is not None and i - held[r] >= rules[r].least:
+                    found.append((began[r][ends] if ends >= 0 else i + 1 + ends, r, i))
+                if begins is not None:
+                    began[r] = [began[r][k] if k >= 0 else i + 1 + k for k in begins]
+                if holds:
+                    held[r] = i
+    if found and len(data) != len(text):
         starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        place = lambda p: int(np.searchsorted(starts, p))
-        found = [(place(a), k, place(b)) for a, k, b in found]
-    return [(rules[k].kind, a, b) for a, k, b in sorted(found)]
+        found = [(int(np.searchsorted(starts, a)), r, int(np.searchsorted(starts, b))) for a, r, b in found]
+    return [(rules[r].kind, a, b) for a, r, b in sorted(found)]
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

@@ -202,19 +202,67 @@ def test_components_on_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[i] == 100 for i in range(101, 140)) and got[201] == 200
 
 
+SECRETS = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ("github", re.compile("gh[pousr]_([A-Za-z0-9]+)"), lambda m: len(m[1]) >= 36), ("google", re.compile(r"AIza([A-Za-z0-9_\-]+)"), lambda m: len(m[1]) >= 35), ("slack", re.compile(r"xox[abprs]-([A-Za-z0-9\-]+)"), lambda m: len(m[1]) >= 10), ("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True),
+]
+
+
+def _secrets(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, p, counts) in enumerate(SECRETS) for m in p.finditer(text or "") if counts(m))
+    return [(SECRETS[k][0], a, b) for a, k, b in found]
+
+
 def test_secrets_equal_regular_expressions():
-    kinds = {"assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
-    least = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
     rng = random.Random(2)
-    bits = ["password", "PassWd", "token", "api_key", "APIKEY", "=", ":", " ", "'", '"', "AKIA", "ABCD1234EFGH5678", "abcdef0123456789", "a1b2c3d4e5f6", "é", "x", "secret", "==", "-", "\n", "Z9"]
-    for _ in range(3000):
+    bits = ["password", "PassWd", "pass", "tok", "token", "api_key", "APIKEY", "=", ":", " ", "'", '"', "AKI", "AKIA", "ABCD1234EFGH5678", "abcdef0123456789", "a1b2c3d4e5f6", "é", "x", "secret", "==", "-", "\n", "Z9", "ghp_", "gh", "AIza", "AIz", "xoxb-", "xox", "-----BEGIN ", "-----", "RSA ", "PRIVATE KEY-----", "PRIVATE ", "KEY-----", "k3" * 9, "A9z_" * 6]
+    kinds = Counter()
+    for _ in range(6000):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
-        want = sorted((m.start(), list(kinds).index(k), m.end()) for k, p in kinds.items() for m in p.finditer(t) if least[k](m))
-        got = [(a, list(kinds).index(k), b) for k, a, b in secret_scan.find_secrets(t) if k in kinds]
-        assert got == want, t
+        want = _secrets(t)
+        assert secret_scan.find_secrets(t) == want, t
+        kinds.update(k for k, _, _ in want)
+    t = "gho_" + "a1B2" * 9 + " AIza" + "Z_-9k" * 7 + ' "-----BEGIN RSA PRIVATE KEY-----'
+    kinds.update(k for k, _, _ in secret_scan.find_secrets(t))
+    assert secret_scan.find_secrets(t) == _secrets(t) and len(kinds) == len(SECRETS)
     assert secret_scan.redact("a password=abcdefg b", secret_scan.find_secrets("a password=abcdefg b")) == "a [assign] b"
 
 
+def test_scanner_is_one_minimal_automaton():
+    """No two states of the array act alike for ever, a single rule's spans are those among all, and patterns that one
+    pass can't place are refused."""
+    import numpy as np
+
+    scanner = secret_scan.compile_scanner(tuple(r.pattern for r in secret_scan.RULES))
+    kinds = {a: k for k, a in enumerate(dict.fromkeys(scanner.acts))}
+    assert secret_scan._refined(scanner.step, np.array([kinds[a] for a in scanner.acts])).max() + 1 == len(scanner.step)
+    text = "token=AKIA" + "AB12" * 5 + " 0123456789abcdef0123456789abcdef password: ghp_" + "x0" * 20
+    both = secret_scan.find_secrets(text)
+    assert {k for k, _, _ in both} == {"assign", "access", "hex", "github"}
+    for rule in secret_scan.RULES:
+        assert secret_scan.find_secrets(text, (rule,)) == [x for x in both if x[0] == rule.kind]
+    for pattern in ("a*", "ab(cd)*", "a[ab]*c|b"):
+        with pytest.raises(ValueError):
+            secret_scan.compile_scanner((pattern,))
+
+
+def test_secret_table_equals_brute_force(spark, odd, none):
+    """Counts, digest and spans of the table, and the redacted texts: null and repeated ids, a million characters, clashing columns."""
+    long = "é " * 400_000 + "password='abcdefgh' " + "0123456789abcdef" * 20_000
+    more = spark.createDataFrame([(None, "token: AKIA" + "A" * 20), (None, None), (9, long), (9, "secret=short api_key = 'a.b-c/d=' " + "f" * 24)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text", "id", "key").unionByName(more, allowMissingColumns=True)
+    want = Counter()
+    for r in docs.collect():
+        spans = _secrets(r.text)
+        join = lambda rows: ",".join(f"{k}:{a}:{b}" for k, a, b in rows)
+        n = Counter(k for k, _, _ in spans)
+        want[(r.doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(join([x for x in spans if x[0] in ("assign", "access", "hex")]).encode()).hexdigest(), join(spans))] += 1
+    assert Counter(tuple(r) for r in secret_scan.scan_secrets(docs).collect()) == want
+    assert sum(c * sum(x[1:4]) for x, c in want.items()) >= 6 and secret_scan.scan_secrets(none).count() == 0
+    clean = {(r.doc_id, len(r.text)): r for r in secret_scan.redact_secrets(docs).where("text is not null").collect()}
+    assert clean[(9, 800_000 + len("[assign]' [hex]"))].text.endswith("é [assign]' [hex]")
+
+
 def test_lattice_equals_the_library(spark):
     import sentencepiece
 
