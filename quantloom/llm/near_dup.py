@@ -17,7 +17,8 @@ What a group costs:
    many of these classes have them, rare ones first. Two sets of the wanted similarity share one of their first
    shingles, and from the first shared one on enough remain in both. Classes of different components that meet both
    conditions form clusters (one row a class), whose whole sets are compared in arrays within one task; as many links
-   come out as join the components. No link between different texts is lost, as both conditions are necessary;
+   come out as join the components. Clusters of several blocks are compared block by block first, contracted and dealt
+   anew, so that rows are copied for pairs of blocks only where components stay apart. No link between different texts is lost, as both conditions are necessary;
    copies of one text with many edits of their own, which crowd the keys without being links, hardly ever meet.
 
 Results for odd input: null texts and texts without words have an empty set and are linked with nothing; a
@@ -44,8 +45,8 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 SKETCH_BITS = 1024
 #: Sketch bits that may differ go this many standard deviations beyond what similarity PERCENT / 100 expects.
 SKETCH_DEVIATIONS = 5.0
-#: Sets of a first shingle that are compared in one group; shingles with more are dealt into blocks of this size.
-KEY_BLOCK = 4096
+#: Sets of a first shingle that one group holds, 10 MB of numbers; shingles with more are dealt into blocks of this size.
+KEY_BLOCK = 1 << 18
 #: Sets of a cluster that are compared with each other in one group, likewise.
 CLUSTER_BLOCK = 2048
 #: Shingles of a block of a cluster: 32 MB, so that two blocks and their arrays take a few hundred MB however long the texts.
@@ -195,17 +196,39 @@ def _first_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return firsts.select("x.key", "id", "c", "n", (F.col("left") - F.col("at")).cast("long").alias("rest"))
 
 
-def _dealt(rows: DataFrame, by: str, blocks: Column) -> DataFrame:
-    """Rows of a group are dealt into `blocks` blocks, and each pair of blocks (by, low, high) is a task group of its own,
-    so that no group grows with the data; `own` is the row's block."""
+def _dealt(rows: DataFrame, by: str, blocks: Column, turn: int | None = None) -> DataFrame:
+    """Rows of a group are dealt into `blocks` blocks, so that no group grows with the data. Each pair of blocks
+    (by, low, high) is a task group of its own; with `turn`, each block alone is, so that no row is copied, and another
+    turn deals the rows in another way. `own` is the row's block."""
     rows = rows.withColumn("blocks", F.greatest(F.lit(1), blocks.cast("int")))
     blocks = F.col("blocks")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = F.pmod(F.xxhash64("id", *([F.lit(turn)] if turn else [])), blocks).cast("int")
+    rows = rows.withColumn("own", own)
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) if turn is None else rows.withColumn("other", F.col("own"))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
     return dealt.repartition(by, "low", "high").sortWithinPartitions(by, "low", "high")
 
 
+def _meeting(c: np.ndarray, n: np.ndarray, rest: np.ndarray, others: tuple, percent: int) -> np.ndarray:
+    """Which sets (component c, n, rest) may be linked with one of `others` (c, n, rest) of a different component: there is
+    one with min(rest, rest') * (100 + percent) >= (n + n') * percent. Among the others of at most a certain n', that is
+    one of the largest rest' * (100 + percent) - n' * percent in its own component or in the next best one."""
+    oc, on, orest = (x[np.argsort(others[1], kind="stable")] for x in others)
+    if not len(on):
+        return np.zeros(len(c), bool)
+    room = orest * (100 + percent) - on * percent
+    best = np.maximum.accumulate(room)
+    new = np.concatenate([[True], best[1:] > best[:-1]])
+    best_c = oc[np.maximum.accumulate(np.where(new, np.arange(len(on)), 0))]
+    none = np.iinfo(np.int64).min
+    second = np.where(oc != best_c, room, none)
+    turned = np.flatnonzero(best_c[1:] != best_c[:-1]) + 1
+    second[turned] = best[turned - 1]
+    second = np.maximum.accumulate(second)
+    at = np.searchsorted(on, (rest * (100 + percent) - n * percent) // percent, side="right") - 1
+    return (at >= 0) & (np.where(best_c[at] != c, best[at], second[at]) >= n * percent)
+
+
 def _may_meet(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that join all sets which may be linked with another one of a different component under a first
     shingle: one a set and shingle, not one a pair.
@@ -218,24 +241,24 @@ def _may_meet(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         import pyarrow as pa
 
         for key, (ids, c, n, rest, own) in _groups(batches, ("key", "low", "high"), ("id", "c", "n", "rest", "own")):
-            meets = np.zeros(len(ids), bool)
-            for at in range(0, len(ids), 1024):
-                left = slice(at, at + 1024)
-                ok = (c[left, None] != c[None]) & (ids[left, None] != ids[None])
-                if key[1] != key[2]:
-                    ok &= own[left, None] != own[None]
-                ok &= np.minimum(rest[left, None], rest[None]) * (100 + percent) >= (n[left, None] + n[None]) * percent
-                meets[left] = ok.any(1)
-            found = np.unique(ids[meets])
+            sides = [own == key[1], own == key[2]]
+            pairs = [sides] if key[1] == key[2] else [sides, sides[::-1]]
+            found = [ids[x][_meeting(c[x], n[x], rest[x], (c[y], n[y], rest[y]), percent)] for x, y in pairs]
+            found = np.unique(np.concatenate(found))
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found) - 1, found[0])), pa.array(found[1:])], names=["a", "b"])
 
     return _dealt(rows.select("key", "many", "id", "c", "n", "rest"), "key", F.ceil(F.col("many") / KEY_BLOCK)).drop("many").mapInArrow(build, "a long, b long").distinct()
 
 
-def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _blocks() -> Column:
+    """Blocks of a cluster of `many` sets with together `total` shingles."""
+    return F.greatest(F.ceil(F.col("many") / CLUSTER_BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+
+
+def _linked(members: DataFrame, percent: int = PERCENT, turn: int | None = None) -> DataFrame:
     """Links (a, b) between the sets of a cluster, found on the sets themselves: as many as join their components, not
-    one a pair.
+    one a pair. With `turn`, only sets of the same block are compared.
 
     `members`: cluster, many (rows of the cluster), total (their shingles), id, c, n, shingles. Blocks are bounded by rows
     and by shingles. A set is compared with those that hold its shingles, and a group ends when it is one component.
@@ -284,8 +307,7 @@ def _linked(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    blocks = F.greatest(F.ceil(F.col("many") / CLUSTER_BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    dealt = _dealt(members.select("cluster", "many", "total", "id", "c", "n", "shingles"), "cluster", blocks).drop("many", "total")
+    dealt = _dealt(members.select("cluster", "many", "total", "id", "c", "n", "shingles"), "cluster", _blocks(), turn).drop("many", "total")
     return dealt.mapInArrow(build, "a long, b long").distinct()
 
 
@@ -362,6 +384,35 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 < c1").select("key", "many")
 
 
+def _settled(sets: DataFrame, links: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """`links` and those between `sets` (set, id, c, n, shingles) that join the components of linked sets.
+
+    Clusters of one block are compared whole at once. Of larger ones, only blocks are compared within themselves at
+    first, each row once; what they link is contracted, and sets that can still meet another component are clustered
+    and dealt anew. Once such a turn no longer halves the components, all pairs of the blocks left are compared."""
+    apart = None
+    for turn in range(1, 65):
+        firsts = staged(_first_shingles(sets), f"firsts{turn}")
+        clusters = components(_may_meet(firsts.join(_mixed(firsts), "key")), f"clusters{turn}").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        clusters = staged(clusters.union(clusters.select("cluster", "cluster")).distinct(), f"clusters{turn}")
+        sizes = sets.select("id", "c", "n").join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"), F.count_distinct("c").alias("apart"))
+        sizes = staged(sizes.withColumn("blocks", _blocks()), f"sizes{turn}")
+        left = sizes.where("blocks > 1").agg(F.sum("apart")).first()[0] or 0
+        blockwise = left > 0 and (apart is None or 2 * left <= apart)
+        members = sets.join(clusters, "id").join(sizes, "cluster")
+        links = staged(links.union(confirm(staged(_linked(members, turn=turn if blockwise else None), f"linked{turn}"), docs, size)), f"links{turn + 2}")
+        made = (firsts, clusters, sizes, sets)
+        if blockwise:
+            apart = left
+            at = components(links, f"turn{turn}").select(F.col("node").alias("id"), "component")
+            sets = staged(members.where("blocks > 1").drop("c").join(at, "id", "left").select("set", "id", F.coalesce("component", "id").alias("c"), "n", "shingles"), f"sets{turn}")
+        for done in made:
+            discard(done)
+        if not blockwise:
+            return links
+    raise AssertionError("components can't be halved so often")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -381,13 +432,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     placed = _place(keys, links, "near2")
     still = staged(placed.join(_mixed(placed).select("key"), "key").select("id", "c").distinct(), "open")
     sets = staged(_open_sets(docs, still, size).withColumn("set", F.monotonically_increasing_id()), "sets")
-    firsts = staged(_first_shingles(sets), "firsts")
-    clusters = components(_may_meet(firsts.join(_mixed(firsts), "key")), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    clusters = staged(clusters.union(clusters.select("cluster", "cluster")).distinct(), "clusters")
-    sizes = sets.select("id", "n").join(clusters, "id").groupBy("cluster").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"))
-    members = sets.join(clusters, "id").join(sizes, "cluster")
-    links = staged(links.union(confirm(staged(_linked(members), "linked"), docs, size)), "links3")
-    for done in (keys, still, sets, firsts, clusters):
+    links = _settled(sets, links, docs, size)
+    for done in (keys, still):
         discard(done)
 
     final = components(links, "near3")

@@ -177,6 +177,52 @@ def test_near_duplicates_in_crowds(spark):
         assert got == want and 40 < len(set(want.values())) < 340
 
 
+def test_crowds_of_several_blocks(spark, monkeypatch):
+    """Clusters beyond a block settle block by block, then by pairs of blocks: groups as by brute force."""
+    rng = random.Random(21)
+    bases = [[f"b{k}_{i}" for i in range(60)] for k in range(2)]
+    bases[1][:40] = bases[0][:40]  # shared, but not similar
+    texts = []
+    for i in range(160):
+        w = list(bases[i % 2])
+        for _ in range(rng.choice((1, 1, 2, 3, 4))):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: near_dup.shingle_set(t, 4) for i, t in enumerate(texts)}
+    number = {x: k for k, x in enumerate(sorted(set.union(*sets.values())))}
+    frame = spark.createDataFrame([(i, i, i, len(x), sorted(number[y] for y in x)) for i, x in sets.items()], "set long, id long, c long, n long, shingles array<long>").cache()
+    none = spark.createDataFrame([], "a long, b long")
+    want, turns = _groups(sets), []
+    linked = near_dup._linked
+    monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", 16)
+    monkeypatch.setattr(near_dup, "_linked", lambda m, **k: (turns.append(k["turn"]), linked(m, **k))[1])
+    from quantloom.llm.common import components
+
+    got = {r.node: r.component for r in components(near_dup._settled(frame, none, rows, 4), "t").collect()}
+    assert {i: got.get(i, i) for i in sets} == want and 2 < len(set(want.values())) < 100
+    assert turns[0] == 1 and turns[-1] is None and len(turns) > 1
+
+
+def test_blocks_copy_no_row(spark):
+    """Dealt block by block, as many rows come out as went in, at any size of a cluster; blocks hold about as many each."""
+    for n in (2_048, 20_480, 102_400):
+        rows = spark.range(n).select("id", F.lit(1).alias("cluster"))
+        dealt = near_dup._dealt(rows, "cluster", F.ceil(F.lit(n) / near_dup.CLUSTER_BLOCK), turn=1).groupBy("low", "high").count().collect()
+        assert sum(r["count"] for r in dealt) == n and len(dealt) == n // near_dup.CLUSTER_BLOCK
+        assert all(r.low == r.high and r["count"] < 1.2 * near_dup.CLUSTER_BLOCK for r in dealt)
+
+
+def test_sets_that_may_meet_equal_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x, y = ((rng.integers(0, 4, k), rng.integers(1, 30, k), rng.integers(1, 30, k)) for k in rng.integers(0, 25, 2))
+        ok = (x[0][:, None] != y[0]) & (np.minimum(x[2][:, None], y[2]) * 180 >= (x[1][:, None] + y[1]) * 80)
+        assert (near_dup._meeting(*x, y, 80) == ok.any(1)).all()
+
+
 def test_first_shingles_lose_no_pair(spark):
     from quantloom.llm.common import components
 
