@@ -23,7 +23,9 @@ What a group costs:
 
 Results for odd input: null texts and texts without words have an empty set and are linked with nothing; a
 text with fewer than k words is one shingle; repeated rows (same doc_id) fall into one class and are all
-returned; an empty table gives an empty result. Only doc_id and text are read.
+returned; a null doc_id gets the component of its text's other copies and is not kept, or, without any, a null component
+and is kept; texts of any length are read whole; an empty table gives an empty result. Only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ document is streamed once. A phrase shared by a third of all documents is at mos
 
 Results for odd input: null texts and texts without words give 0, 0 and the digest of the empty string;
 texts shorter than a window lose nothing; rows that repeat a doc_id are one document at the same place, so
-they do not remove each other; a null doc_id comes first in order; an empty table gives an empty result.
-Only doc_id and text are read.
+they do not remove each other; a null doc_id comes first in order; texts of any length are read whole, each within one
+task; an empty table gives an empty result. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -42,20 +42,69 @@ def docs(spark):
 
 
 def test_substring_dedup_equals_brute_force(spark, docs):
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = _kept_words(docs.collect())
+    got = Counter(map(tuple, substring_dedup.dedup_substrings(docs, shard_bytes=4000).collect()))
+    assert got == want and sum(x[2] for x in want) > 500
+
+
+def _kept_words(rows):
+    place = lambda r: (r.doc_id is not None, r.doc_id or 0)
+    rows = sorted(((place(r), r.doc_id, WORD.findall(r.text or "")) for r in rows), key=lambda x: x[0])
     first = {}
-    for i, t in rows:
-        w = WORD.findall(t)
+    for at, _, w in rows:
         for k in range(len(w) - 19):
-            first.setdefault(tuple(w[k : k + 20]), (i, k))
-    want = []
-    for i, t in rows:
-        w = WORD.findall(t)
-        gone = {j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < (i, k) for j in range(k, k + 20)}
+            here = (at, k)
+            first[tuple(w[k : k + 20])] = min(first.get(tuple(w[k : k + 20]), here), here)
+    want = Counter()
+    for at, i, w in rows:
+        gone = {j for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < (at, k) for j in range(k, k + 20)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    got = sorted(map(tuple, substring_dedup.dedup_substrings(docs, shard_bytes=4000).collect()))
-    assert got == want and sum(x[2] for x in want) > 500
+        want[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
+    return want
+
+
+@pytest.fixture()
+def odder(spark, odd):
+    """`odd`, and null and repeated ids, a text of over a million characters, one long word, and clashing columns."""
+    rng = random.Random(30)
+    many = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    head = " ".join(many.split()[:3000])
+    more = [(None, head), (None, None), (20, many * 3), (21, head), (21, head), (22, "é" * 1_100_000), (23, head.replace("w9", "v9")), (24, "a b c"), (25, "a b c")]
+    extra = spark.createDataFrame([(*r, "h", 1, 2, 3) for r in more], "doc_id long, text string, source string, shard int, anchor int, class_key int")
+    return odd.unionByName(extra, allowMissingColumns=True)
+
+
+def test_substring_dedup_of_odd_rows(odder):
+    want = _kept_words(odder.collect())
+    assert Counter(map(tuple, substring_dedup.dedup_substrings(odder, shard_bytes=100_000).collect())) == want
+    assert sum(x[2] * c for x, c in want.items()) > 120_000
+
+
+def test_near_duplicates_of_odd_rows(odder):
+    """Copies of a text with a null id belong to the group of those with one, and head none."""
+    rows = odder.collect()
+    sets = {r.doc_id: near_dup.shingle_set(r.text, 4) for r in rows if r.doc_id is not None}
+    group = _groups(sets)
+    assert group[25] == 24 and group[21] == 21 and group[23] == 23
+    want = Counter((r.doc_id, len(near_dup.shingle_set(r.text, 4)), group[r.doc_id], group[r.doc_id] == r.doc_id) for r in rows if r.doc_id is not None)
+    want += Counter([(None, len(sets[21]), 21, False), (None, 0, None, True)])
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(odder).collect()) == want
+
+
+def test_quality_rules_of_odd_rows(odder):
+    def figures(text):
+        w = WORD.findall(text or "")
+        seen, cover = Counter(zip(w, w[1:], w[2:])), set()
+        for i in range(len(w) - 2):
+            if seen[tuple(w[i : i + 3])] > 1:
+                cover |= {i, i + 1, i + 2}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
+
+    got = quality_rules(odder).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter((r.doc_id, *(r[x] for x in names)) for r in got) == Counter((r.doc_id, *figures(r.text)) for r in odder.collect())
+    assert not any(r.base_failed and r.kept for r in got)
 
 
 def test_substring_dedup_of_lines_repeated_within_a_document(spark):
