@@ -523,6 +523,50 @@ def test_classifier_on_held_out_documents(spark):
     assert right >= 190
 
 
+def test_classifier_equals_plain_posteriors(spark, odder, docs, monkeypatch):
+    """The whole table against plain loops over the documents' log odds, with null sites, null and repeated ids."""
+    import math
+
+    import numpy as np
+
+    from quantloom.llm import quality_classifier as qc
+
+    rng = np.random.default_rng(6)
+    weights = rng.normal(0, 0.6, (2, qc.DIMENSIONS + qc.SHAPES)).astype(np.float32)
+    weights[:, qc.DIMENSIONS + 1 :] = 0
+    monkeypatch.setattr(qc, "train", lambda *_: weights)
+    more = docs.select("doc_id", "text", F.concat(F.lit("h"), F.col("doc_id") % 5).alias("source"), F.when(F.col("doc_id") % 3 > 0, "en").alias("lang"))
+    table = more.unionByName(odder.where("length(text) < 100000 or text is null").select("doc_id", "text", "source", "lang", "id", "key"), allowMissingColumns=True)
+    scored = qc.evidence(table, weights).collect()
+    rate = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    logit = lambda x: math.log(max(1e-6, x) / max(1e-6, 1 - x))
+    posteriors = {}
+    for c in "qt":
+        paths, hosts = defaultdict(list), defaultdict(list)
+        for r in scored:
+            paths[(r.host, r.path)].append(rate(r[c]))
+            hosts[r.host].append(rate(r[c]))
+        every = [x for xs in hosts.values() for x in xs]
+        n, k, kp = len(every), len(hosts), len(paths)
+        between = lambda groups: sum(sum(x) ** 2 / len(x) for x in groups.values())
+        within = (sum(x * x for x in every) - between(paths)) / (n - kp)
+        of_hosts = (between(hosts) - sum(every) ** 2 / n - (k - 1) * within) / (n - sum(len(x) ** 2 for x in hosts.values()) / n)
+        of_paths = (between(paths) - between(hosts) - (kp - k) * within) / (n - sum(len(x) ** 2 / len(hosts[h]) for (h, _), x in paths.items()))
+        s, u = (min(1000.0, max(1.0, within / v)) if v > 1e-12 else 1000.0 for v in (of_hosts, of_paths))
+        g = sum(every) / n
+        for i, r in enumerate(scored):
+            host, path, own = hosts[r.host], paths[(r.host, r.path)], rate(r[c])
+            seen = lambda less, one: (sum(path) - less + (sum(host) - less + g * s) / (len(host) - one + s) * u) / (len(path) - one + u)  # noqa: E731, B023
+            final = rate(r[c] + logit(seen(own, 1)) - logit(g)) if r.q > -math.inf else 0.0
+            posteriors.setdefault(i, [r.doc_id]).extend([final, seen(0.0, 0)])
+    order = lambda rows: sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, *(round(y, 6) for y in x[1:])))
+    rows = qc.classify(table, None).collect()
+    got = order([r.doc_id, r.p_quality, r.path_quality, r.p_toxic, r.path_toxic] for r in rows)
+    want = order(posteriors.values())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1:] for x in got], [x[1:] for x in want], atol=1e-7)
+    assert all(r.kept == (r.p_quality >= 0.5 and r.p_toxic < 0.5) for r in rows) and 0 < sum(r.kept for r in rows) < len(rows)
+
+
 def test_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     runs = [
