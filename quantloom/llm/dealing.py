@@ -42,23 +42,32 @@ def packs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "shard").mapInArrow(build, DEALT)
 
 
-def unpack(blob: bytes) -> Iterator[tuple[int | None, str | None]]:
+def unpacked(blob: bytes):
+    """A pack's documents as an Arrow table of doc_id and text."""
     import pyarrow as pa
     import zstandard
 
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
+def unpack(blob: bytes) -> Iterator[tuple[int | None, str | None]]:
+    table = unpacked(blob)
     return zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)
 
 
 def by_shard(batches: Iterator, words: bool = False) -> Iterator[tuple[int, dict, list[bytes]]]:
-    """One (shard, columns of its rows of kind 0, its packs) after another; rows come sorted by shard, kind."""
+    """One (shard, columns of its rows of kind 0, its packs) after another; rows come sorted by shard, kind. `words` adds the
+    words as an Arrow array."""
+    import pyarrow as pa
+
     shard, facts, blobs = None, [], []
     names = ("x1", "x2", "y1", "y2", "y3")
 
     def done():
         cols = {n: np.concatenate([f[n] for f in facts]) if facts else np.empty(0, np.int64 if n[0] == "x" else np.int32) for n in names}
         cols["data"] = [x for f in facts for x in f["data"].to_pylist() if x is not None]
-        cols["word"] = [w for f in facts for w in f["word"].to_pylist()] if words else []
+        if words:
+            cols["word"] = pa.chunked_array([f["word"] for f in facts], pa.string()).combine_chunks()
         return shard, cols, blobs
 
     for batch in batches:

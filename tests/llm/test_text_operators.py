@@ -428,6 +428,45 @@ def test_hmm_recursions_equal_the_textbook():
         model = hmm_lm.Model(starts / starts.sum(), steps / steps.sum(1)[:, None], (emits + 1e-9) / (emits + 1e-9).sum(0))
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_hmm_cut_texts_need_matrices_in_the_middle_only(piece, monkeypatch):
+    """Heads and tails are walked by vectors; counts equal those of whole texts, also with classes of probability 1e-200."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    model = hmm_lm.initial_model(rng.random(hmm_lm.CLASSES) * 50)
+    model.emit[:20] *= 1e-200
+    texts = [rng.integers(0, 40, n).astype(np.uint16) for n in (1, piece, piece + 1, 2 * piece, 3 * piece, 200, 201, 3)]
+    whole, logs = hmm_lm.expected_counts(texts, model), hmm_lm.log_likelihoods(texts, model)
+    monkeypatch.setattr(hmm_lm, "PIECE", piece)
+    monkeypatch.setattr(hmm_lm, "ABREAST", 1 << 20)
+    p = hmm_lm._Pieces(texts)
+    pieces = [-(-len(t) // piece) for t in texts]
+    assert len(p.size) == sum(pieces) and len(p.middle) == sum(max(0, n - 2) for n in pieces)
+    for x, y in zip(whole, hmm_lm.expected_counts(texts, model), strict=True):
+        assert np.isfinite(x).all() and np.allclose(x, y, rtol=1e-9, atol=1e-12)
+    assert np.allclose(logs, hmm_lm.log_likelihoods(texts, model), rtol=1e-12)
+    for t, total in zip(texts, logs, strict=True):
+        a, want = model.start * model.emit[t[0]], 0.0
+        for x in t[1:]:
+            want, a = want + np.log(a.sum()), a / a.sum() @ model.step * model.emit[x]
+        assert total == pytest.approx(want + np.log(a.sum()))
+
+
+def test_hmm_words_and_classes_of_arrow_columns():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u3000ABZaz\x00éİ😀", k=rng.randrange(12))) for _ in range(3000)] + [None, "", " ", "x"]
+    words, n = hmm_lm.split_words(pa.chunked_array([texts[:7], texts[7:]], pa.string()))
+    assert n.tolist() == [len(hmm_lm.tokens(t)) for t in texts] and words.to_pylist() == [w for t in texts for w in hmm_lm.tokens(t)]
+    distinct = [*dict.fromkeys(words.to_pylist())]
+    frequent = {w: i for i, w in enumerate(distinct[::5][:500])}
+    assert hmm_lm.word_classes(pa.array([*distinct, ""]), frequent).tolist() == [*(hmm_lm.word_class(w, frequent) for w in distinct), hmm_lm.END]
+
+
 def _plain_hmm(rows, gain):
     """Scores by a plain scaled forward recursion, of a model that plain Baum-Welch trains until a round gains less than
     `gain`: (scores, number of rounds)."""
